@@ -40,6 +40,7 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 WORDS = 5
 HOT = 48
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_PLACE = np.array([_M1, _M2, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
 def lowered(text: str) -> str:
@@ -57,22 +58,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     split = [_WORD.findall(lowered(t)) for t in texts]
-    n = [len(w) for w in split]
     flat = [x for w in split for x in w]
     h = hash_array(np.array(flat, dtype=object), categorize=True) if flat else np.zeros(0, np.uint64)
-    out, at = [], 0
+    h = np.concatenate([h, np.zeros(WORDS, np.uint64)])
     with np.errstate(over="ignore"):
-        for k in n:
-            w = h[at : at + k]
+        full = h[: len(h) - WORDS + 1] * _PLACE[0]
+        for j in range(1, WORDS):
+            full = full + h[j : len(h) - WORDS + 1 + j] * _PLACE[j]
+        full = mix(full + np.uint64(WORDS))  # of places where a text ends as well; those are not read
+        out, at = [], 0
+        for k in map(len, split):
+            if k >= WORDS:
+                out.append(np.unique(full[at : at + k - WORDS + 1]))
+            else:
+                out.append(mix((h[at : at + k] * _PLACE[:k]).sum(keepdims=True) + np.uint64(k)) if k else h[:0])
             at += k
-            if not k:
-                out.append(np.zeros(0, np.uint64))
-                continue
-            size = min(k, WORDS)
-            s = np.full(k - size + 1, np.uint64(size), dtype=np.uint64)
-            for j in range(size):
-                s = mix(s * _M1 + w[j : k - size + 1 + j])
-            out.append(np.unique(s))
     return out
 
 
@@ -120,6 +120,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
         for band in bands(len(s)):
             e, k2, n1, n2 = plan(band)
             cell = ((s >> np.uint64(40)) % np.uint64(n1)).astype(np.int64) * n2 + ((s & np.uint64(0xFFFFF)) % np.uint64(n2)).astype(np.int64)
+            cell = cell.astype(np.uint16) if n1 * n2 < 1 << 16 else cell  # sorted by radix
             order = np.argsort(cell, kind="stable")
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(s[order] + _M2))])
             edge = np.searchsorted(cell[order], np.arange(n1 * n2 + 1))
@@ -196,6 +197,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, same boolean")
 
 
+def fitting(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes allow a link."""
+    named = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb")), "b")
+    return named.where("5 * na >= 4 * nb AND 5 * nb >= 4 * na").select("a", "b")
+
+
 def stars(buckets: DataFrame) -> DataFrame:
     """Pairs of each bucket's smallest node with its others."""
     out = buckets.withColumn("a", F.min("node").over(W.partitionBy("key"))).where("a <> node")
@@ -251,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, its own included)."""
     small_batches(docs.sparkSession)
     nodes = saved(nodes_of(docs), "nodes")
-    groups = saved(nodes.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "sets")
+    groups = saved(nodes.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "sets")
     spare = nodes.where("node <> 0").join(groups.select("node", F.col("doc_id").alias("first")), "node").where("doc_id > first").select("doc_id")
     keys = signed(with_small(_texts(docs), spare, "doc_id", "left_anti"))
     at = W.partitionBy("key")
@@ -260,13 +267,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hot = shared.where(F.col("held") > HOT).select("node").distinct()
     buckets = shared.where(F.col("held") <= HOT).select("key", "node")
     wanted = shared.select("node").distinct().join(groups, "node").select("doc_id")
-    sets = saved(sets_of(docs, wanted).dropDuplicates(["node"]), "items")
+    sets = saved(sets_of(docs, wanted), "items")
     if not hot.isEmpty():
-        buckets = saved(buckets.unionByName(prefixes(sets.join(hot, "node"))), "buckets")
-    tested = saved(verified(stars(buckets), sets), "tested")
+        buckets = saved(buckets.unionByName(prefixes(sets.join(hot, "node").dropDuplicates(["node"]))), "buckets")
+    tested = saved(verified(fitting(stars(buckets), groups), sets), "tested")
     links = tested.where("same").select("a", "b")
     labels = saved(components(links), "labels")
-    more = saved(verified(open_pairs(buckets, labels, tested), sets), "tested")
+    more = saved(verified(fitting(open_pairs(buckets, labels, tested), groups), sets), "tested")
     if not (extra := more.where("same").select("a", "b")).isEmpty():
         labels = saved(components(links.unionByName(extra)), "labels")
     ids = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
