@@ -1,0 +1,105 @@
+"""Documents to blocks to chunks, by expressions and one fold for each section."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corpuslens.functions import text as T
+
+SENTENCE_ENDS = "。；！？!?;"
+
+
+def new_documents(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of a batch whose (kb_id, file_hash) is not stored yet, the smallest doc_id of each."""
+    fresh = batch.join(stored.select("kb_id", "file_hash").distinct(), ["kb_id", "file_hash"], "left_anti")
+    at = W.partitionBy("kb_id", "file_hash").orderBy("doc_id")
+    return fresh.withColumn("n", F.row_number().over(at)).where("n = 1").drop("n")
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, text, block_type, heading_level, heading_title, clause_no) of paragraphs between blank lines."""
+    paras = docs.select("doc_id", F.posexplode(F.split(T.clean_text(F.col("text")), r"\n\s*\n")).alias("pos", "raw"))
+    paras = paras.select("doc_id", "pos", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
+    first = F.element_at(F.split("text", "\n"), 1)
+    mark, title = F.regexp_extract(first, r"^(#{1,6})\s+(.*)$", 1), F.regexp_extract(first, r"^(#{1,6})\s+(.*)$", 2)
+    num, num_title = (F.regexp_extract(first, r"^\s*(\d{1,2}(?:\.\d{1,3}){0,3})\s+(\S[^\n]{0,60})$", i) for i in (1, 2))
+    md, numbered = (mark != "") & (F.length("text") < 200), (num != "") & (F.length("text") < 90)
+    return paras.select(
+        "doc_id", "pos", "text", F.when(md | numbered, "heading").otherwise("paragraph").alias("block_type"),
+        F.when(md, F.length(mark)).when(numbered, F.size(F.split(num, r"\."))).alias("heading_level"),
+        F.when(md, F.trim(title)).when(numbered, F.trim(num_title)).alias("heading_title"), F.when(~md & numbered, num).otherwise("").alias("clause_no"),
+    )
+
+
+def section_paths(b: DataFrame, levels: int = 6) -> DataFrame:
+    """Adds section_path: the last heading of each level that no later, shallower heading has ended."""
+    at = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    for n in range(1, levels + 1):
+        here = F.when(F.col("heading_level") == n, F.struct("pos", F.substring("heading_title", 1, 80).alias("title")))
+        b = b.withColumn(f"h{n}", F.last(here, ignorenulls=True).over(at))
+    parts = []
+    for n in range(1, levels + 1):
+        later = F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(f"h{m}.pos", F.lit(-1)) for m in range(1, n)])
+        parts.append(F.when(F.col(f"h{n}.pos") > later, F.col(f"h{n}.title")))
+    return b.withColumn("section_path", F.concat_ws(" > ", *parts)).drop(*[f"h{n}" for n in range(1, levels + 1)])
+
+
+def _flush_groups(sizes: Column, size: int) -> Column:
+    """Group number of each block: a group ends once it holds `size` characters."""
+    zero = F.struct(F.lit(0).alias("g"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        full = a["n"] + x >= size
+        return F.struct(F.when(full, a["g"] + 1).otherwise(a["g"]).alias("g"), F.when(full, 0).otherwise(a["n"] + x).alias("n"), F.concat(a["out"], F.array(a["g"])).alias("out"))
+
+    return F.aggregate(sizes, zero, step, lambda a: a["out"])
+
+
+def pack_sentences(text: Column, size: int, overlap: int, ends: str = SENTENCE_ENDS) -> Column:
+    """Sentences packed to `size` characters; each pack but the first begins with the end of the one before."""
+    sents = F.filter(F.split(text, f"(?<=[{ends}])"), lambda s: ~T.blank(s))
+    zero = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        full = (F.length(a["buf"]) + F.length(s) > size) & (a["buf"] != "")
+        tail = F.right(a["buf"], F.lit(overlap)) if overlap else F.lit("")
+        return F.struct(
+            F.when(full, F.concat(tail, s)).otherwise(F.concat(a["buf"], s)).alias("buf"),
+            F.when(full, F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"]).alias("out"),
+        )
+
+    packs = F.aggregate(sents, zero, step, lambda a: F.when(T.blank(a["buf"]), a["out"]).otherwise(F.concat(a["out"], F.array(a["buf"]))))
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(packs)
+
+
+def chunks(docs: DataFrame, size: int = 600, overlap: int = 100, least: int = 40, ends: str = SENTENCE_ENDS) -> DataFrame:
+    """(doc_id, seq, content, section_path, clause_no, is_mandatory, char_count) of whole documents."""
+    b = section_paths(blocks(docs))
+    at = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    b = b.withColumn("sec", F.sum(F.when(F.col("block_type") == "heading", 1).otherwise(0)).over(at))
+    part = F.sort_array(F.collect_list(F.struct("pos", "text", "clause_no")))
+    sec = b.groupBy("doc_id", "sec", "section_path").agg(part.alias("parts"))  # the blocks of one section of one document
+    sec = sec.withColumn("groups", _flush_groups(F.transform("parts", lambda p: F.length(p["text"])), size))
+    flat = sec.select("doc_id", "sec", "section_path", F.explode(F.arrays_zip("parts", "groups")).alias("p"))
+    merged = flat.groupBy("doc_id", "sec", "section_path", F.col("p.groups").alias("g")).agg(F.sort_array(F.collect_list("p.parts")).alias("parts"))
+    text = T.clean_text(F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))
+    clause = F.coalesce(F.get(F.filter(F.transform("parts", lambda p: F.when(p["clause_no"] != "", p["clause_no"]).otherwise(T.clause_no(p["text"]))), lambda c: c != ""), F.lit(0)), F.lit(""))
+    merged = merged.select("doc_id", "sec", "g", "section_path", clause.alias("clause"), text.alias("whole"), F.posexplode(pack_sentences(text, size, overlap, ends)).alias("k", "t"))
+    t = F.regexp_replace("t", r"^\s+|\s+$", "")
+    own = F.when((F.length("whole") > size) & (T.clause_no(t) != ""), T.clause_no(t)).otherwise(F.col("clause"))
+    out = merged.select("doc_id", "sec", "g", "k", "section_path", own.alias("clause_no"), T.is_mandatory(t).alias("is_mandatory"), T.with_section(F.col("section_path"), t).alias("content"))
+    out = out.withColumn("char_count", F.length("content")).where((F.col("char_count") > 0) & ((F.col("char_count") >= least) | (F.col("clause_no") != "")))
+    seq = F.row_number().over(W.partitionBy("doc_id").orderBy("sec", "g", "k")) - 1
+    return out.withColumn("seq", seq).select("doc_id", "seq", "content", "section_path", "clause_no", "is_mandatory", "char_count")
+
+
+def keywords(docs: DataFrame, k: int = 12, terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, keywords): domain terms first, then by count, length and first place."""
+    t = docs.select("doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "token")).where(F.length("token") >= 2)
+    t = t.groupBy("doc_id", "token").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    t = t.withColumn("known", F.lit(False)) if terms is None else t.join(terms.select(F.lower("term").alias("token"), F.lit(True).alias("known")).distinct(), "token", "left").fillna(False, ["known"])
+    at = W.partitionBy("doc_id").orderBy(F.desc("known"), F.desc("n"), F.desc(F.length("token")), "pos")
+    best = t.withColumn("r", F.row_number().over(at)).where(F.col("r") <= k)
+    return best.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]).alias("keywords"))

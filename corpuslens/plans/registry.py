@@ -5,6 +5,259 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corpuslens.functions import text as T
+from corpuslens.functions.vectors import cosine, hash_vectors
+from corpuslens.operators import evaluate, governance, ingest, quality, search
+from corpuslens.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_TOK = lambda c: rf"list_filter(list_transform(regexp_extract_all({c}, '[\x{{4e00}}-\x{{9fa5}}]+|[a-zA-Z][a-zA-Z\-]*|\d+(?:\.\d+)*'), lambda x: lower(x)), lambda x: NOT list_contains([{_STOP}], x) AND (length(x) > 1 OR regexp_matches(x, '[\x{{4e00}}-\x{{9fa5}}]')))"
+_BM25 = {
+    "dt": f"SELECT doc_id, kb_id, {_TOK('text')} AS t FROM document_v",
+    "sizes": "SELECT kb_id, count(*) AS n_docs, avg(len(t)) AS avgdl FROM dt GROUP BY 1",
+    "post": "SELECT kb_id, doc_id, term, count(*) AS tf, dl FROM (SELECT kb_id, doc_id, len(t) AS dl, unnest(t) AS term FROM dt) GROUP BY ALL",
+    "idf0": "SELECT kb_id, term, avgdl, ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post JOIN sizes USING (kb_id) GROUP BY kb_id, term, avgdl, n_docs",
+    "mean_idf": "SELECT kb_id, avg(idf) AS m FROM idf0 GROUP BY 1",
+    "qt": f"SELECT query_id, {_TOK('query')} AS t FROM query_v",
+    "q": "SELECT query_id, n_q, term, count(*) AS qtf FROM (SELECT query_id, len(list_distinct(t)) AS n_q, unnest(t) AS term FROM qt) GROUP BY ALL",
+    "s0": """SELECT query_id, n_q, post.kb_id, doc_id, round(sum(qtf * (CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) + 0.01 * count(*), 6) AS s, count(*) AS overlap
+        FROM post JOIN idf0 USING (kb_id, term) JOIN mean_idf USING (kb_id) JOIN q USING (term) GROUP BY ALL""",
+    "s1": "SELECT query_id, kb_id, doc_id, CASE WHEN max(s) OVER (PARTITION BY query_id, kb_id) <= 0 THEN overlap / n_q ELSE s END AS s FROM s0",
+    "bm": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM s1 WHERE s > 0",
+}
+
+
+@query(V.sql("SELECT query_id, doc_id, kb_id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score, rank FROM bm WHERE rank <= 5", "document_v", "query_v", **_BM25))
+def bm25_top_documents(spark, sf_dir):
+    """The five best documents of each benchmark item by BM25."""
+    return search.bm25_search(V.document_v(spark, sf_dir), V.query_v(spark, sf_dir), 5)
+
+
+_VEC = {
+    "df0": f"SELECT doc_id AS id, {_TOK('text')} AS t FROM document_v",
+    "qf0": f"SELECT query_id AS id, {_TOK('query')} AS t FROM query_v",
+    **{f"{x}g": f"SELECT id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1]))) AS g FROM {x}f0" for x in "dq"},
+    **{f"{x}b": f"SELECT id, ('0x' || substr(md5(g), 1, 8))::bigint % 1024 AS bucket, sum((CASE WHEN ('0x' || substr(md5(g), 9, 2))::int % 2 = 0 THEN 1.0 ELSE -1.0 END)::double * (1.0 + 0.15 * least(length(g), 8))::double) AS v FROM {x}g GROUP BY 1, 2" for x in "dq"},
+    **{f"{x}v": f"SELECT id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM {x}b" for x in "dq"},
+    "vs": "SELECT qv.id AS query_id, dv.id AS doc_id, round(sum(dv.v * qv.v), 6) AS score FROM dv JOIN qv USING (bucket) GROUP BY 1, 2",
+    "vr": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vs",
+}
+
+
+@query(V.sql("SELECT query_id, doc_id, score, rank FROM vr WHERE rank <= 10", "document_v", "query_v", **_VEC))
+def hash_vector_search(spark, sf_dir):
+    """The ten nearest documents of each benchmark item by hashed text vectors."""
+    return search.hash_vector_search(V.document_v(spark, sf_dir), V.query_v(spark, sf_dir), 10)
+
+
+_FUSED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, v.rank AS vector_rank, b.rank AS bm25_rank,
+    round((0.5 * (coalesce(0.6 / (60 + v.rank), 0) + coalesce(0.4 / (60 + b.rank), 0)) * 60 + 0.5 * (0.6 * coalesce(v.score, 0) + 0.4 * coalesce(b.score, 0)))
+      * CASE WHEN v.rank IS NOT NULL AND b.rank IS NOT NULL THEN 1.12 ELSE 1.0 END, 6) AS fusion_score
+  FROM (SELECT * FROM vr WHERE rank <= 20) v FULL JOIN (SELECT query_id, doc_id, rank, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM bm WHERE rank <= 40) b USING (query_id, doc_id)
+) WHERE fusion_score >= 0.15) WHERE rank <= 20"""
+
+
+def _hybrid(spark, sf_dir):
+    d, q = V.document_v(spark, sf_dir), V.query_v(spark, sf_dir)
+    return search.fuse(search.hash_vector_search(d, q, 20), search.bm25_search(d, q, 40))
+
+
+@query(V.sql("SELECT query_id, doc_id, vector_rank, bm25_rank, fusion_score, rank FROM fused", "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED))
+def hybrid_search(spark, sf_dir):
+    """Rank and score fusion of both channels."""
+    return _hybrid(spark, sf_dir).select("query_id", "doc_id", "vector_rank", "bm25_rank", "fusion_score", "rank")
+
+
+def _golden(spark, sf_dir):
+    """Documents that hold a benchmark text: the items are a small, stated query set, compared in one block."""
+    q, d = V.query_v(spark, sf_dir), V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\w{6,}"), F.lit(0))
+    key = q.select("query_id", "query", F.get(F.array_sort(F.transform(words(F.col("query")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"].alias("w"))
+    held = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(key.select("w").distinct(), "w", "left_semi")
+    return held.join(key, "w").join(d, "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+
+
+_GOLD = "SELECT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
+_METRICS = """SELECT g.query_id, n_relevant, round(coalesce(1.0 / min(rank), 0), 4) AS mrr, {} FROM (SELECT query_id, count(*) AS n_relevant FROM gold GROUP BY 1) g
+  LEFT JOIN (SELECT f.query_id, rank FROM fused f JOIN gold USING (query_id, doc_id)) h ON h.query_id = g.query_id GROUP BY 1, 2""".format(
+    ", ".join(
+        f"round(count(*) FILTER (rank <= {k}) / n_relevant, 4) AS recall_{k}, round(coalesce(sum(1.0 / (rank + 1)) FILTER (rank <= {k}), 0) / list_sum(list_transform(range(1, least(n_relevant, {k}) + 1), lambda r: 1.0 / (r + 1))), 4) AS ndcg_{k}"
+        for k in (1, 3, 5)
+    )
+)
+
+
+@query(V.sql("SELECT * FROM m", "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED, gold=_GOLD, m=_METRICS))
+def retrieval_metrics(spark, sf_dir):
+    """Recall, NDCG and MRR of each item with relevant documents."""
+    return evaluate.ranking_metrics(_hybrid(spark, sf_dir).select("query_id", "doc_id", "rank"), _golden(spark, sf_dir))
+
+
+@query(V.sql(f"SELECT doc_id, len({_TOK('text')}) AS n_tokens, sha256(text) AS content_hash, CASE WHEN length(text) > 80 THEN substring(text, 1, 80) || '…' ELSE text END AS short, list_aggregate(list_sort(list_distinct({_TOK('text')}))[1:6], 'string_agg', ' ') AS gap_key FROM documents WHERE len({_TOK('text')}) > 0"))
+def text_scalars(spark, sf_dir):
+    d = V.table(spark, sf_dir, "documents").withColumn("t", T.tokenize(F.col("text"))).where(F.size("t") > 0)
+    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), T.content_hash(F.col("text")).alias("content_hash"), T.truncate_to(F.col("text"), 80).alias("short"), T.token_key(F.col("text")).alias("gap_key"))
+
+
+@query()
+def document_chunks(spark, sf_dir):
+    """Section-aware chunks; sentences of these texts end with a dot."""
+    return ingest.chunks(V.table(spark, sf_dir, "documents"), ends=ingest.SENTENCE_ENDS + ".")
+
+
+@query()
+def chunk_quality_issues(spark, sf_dir):
+    return quality.static_issues(document_chunks(spark, sf_dir))
+
+
+_KW = f"SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {_TOK('text')} AS t FROM documents)"
+
+
+@query(V.sql("""SELECT doc_id, list(token ORDER BY r) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(token) DESC, pos) AS r
+  FROM (SELECT doc_id, token, count(*) AS n, min(pos) AS pos FROM kw WHERE length(token) >= 2 GROUP BY 1, 2)) WHERE r <= 12 GROUP BY 1""", kw=_KW))
+def document_keywords(spark, sf_dir):
+    return ingest.keywords(V.table(spark, sf_dir, "documents"))
+
+
+@query(V.sql("SELECT doc_id, kb_id, file_hash FROM (SELECT *, row_number() OVER (PARTITION BY kb_id, file_hash ORDER BY doc_id) AS n FROM document_v d WHERE doc_id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM document_v s WHERE s.doc_id % 4 = 0 AND s.kb_id = d.kb_id AND s.file_hash = d.file_hash)) WHERE n = 1", "document_v"))
+def ingest_dedup(spark, sf_dir):
+    """New documents of a batch against those stored."""
+    d = V.document_v(spark, sf_dir)
+    return ingest.new_documents(d.where("doc_id % 4 <> 0"), d.where("doc_id % 4 = 0")).select("doc_id", "kb_id", "file_hash")
+
+
+@query(V.sql("SELECT reason, doc_id, n FROM (SELECT 'hash' AS reason, min(doc_id) AS doc_id, count(*) AS n FROM document_v GROUP BY file_hash UNION ALL SELECT 'title', min(doc_id), count(*) FROM document_v GROUP BY kb_id, lower(trim(title))) WHERE n > 1", "document_v"))
+def duplicate_groups(spark, sf_dir):
+    return governance.duplicate_groups(V.document_v(spark, sf_dir))
+
+
+_HEALTH = f"""SELECT 'expired' AS issue_type, 'high' AS severity, doc_id FROM live WHERE ex UNION ALL SELECT 'expiring_soon', 'medium', doc_id FROM live WHERE NOT ex AND left_days BETWEEN 1 AND 90
+  UNION ALL SELECT 'no_owner', 'medium', doc_id FROM live WHERE trim(owner) = '' UNION ALL SELECT 'stale', 'low', doc_id FROM live WHERE old_days > 365 AND governance_status = 'valid'
+  UNION ALL SELECT 'parse_failed', 'high', doc_id FROM live WHERE status = 'failed' UNION ALL SELECT 'empty_summary', 'low', doc_id FROM live WHERE trim(summary) = ''
+  UNION ALL SELECT 'duplicate', 'medium', doc_id FROM (SELECT min(doc_id) AS doc_id, count(*) AS n FROM live GROUP BY file_hash UNION ALL SELECT min(doc_id), count(*) FROM live GROUP BY kb_id, lower(trim(title))) WHERE n > 1"""
+_LIVE = f"SELECT *, expire_date <= {V.AS_OF} AND governance_status <> 'deprecated' AS ex, floor((epoch_us(expire_date) - epoch_us({V.AS_OF})) / 86400e6) AS left_days, floor((epoch_us({V.AS_OF}) - epoch_us(updated_at)) / 86400e6) AS old_days FROM document_v WHERE NOT is_deleted"
+
+
+@query(V.sql("SELECT * FROM h", "document_v", live=_LIVE, h=_HEALTH))
+def health_issues(spark, sf_dir):
+    return governance.health_issues(V.document_v(spark, sf_dir), V.as_of())
+
+
+@query(V.sql("SELECT (SELECT count(*) FROM live) AS total_docs, count(*) AS n_issues, round(greatest(0.0, 100.0 - sum(CASE severity WHEN 'high' THEN 6.0 WHEN 'medium' THEN 3.0 ELSE 1.0 END)::double / (SELECT count(*) FROM live) * 12.0), 1) AS score FROM h", "document_v", live=_LIVE, h=_HEALTH))
+def health_score(spark, sf_dir):
+    d = V.document_v(spark, sf_dir)
+    return governance.health_score(governance.health_issues(d, V.as_of()), d)
+
+
+@query(V.sql("SELECT kb_id, count(*) FILTER (NOT is_deleted) AS n_docs, count(*) FILTER (status = 'failed') AS n_failed, count(DISTINCT domain) AS n_domains, count(*) FILTER (governance_status = 'valid') AS n_valid, count(*) FILTER (governance_status = 'need_update') AS n_need_update, count(*) FILTER (governance_status = 'deprecated') AS n_deprecated FROM document_v GROUP BY 1", "document_v"))
+def kb_overview(spark, sf_dir):
+    status = lambda s: F.count_if(F.col("governance_status") == s).alias(f"n_{s}")
+    return V.document_v(spark, sf_dir).groupBy("kb_id").agg(F.count_if(~F.col("is_deleted")).alias("n_docs"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.countDistinct("domain").alias("n_domains"), *map(status, ("valid", "need_update", "deprecated")))
+
+
+@query(V.sql(f"SELECT query_key, n, avg_confidence, no_hits FROM (SELECT coalesce(nullif(list_aggregate(list_sort(list_distinct({_TOK('query')}))[1:5], 'string_agg', ' '), ''), substring(sha256(lower(trim(query))), 1, 32)) AS query_key, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, bool_and(hit_count = 0) AS no_hits FROM query_log_v WHERE created_at >= timestamp '2024-01-15' - to_days(30) AND intent <> 'chitchat' AND (hit_count = 0 OR confidence < 0.45) GROUP BY 1) ORDER BY n DESC, avg_confidence, query_key LIMIT 20", "query_log_v"))
+def knowledge_gaps(spark, sf_dir):
+    return governance.gap_report(V.query_log_v(spark, sf_dir), F.lit("2024-01-15").cast("timestamp"))
+
+
+@query(V.sql("SELECT intent, count(*) AS n_queries, count(*) FILTER (NOT answered) AS n_unanswered, round(count(*) FILTER (answered) / count(*), 4) AS answer_rate, round(avg(confidence), 4) AS avg_confidence, floor(avg(latency_ms))::bigint AS avg_latency_ms FROM query_log_v GROUP BY 1", "query_log_v"))
+def operation_metrics(spark, sf_dir):
+    return governance.operation_metrics(V.query_log_v(spark, sf_dir), [F.col("intent")])
+
+
+@query(V.sql(f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOK('query')}) AS token FROM query_log_v) WHERE length(token) >= 2 GROUP BY 1 ORDER BY n DESC, token LIMIT 10", "query_log_v"))
+def hot_topics(spark, sf_dir):
+    return governance.hot_topics(V.query_log_v(spark, sf_dir))
+
+
+_BOUNDS = ", ".join(map(str, governance.BUCKETS_MS))
+_HIST = f"SELECT b AS bucket, CASE WHEN b < {len(governance.BUCKETS_MS)} THEN [{_BOUNDS}][b + 1]::double END AS le, count(latency_ms) AS n FROM (SELECT unnest(range({len(governance.BUCKETS_MS) + 1}))::int AS b) LEFT JOIN query_log_v ON len(list_filter([{_BOUNDS}], lambda x: x < latency_ms)) = b GROUP BY 1, 2"
+
+
+@query(V.sql("SELECT *, (sum(n) OVER (ORDER BY bucket))::bigint AS cumulative FROM h", "query_log_v", h=_HIST))
+def latency_histogram(spark, sf_dir):
+    return governance.latency_histogram(V.query_log_v(spark, sf_dir))
+
+
+@query(V.sql("""SELECT q::double AS q, round(coalesce(lo + (le - lo) * (q * total - (c - n)) / n, lo), 4)::double AS value FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY bucket) AS r FROM (
+  SELECT *, coalesce(lag(le) OVER (ORDER BY bucket), 0) AS lo, sum(n) OVER (ORDER BY bucket) AS c, sum(n) OVER () AS total FROM h) CROSS JOIN (SELECT unnest([0.5::double, 0.95::double, 0.99::double]) AS q)
+  WHERE c >= q * total AND n > 0) WHERE r = 1""", "query_log_v", h=_HIST))
+def latency_quantiles(spark, sf_dir):
+    return governance.quantiles(governance.latency_histogram(V.query_log_v(spark, sf_dir)))
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) FILTER (event_type = 'error') / count(*), 4) AS error_rate, round(avg(value), 4) AS avg_value FROM events GROUP BY 1")
+def event_rates(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("event_type") == "error") / F.count("*"), 4).alias("error_rate"), F.round(F.avg("value"), 4).alias("avg_value"))
+
+
+@query(V.sql("SELECT doc_id, 'removed' AS change FROM document_v WHERE doc_id % 4 <> 0 AND is_deleted UNION ALL SELECT doc_id, 'added' FROM document_v WHERE doc_id % 4 = 0 AND NOT is_deleted", "document_v"))
+def version_diff(spark, sf_dir):
+    d = V.document_v(spark, sf_dir).select("doc_id", "is_deleted")
+    return governance.version_diff(d.where("doc_id % 4 <> 0"), d.where("NOT is_deleted"))
+
+
+@query(V.sql("SELECT kb_id, doc_id, row_number() OVER (PARTITION BY kb_id ORDER BY updated_at DESC, doc_id) AS place FROM document_v WHERE NOT is_deleted AND governance_status = 'valid' AND (contains(title, 'th') OR contains(title, 'de')) QUALIFY place <= 10", "document_v"))
+def document_page(spark, sf_dir):
+    """The first page of ten documents of each kb by filters and keyword, newest first."""
+    d = V.document_v(spark, sf_dir).where("NOT is_deleted AND governance_status = 'valid'").where(F.col("title").contains("th") | F.col("title").contains("de"))
+    at = W.partitionBy("kb_id").orderBy(F.desc("updated_at"), "doc_id")
+    return d.select("kb_id", "doc_id", F.row_number().over(at).alias("place")).where("place <= 10")
+
+
+@query("SELECT conv_id, turn, list(left(text, 400) ORDER BY prior) AS history FROM (SELECT q.conv_id, q.turn, m.turn AS prior, m.text, row_number() OVER (PARTITION BY q.conv_id, q.turn ORDER BY m.turn DESC) AS r FROM conversations q JOIN conversations m ON m.conv_id = q.conv_id AND m.turn < q.turn WHERE q.role = 'user') WHERE r <= 12 GROUP BY 1, 2")
+def conversation_history(spark, sf_dir):
+    """The last twelve messages before each user turn, cut to 400 characters."""
+    m = V.table(spark, sf_dir, "conversations")
+    at = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-12, -1)
+    return m.withColumn("history", F.collect_list(F.substring("text", 1, 400)).over(at)).where("role = 'user' AND size(history) > 0").select("conv_id", "turn", "history")
+
+
+@query("SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10")
+def dense_vector_search(spark, sf_dir):
+    """The ten nearest vectors of the query set: every id divisible by 50, against all rows."""
+    e = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    s = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return search.top(s, "query_id", "score", "vec_id", 10).select("query_id", "vec_id", "score", "rank")
+
+
+@query(V.sql("""SELECT kb_id, n_docs, n_failed, list_filter([CASE WHEN (n_docs - n_failed) / n_docs < 0.99 THEN 'vectors_incomplete' END, CASE WHEN score < 80 THEN 'score_low' END, CASE WHEN n_failed > 0 THEN 'vectors_missing_or_zero' END, CASE WHEN n_domains < 3 THEN 'domain_empty' END], lambda x: x IS NOT NULL) AS reasons,
+  len(reasons) = 0 AS passed FROM (SELECT kb_id, count(*) AS n_docs, count(*) FILTER (status = 'failed') AS n_failed, count(DISTINCT domain) AS n_domains, round(greatest(0.0, 100.0 - 6.0 * count(*) FILTER (status = 'failed') / count(*) * 20), 1) AS score FROM document_v GROUP BY 1)""", "document_v"))
+def release_gate(spark, sf_dir):
+    """The gate of each kb; a document that failed to parse counts as one without vector."""
+    d = V.document_v(spark, sf_dir).groupBy("kb_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.collect_set("domain").alias("domains"))
+    score = F.round(F.greatest(F.lit(0.0), 100.0 - 6.0 * F.col("n_failed") / F.col("n_docs") * 20), 1)
+    d = d.select("*", F.col("n_docs").alias("n_chunks"), (F.col("n_docs") - F.col("n_failed")).alias("n_vectors"), F.lit(0).alias("zero_vectors"), score.alias("score"))
+    return governance.release_gate(d).select("kb_id", "n_docs", "n_failed", "reasons", "passed")
+
+
+@query()
+def reranked_candidates(spark, sf_dir):
+    """Fused candidates reranked with cosine and lexical signals, boosted by status, behind the relevance floor."""
+    d, q = V.document_v(spark, sf_dir), V.query_v(spark, sf_dir)
+    c = _hybrid(spark, sf_dir).join(q, "query_id").join(d.select("doc_id", F.col("text").alias("content"), "governance_status"), "doc_id")
+    pair = c.select("query_id", "doc_id")
+    s = pair.join(hash_vectors(d, "doc_id"), "doc_id").join(hash_vectors(q, "query_id", "query").withColumnRenamed("value", "qv"), ["query_id", "bucket"])
+    cos = s.groupBy("query_id", "doc_id").agg(F.sum(F.col("value") * F.col("qv")).alias("cosine"))
+    c = c.join(cos, ["query_id", "doc_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0))).withColumn("is_mandatory", T.is_mandatory(F.col("content")))
+    return search.relevance_floor(search.rerank(c)).select("query_id", "doc_id", "rerank_score", "final_score", "rank", "rejected")
