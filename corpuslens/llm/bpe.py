@@ -32,6 +32,10 @@ class Pieces:
     def prefixes(self) -> set[str]:
         return {p[:i] for p in self.id for i in range(len(p))}
 
+    @cached_property
+    def suffixes(self) -> set[str]:
+        return {p[i:] for p in self.id for i in range(len(p))}
+
     def merged(self, text: str) -> list[str]:
         """Byte-pair encoding of a short string by its definition: best score first, leftmost among equals."""
         parts = list(text)

@@ -11,6 +11,7 @@ the library. Repeated rows are rows of their own. Columns other than `doc_id` an
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -29,16 +30,18 @@ _NO = float("-inf")
 class Viterbi:
     def __init__(self, model: Pieces, kind: str = "bpe"):
         self.model, self.kind = model, kind
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _extend(self, word: str, i: int, last: list, score: list) -> None:
-        """Best last piece of word[:i], from the entries before it."""
-        m, best, piece = self.model, _NO, word[i - 1]
-        for j in range(max(0, i - m.longest), i):
+        """Best last piece of word[:i], from the entries before it; shorter pieces are tried first."""
+        m, best, piece, bpe = self.model, _NO, word[i - 1], self.kind == "bpe"
+        for j in range(i - 1, -1, -1):
             t = word[j:i]
-            if t not in m.id and j < i - 1:
+            if j < i - 1 and t not in m.suffixes:
+                break
+            if j < i - 1 and t not in m.id:
                 continue
-            if self.kind == "bpe":
+            if bpe:
                 if (j == i - 1 or m.reachable(t)) and (j == 0 or m.follows(last[j], t)):
                     best, piece = 0.0, t
                     break
@@ -73,22 +76,24 @@ class Viterbi:
             prev = w
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_WORD.findall(marked(t)) for t in texts]
         fresh = set(chain.from_iterable(split)).difference(self.known)
-        if len(self.known) + len(fresh) > MEMO:
-            self.known = {}
-            fresh = set(chain.from_iterable(split))
-        self.known |= self.encode_words(fresh)
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
+        if len(self.known) + len(fresh) > MEMO:  # short words, the frequent ones, stay while they are few
+            short = {k: v for k, v in self.known.items() if len(k) <= 8}
+            self.known = short if len(short) < MEMO // 2 else {}
+            fresh = set(chain.from_iterable(split)).difference(self.known)
+        self.known.update((w, array("i", ids).tobytes()) for w, ids in self.encode_words(fresh).items())
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32) for words in split]
 
 
 class Decoder:
     def __init__(self, model: Pieces):
-        self.piece = {i: p.replace(MARK, " ").encode() for p, i in model.id.items()} | {i: bytes([b]) for b, i in enumerate(model.byte_id)}
+        known = {i: p.replace(MARK, " ").encode() for p, i in model.id.items()} | {i: bytes([b]) for b, i in enumerate(model.byte_id)}
+        self.piece = np.array([known.get(i, b"") for i in range(max(known) + 1)], dtype=object)
 
-    def decode(self, ids: Iterable[int]) -> str:
-        text = b"".join(map(self.piece.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(self.piece[ids].tolist()).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -109,7 +114,7 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
         enc, _ = codec(model, kind)
         for b in batches:
             ids = enc.encode(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [np.asarray(x, dtype=np.int32) for x in ids]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids})
 
     given = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return given.mapInPandas(run, "doc_id long, ids array<int>")
@@ -122,7 +127,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, dec = codec(model)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [dec.decode(x.tolist()) if x is not None else "" for x in b["ids"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [dec.decode(x) if x is not None else "" for x in b["ids"]]})
 
     return only(encoded, "doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
@@ -137,7 +142,7 @@ def encode_checked(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
             texts = b["text"].tolist()
             ids = enc.encode(texts)
             same = [dec.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_ids": [len(x) for x in ids], "ids": [np.asarray(x, dtype=np.int32) for x in ids], "round_trip": same})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_ids": [len(x) for x in ids], "ids": ids, "round_trip": same})
 
     given = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return given.mapInPandas(run, "doc_id long, n_ids long, ids array<int>, round_trip boolean")

@@ -55,9 +55,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_CUT.findall(t) for t in texts]
         fresh = list(set(chain.from_iterable(split)).difference(self.known))
-        if len(self.known) + len(fresh) > MEMO:
-            self.known = {}
-            fresh = list(set(chain.from_iterable(split)))
+        if len(self.known) + len(fresh) > MEMO:  # short pieces, the frequent ones, stay while they are few
+            short = {k: v for k, v in self.known.items() if len(k) <= 8}
+            self.known = short if len(short) < MEMO // 2 else {}
+            fresh = list(set(chain.from_iterable(split)).difference(self.known))
         self.known.update(zip(fresh, self._encode(fresh), strict=True))
         return [
             self._encode([t])[0] if any(s in t for s in self.special) else b"".join(map(self.known.__getitem__, s_))

@@ -239,6 +239,7 @@ def test_pieces(spark, docs, odd, empty):
 def test_unigram_viterbi_by_enumeration():
     class Toy:
         id = {p: k for k, p in enumerate(["a", "b", "ab", "ba", "aba", "bb"])}
+        suffixes = {p[i:] for p in id for i in range(len(p))}
         score = {"a": -1.0, "b": -1.1, "ab": -1.7, "ba": -1.5, "aba": -3.0, "bb": -1.9}
         longest = 3
         ids = lambda self, t: [self.id[t]]
