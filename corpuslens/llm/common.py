@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    # The shuffle files of a write are of no use once the table is there; without this they stay until the driver collects garbage.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
