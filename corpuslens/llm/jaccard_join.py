@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join by PartEnum signatures, exact, and the components of its links.
 
-A text's set holds the hashes of its distinct five-word shingles. Two sets with 100 * common >= 80 * union whose sizes
+Equal texts are compared once. A text's set holds the hashes of its distinct five-word shingles. Two sets with 100 * common >= 80 * union whose sizes
 lie in one band differ in at most K elements. The hash domain is dealt into N1 parts: as more than N1 - E of them would
 have to differ in more than K2 elements otherwise, at least E + 1 parts differ in at most K2; and of the N2 smaller parts
 of such a part at least N2 - K2 agree. A signature is the content of N2 - K2 smaller parts, so similar sets of a band
@@ -15,7 +15,7 @@ rounds. Buckets of more than HOT sets are replaced by exact prefix buckets (simi
 
 Cases: null texts and texts without words have empty sets and are linked with nothing, themselves excepted. Fewer than
 five words make one shingle. Equal texts are one set; repeated rows each get a row. Null ids are kept and can be the
-smallest id of nothing. Columns other than `doc_id` and `text` are ignored.
+smallest id of nothing; negative ids below -1 are not expected. Columns other than `doc_id` and `text` are ignored.
 """
 
 from __future__ import annotations
@@ -103,11 +103,11 @@ def plan(band: int) -> tuple[int, int, int, int]:
         for e in range(1 + k // 4):
             n1 = k // (k2 + 1) + 1 + e
             rows, mean = n1 * comb(n2, k2), size / n1 * (n2 - k2) / n2
-            if rows > max(24, 0.36 * size):
+            if rows > max(24, 0.45 * size):
                 break
             mu = n1 * max(1e-12, min(1.0, comb(n2, k2) * exp(-mean)))
             over = 1 - sum(exp(i * log(mu) - mu - lgamma(i + 1)) for i in range(e + 1))
-            rank = (round(over, 2), round(-mean, 1), rows)
+            rank = (round(max(over, 0.05), 2), round(-mean, 1), rows)
             if best is None or rank < best[0]:
                 best = (rank, (e, k2, n1, n2))
     return best[1] if best else (0, 0, k + 1, 1)
@@ -136,53 +136,41 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def set_id(s: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int(mix(mix(s + _M1).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)) if len(s) else 0
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     n = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * n >= 80 * (len(a) + len(b) - n)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
-
-def nodes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, `node` (id of its set, 0 for an empty one) and n_shingles."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = shingle_sets(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "node": [set_id(s) for s in sets], "n_shingles": [len(s) for s in sets]})
-
-    return _texts(docs).mapInPandas(run, "doc_id long, node long, n_shingles long")
+    """`id` and text; a row without id is named by its text, below zero."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    spare = -2 - F.pmod(F.xxhash64(text), F.lit(1 << 61))
+    return only(docs, "doc_id", "text").select(F.coalesce("doc_id", spare).alias("id"), text.alias("text"))
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """A row (key, node) for each signature of each text's set."""
+    """A row (key, node) for each signature of each text's set, and one whose key is the node and `n` the set's size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [s for s in shingle_sets(b["text"].tolist()) if len(s)]
-            if sets:
-                sigs = [signatures(s).astype(np.int64) for s in sets]
-                yield pd.DataFrame({"key": np.concatenate(sigs), "node": np.repeat([set_id(s) for s in sets], [len(x) for x in sigs])})
+            sets = shingle_sets(b["text"].tolist())
+            ids = b["id"].to_numpy()
+            sigs = [signatures(s).astype(np.int64) if len(s) else s.astype(np.int64) for s in sets]
+            n = np.full(len(ids) + sum(map(len, sigs)), -1)
+            n[: len(ids)] = [len(s) for s in sets]
+            yield pd.DataFrame({"key": np.concatenate([ids, *sigs]), "node": np.concatenate([ids, np.repeat(ids, [len(x) for x in sigs])]), "n": n})
 
-    return docs.mapInPandas(run, "key long, node long")
+    return docs.mapInPandas(run, "key long, node long, n int")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node and the whole set of the documents named by `ids` (doc_id)."""
+def sets_of(texts: DataFrame) -> DataFrame:
+    """node and its whole set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = shingle_sets(b["text"].tolist())
-            yield pd.DataFrame({"node": [set_id(s) for s in sets], "items": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"node": b["id"], "items": [s.tobytes() for s in shingle_sets(b["text"].tolist())]})
 
-    return with_small(_texts(docs), ids, "doc_id", "left_semi").mapInPandas(run, "node long, items binary")
+    return texts.mapInPandas(run, "node long, items binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -199,7 +187,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def fitting(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes allow a link."""
-    named = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb")), "b")
+    named = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     return named.where("5 * na >= 4 * nb AND 5 * nb >= 4 * na").select("a", "b")
 
 
@@ -257,30 +245,32 @@ def prefixes(sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, its own included)."""
     small_batches(docs.sparkSession)
-    nodes = saved(nodes_of(docs), "nodes")
-    groups = saved(nodes.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "sets")
-    spare = nodes.where("node <> 0").join(groups.select("node", F.col("doc_id").alias("first")), "node").where("doc_id > first").select("doc_id")
-    keys = signed(with_small(_texts(docs), spare, "doc_id", "left_anti"))
+    texts = _texts(docs)
+    ids = saved(texts.select("id", F.unhex(F.md5("text")).alias("same")), "ids")
+    first = ids.groupBy("same").agg(F.min("id").alias("node"))
+    nodes = saved(ids.join(first, "same").select("id", "node"), "nodes")
+    own = with_small(texts, nodes.where("id <> node").select("id"), "id", "left_anti")
     at = W.partitionBy("key")
-    several = keys.select("*", F.count("*").over(at).alias("held"), (F.min("node").over(at) < F.max("node").over(at)).alias("open"))
-    shared = saved(several.where("open").drop("open"), "shared")
+    several = signed(own).select("*", F.count("*").over(at).alias("held"), (F.min("node").over(at) < F.max("node").over(at)).alias("open"))
+    found = saved(several.where("open OR n >= 0").drop("open"), "shared")
+    sizes, shared = found.where("n >= 0").select("node", "n").distinct(), found.where("n < 0")
     hot = shared.where(F.col("held") > HOT).select("node").distinct()
     buckets = shared.where(F.col("held") <= HOT).select("key", "node")
-    wanted = shared.select("node").distinct().join(groups, "node").select("doc_id")
-    sets = saved(sets_of(docs, wanted), "items")
+    wanted = shared.select(F.col("node").alias("id"))
+    sets = saved(sets_of(with_small(own, wanted, "id", "left_semi")), "items")
     if not hot.isEmpty():
         buckets = saved(buckets.unionByName(prefixes(sets.join(hot, "node").dropDuplicates(["node"]))), "buckets")
-    tested = saved(verified(fitting(stars(buckets), groups), sets), "tested")
+    tested = saved(verified(fitting(stars(buckets), sizes), sets), "tested")
     links = tested.where("same").select("a", "b")
     labels = saved(components(links), "labels")
-    more = saved(verified(fitting(open_pairs(buckets, labels, tested), groups), sets), "tested")
+    more = saved(verified(fitting(open_pairs(buckets, labels, tested), sizes), sets), "tested")
     if not (extra := more.where("same").select("a", "b")).isEmpty():
         labels = saved(components(links.unionByName(extra)), "labels")
-    ids = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = ids.select("node", "label").join(least, "label").select("node", "component_id")
-    out = nodes.select("doc_id", "node", "n_shingles").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # A component's smallest document: equal texts have the smallest id of theirs as node, so the smallest node is it.
+    out = nodes.join(labels, "node", "left").join(sizes, "node").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "node").alias("component"))
+    named = lambda c: F.when(F.col(c) >= -1, F.col(c))  # noqa: E731  rows without id stay without
+    empty = F.col("n_shingles") == 0
+    return out.select(named("id").alias("doc_id"), "n_shingles", F.when(empty, named("id")).otherwise(named("component")).alias("component_id"))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
