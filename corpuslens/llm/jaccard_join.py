@@ -174,14 +174,27 @@ def sets_of(texts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) and `same`: whether they link, by whole sets."""
+    """All pairs (a, b) and `same`. They are compared in as many parts as there are pairs to a set, so that the sets in
+    motion at any time take about as much room as all sets once."""
+    pairs = saved(pairs, "pairs")
+    parts = max(1, -(-pairs.count() // max(1, sets.count())))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    done = [saved(_compared(pairs.where(part("a") == i), sets.where(part("node") == i), sets), "tested") for i in range(parts)]
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _compared(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """The pairs and whether they link, by whole sets: those of a in `first`, those of b in `second`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             same = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b["x"], b["y"], strict=True)]
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "same": same})
 
-    x, y = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    x, y = first.select(F.col("node").alias("a"), F.col("items").alias("x")), second.select(F.col("node").alias("b"), F.col("items").alias("y"))
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, same boolean")
 
 
@@ -260,10 +273,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = saved(sets_of(with_small(own, wanted, "id", "left_semi")), "items")
     if not hot.isEmpty():
         buckets = saved(buckets.unionByName(prefixes(sets.join(hot, "node").dropDuplicates(["node"]))), "buckets")
-    tested = saved(verified(fitting(stars(buckets), sizes), sets), "tested")
+    tested = verified(fitting(stars(buckets), sizes), sets)
     links = tested.where("same").select("a", "b")
     labels = saved(components(links), "labels")
-    more = saved(verified(fitting(open_pairs(buckets, labels, tested), sizes), sets), "tested")
+    more = verified(fitting(open_pairs(buckets, labels, tested), sizes), sets)
     if not (extra := more.where("same").select("a", "b")).isEmpty():
         labels = saved(components(links.unionByName(extra)), "labels")
     # A component's smallest document: equal texts have the smallest id of theirs as node, so the smallest node is it.
