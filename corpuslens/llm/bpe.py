@@ -10,7 +10,7 @@ from functools import cached_property
 
 MARK = "▁"
 #: Entries of a worker's memo tables; a full table is emptied, which changes no result.
-MEMO = 400_000
+MEMO = 300_000
 
 
 class Pieces:

@@ -147,28 +147,28 @@ def _machine(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> tuple[np
     kmm = (table_ @ table_.T).astype(np.float64)
     val, vec = np.linalg.eigh(kmm)
     root = vec / np.sqrt(np.maximum(val, 1e-3)) @ vec.T
-    cols = table_.T.copy()
-    k = np.empty((len(words), len(marks)))
+    cols = np.ascontiguousarray(table_.T)
+    del table_
+    z = np.ones((len(words), len(marks) + 1))
     for i in range(0, len(words), 500):
         c, x = subsequences(words[i : i + 500])
         used, back = np.unique(c, return_inverse=True)
         dense = np.zeros((len(c), len(used)), dtype=np.float32)
         np.add.at(dense, (np.arange(len(c))[:, None], back.reshape(c.shape)), x.astype(np.float32))
-        k[i : i + 500] = dense @ cols[used]
-    z = np.hstack([k @ root, np.ones((len(words), 1))])
-    z, y = np.vstack([z, z]), np.concatenate([np.ones(len(words)), -np.ones(len(words))])
-    cost = np.concatenate([share_t, share_c]) * len(words)
+        z[i : i + 500, :-1] = (dense @ cols[used]) @ root
+    cost_t, cost_c = share_t * len(words), share_c * len(words)
     v = np.zeros(z.shape[1])
     ridge = np.eye(z.shape[1]) * 0.5
     ridge[-1, -1] = 1e-3
-    for _ in range(25):
-        on = (y * (z @ v) < 1) * cost
-        new = np.linalg.solve((z * on[:, None]).T @ z + ridge, z.T @ (on * y))
+    for _ in range(25):  # Newton steps; each word stands on both sides
+        f = z @ v
+        on_t, on_c = (f < 1) * cost_t, (f > -1) * cost_c
+        new = np.linalg.solve((z * (on_t + on_c)[:, None]).T @ z + ridge, z.T @ (on_t - on_c))
         done = np.abs(new - v).max() < 1e-6
         v = new
         if done:
             break
-    return table_.T.astype(np.float64) @ (root @ v[:-1]), float(v[-1])
+    return (cols @ (root @ v[:-1]).astype(np.float32)).astype(np.float64), float(v[-1])
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
