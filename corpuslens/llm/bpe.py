@@ -6,6 +6,7 @@ out as that pair; so every prefix of a word has one last piece, and a left-to-ri
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 MARK = "▁"
@@ -25,7 +26,7 @@ class Pieces:
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
         self.byte_id = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.id))
-        self._pair: dict[tuple[str, str], bool] = {}
+        self.pair: dict[tuple[str, str], bool] = {}
         self._own: dict[str, bool] = {}
 
     @cached_property
@@ -36,6 +37,34 @@ class Pieces:
     def suffixes(self) -> set[str]:
         return {p[i:] for p in self.id for i in range(len(p))}
 
+    @cached_property
+    def borders(self) -> tuple[str, str]:
+        """Characters that no piece has next to any other than these and marks, and more that no piece has right after a letter."""
+        near: dict[str, set[str]] = {c: set() for c in "\n\r\t"}
+        for p in self.id:
+            near.setdefault(p[0], set())
+            for a, b in zip(p, p[1:], strict=False):
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        marks = alone = {c for c in near if not re.match(rf"[\w{MARK}]", c)}
+        while (kept := {c for c in alone if near[c] <= alone | {MARK}}) != alone:
+            alone = kept
+        after = {b for p in self.id for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        return "".join(sorted(alone)), "".join(sorted(marks - alone - after))
+
+    @cached_property
+    def units(self) -> re.Pattern:
+        """Parts of a marked text that no piece crosses: runs of the first kind of borders, and others up to a mark or border."""
+        s, d = map(re.escape, self.borders)
+        other, letters = rf"(?:[^\w{MARK}{s}]|[\d_])", r"[^\W\d_]*"
+        free = rf"{other}*{letters}(?:(?![{d}]){other}+{letters})*" if d else rf"(?:{other}|[^\W\d_])*"
+        return re.compile(f"{MARK}+(?:[{s}]+|{free})|[{s}]+|(?=[^{MARK}{s}]){free}")
+
+    @cached_property
+    def whole(self) -> set[str]:
+        """Pieces that merging their characters gives, and the single characters among them."""
+        return {p for p in self.id if self.reachable(p)}
+
     def merged(self, text: str) -> list[str]:
         """Byte-pair encoding of a short string by its definition: best score first, leftmost among equals."""
         parts = list(text)
@@ -59,11 +88,11 @@ class Pieces:
 
     def follows(self, a: str, b: str) -> bool:
         """Whether piece `b` may stand right after piece `a`."""
-        got = self._pair.get((a, b))
+        got = self.pair.get((a, b))
         if got is None:
-            if len(self._pair) >= MEMO:
-                self._pair.clear()
-            got = self._pair[a, b] = self.merged(a + b) == [a, b]
+            if len(self.pair) >= MEMO:
+                self.pair.clear()
+            got = self.pair[a, b] = self.merged(a + b) == [a, b]
         return got
 
     def ids(self, piece: str) -> list[int]:

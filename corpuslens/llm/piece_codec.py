@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass.
 
-The distinct marked words of a batch are sorted, which is the depth-first order of their trie; the forward table of a word
+Texts are cut where no piece can cross. The distinct marked words so got of a batch are sorted, which is the depth-first order of their trie; the forward table of a word
 is kept up to what it shares with the next one. `kind="unigram"` adds piece scores and keeps the best path to each
 prefix; `kind="bpe"` keeps the one path whose neighbours the merge order allows, which is what a byte-pair model encodes.
 
@@ -10,7 +10,6 @@ the library. Repeated rows are rows of their own. Columns other than `doc_id` an
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from corpuslens.llm.bpe import MARK, MEMO, Pieces, marked, pieces
 from corpuslens.llm.common import only, small_batches, table
 
-_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 _NO = float("-inf")
 
 
@@ -32,25 +30,41 @@ class Viterbi:
         self.model, self.kind = model, kind
         self.known: dict[str, bytes] = {}
 
-    def _extend(self, word: str, i: int, last: list, score: list) -> None:
-        """Best last piece of word[:i], from the entries before it; shorter pieces are tried first."""
-        m, best, piece, bpe = self.model, _NO, word[i - 1], self.kind == "bpe"
-        for j in range(i - 1, -1, -1):
-            t = word[j:i]
-            if j < i - 1 and t not in m.suffixes:
-                break
-            if j < i - 1 and t not in m.id:
-                continue
-            if bpe:
-                if (j == i - 1 or m.reachable(t)) and (j == 0 or m.follows(last[j], t)):
-                    best, piece = 0.0, t
+    def _allowed(self, word: str, n: int, last: list) -> None:
+        """Last pieces of word[:i] for i > n, from the entries before them: the shortest one that the merge order allows."""
+        m = self.model
+        whole, suffixes, pair, follows = m.whole, m.suffixes, m.pair, m.follows
+        for i in range(n + 1, len(word) + 1):
+            for j in range(i - 1, -1, -1):
+                t = word[j:i]
+                if j < i - 1:
+                    if t not in suffixes:
+                        raise AssertionError("a prefix without a last piece")
+                    if t not in whole:
+                        continue
+                if j == 0:
                     break
-            else:
+                ok = pair.get((last[j], t))
+                if ok or ok is None and follows(last[j], t):
+                    break
+            last.append(t)
+
+    def _best(self, word: str, n: int, last: list, score: list) -> None:
+        """Best last pieces of word[:i] for i > n by the sum of scores; shorter pieces are tried first."""
+        m = self.model
+        for i in range(n + 1, len(word) + 1):
+            best, piece = _NO, word[i - 1]
+            for j in range(i - 1, -1, -1):
+                t = word[j:i]
+                if j < i - 1 and t not in m.suffixes:
+                    break
+                if j < i - 1 and t not in m.id:
+                    continue
                 s = score[j] + m.score.get(t, -1e6)
                 if s > best:
                     best, piece = s, t
-        last.append(piece)
-        score.append(best)
+            last.append(piece)
+            score.append(best)
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each distinct word."""
@@ -65,8 +79,10 @@ class Viterbi:
                     break
                 n += 1
             del last[n + 1 :], score[n + 1 :]
-            for i in range(n + 1, len(w) + 1):
-                self._extend(w, i, last, score)
+            if self.kind == "bpe":
+                self._allowed(w, n, last)
+            else:
+                self._best(w, n, last, score)
             ids: list[list[int]] = []
             i = len(w)
             while i:
@@ -77,7 +93,8 @@ class Viterbi:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_WORD.findall(marked(t)) for t in texts]
+        units = self.model.units
+        split = [units.findall(marked(t)) for t in texts]
         fresh = set(chain.from_iterable(split)).difference(self.known)
         if len(self.known) + len(fresh) > MEMO:  # short words, the frequent ones, stay while they are few
             short = {k: v for k, v in self.known.items() if len(k) <= 8}

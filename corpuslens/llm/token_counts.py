@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from corpuslens.llm.bpe import MARK, MEMO, Pieces, marked, pieces
 from corpuslens.llm.common import only, small_batches, table
 
-_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 _RESET = re.compile(f"(?<=[^{MARK}]){MARK}")
 CHUNK = 1 << 16
 
@@ -109,7 +108,7 @@ class Counter(dict):
         if not at:
             return ChunkMap(chunk, False, 0, 0)
         first, end = at[0] - len(before), at[-1] - len(before)
-        whole = sum(map(self.__getitem__, _WORD.findall(chunk, first, end)))
+        whole = sum(map(self.__getitem__, self.machine.model.units.findall(chunk, first, end)))
         left, n = self.machine.run(0, chunk[end:])
         return ChunkMap(chunk[:first], True, whole + n, left)
 
@@ -122,7 +121,7 @@ class Counter(dict):
     def total(self, text: str, chunk: int = CHUNK) -> int:
         text = marked(text)
         if len(text) <= chunk:
-            return sum(map(self.__getitem__, _WORD.findall(text)))
+            return sum(map(self.__getitem__, self.machine.model.units.findall(text)))
         maps = [self.chunk_map(text[i : i + chunk], text[i - 1 : i] if i else "") for i in range(0, len(text), chunk)]
         while len(maps) > 1:  # a scan in pairs
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
