@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.functions.vectors import cosine, hash_vectors
-from corpuslens.operators import evaluate, governance, ingest, quality, search
+from corpuslens.operators import evaluate, governance, ingest, intents, quality, search
 from corpuslens.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +261,64 @@ def reranked_candidates(spark, sf_dir):
     cos = s.groupBy("query_id", "doc_id").agg(F.sum(F.col("value") * F.col("qv")).alias("cosine"))
     c = c.join(cos, ["query_id", "doc_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0))).withColumn("is_mandatory", T.is_mandatory(F.col("content")))
     return search.relevance_floor(search.rerank(c)).select("query_id", "doc_id", "rerank_score", "final_score", "rank", "rejected")
+
+
+def _has(c: str, words: list[str]) -> str:
+    return " + ".join(f"contains({c}, '{w}')::int" for w in words)
+
+
+_INTENTS = {
+    "i0": "SELECT conv_id, turn, text, lower(text) AS q FROM conversations WHERE role = 'user'",
+    "i1": "SELECT *, " + ", ".join(f"CASE WHEN {_has('q', w)} > 0 THEN ({_has('q', w)}) * {intents.HIT}::double + {b}::double END AS {n}" for n, w, b in intents.RULES) + " FROM i0",
+    "i2": f"SELECT * REPLACE (CASE WHEN length(trim(text)) > {intents.CHITCHAT_LENGTH} AND chitchat > coalesce(greatest(spec_lookup, quality_diagnosis, scheme_generation, case_retrieval), 0) THEN NULL ELSE chitchat END AS chitchat) FROM i1",
+    "i3": f"SELECT * REPLACE (CASE WHEN {_has('q', intents.CASE_WORDS)} > 0 AND case_retrieval <= coalesce(greatest(spec_lookup, quality_diagnosis, scheme_generation, chitchat), 0) THEN greatest(spec_lookup, quality_diagnosis, scheme_generation, chitchat) + 0.1::double ELSE case_retrieval END AS case_retrieval) FROM i2",
+    "i4": "SELECT *, greatest(spec_lookup, quality_diagnosis, scheme_generation, case_retrieval, chitchat) AS best FROM i3",
+    "i5": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {n} = best THEN '{n}'" for n, _, _ in intents.RULES) + " ELSE 'unknown' END AS intent, CASE WHEN best IS NULL THEN 0.3::double ELSE round(least(0.95::double, 0.45::double + best), 3) END AS intent_confidence FROM i4",
+}
+_PLANS = ", ".join(f"('{k}', {list(d)!r}::varchar[], '{s}', {n}, {t}::double, {v}::double, {b}::double)" for k, (d, s, n, t, v, b) in intents.PLANS.items())
+
+
+@query(V.sql(f"SELECT i5.*, domains, strategy, top_k, threshold, vector_weight, bm25_weight, intent <> 'chitchat' AS need_retrieval FROM i5 JOIN (VALUES {_PLANS}) p(intent, domains, strategy, top_k, threshold, vector_weight, bm25_weight) USING (intent)", **_INTENTS))
+def retrieval_plans(spark, sf_dir):
+    """Intent, domains and retrieval plan of every user turn."""
+    m = V.table(spark, sf_dir, "conversations").where("role = 'user'")
+    return intents.planned(intents.classified(m, query="text")).drop("role", "text")
+
+
+@query("SELECT item_id AS query_id, unnest(p[1:3]) AS sub_query, unnest(range(1, least(len(p), 3) + 1))::int AS n FROM (SELECT item_id, list_filter(list_transform(string_split_regex(text, '[?？;；]|以及|还有'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) >= 6) AS p FROM (SELECT item_id, replace(text, ',', '?') AS text FROM benchmark)) WHERE len(p) > 1")
+def sub_queries(spark, sf_dir):
+    """Parts of the benchmark items; their commas stand for question marks."""
+    q = V.query_v(spark, sf_dir)
+    return intents.sub_queries(q.withColumn("query", F.replace("query", F.lit(","), F.lit("?"))))
+
+
+def _answers(spark, sf_dir):
+    """Contexts of the items, and the beginning of the first one as answer."""
+    d, q = V.document_v(spark, sf_dir), V.query_v(spark, sf_dir)
+    c = _hybrid(spark, sf_dir).where("rank <= 6").select("query_id", "doc_id", F.col("fusion_score").alias("final_score"), "rank")
+    c = c.join(d.select("doc_id", "governance_status", F.concat(F.substring("text", 1, 320), F.lit(" [1]")).alias("start")), "doc_id")
+    first = c.where("rank = 1").select("query_id", F.col("start").alias("answer"))
+    return c.drop("start"), q.join(first, "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+
+
+_CTX = "SELECT query_id, doc_id, fusion_score AS final_score, f.rank, governance_status, substring(text, 1, 320) || ' [1]' AS start FROM fused f JOIN document_v USING (doc_id) WHERE f.rank <= 6"
+_ANS = "SELECT q.query_id, query, coalesce(start, '') AS answer FROM query_v q LEFT JOIN (SELECT query_id, start FROM ctx WHERE rank = 1) c ON c.query_id = q.query_id"
+_SURE = f"""SELECT query_id, query, coalesce(round(least(1.0::double, (0.34 * least(1.0, 0.6 * top + 0.4 * mean) + 0.14 * least(1.0, n / 4.0) + 0.14 * least(1.0, docs / 3.0)
+  + 0.24 * least(1.0, (contains(answer, '[1]'))::int / greatest(1, least(3, n))) + 0.14 * len(list_intersect(list_distinct({_TOK('query')}), {_TOK('answer')})) / greatest(len(list_distinct({_TOK('query')})), 1))
+  * CASE WHEN old THEN 0.75 ELSE 1.0 END), 4), 0)::double AS confidence FROM ans LEFT JOIN (SELECT query_id, max(final_score) AS top, avg(final_score) AS mean, count(*) AS n, count(DISTINCT doc_id) AS docs, bool_or(governance_status = 'deprecated') AS old FROM ctx GROUP BY 1) USING (query_id)"""
+
+
+@query(V.sql("SELECT query_id, confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.45 THEN 'medium' ELSE 'low' END AS level, confidence < 0.45 AS need_review FROM sure", "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED, ctx=_CTX, ans=_ANS, sure=_SURE))
+def answer_confidence(spark, sf_dir):
+    return intents.confidence(*_answers(spark, sf_dir))
+
+
+@query(V.sql("SELECT query_id, doc_id, rank FROM ctx WHERE rank = 1", "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED, ctx=_CTX))
+def answer_citations(spark, sf_dir):
+    return intents.citations(*_answers(spark, sf_dir)).select("query_id", "doc_id", "rank")
+
+
+@query(f"SELECT query_key, 'gap_fill' AS task_type, CASE WHEN n >= 3 THEN 'high' ELSE 'medium' END AS priority FROM ({ORACLES['knowledge_gaps']})")
+def gap_tasks(spark, sf_dir):
+    """A task for each gap found."""
+    return intents.gap_tasks(knowledge_gaps(spark, sf_dir))

@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators import evaluate, governance, ingest, quality, search
+from corpuslens.operators import evaluate, governance, ingest, intents, quality, search
 from corpuslens.sources import tables
 from corpuslens.streaming import jobs
 
@@ -115,3 +115,29 @@ def test_streams(spark, tmp_path):
     g.awaitTermination(120)
     batch = governance.capture_gaps(spark.createDataFrame([], "query_key string, n long, last_asked_at timestamp, status string"), spark.read.parquet(src))
     assert spark.read.parquet(str(tmp_path / "gaps/v0")).collect() == batch.collect()
+
+
+def test_intents(spark):
+    q = ["JGJ130 规定的限值是多少", "裂缝的原因", "你好", "你好，今天的天气真的非常好我们出去", "参考类似的裂缝原因和缺陷的经验", "hello", None]
+    got = intents.planned(intents.classified(spark.createDataFrame(list(enumerate(q)), "id int, query string"))).orderBy("id").collect()
+    assert [r.intent for r in got] == ["spec_lookup", "quality_diagnosis", "chitchat", "unknown", "case_retrieval", "unknown", "unknown"]
+    assert [r.intent_confidence for r in got] == [0.95, 0.94, 0.67, 0.3, 0.95, 0.3, 0.3]
+    assert [r.top_k for r in got] == [14, 28, 0, 20, 24, 20, 20] and [r.need_retrieval for r in got][2] is False
+
+
+def test_sub_queries_and_citations(spark):
+    q = spark.createDataFrame([(1, "what is the limit? and who checks it；ok"), (2, "only one question"), (3, None)], "query_id int, query string")
+    assert [tuple(r) for r in intents.sub_queries(q).collect()] == [(1, 1, "what is the limit"), (1, 2, "and who checks it")]
+    c = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2)], "query_id int, rank int")
+    a = spark.createDataFrame([(1, "see [2]"), (2, "none [7]")], "query_id int, answer string")
+    assert sorted(map(tuple, intents.citations(c, a).collect())) == [(1, 2), (2, 1), (2, 2)]
+
+
+def test_confidence_and_gap_tasks(spark):
+    c = spark.createDataFrame([(1, 5, 0.8, "valid"), (1, 6, 0.4, "deprecated")], "query_id int, doc_id long, final_score double, governance_status string")
+    a = spark.createDataFrame([(1, "beam load", "the beam [1]"), (2, "临边 safety", "")], "query_id int, query string, answer string")
+    got = {r.query_id: r for r in intents.confidence(c, a).collect()}
+    assert got[1].confidence == round((0.34 * 0.72 + 0.14 * 0.5 + 0.14 * 2 / 3 + 0.24 * 0.5 + 0.14 * 0.5) * 0.75, 4) and got[1].need_review
+    assert got[2].confidence == 0 and got[2].level == "low" and got[2].need_review
+    g = spark.createDataFrame([("a", 3), ("b", 1), ("c", 9)], "query_key string, n int")
+    assert sorted((r.query_key, r.priority) for r in intents.gap_tasks(g, g.where("query_key = 'c'")).collect()) == [("a", "high"), ("b", "medium")]
