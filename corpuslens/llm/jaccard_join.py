@@ -9,7 +9,8 @@ loses nothing: one of the E + 1 parts then has none. A set stands in each band t
 size can share with it.
 
 Sets that share a signature are compared with the smallest of them, never all with all, and the links found are joined to
-components. What such a comparison leaves open, pairs in one bucket that are in different components, is compared in
+components. Pairs whose sizes or odd bits (a bound from below on the number of elements in which two sets differ) rule a
+link out are not compared. What such a comparison leaves open, pairs in one bucket that are in different components, is compared in
 rounds. Buckets of more than HOT sets are replaced by exact prefix buckets (similar sets share one of the rarest
 0.2 * size + 1 shingles) before that, so common passages do not bring all their documents together.
 
@@ -141,6 +142,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * n >= 80 * (len(a) + len(b) - n)
 
 
+def odd_bits(s: np.ndarray) -> np.ndarray:
+    """1024 bits, each set where an odd number of elements falls: two sets differ in no fewer elements than in bits."""
+    return np.packbits((np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(bool)).view(np.int64)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """`id` and text; a row without id is named by its text, below zero."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -164,13 +170,14 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
-    """node and its whole set."""
+    """node, its whole set and the set's odd bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"node": b["id"], "items": [s.tobytes() for s in shingle_sets(b["text"].tolist())]})
+            sets = shingle_sets(b["text"].tolist())
+            yield pd.DataFrame({"node": b["id"], "items": [s.tobytes() for s in sets], "odd": [odd_bits(s) for s in sets]})
 
-    return texts.mapInPandas(run, "node long, items binary")
+    return texts.mapInPandas(run, "node long, items binary, odd array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,10 +205,13 @@ def _compared(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFram
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, same boolean")
 
 
-def fitting(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes allow a link."""
+def fitting(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes and odd bits allow a link: linked sets differ in at most (|A| + |B|) / 9 elements."""
     named = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return named.where("5 * na >= 4 * nb AND 5 * nb >= 4 * na").select("a", "b")
+    named = named.where("5 * na >= 4 * nb AND 5 * nb >= 4 * na")
+    named = named.join(sets.select(F.col("node").alias("a"), F.col("odd").alias("oa")), "a").join(sets.select(F.col("node").alias("b"), F.col("odd").alias("ob")), "b")
+    apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return named.where(9 * apart <= F.col("na") + F.col("nb")).select("a", "b")
 
 
 def stars(buckets: DataFrame) -> DataFrame:
@@ -272,11 +282,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = shared.select(F.col("node").alias("id"))
     sets = saved(sets_of(with_small(own, wanted, "id", "left_semi")), "items")
     if not hot.isEmpty():
-        buckets = saved(buckets.unionByName(prefixes(sets.join(hot, "node").dropDuplicates(["node"]))), "buckets")
-    tested = verified(fitting(stars(buckets), sizes), sets)
+        buckets = saved(buckets.unionByName(prefixes(sets.select("node", "items").join(hot, "node").dropDuplicates(["node"]))), "buckets")
+    tested = verified(fitting(stars(buckets), sizes, sets), sets)
     links = tested.where("same").select("a", "b")
     labels = saved(components(links), "labels")
-    more = verified(fitting(open_pairs(buckets, labels, tested), sizes), sets)
+    more = verified(fitting(open_pairs(buckets, labels, tested), sizes, sets), sets)
     if not (extra := more.where("same").select("a", "b")).isEmpty():
         labels = saved(components(links.unionByName(extra)), "labels")
     # A component's smallest document: equal texts have the smallest id of theirs as node, so the smallest node is it.

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,17 @@ def test_jaccard_edits(spark, monkeypatch, hot):
     assert {i: (x["n_shingles"], x["component_id"]) for i, x in got.items()} == brute_components(d)
 
 
+def test_odd_bits_bound():
+    """Bits in which two sets differ never outnumber the elements in which they differ, so no link is ruled out."""
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 700, 5000):
+        common = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for extra in (0, 1, n // 9, n):
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, extra, dtype=np.uint64)])) for _ in "ab")
+            bits = sum(int(x).bit_count() for x in (jaccard_join.odd_bits(a) ^ jaccard_join.odd_bits(b)).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b))
+
+
 def test_jaccard_odd(odd, empty):
     got = jaccard_join.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r["doc_id"]: r["component_id"] for r in got}[6] == 5
