@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.functions.vectors import cosine, hash_vectors
-from corpuslens.operators import evaluate, governance, ingest, intents, quality, search
+from corpuslens.operators import evaluate, governance, ingest, intents, quality, reports, search
 from corpuslens.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,3 +322,38 @@ def answer_citations(spark, sf_dir):
 def gap_tasks(spark, sf_dir):
     """A task for each gap found."""
     return intents.gap_tasks(knowledge_gaps(spark, sf_dir))
+
+
+@query(V.sql("SELECT doc_id, title, total, ceil(total / 20)::bigint AS pages FROM (SELECT doc_id, title, updated_at, count(*) OVER () AS total FROM document_v WHERE NOT is_deleted AND governance_status = 'valid' AND contains(lower(title), 'an')) ORDER BY updated_at DESC, doc_id LIMIT 20 OFFSET 20", "document_v"))
+def document_page(spark, sf_dir):
+    """The second page of the valid documents with a keyword in the title, newest first."""
+    found = reports.search_documents(V.document_v(spark, sf_dir), "an", governance_status="valid")
+    return reports.page_of(found.select("doc_id", "title", "updated_at"), [F.desc("updated_at"), F.col("doc_id")], 2).drop("updated_at")
+
+
+@query(V.sql("SELECT conv_id, turn, intent, hit_count, answered FROM query_log_v WHERE intent <> 'chitchat' AND (hit_count = 0 OR confidence < 0.45)", "query_log_v"))
+def gap_triggers(spark, sf_dir):
+    """Log rows that start a knowledge gap."""
+    log = V.query_log_v(spark, sf_dir).drop("answered").withColumn("rejected", F.lit(False))
+    return reports.log_rows(log).where("is_gap").select("conv_id", "turn", "intent", "hit_count", "answered")
+
+
+_RUNS = {
+    "r": "SELECT created_at::date AS day, round(count_if(answered) / count(*), 4) AS rate FROM query_log_v GROUP BY 1",
+    "l": "SELECT * FROM r ORDER BY day DESC LIMIT 10",
+}
+
+
+@query(V.sql("SELECT count(*) AS n_runs, arg_min(rate, day) AS first_value, arg_max(rate, day) AS latest_value, round(arg_max(rate, day) - arg_min(rate, day), 4) AS delta, count(*) FILTER (round(rate - 0.75, 4) < -0.02) AS n_regressed, count(*) FILTER (round(rate - 0.75, 4) > 0.02) AS n_improved FROM l", "query_log_v", **_RUNS))
+def answer_rate_trend(spark, sf_dir):
+    """The answer rate of the ten latest days against a baseline."""
+    days = governance.operation_metrics(V.query_log_v(spark, sf_dir), [F.to_date("created_at").alias("day")])
+    return reports.trend(days.select("day", "answer_rate"), "answer_rate", "day", 0.75)
+
+
+@query(V.sql("""SELECT kb_id, count(DISTINCT d.doc_id) AS n_docs, count(severity) AS n_issues, count(*) FILTER (severity = 'high') AS n_high,
+    round(greatest(0.0, 100.0 - coalesce(sum(CASE severity WHEN 'high' THEN 6.0 WHEN 'medium' THEN 3.0 WHEN 'low' THEN 1.0 END), 0)::double / count(DISTINCT d.doc_id) * 12.0), 1) AS score
+    FROM (SELECT doc_id, kb_id FROM live) d LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY kb_id""", "document_v", live=_LIVE, h=_HEALTH))
+def kb_reports(spark, sf_dir):
+    """Health of each knowledge base."""
+    return reports.kb_reports(V.document_v(spark, sf_dir), V.as_of())

@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators import evaluate, governance, ingest, intents, quality, search
+from corpuslens.operators import evaluate, governance, ingest, intents, quality, reports, search
 from corpuslens.sources import tables
 from corpuslens.streaming import jobs
 
@@ -141,3 +141,29 @@ def test_confidence_and_gap_tasks(spark):
     assert got[2].confidence == 0 and got[2].level == "low" and got[2].need_review
     g = spark.createDataFrame([("a", 3), ("b", 1), ("c", 9)], "query_key string, n int")
     assert sorted((r.query_key, r.priority) for r in intents.gap_tasks(g, g.where("query_key = 'c'")).collect()) == [("a", "high"), ("b", "medium")]
+
+
+def test_pages(spark):
+    d = spark.range(45).withColumnRenamed("id", "doc_id")
+    last = reports.page_of(d, [F.desc("doc_id")], 3).collect()
+    assert [r["doc_id"] for r in last] == [4, 3, 2, 1, 0] and (last[0]["total"], last[0]["pages"]) == (45, 3)
+    assert reports.page_of(d, [F.col("doc_id")], 4).count() == 0 and reports.page_of(d.where("doc_id < 0"), [F.col("doc_id")]).count() == 0
+
+
+def test_log_rows(spark):
+    rows = [(1, "chitchat", 0, 0.0, False), (2, "unknown", 0, 0.9, False), (3, "unknown", 2, 0.9, True), (4, "unknown", 2, 0.9, None), (5, None, None, None, None)]
+    got = {r["id"]: (r["answered"], r["is_gap"]) for r in reports.log_rows(spark.createDataFrame(rows, "id int, intent string, hit_count int, confidence double, rejected boolean")).collect()}
+    assert got == {1: (False, False), 2: (False, True), 3: (True, True), 4: (True, False), 5: (False, True)}
+
+
+def test_trend(spark):
+    runs = spark.createDataFrame([(1, 0.1), (2, 0.70), (3, 0.75), (4, None), (5, 0.80)], "at int, mrr double")
+    r = reports.trend(runs, "mrr", "at", 0.75, last=3).first()
+    assert tuple(r) == (3, 0.70, 0.80, 0.1, 1, 1)
+    assert tuple(reports.trend(runs.where("at > 9"), "mrr", "at", 0.75).first()) == (0, None, None, None, 0, 0)
+
+
+def test_alert_tasks(spark):
+    a = spark.createDataFrame([(1, 10), (2, 10), (3, None)], "alert_id int, report_id int")
+    t = spark.createDataFrame([(7, 1, 10), (8, None, 10), (9, 3, None), (6, None, None)], "task_id int, source_alert_id int, source_report_id int")
+    assert sorted(map(tuple, reports.alert_tasks(a, t).collect())) == [(1, 7), (1, 8), (2, 7), (2, 8), (3, 9)]
