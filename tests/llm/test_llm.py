@@ -360,6 +360,38 @@ def test_licenses(spark, odd, empty):
     assert license_scan.license_scan(odd).where("license is not null").count() == 0 and license_scan.license_scan(empty).count() == 0
 
 
+def test_licenses_near_their_own_words(spark):
+    d = [
+        ("See the file. Released under the MIT License.", "MIT-notice"), ("the License under the MIT flag: Released under the MIT License", "MIT-notice"),
+        ("Released under the MIT License. " * 3, "MIT-notice"), ("About the work of the many. Licensed under the Apache License, Version 2.0.", "Apache-2.0-notice"),
+        ("the public version. This work is licensed under the GNU General Public License, version 3.0.", "GPL-3.0-notice"), ("x\nLicensed under CC BY-NC 4.0.\ny", "CC-BY-NC-4.0-notice"),
+        ("Released under the BSD License.", None), ("Licensed under the GNU General Public License, version 2.", None), ("Licensed under the GNU Lesser General Public License, version 3", None), ("Licensed under CC BY-SA 4.0.", None),
+    ]
+    got = rows(license_scan.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(d)], "doc_id long, text string")))
+    assert [got[i]["license"] for i in range(len(d))] == [x for _, x in d]
+    assert all(got[i]["coverage"] == 1.0 for i in range(6)) and (got[0]["first_word"], got[0]["end_word"]) == (3, 8)
+
+
+def test_licenses_all_notices_of_the_table(spark, medium):
+    got = rows(license_scan.op1_license_scan(spark, medium))
+    says = {"Released under the MIT License.": "MIT-notice", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-notice", "the GNU General Public License, version 3.": "GPL-3.0-notice", "Licensed under the Apache License, Version 2.0.": "Apache-2.0-notice"}
+    for r in spark.read.parquet(f"{medium}/documents.parquet").collect():
+        assert set(got[r["doc_id"]]["licenses"]) & set(says.values()) == {k for x, k in says.items() if x in (r["text"] or "")}
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = ([str(x) for x in rng.integers(0, 5, rng.integers(1, 12))] for _ in "ab")
+        n = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                n[i + 1, j + 1] = n[i, j] + 1 if x == y else max(n[i, j + 1], n[i + 1, j])
+        got = license_scan.common(a, b)
+        assert len(got) == n[-1, -1] and all(a[i] == b[j] for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:], strict=False))
+
+
 def test_patience_alignment():
     a, b = "the quick brown fox jumps over the lazy dog".split(), "a quick red fox leaps over the dog".split()
     got = license_scan.align(a, b)
