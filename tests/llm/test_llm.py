@@ -146,6 +146,28 @@ def test_language(spark, medium, odd, empty):
     assert rows(language_id.predict(odd, language_id.fit(empty)))[4]["lang_pred"] == "und"
 
 
+def test_language_rare_beside_hot(spark, monkeypatch):
+    """A language of two documents, whose words occur once, is learned from a sample of few rows and predicted."""
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 40)
+    free, kept = [i for i in range(2000) if not held(i)], [i for i in range(2000) if held(i)]
+    hot = [(i, "the same words in all of the many texts " * 5 + f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}", "aa") for i in free[2:]]
+    d = [*hot, (free[0], "kvoxil brundag", "zz"), (free[1], "threpnig ouwaf", "zz"), (kept[0], "brundag threpnig", "zz"), (kept[1], "many texts", "aa")]
+    docs = spark.createDataFrame(d, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.langs == ["aa", "zz"] and {"kvoxil", "brundag", "threpnig", "ouwaf"} <= set(model.words)
+    got = rows(language_id.predict(docs.where(F.col("doc_id").isin(kept[:2])), model))
+    assert got[kept[0]]["lang_pred"] == "zz" and got[kept[1]]["lang_pred"] == "aa"
+    assert language_id._even([2, 1000, 1000], 42) == 20 and language_id._even([2, 3], 40) == 3 and language_id._even([], 9) == 0
+
+
+def test_language_keeps_all_keys(spark, medium):
+    d = spark.read.parquet(f"{medium}/documents.parquet")
+    model = language_id.fit(d)
+    learned = [r for r in d.collect() if not held(r["doc_id"])]
+    assert len(learned) <= language_id.TRAIN_DOCS and {w for r in learned if r["text"] and r["text"].isascii() for w in re.findall("[a-z]+", r["text"].lower())} <= set(model.words)
+    assert model.word_freq.shape == (len(model.words), len(model.langs)) and set(model.langs) == {r["lang"] for r in learned}
+
+
 # --- near duplicates
 
 
