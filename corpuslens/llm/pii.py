@@ -29,14 +29,15 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{2,24}[=:][^\s,;=:]{8,128}|(?<![A-Za-z0-9_])(?:AKIA|gh[pos]_|sk-)[A-Za-z0-9]{12,64}",
+    "secret": r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{2,}+[=:][^\s,;=:]{8,}+(?:={1,2}(?![^\s,;]))?|(?<![A-Za-z0-9_])(?:AKIA|gh[pos]_|sk-)[A-Za-z0-9]{12,}+",
     "local_phone": r"(?<![0-9A-Za-z+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
     "id_number": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
-#: Texts without a match of this cannot hold one of the pattern.
+#: Texts without this, or without a match of it, cannot hold one of the pattern; all others need a digit.
 _NEEDS = {"email": "@", "phone": "+"}
+_NEEDS_MATCH = {"secret": r"[=:]|AKIA|gh[pos]_|sk-"}
 _STRICT = {
-    "secret": r"[=:](?=[^\s]*[0-9])(?=[^\s]*[A-Za-z])[A-Za-z0-9_/+.-]{12,}$|^(?:AKIA[0-9A-Z]{16}|gh[pos]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})$",
+    "secret": r"[=:](?=[^\s]*[0-9])(?=[^\s]*[A-Za-z])[A-Za-z0-9_/+.-]{12,}={0,2}$|^(?:AKIA[0-9A-Z]{16}|gh[pos]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})$",
     "local_phone": r"^(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})([\x20.-])[2-9][0-9]{2}\1?[\x20.-]?[0-9]{4}$",
     "id_number": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
 }
@@ -60,7 +61,7 @@ def _found(text: Column, pattern: str, kind: int) -> Column:
 
     got = F.aggregate(both, zero, step, lambda acc: acc["out"])
     need = _NEEDS.get(KINDS[kind])
-    return F.when(text.contains(need) if need else text.rlike("[0-9]"), got).otherwise(none)
+    return F.when(text.contains(need) if need else text.rlike(_NEEDS_MATCH.get(KINDS[kind], "[0-9]")), got).otherwise(none)
 
 
 def _digits(x: Column) -> Column:

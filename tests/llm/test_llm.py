@@ -351,6 +351,19 @@ def test_pii(spark, medium, odd, empty):
     assert "[EMAIL]" in rows(pii.redacted(odd))[9]["text"] and rows(pii.redacted(odd))[1]["text"] is None
 
 
+def test_pii_whole_secrets(spark):
+    """Long secrets are taken to their end, and those in texts without digits are candidates."""
+    long, name = "a1B2" * 75, "the_password_of_the_service_account"
+    d = [(1, f"x api_key={long} tail"), (2, "x password=correcthorsebattery tail"), (3, f"x ghp_{'Ab3' * 40} tail"), (4, "x token=QWxhZGRpbjpvcGVuIHNlc2FtZQ== tail"), (5, f"x {name}=b7db7aa4a5fcc78305 tail"), (6, "x tail")]
+    plain = [(10 + i, f"see {w}:something-else in the text") for i, w in enumerate(("note", "https", "item", "about", "name", "chapter") * 10)]
+    docs = spark.createDataFrame(d * 4 + plain, "doc_id long, text string")
+    ends = {r["doc"]["doc_id"]: [(c["start"], c["end"]) for c in r["cand"] if c["kind"] == pii.KINDS.index("secret")] for r in pii.candidates(docs, "doc_id", "text").where("doc.doc_id < 10").collect()}
+    assert ends == {i: [(2, len(t) - 5)] if i < 6 else [] for i, t in d}
+    out = rows(pii.redacted(docs))
+    assert [out[i]["text"] for i in (1, 3, 4)] == ["x [SECRET] tail"] * 3 and out[6]["text"] == "x tail"
+    assert all(out[i]["text"] == t for i, t in plain)
+
+
 def test_em_finds_the_reliable_labeler():
     post = pii.em([((1, 1, 1), 50), ((1, 1, -1), 20), ((-1, -1, -1), 60), ((-1, -1, 1), 25)])
     assert post[(1, 1, -1)] > 0.9 and post[(-1, -1, 1)] < 0.1
