@@ -23,9 +23,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate component."""
-    found = jaccard_join.near_duplicates(docs)
-    spare = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return jaccard_join.with_small(docs, spare, "doc_id", "left_anti").select(*docs.columns)
+    spare = jaccard_join.grouped(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("same").alias("_same"))
+    return jaccard_join.with_small(docs.withColumn("_same", jaccard_join.same_text()), spare, ["doc_id", "_same"], "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

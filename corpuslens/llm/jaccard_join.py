@@ -15,8 +15,9 @@ rounds. Buckets of more than HOT sets are replaced by exact prefix buckets (simi
 0.2 * size + 1 shingles) before that, so common passages do not bring all their documents together.
 
 Cases: null texts and texts without words have empty sets and are linked with nothing, themselves excepted. Fewer than
-five words make one shingle. Equal texts are one set; repeated rows each get a row. Null ids are kept and can be the
-smallest id of nothing; negative ids below -1 are not expected. Columns other than `doc_id` and `text` are ignored.
+five words make one shingle. Equal texts are one set, named by a hash of the text, so an id may stand on several texts;
+repeated rows each get a row. Rows without id are kept, belong to a component like others and are the smallest id of
+nothing: a component has no id only if none of its rows has one. Columns other than `doc_id` and `text` are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from math import comb, exp, lgamma, log
 import numpy as np
 import pandas as pd
 from pandas.util import hash_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -147,11 +148,28 @@ def odd_bits(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(bool)).view(np.int64)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """`id` and text; a row without id is named by its text, below zero."""
+def same_text() -> Column:
+    """What equal texts, and only those, have in common."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def _texts(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, text, `node` (a hash of the text) and `place`, by which rows without id come last."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    spare = -2 - F.pmod(F.xxhash64(text), F.lit(1 << 61))
-    return only(docs, "doc_id", "text").select(F.coalesce("doc_id", spare).alias("id"), text.alias("text"))
+    last = F.lit((1 << 63) - 1)
+    return only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.xxhash64(F.lit(seed), text).alias("node"), F.coalesce("doc_id", last).alias("place"))
+
+
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts, their rows without text, and a row for each different text; hashed anew if two texts have one hash."""
+    seed = 0
+    while True:
+        texts = _texts(docs, seed)
+        ids = saved(texts.select("doc_id", "node", "place", same_text().alias("same")), "ids")
+        first = saved(ids.groupBy("same", "node").agg(F.min("place").alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("held")), "first")
+        if first.groupBy("node").count().where("count > 1").isEmpty():
+            return texts, ids, first.drop("same")
+        seed += 1
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -265,14 +283,12 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return ranked.withColumn("at", at).where((F.col("at") <= F.col("n") - F.ceil(0.8 * F.col("n")) + 1) & (F.col("df") > 1)).select("key", "node")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links, its own included)."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """Rows of `near_duplicates`, and `same`, by which the rows of an id that stands on several texts are told apart."""
     small_batches(docs.sparkSession)
-    texts = _texts(docs)
-    ids = saved(texts.select("id", F.unhex(F.md5("text")).alias("same")), "ids")
-    first = ids.groupBy("same").agg(F.min("id").alias("node"))
-    nodes = saved(ids.join(first, "same").select("id", "node"), "nodes")
-    own = with_small(texts, nodes.where("id <> node").select("id"), "id", "left_anti")
+    texts, ids, first = _named(docs)
+    spare = saved(ids.join(first.where("held > 1").select("node", "first"), "node").where("place > first").select("node", "place").distinct(), "spare")
+    own = with_small(texts, spare, ["node", "place"], "left_anti").select(F.col("node").alias("id"), "text")
     at = W.partitionBy("key")
     several = signed(own).select("*", F.count("*").over(at).alias("held"), (F.min("node").over(at) < F.max("node").over(at)).alias("open"))
     found = saved(several.where("open OR n >= 0").drop("open"), "shared")
@@ -289,11 +305,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = verified(fitting(open_pairs(buckets, labels, tested), sizes, sets), sets)
     if not (extra := more.where("same").select("a", "b")).isEmpty():
         labels = saved(components(links.unionByName(extra)), "labels")
-    # A component's smallest document: equal texts have the smallest id of theirs as node, so the smallest node is it.
-    out = nodes.join(labels, "node", "left").join(sizes, "node").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "node").alias("component"))
-    named = lambda c: F.when(F.col(c) >= -1, F.col(c))  # noqa: E731  rows without id stay without
-    empty = F.col("n_shingles") == 0
-    return out.select(named("id").alias("doc_id"), "n_shingles", F.when(empty, named("id")).otherwise(named("component")).alias("component_id"))
+    # Nodes are hashes, so the smallest document of a component is that of its nodes' smallest ones.
+    named = saved(first.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    several = named.where("label <> node").select("label").distinct()
+    joint = named.join(several, "label", "left_semi").groupBy("label").agg(F.min("least").alias("component"))
+    named = named.join(joint, "label", "left").select("node", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
+    out = ids.join(named.join(sizes, "node"), "node").select("doc_id", "same", F.col("n").cast("long").alias("n_shingles"), "component")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "same")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links, its own included)."""
+    return grouped(docs).drop("same")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -238,6 +238,17 @@ def test_jaccard_odd(odd, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_null_and_repeated_ids(spark, small):
+    """A copy without id names no component, and an id on two texts gives a row for each."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    d = [(7, a), (None, a), (8, a), (9, a + " more"), (None, a + " less"), (7, b), (3, b), (8, c), (None, "alone without id"), (None, None), (5, "")]
+    docs = spark.createDataFrame(d, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(7, 36, 7), (None, 36, 7), (8, 36, 7), (9, 37, 7), (None, 37, 7), (7, 36, 3), (3, 36, 3), (8, 36, 8), (None, 1, None), (None, 0, None), (5, 0, 5)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, small).collect()), key=str)
+    assert kept == sorted([x for x in d if x not in [(8, a), (9, a + " more"), (7, b)]], key=str)
+
+
 # --- tokens
 
 
