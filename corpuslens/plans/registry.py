@@ -19,6 +19,8 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"query {f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
@@ -325,7 +327,7 @@ def gap_tasks(spark, sf_dir):
 
 
 @query(V.sql("SELECT doc_id, title, total, ceil(total / 20)::bigint AS pages FROM (SELECT doc_id, title, updated_at, count(*) OVER () AS total FROM document_v WHERE NOT is_deleted AND governance_status = 'valid' AND contains(lower(title), 'an')) ORDER BY updated_at DESC, doc_id LIMIT 20 OFFSET 20", "document_v"))
-def document_page(spark, sf_dir):
+def document_list_page(spark, sf_dir):
     """The second page of the valid documents with a keyword in the title, newest first."""
     found = reports.search_documents(V.document_v(spark, sf_dir), "an", governance_status="valid")
     return reports.page_of(found.select("doc_id", "title", "updated_at"), [F.desc("updated_at"), F.col("doc_id")], 2).drop("updated_at")

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from corpuslens.plans.registry import ORACLES, QUERIES
+from corpuslens.plans.registry import ORACLES, QUERIES, query
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,3 +37,14 @@ def test_query(name, spark, small, con):
         assert sorted(rel.columns) == cols
         want = sorted((tuple(norm(v) for _, v in sorted(zip(rel.columns, row, strict=True))) for row in rel.fetchall()), key=str)
         assert got == want
+
+
+def test_names_are_registered_once():
+    assert {"document_page", "document_list_page"} <= set(QUERIES) and "place" in ORACLES["document_page"]
+
+    def document_page(spark, sf_dir):
+        return None
+
+    with pytest.raises(ValueError):
+        query()(document_page)
+    assert QUERIES["document_page"] is not document_page
