@@ -55,7 +55,7 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def with_small(df: DataFrame, ids: DataFrame, key: str | list[str], how: str, limit: int = 4_000_000) -> DataFrame:
+def with_small(df: DataFrame, ids: DataFrame, key: str | list[str], how: str, limit: int = 1_000_000) -> DataFrame:
     """Semi or anti join against a key set: broadcast while it counts at most `limit` keys, else a shuffle join."""
     ids = ids.select(key).distinct()
     return df.join(F.broadcast(ids) if ids.count() <= limit else ids.hint("merge"), key, how)

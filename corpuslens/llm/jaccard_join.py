@@ -8,11 +8,12 @@ share one. An empty signature would be shared widely; a set leaves such out unle
 loses nothing: one of the E + 1 parts then has none. A set stands in each band that a partner's
 size can share with it.
 
-Sets that share a signature are compared with the smallest of them, never all with all, and the links found are joined to
-components. Pairs whose sizes or odd bits (a bound from below on the number of elements in which two sets differ) rule a
-link out are not compared. What such a comparison leaves open, pairs in one bucket that are in different components, is compared in
-rounds. Buckets of more than HOT sets are replaced by exact prefix buckets (similar sets share one of the rarest
-0.2 * size + 1 shingles) before that, so common passages do not bring all their documents together.
+Of the members of a signature's bucket, each is compared with the bucket's centre, the one that shares most buckets with
+others; buckets with the same members count once. The links found are joined to components. What this leaves open, pairs
+in one bucket that are in different components, is compared inside the bucket: its rows, sorted by size, carry their odd
+bits, a bound from below on the number of elements in which two sets differ, and only pairs that these allow are compared
+by whole sets. A bucket of more than BLOCK members is dealt in groups, each pair of groups to one place, so no task holds
+more than two groups of it. No pair that could link is left out, at any size.
 
 Cases: null texts and texts without words have empty sets and are linked with nothing, themselves excepted. Fewer than
 five words make one shingle. Equal texts are one set, named by a hash of the text, so an id may stand on several texts;
@@ -40,7 +41,8 @@ from corpuslens.llm.common import only, saved, small_batches, table, with_small
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 WORDS = 5
-HOT = 48
+#: Members of a bucket that are compared in one place, and rows of a pass over small buckets.
+BLOCK, ROWS = 2048, 16_384
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE = np.array([_M1, _M2, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -153,6 +155,11 @@ def same_text() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
+def row_key(same: Column) -> Column:
+    """What rows with one id, or none, and equal texts have in common; `same` is that of `same_text`."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), F.hex(same))))
+
+
 def _texts(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, text, `node` (a hash of the text) and `place`, by which rows without id come last."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -166,12 +173,24 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     while True:
         texts = _texts(docs, seed)
         ids = saved(texts.select("doc_id", "node", "place", same_text().alias("same")), "ids")
-        first = saved(ids.groupBy("same", "node").agg(F.min("place").alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("held")), "first")
+        each = ids.groupBy("same", "node", "place").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+        first = each.groupBy("same", "node").agg(F.min("place").alias("first"), F.min("doc_id").alias("least"), F.sum("rows").alias("held"), F.min_by("rows", "place").alias("equal"))
+        first = saved(first, "first")
         if first.groupBy("node").count().where("count > 1").isEmpty():
             return texts, ids, first.drop("same")
         seed += 1
 
 
+def _one_of_each(texts: DataFrame, ids: DataFrame, first: DataFrame) -> DataFrame:
+    """(id, text): one row of each different text. Only rows that repeat both id and text are brought together."""
+    spare = saved(ids.join(first.where("held > 1").select("node", "first"), "node").where("place > first").select("node", "place").distinct(), "spare")
+    own = with_small(texts, spare, ["node", "place"], "left_anti").select(F.col("node").alias("id"), "text")
+    equal = first.where("equal > 1").select(F.col("node").alias("id"))
+    if equal.isEmpty():
+        return own
+    return with_small(own, equal, "id", "left_anti").unionByName(with_small(own, equal, "id", "left_semi").dropDuplicates(["id"]))
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """A row (key, node) for each signature of each text's set, and one whose key is the node and `n` the set's size."""
 
@@ -188,14 +207,14 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
-    """node, its whole set and the set's odd bits."""
+    """node, its whole set, the set's size and odd bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = shingle_sets(b["text"].tolist())
-            yield pd.DataFrame({"node": b["id"], "items": [s.tobytes() for s in sets], "odd": [odd_bits(s) for s in sets]})
+            yield pd.DataFrame({"node": b["id"], "items": [s.tobytes() for s in sets], "n": [len(s) for s in sets], "odd": [odd_bits(s) for s in sets]})
 
-    return texts.mapInPandas(run, "node long, items binary, odd array<long>")
+    return texts.mapInPandas(run, "node long, items binary, n long, odd array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,19 +242,25 @@ def _compared(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFram
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, same boolean")
 
 
-def fitting(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+def fitting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and odd bits allow a link: linked sets differ in at most (|A| + |B|) / 9 elements."""
-    named = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    named = named.where("5 * na >= 4 * nb AND 5 * nb >= 4 * na")
-    named = named.join(sets.select(F.col("node").alias("a"), F.col("odd").alias("oa")), "a").join(sets.select(F.col("node").alias("b"), F.col("odd").alias("ob")), "b")
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
+    named = pairs.join(of("a"), "a").join(of("b"), "b").where("5 * na >= 4 * nb AND 5 * nb >= 4 * na")
     apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     return named.where(9 * apart <= F.col("na") + F.col("nb")).select("a", "b")
 
 
+def buckets_of(shared: DataFrame) -> DataFrame:
+    """key, node, m (members): one bucket of those with the same members, which two hashes of 64 bits tell."""
+    one = shared.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return shared.join(one, "key", "left_semi").select("key", "node", "m")
+
+
 def stars(buckets: DataFrame) -> DataFrame:
-    """Pairs of each bucket's smallest node with its others."""
-    out = buckets.withColumn("a", F.min("node").over(W.partitionBy("key"))).where("a <> node")
-    return out.select("a", F.col("node").alias("b")).distinct()
+    """Pairs (a, b) of each bucket's centre with its others."""
+    use = buckets.groupBy("node").agg(F.sum("m").alias("use"))
+    centre = F.max(F.struct("use", "node")).over(W.partitionBy("key"))["node"]
+    return buckets.join(use, "node").withColumn("a", centre).where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -257,66 +282,95 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
 
 
-def open_pairs(buckets: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of nodes in one bucket, in different components, that have not been compared."""
+def rivals(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (`at`, `part`, `label`, `n`, `odd`) in one place, of different labels, whose sizes and odd bits allow
+    a link; of rows from two groups of a bucket (`part` differs within a place) only those across."""
+    rows = rows.sort_values(["at", "n"], kind="stable")
+    at, n, label, part = (rows[c].to_numpy() for c in ("at", "n", "label", "part"))
+    node, odd = rows["node"].to_numpy(), np.stack(rows["odd"].to_list()).astype(np.int64).view(np.uint64)
+    cross = rows["cross"].to_numpy()
+    a, b, live, lag = [], [], np.arange(len(rows)), 0
+    while True:
+        lag += 1
+        live = live[live + lag < len(at)]
+        # The rows of a place follow each other by size, so a partner that is too large ends the search of a row.
+        live = live[(at[live] == at[live + lag]) & (4 * n[live + lag] <= 5 * n[live])]
+        if not len(live):
+            return np.concatenate([*a, node[:0]]), np.concatenate([*b, node[:0]])
+        here = live[(label[live] != label[live + lag]) & (~cross[live] | (part[live] != part[live + lag]))]
+        for i in range(0, len(here), 1 << 16):
+            x = here[i : i + (1 << 16)]
+            y = x + lag
+            near = 9 * np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
+            a.append(np.minimum(node[x[near]], node[y[near]]))
+            b.append(np.maximum(node[x[near]], node[y[near]]))
+
+
+def open_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs of nodes in one bucket, in different components, that may link and have not been compared."""
+    at = W.partitionBy("key")
     named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    named = named.join(mixed, "key")
-    x = named.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    y = named.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    out = x.join(y, "key").where("a < b AND la <> lb").select("a", "b").distinct()
-    return out.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-
-
-def prefixes(sets: DataFrame) -> DataFrame:
-    """Prefix buckets (key, node) of whole sets: each set's shingles that are rarest among these sets, 0.2 * size + 1 of them."""
+    mixed = named.withColumns({"lo": F.min("label").over(at), "hi": F.max("label").over(at)}).where("lo <> hi").drop("lo", "hi")
+    groups = F.ceil(F.col("m") / BLOCK)
+    mixed = mixed.withColumn("part", F.pmod(F.xxhash64("node"), groups)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)))
+    lo, hi = F.least("part", "other"), F.greatest("part", "other")
+    mixed = mixed.select("node", "label", "part", F.xxhash64("key", lo, hi).alias("at"), (lo < hi).alias("cross"))
 
-    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
         for b in batches:
-            yield pd.DataFrame({"node": b["node"], "items": [np.frombuffer(x, np.int64) for x in b["items"]]})
-
-    each = sets.mapInPandas(apart, "node long, items array<long>")
-    each = each.select("node", F.size("items").alias("n"), F.explode("items").alias("key"))
-    use = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(use, "key", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    at = F.row_number().over(W.partitionBy("node").orderBy("df", "key"))
-    return ranked.withColumn("at", at).where((F.col("at") <= F.col("n") - F.ceil(0.8 * F.col("n")) + 1) & (F.col("df") > 1)).select("key", "node")
+            held.append(b)
+            size += len(b)
+            if size >= ROWS:
+                rows = pd.concat(held, ignore_index=True)
+                whole = rows["at"] != rows["at"].iloc[-1]  # the last place may go on in the next batch
+                if whole.any():
+                    a, c = rivals(rows[whole])
+                    yield pd.DataFrame({"a": a, "b": c})
+                held = [rows[~whole]]
+                size = len(held[0])
+        if size:
+            a, c = rivals(pd.concat(held, ignore_index=True))
+            yield pd.DataFrame({"a": a, "b": c})
+
+    placed = mixed.join(sets.select("node", "n", "odd"), "node").repartition("at").sortWithinPartitions("at")
+    found = placed.select("at", "part", "cross", "node", "label", "n", "odd").mapInPandas(run, "a long, b long").distinct()
+    return found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """Rows of `near_duplicates`, and `same`, by which the rows of an id that stands on several texts are told apart."""
+    """Rows of `near_duplicates`, `same`, by which the rows of an id that stands on several texts are told apart, and
+    `stays`: true for the rows of each component's first text that have its smallest id, and for rows without shingles."""
     small_batches(docs.sparkSession)
     texts, ids, first = _named(docs)
-    spare = saved(ids.join(first.where("held > 1").select("node", "first"), "node").where("place > first").select("node", "place").distinct(), "spare")
-    own = with_small(texts, spare, ["node", "place"], "left_anti").select(F.col("node").alias("id"), "text")
+    own = _one_of_each(texts, ids, first)
     at = W.partitionBy("key")
-    several = signed(own).select("*", F.count("*").over(at).alias("held"), (F.min("node").over(at) < F.max("node").over(at)).alias("open"))
-    found = saved(several.where("open OR n >= 0").drop("open"), "shared")
-    sizes, shared = found.where("n >= 0").select("node", "n").distinct(), found.where("n < 0")
-    hot = shared.where(F.col("held") > HOT).select("node").distinct()
-    buckets = shared.where(F.col("held") <= HOT).select("key", "node")
-    wanted = shared.select(F.col("node").alias("id"))
-    sets = saved(sets_of(with_small(own, wanted, "id", "left_semi")), "items")
-    if not hot.isEmpty():
-        buckets = saved(buckets.unionByName(prefixes(sets.select("node", "items").join(hot, "node").dropDuplicates(["node"]))), "buckets")
-    tested = verified(fitting(stars(buckets), sizes, sets), sets)
+    over = {"open": F.min("node").over(at) < F.max("node").over(at), "m": F.count("*").over(at), "x": F.bit_xor("node").over(at), "y": F.bit_xor(F.xxhash64("node")).over(at)}
+    found = saved(signed(own).withColumns(over).where("open OR n >= 0").drop("open"), "shared")
+    sizes = found.where("n >= 0").select("node", "n").distinct()
+    buckets = saved(buckets_of(found.where("n < 0")), "buckets")
+    sets = saved(sets_of(with_small(own, buckets.select(F.col("node").alias("id")), "id", "left_semi")), "items")
+    tested = verified(fitting(stars(buckets), sets), sets)
     links = tested.where("same").select("a", "b")
     labels = saved(components(links), "labels")
-    more = verified(fitting(open_pairs(buckets, labels, tested), sizes, sets), sets)
+    more = verified(open_pairs(buckets, labels, sets, tested), sets)
     if not (extra := more.where("same").select("a", "b")).isEmpty():
         labels = saved(components(links.unionByName(extra)), "labels")
-    # Nodes are hashes, so the smallest document of a component is that of its nodes' smallest ones.
+    # Nodes are hashes, so the smallest document of a component is that of its nodes' smallest ones; rows without id come last.
     named = saved(first.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
-    several = named.where("label <> node").select("label").distinct()
-    joint = named.join(several, "label", "left_semi").groupBy("label").agg(F.min("least").alias("component"))
-    named = named.join(joint, "label", "left").select("node", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
-    out = ids.join(named.join(sizes, "node"), "node").select("doc_id", "same", F.col("n").cast("long").alias("n_shingles"), "component")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "same")
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
+    one = named.groupBy("label").agg(best.alias("b")).select("label", F.col("b.least").alias("component"), F.col("b.node").alias("front"))
+    named = named.join(one, "label").join(sizes, "node").select("node", "n", "component", "front")
+    out = ids.join(named, "node")
+    empty = F.col("n") == 0
+    stays = empty | ((F.col("node") == F.col("front")) & F.col("doc_id").eqNullSafe(F.col("component")))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "same", stays.alias("stays"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, its own included)."""
-    return grouped(docs).drop("same")
+    return grouped(docs).drop("same", "stays")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,9 +201,10 @@ def test_jaccard(spark, small, docs):
     assert got == brute_components(docs.select("doc_id", "text").collect())
 
 
-@pytest.mark.parametrize("hot", [48, 2])
-def test_jaccard_edits(spark, monkeypatch, hot):
-    monkeypatch.setattr(jaccard_join, "HOT", hot)
+@pytest.mark.parametrize(("block", "held"), [(2048, 16_384), (3, 5)])
+def test_jaccard_edits(spark, monkeypatch, block, held):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "ROWS", held)
     import random
 
     r = random.Random(3)
@@ -246,7 +248,54 @@ def test_jaccard_null_and_repeated_ids(spark, small):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(7, 36, 7), (None, 36, 7), (8, 36, 7), (9, 37, 7), (None, 37, 7), (7, 36, 3), (3, 36, 3), (8, 36, 8), (None, 1, None), (None, 0, None), (5, 0, 5)], key=str)
     kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, small).collect()), key=str)
-    assert kept == sorted([x for x in d if x not in [(8, a), (9, a + " more"), (7, b)]], key=str)
+    assert kept == sorted([(7, a), (3, b), (8, c), (None, "alone without id"), (None, None), (5, "")], key=str)
+
+
+def test_jaccard_any_long_is_an_id(spark, small):
+    """Ids below -1 are ids, an id on two texts loses neither, and of rows with one id and one text one stays."""
+    p, a = " ".join(f"p{k}" for k in range(9)), " ".join(f"a{k}" for k in range(9))
+    low = -(1 << 63)
+    for d, want in (
+        ([(5, p), (5, a), (3, a), (9, p)], [(5, 5), (5, 3), (3, 3), (9, 5)]),
+        ([(-5, p), (-7, p), (-1, a), (low, a), ((1 << 63) - 1, a)], [(-5, -7), (-7, -7), (-1, low), (low, low), ((1 << 63) - 1, low)]),
+        ([(4, p), (4, p), (4, p), (None, a), (None, a)], [(4, 4)] * 3 + [(None, None)] * 2),
+    ):
+        docs = spark.createDataFrame(d, "doc_id long, text string")
+        assert sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()), key=str) == sorted(want, key=str)
+        assert corpus_pipeline.one_of_each_group(spark, docs, small).count() == len({t for _, t in d})
+
+
+@pytest.mark.parametrize("block", [2048, 60])
+def test_jaccard_hot_group(spark, monkeypatch, block):
+    """Five hundred near copies that share a passage with many others: classes equal those of all pairs, whatever a block holds."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    import random
+
+    r = random.Random(5)
+    base, passage = [f"w{k}" for k in range(60)], [f"s{k}" for k in range(40)]
+    texts = []
+    for _ in range(500):  # up to five words changed: many pairs of copies are no links themselves
+        t = list(base)
+        for k in r.sample(range(60), r.randrange(0, 3)):
+            t[k] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(t))
+    for _ in range(300):
+        texts.append(" ".join(passage + [f"y{r.randrange(10**6)}" for _ in range(r.choice([3, 8, 20]))]))
+    d = list(enumerate(texts))
+    got = rows(jaccard_join.near_duplicates(spark.createDataFrame(d, "doc_id long, text string")))
+    assert {i: (x["n_shingles"], x["component_id"]) for i, x in got.items()} == brute_components(d)
+
+
+def test_jaccard_rivals_are_all_pairs():
+    """In one place every pair of different labels that sizes and odd bits allow is found, and across groups only."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(50, 60), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(80)]
+    f = pd.DataFrame({"at": [k % 3 for k in range(80)], "part": [k % 2 for k in range(80)], "cross": [k % 3 == 1 for k in range(80)], "node": range(80), "label": [k % 7 for k in range(80)],
+                      "n": [len(x) for x in sets], "odd": [jaccard_join.odd_bits(x).tolist() for x in sets]})
+    got = set(zip(*map(list, jaccard_join.rivals(f)), strict=True))
+    links = {(i, j) for i in range(80) for j in range(i) if i % 3 == j % 3 and i % 7 != j % 7 and (i % 3 != 1 or i % 2 != j % 2) and jaccard_join.linked(sets[i], sets[j])}
+    assert links and {(j, i) for i, j in links} <= got and all(i % 3 == j % 3 and i % 7 != j % 7 and (i % 3 != 1 or i % 2 != j % 2) for i, j in got)
 
 
 # --- tokens
