@@ -22,9 +22,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component."""
-    spare = jaccard_join.grouped(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("same").alias("_same"))
-    return jaccard_join.with_small(docs.withColumn("_same", jaccard_join.same_text()), spare, ["doc_id", "_same"], "left_anti").select(*docs.columns)
+    """One document of each near-duplicate component: of its smallest id, the first text. Texts without words all stay."""
+    found = jaccard_join.grouped(docs).withColumn("_row", jaccard_join.row_key(F.col("same")))
+    keyed = docs.withColumn("_row", jaccard_join.row_key(jaccard_join.same_text()))
+    kept = jaccard_join.with_small(keyed, found.where("NOT stays").select("_row"), "_row", "left_anti")
+    again = found.where("stays AND n_shingles > 0").groupBy("_row").count().where("count > 1").select("_row")
+    if not again.isEmpty():  # rows with one id and one text
+        kept = jaccard_join.with_small(kept, again, "_row", "left_anti").unionByName(jaccard_join.with_small(kept, again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
