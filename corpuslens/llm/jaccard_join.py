@@ -43,6 +43,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 WORDS = 5
 #: Members of a bucket that are compared in one place, and rows of a pass over small buckets.
 BLOCK, ROWS = 2048, 16_384
+#: Words of odd bits that a bucket's row carries at most.
+NEAR = 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE = np.array([_M1, _M2, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -146,8 +148,17 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def odd_bits(s: np.ndarray) -> np.ndarray:
-    """1024 bits, each set where an odd number of elements falls: two sets differ in no fewer elements than in bits."""
-    return np.packbits((np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(bool)).view(np.int64)
+    """At least two bits for each element, each set where an odd number of elements falls, as 64-bit words: two sets differ
+    in no fewer elements than in bits. The number of bits is a power of two; halves of it, joined, give those of half as many."""
+    m = max(1024, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 1024
+    return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(bool)).view(np.int64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def same_text() -> Column:
@@ -192,35 +203,43 @@ def _one_of_each(texts: DataFrame, ids: DataFrame, first: DataFrame) -> DataFram
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """A row (key, node) for each signature of each text's set, and one whose key is the node and `n` the set's size."""
+    """A row (key, node) for each signature of each text's set, and one whose key is the node, with the set's size `n` and
+    its odd bits: `odd`, and `near`, a few of those of large sets, as the rows of buckets carry them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = shingle_sets(b["text"].tolist())
             ids = b["id"].to_numpy()
             sigs = [signatures(s).astype(np.int64) if len(s) else s.astype(np.int64) for s in sets]
-            n = np.full(len(ids) + sum(map(len, sigs)), -1)
+            rest = sum(map(len, sigs))
+            n = np.full(len(ids) + rest, -1)
             n[: len(ids)] = [len(s) for s in sets]
-            yield pd.DataFrame({"key": np.concatenate([ids, *sigs]), "node": np.concatenate([ids, np.repeat(ids, [len(x) for x in sigs])]), "n": n})
+            odd = [odd_bits(s) for s in sets]
+            near = [folded(x, NEAR) if len(x) > NEAR else None for x in odd]
+            yield pd.DataFrame({
+                "key": np.concatenate([ids, *sigs]), "node": np.concatenate([ids, np.repeat(ids, [len(x) for x in sigs])]), "n": n,
+                "odd": [*odd, *[None] * rest], "near": [*near, *[None] * rest],
+            })
 
-    return docs.mapInPandas(run, "key long, node long, n int")
+    return docs.mapInPandas(run, "key long, node long, n int, odd array<long>, near array<long>")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
-    """node, its whole set, the set's size and odd bits."""
+    """node and its whole set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = shingle_sets(b["text"].tolist())
-            yield pd.DataFrame({"node": b["id"], "items": [s.tobytes() for s in sets], "n": [len(s) for s in sets], "odd": [odd_bits(s) for s in sets]})
+            yield pd.DataFrame({"node": b["id"], "items": [s.tobytes() for s in shingle_sets(b["text"].tolist())]})
 
-    return texts.mapInPandas(run, "node long, items binary, n long, odd array<long>")
+    return texts.mapInPandas(run, "node long, items binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs (a, b) and `same`. They are compared in as many parts as there are pairs to a set, so that the sets in
     motion at any time take about as much room as all sets once."""
     pairs = saved(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    sets = saved(sets_of(with_small(texts, nodes, "id", "left_semi")), "items")
     parts = max(1, -(-pairs.count() // max(1, sets.count())))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
     done = [saved(_compared(pairs.where(part("a") == i), sets.where(part("node") == i), sets), "tested") for i in range(parts)]
@@ -242,11 +261,18 @@ def _compared(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFram
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, same boolean")
 
 
-def fitting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def fitting(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and odd bits allow a link: linked sets differ in at most (|A| + |B|) / 9 elements."""
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
+    of = lambda c: marks.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
     named = pairs.join(of("a"), "a").join(of("b"), "b").where("5 * na >= 4 * nb AND 5 * nb >= 4 * na")
-    apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+    def level(x: str, y: str) -> Column:
+        """Bits of x, as many as y has: sizes that differ by a quarter give twice as many at most."""
+        half = (F.size(x) / 2).cast("int")
+        halved = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) > F.size(y), halved).otherwise(F.col(x))
+
+    apart = F.aggregate(F.zip_with(level("oa", "ob"), level("ob", "oa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     return named.where(9 * apart <= F.col("na") + F.col("nb")).select("a", "b")
 
 
@@ -286,9 +312,16 @@ def rivals(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (`at`, `part`, `label`, `n`, `odd`) in one place, of different labels, whose sizes and odd bits allow
     a link; of rows from two groups of a bucket (`part` differs within a place) only those across."""
     rows = rows.sort_values(["at", "n"], kind="stable")
-    at, n, label, part = (rows[c].to_numpy() for c in ("at", "n", "label", "part"))
-    node, odd = rows["node"].to_numpy(), np.stack(rows["odd"].to_list()).astype(np.int64).view(np.uint64)
-    cross = rows["cross"].to_numpy()
+    at, n, label, part, node, cross = (rows[c].to_numpy() for c in ("at", "n", "label", "part", "node", "cross"))
+    words = np.array([len(x) for x in rows["odd"]])
+    bits = {}
+    for k in np.unique(words):  # each row's bits at its own number of words and, halved, at all smaller ones
+        bits[k] = np.zeros((len(rows), k), dtype=np.int64)
+    for i, x in enumerate(rows["odd"]):
+        x = np.asarray(x, dtype=np.int64)
+        for k in bits:
+            if k <= len(x):
+                bits[k][i] = folded(x, k)
     a, b, live, lag = [], [], np.arange(len(rows)), 0
     while True:
         lag += 1
@@ -298,15 +331,17 @@ def rivals(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if not len(live):
             return np.concatenate([*a, node[:0]]), np.concatenate([*b, node[:0]])
         here = live[(label[live] != label[live + lag]) & (~cross[live] | (part[live] != part[live + lag]))]
-        for i in range(0, len(here), 1 << 16):
-            x = here[i : i + (1 << 16)]
-            y = x + lag
-            near = 9 * np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
-            a.append(np.minimum(node[x[near]], node[y[near]]))
-            b.append(np.maximum(node[x[near]], node[y[near]]))
+        for k, odd in bits.items():
+            fit = here[np.minimum(words[here], words[here + lag]) == k]
+            for i in range(0, len(fit), 1 << 14):
+                x = fit[i : i + (1 << 14)]
+                y = x + lag
+                near = 9 * np.bitwise_count((odd[x] ^ odd[y]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
+                a.append(np.minimum(node[x[near]], node[y[near]]))
+                b.append(np.maximum(node[x[near]], node[y[near]]))
 
 
-def open_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, tested: DataFrame) -> DataFrame:
+def open_pairs(buckets: DataFrame, labels: DataFrame, marks: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs of nodes in one bucket, in different components, that may link and have not been compared."""
     at = W.partitionBy("key")
     named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -334,7 +369,7 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, tested: D
             a, c = rivals(pd.concat(held, ignore_index=True))
             yield pd.DataFrame({"a": a, "b": c})
 
-    placed = mixed.join(sets.select("node", "n", "odd"), "node").repartition("at").sortWithinPartitions("at")
+    placed = mixed.join(marks.select("node", "n", F.coalesce("near", "odd").alias("odd")), "node").repartition("at").sortWithinPartitions("at")
     found = placed.select("at", "part", "cross", "node", "label", "n", "odd").mapInPandas(run, "a long, b long").distinct()
     return found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
@@ -348,20 +383,19 @@ def grouped(docs: DataFrame) -> DataFrame:
     at = W.partitionBy("key")
     over = {"open": F.min("node").over(at) < F.max("node").over(at), "m": F.count("*").over(at), "x": F.bit_xor("node").over(at), "y": F.bit_xor(F.xxhash64("node")).over(at)}
     found = saved(signed(own).withColumns(over).where("open OR n >= 0").drop("open"), "shared")
-    sizes = found.where("n >= 0").select("node", "n").distinct()
+    marks = found.where("n >= 0").select("node", F.col("n").cast("long").alias("n"), "odd", "near")
     buckets = saved(buckets_of(found.where("n < 0")), "buckets")
-    sets = saved(sets_of(with_small(own, buckets.select(F.col("node").alias("id")), "id", "left_semi")), "items")
-    tested = verified(fitting(stars(buckets), sets), sets)
+    tested = verified(fitting(stars(buckets), marks), own)
     links = tested.where("same").select("a", "b")
     labels = saved(components(links), "labels")
-    more = verified(open_pairs(buckets, labels, sets, tested), sets)
+    more = verified(fitting(open_pairs(buckets, labels, marks, tested), marks), own)
     if not (extra := more.where("same").select("a", "b")).isEmpty():
         labels = saved(components(links.unionByName(extra)), "labels")
     # Nodes are hashes, so the smallest document of a component is that of its nodes' smallest ones; rows without id come last.
     named = saved(first.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
     one = named.groupBy("label").agg(best.alias("b")).select("label", F.col("b.least").alias("component"), F.col("b.node").alias("front"))
-    named = named.join(one, "label").join(sizes, "node").select("node", "n", "component", "front")
+    named = named.join(one, "label").join(marks.select("node", "n"), "node").select("node", "n", "component", "front")
     out = ids.join(named, "node")
     empty = F.col("n") == 0
     stays = empty | ((F.col("node") == F.col("front")) & F.col("doc_id").eqNullSafe(F.col("component")))

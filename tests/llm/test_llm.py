@@ -230,8 +230,11 @@ def test_odd_bits_bound():
         common = rng.integers(0, 1 << 63, n, dtype=np.uint64)
         for extra in (0, 1, n // 9, n):
             a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, extra, dtype=np.uint64)])) for _ in "ab")
-            bits = sum(int(x).bit_count() for x in (jaccard_join.odd_bits(a) ^ jaccard_join.odd_bits(b)).view(np.uint64))
-            assert bits <= len(np.setxor1d(a, b))
+            x, y = jaccard_join.odd_bits(a), jaccard_join.odd_bits(b)
+            for words in {16, min(len(x), len(y))}:
+                bits = np.bitwise_count((jaccard_join.folded(x, words) ^ jaccard_join.folded(y, words)).view(np.uint64)).sum()
+                assert bits <= len(np.setxor1d(a, b))
+        assert len(jaccard_join.odd_bits(common)) == max(16, (1 << (2 * n - 1).bit_length()) // 64)
 
 
 def test_jaccard_odd(odd, empty):
@@ -289,8 +292,9 @@ def test_jaccard_hot_group(spark, monkeypatch, block):
 def test_jaccard_rivals_are_all_pairs():
     """In one place every pair of different labels that sizes and odd bits allow is found, and across groups only."""
     rng = np.random.default_rng(7)
-    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(50, 60), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(80)]
+    base = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(440, 600), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 90), dtype=np.uint64)])) for _ in range(80)]
+    assert {len(jaccard_join.odd_bits(x)) for x in sets} == {16, 32}
     f = pd.DataFrame({"at": [k % 3 for k in range(80)], "part": [k % 2 for k in range(80)], "cross": [k % 3 == 1 for k in range(80)], "node": range(80), "label": [k % 7 for k in range(80)],
                       "n": [len(x) for x in sets], "odd": [jaccard_join.odd_bits(x).tolist() for x in sets]})
     got = set(zip(*map(list, jaccard_join.rivals(f)), strict=True))
