@@ -17,7 +17,7 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpuslens.llm.bpe import MEMO
-from corpuslens.llm.common import hash_unit, only, saved, small_batches, table
+from corpuslens.llm.common import hash_unit, held, only, saved, small_batches, table
 
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Whitespace after another character always begins a new pre-token, so texts may be cut there.
@@ -34,10 +33,19 @@ _CUT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Documents and bytes of each that the dictionary is trained on, and its size: bounds of the model fit.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 4096, 64 << 10
 DOCS_A_PART, BLOB_BYTES = 4096, 4 << 20
+#: Pieces that are encoded as one text, and entries of a worker's memo table.
+JOINED, MEMO = 256, 500_000
 FRAMES = "doc_id long, part int, n_tokens long, frame binary"
 SHARDS = "part int, seq int, dict_sha256 string, tokens long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, blob binary"
 
 
+_SPACES = {*"\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))}
+
+
+def _bytes(word: str) -> bytes:
+    return word.encode("utf-8", "replace")
+
+
 class Encoder:
     """Ids of whole texts as bytes, from the library's ids of their pieces between cuts."""
 
@@ -49,30 +57,47 @@ class Encoder:
         self.special = [t.content for t in self.tk.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
+        vocab = self.tk.get_vocab()
+        #: Bytes that each id stands for: a byte-level piece has a character for each of its bytes.
+        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for piece, i in vocab.items():
+            self.width[i] = len(piece)
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, fresh: list[str]) -> None:
+        """Ids of new pieces. Those that begin with white space and end with none are encoded many at a time, as one text that
+        is cut between them, and told apart by the bytes their ids stand for; a text where that does not come out is not."""
+        joined = [w for w in fresh if w[0] in _SPACES and w[-1] not in _SPACES]
+        runs = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        whole = ["".join(r) for r in runs]
+        for words, text, ids in zip(runs, whole, self._encode(whole), strict=True):
+            ends = np.cumsum(list(map(len, words if text.isascii() else map(_bytes, words))))
+            total = np.cumsum(self.width[np.frombuffer(ids, dtype=np.uint32)])
+            at = np.searchsorted(total, ends)
+            if at[-1] == len(total) - 1 and (total[at] == ends).all() and not any(s in text for s in self.special):
+                cut = [0, *(4 * (at + 1)).tolist()]
+                self.known.update(zip(words, [ids[a:b] for a, b in pairwise(cut)], strict=True))
+        rest = [w for w in fresh if w not in self.known]
+        self.known.update(zip(rest, self._encode(rest), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_CUT.findall(t) for t in texts]
-        fresh = list(set(chain.from_iterable(split)).difference(self.known))
+        fresh = set(chain.from_iterable(split)).difference(self.known)
         if len(self.known) + len(fresh) > MEMO:  # short pieces, the frequent ones, stay while they are few
             short = {k: v for k, v in self.known.items() if len(k) <= 8}
             self.known = short if len(short) < MEMO // 2 else {}
-            fresh = list(set(chain.from_iterable(split)).difference(self.known))
-        self.known.update(zip(fresh, self._encode(fresh), strict=True))
+            fresh = set(chain.from_iterable(split)).difference(self.known)
+        self._learn(list(fresh))
         return [
             self._encode([t])[0] if any(s in t for s in self.special) else b"".join(map(self.known.__getitem__, s_))
             for t, s_ in zip(texts, split, strict=True)
         ]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(Encoder, path)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
