@@ -12,14 +12,32 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 200
 
 
+_HELD: dict = {}
+
+
+def held(build, *key):
+    """What `build(*key)` gave, kept in this worker process until something else is: one operator's tables at a time."""
+    if (build, *key) not in _HELD:
+        _HELD.clear()
+        _HELD[build, *key] = build(*key)
+    return _HELD[build, *key]
+
+
+def release() -> None:
+    """Let go of the tables that an operator before left in this worker process."""
+    _HELD.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only on a local master whose session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpuslens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import only, saved, small_batches, table, with_small
+from corpuslens.llm.common import only, release, saved, small_batches, table, with_small
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -207,6 +207,7 @@ def signed(docs: DataFrame) -> DataFrame:
     its odd bits: `odd`, and `near`, a few of those of large sets, as the rows of buckets carry them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             sets = shingle_sets(b["text"].tolist())
             ids = b["id"].to_numpy()
@@ -228,6 +229,7 @@ def sets_of(texts: DataFrame) -> DataFrame:
     """node and its whole set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             yield pd.DataFrame({"node": b["id"], "items": [s.tobytes() for s in shingle_sets(b["text"].tolist())]})
 
@@ -253,6 +255,7 @@ def _compared(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFram
     """The pairs and whether they link, by whole sets: those of a in `first`, those of b in `second`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             same = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b["x"], b["y"], strict=True)]
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "same": same})
@@ -352,6 +355,7 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, marks: DataFrame, tested:
     mixed = mixed.select("node", "label", "part", F.xxhash64("key", lo, hi).alias("at"), (lo < hi).alias("cross"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         held: list[pd.DataFrame] = []
         size = 0
         for b in batches:

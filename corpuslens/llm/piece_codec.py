@@ -10,6 +10,7 @@ the library. Repeated rows are rows of their own. Columns other than `doc_id` an
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -19,34 +20,55 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.bpe import MARK, MEMO, Pieces, marked, pieces
-from corpuslens.llm.common import only, small_batches, table
+from corpuslens.llm.bpe import MARK, Pieces, marked
+from corpuslens.llm.common import held, only, small_batches, table
 
 _NO = float("-inf")
+#: Entries of a worker's tables of whole words and of parts of words, and of pairs of pieces.
+WORDS, MEMO = 500_000, 150_000
+_MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class Viterbi:
     def __init__(self, model: Pieces, kind: str = "bpe"):
         self.model, self.kind = model, kind
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.code: dict[str, bytes] = {}
+        self._fresh()
+
+    def _fresh(self) -> None:
+        """For each piece that merging gives, the pieces it may follow or not, as found so far; None for other ends of pieces."""
+        m, self.pairs = self.model, 0
+        self.after: dict[str, dict[str, bool] | None] = dict.fromkeys(m.suffixes) | {p: {} for p in m.whole} if self.kind == "bpe" else {}
 
     def _allowed(self, word: str, n: int, last: list) -> None:
         """Last pieces of word[:i] for i > n, from the entries before them: the shortest one that the merge order allows."""
-        m = self.model
-        whole, suffixes, pair, follows = m.whole, m.suffixes, m.pair, m.follows
+        if self.pairs >= MEMO:
+            self._fresh()
+        after, merged = self.after, self.model.merged
         for i in range(n + 1, len(word) + 1):
-            for j in range(i - 1, -1, -1):
+            for j in range(i - 1, 0, -1):
                 t = word[j:i]
-                if j < i - 1:
-                    if t not in suffixes:
-                        raise AssertionError("a prefix without a last piece")
-                    if t not in whole:
+                try:
+                    may = after[t]
+                except KeyError:
+                    if j < i - 1:
+                        raise AssertionError("a prefix without a last piece") from None
+                    may = {}  # a character outside the vocabulary
+                if may is None:
+                    if j < i - 1:
                         continue
-                if j == 0:
-                    break
-                ok = pair.get((last[j], t))
-                if ok or ok is None and follows(last[j], t):
+                    may = {}
+                p = last[j]
+                ok = may.get(p)
+                if ok is None:
+                    ok = may[p] = merged(p + t) == [p, t]
+                    self.pairs += 1
+                if ok:
                     break
+            else:
+                t = word[:i]
             last.append(t)
 
     def _best(self, word: str, n: int, last: list, score: list) -> None:
@@ -66,9 +88,9 @@ class Viterbi:
             last.append(piece)
             score.append(best)
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of each distinct word."""
-        out, m = {}, self.model
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of each distinct word, as bytes of 32-bit integers."""
+        out, m, code = {}, self.model, self.code
         last: list = [None]
         score: list = [0.0]
         prev = ""
@@ -83,25 +105,63 @@ class Viterbi:
                 self._allowed(w, n, last)
             else:
                 self._best(w, n, last, score)
-            ids: list[list[int]] = []
+            path: list[bytes] = []
             i = len(w)
             while i:
-                ids.append(m.ids(last[i]))
-                i -= len(last[i])
-            out[w] = list(chain.from_iterable(reversed(ids)))
+                p = last[i]
+                if (ids := code.get(p)) is None:
+                    if len(code) >= MEMO:
+                        code.clear()
+                    ids = code[p] = array("i", m.ids(p)).tobytes()
+                path.append(ids)
+                i -= len(p)
+            path.reverse()
+            out[w] = b"".join(path)
             prev = w
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _learn(self, words: list[str]) -> None:
+        """Learn words, whole if they are all letters, else from their parts that no piece crosses."""
         units = self.model.units
-        split = [units.findall(marked(t)) for t in texts]
-        fresh = set(chain.from_iterable(split)).difference(self.known)
-        if len(self.known) + len(fresh) > MEMO:  # short words, the frequent ones, stay while they are few
-            short = {k: v for k, v in self.known.items() if len(k) <= 8}
-            self.known = short if len(short) < MEMO // 2 else {}
-            fresh = set(chain.from_iterable(split)).difference(self.known)
-        self.known.update((w, array("i", ids).tobytes()) for w, ids in self.encode_words(fresh).items())
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32) for words in split]
+        letters = [w for w in words if w.isalpha()]
+        split = [(w, units.findall(MARK + w)) for w in words if not w.isalpha()]
+        fresh = set(chain.from_iterable(u for _, u in split)).difference(self.known)
+        if len(self.known) + len(fresh) > MEMO:
+            self.known = _short(self.known, MEMO)
+            fresh = set(chain.from_iterable(u for _, u in split)).difference(self.known)
+        for u in [u for u in fresh if u[0] == MARK and u[1:] in self.words]:
+            self.known[u] = self.words[u[1:]]
+            fresh.discard(u)
+        got = self.encode_words(fresh.union([MARK + w for w in letters]))
+        self.words.update((w, got[MARK + w]) for w in letters)
+        self.known.update((u, got[u]) for u in fresh)
+        get = self.known.__getitem__
+        self.words.update((w, b"".join(map(get, u))) for w, u in split)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [_words(t) for t in texts]
+        fresh = set(chain.from_iterable(split)).difference(self.words)
+        if len(self.words) + len(fresh) > WORDS:
+            self.words = _short(self.words, WORDS)
+            fresh = set(chain.from_iterable(split)).difference(self.words)
+        self._learn(list(fresh))
+        get = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), dtype=np.int32) for words in split]
+
+
+def _short(memo: dict[str, bytes], most: int) -> dict[str, bytes]:
+    """A full table's short words, the frequent ones, while they are few."""
+    short = {k: v for k, v in memo.items() if len(k) <= 8}
+    return short if len(short) < most // 2 else {}
+
+
+def _words(text: str) -> list[str]:
+    """What follows each mark of the marked text; of several marks in a row, what follows the first."""
+    if not text:
+        return []
+    if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    return [w[1:] for w in _MARKED.findall(marked(text))]
 
 
 class Decoder:
@@ -114,13 +174,13 @@ class Decoder:
         return text[1:] if text[:1] == " " else text
 
 
-_CODECS: dict[tuple[str, str], tuple[Viterbi, Decoder]] = {}
+def _codec(path: str, kind: str) -> tuple[Viterbi, Decoder]:
+    model = Pieces(path)
+    return Viterbi(model, kind), Decoder(model)
 
 
 def codec(path: str, kind: str = "bpe") -> tuple[Viterbi, Decoder]:
-    if (path, kind) not in _CODECS:
-        _CODECS[path, kind] = (Viterbi(pieces(path), kind), Decoder(pieces(path)))
-    return _CODECS[path, kind]
+    return held(_codec, path, kind)
 
 
 def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.bpe import MEMO
-from corpuslens.llm.common import hash_unit, held_out, only, small_batches, table
+from corpuslens.llm.common import hash_unit, held_out, only, release, small_batches, table
 
 SPAN, DECAY, WIDTH, STEP = 5, 0.6, 32, 24
 #: Bounds of the model fit: labelled documents, words of each side, landmarks.
@@ -199,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     train = labelled(docs, labels)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             seen: Counter = Counter()
             for text, y in zip(b["text"], b["toxic"], strict=True):
@@ -229,6 +230,7 @@ def margins(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = ", ".join(f"`{c}` {t}" for c, t in given.select(*keep).dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         scorer = Scorer(sent.value)
         for b in batches:
             yield b[list(keep)].assign(margin=scorer.margins(b["text"].tolist()))
@@ -250,6 +252,7 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
     least = -model.shift / model.slope
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         scorer = Scorer(sent.value)
         for b in batches:
             bad = [m >= least for m in scorer.margins([t or "" for t in b["text"]])]

@@ -129,7 +129,13 @@ def test_decontamination_odd(spark, odd, empty):
     assert got[1]["n_words"] == 0 and got[5]["spans"] == [0, 3000] and sorted(got[4]["items"]) == ["4", "5"] and got[5]["longest"] == 3
     assert decontaminate.matches(empty, bench).count() == 0
     assert decontaminate.matches(odd, bench.where("false")).where("size(spans) > 0").count() == 0
-    assert decontaminate.clean(odd, bench).where("doc_id is null").count() == 1
+    assert decontaminate.clean(odd, bench).where("doc_id is null").count() == 1 and decontaminate.clean(odd, bench).columns == odd.columns
+    docs = spark.createDataFrame([(-1, "clean"), (None, "a word here"), (None, "nothing"), (7, "fine"), (7, "word"), (None, None)], "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in decontaminate.clean(docs, bench).collect()), key=str)
+    assert kept == sorted([(-1, "clean"), (None, "nothing"), (7, "fine"), (None, None)], key=str)
+    twice = spark.createDataFrame([(4, "word"), (4, "a word"), (None, "x" * 20000), (None, "fine")], "item_id long, text string")
+    got = {(r["doc_id"], tuple(r["items"]), len(r["spans"]) > 0) for r in decontaminate.matches(docs, twice).collect()}
+    assert (None, ("4",), True) in got and (7, (), True) in got and (7, ("4",), True) in got and (-1, (), False) in got
 
 
 # --- language
@@ -349,7 +355,7 @@ def test_unigram_viterbi_by_enumeration():
     got = piece_codec.Viterbi(Toy(), "unigram").encode_words(words)
     for w in words:
         best = max(sum(Toy.score[p] for p in x) for x in ways(w))
-        assert abs(sum(list(Toy.score.values())[i] for i in got[w]) - best) < 1e-9
+        assert abs(sum(list(Toy.score.values())[i] for i in np.frombuffer(got[w], np.int32)) - best) < 1e-9
 
 
 def test_token_binary(spark, small, docs, odd, empty):
