@@ -5,8 +5,9 @@ sorted; each suffix of a test item is found among them by binary search, and the
 Suffixes that hold a word no item has cannot match and are left out. Items are dealt into blocks of bounded size, and the
 documents pass through one block after another in the same pass, so nothing is shuffled.
 
-Cases: null and empty texts have no words and are clean; items without words match nothing. Equal items count each;
-repeated documents are rows of their own. Columns other than those named are ignored.
+Cases: null and empty texts have no words and are clean; items without words match nothing. Rows with one item_id
+are one item; one without id hits documents but is not among the items named. Repeated documents are rows of their own.
+Texts of any length are searched whole. Empty tables of documents give no rows, empty benchmarks leave all clean. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.bpe import MEMO
-from corpuslens.llm.common import only, small_batches, table
+from corpuslens.llm.common import only, release, saved, small_batches, table, with_small
 
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -48,7 +49,7 @@ class Block:
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    names: list[str]
+    names: list[str | None]
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -56,7 +57,7 @@ def _keys(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * WINDOW}").ravel()
 
 
-def make_block(items: list[tuple[str, list[str]]]) -> Block:
+def make_block(items: list[tuple[str | None, list[str]]]) -> Block:
     ids: dict[str, int] = {}
     found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
     for k, (_, words) in enumerate(items):
@@ -149,7 +150,7 @@ def search(block: Block, docs: list[np.ndarray]) -> list[tuple[list[int], list[s
         best = a + int(np.argmax(length[a:b]))
         own = slice(cuts[k], cuts[k + 1])
         flat = np.stack([span_lo[own], span_hi[own]], axis=1).ravel() - starts[k]
-        names = [block.names[i] for i in np.unique(item[head[a:b]])]
+        names = list(dict.fromkeys(n for i in np.unique(item[head[a:b]]) if (n := block.names[i]) is not None))
         out[k] = (flat.tolist(), names, int(length[best]), block.names[item[head[best]]], int(p[head[best]] - starts[k]))
     return out
 
@@ -166,21 +167,25 @@ def _merged(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[str, list[str]]]]:
+def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[str]]]]:
     """Blocks of at most BLOCK_WORDS words (or one item)."""
     block, held = [], 0
-    for r in only(benchmark, "item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).orderBy("item_id", "text").toLocalIterator():
+    for r in only(benchmark, "item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
         words = words_of(r["text"])
         if block and held + len(words) > BLOCK_WORDS:
             yield block
             block, held = [], 0
-        block.append((str(r["item_id"]), words))
+        block.append((None if r["item_id"] is None else str(r["item_id"]), words))
         held += len(words)
     yield block
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, `spans` (start, end, ... of hit words), `items`, and the longest verbatim match with its place."""
+    return _matched(docs, benchmark).drop("text")
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     nothing = F.array().cast("array<long>"), F.array().cast("array<string>")
@@ -188,13 +193,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), nothing[0].alias("spans"), nothing[1].alias("items"),
         F.lit(0).cast("long").alias("longest"), F.lit(None).cast("string").alias("longest_item"), F.lit(-1).cast("long").alias("longest_at"),
     )
-    for items in blocks_of(benchmark):
+    for k, items in enumerate(blocks_of(benchmark)):
+        if k:  # one block in motion at a time
+            out = saved(out, "decontamination")
         out = out.mapInPandas(_pass(spark.sparkContext.broadcast(make_block(items))), _FOUND)
-    return out.drop("text")
+    return out
 
 
 def _pass(sent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         block = sent.value
         numbers = _Numbers(block)
         held: list[pd.DataFrame] = []
@@ -205,7 +213,7 @@ def _pass(sent):
             b = pd.concat(held, ignore_index=True)
             got = search(block, docs)
             b["n_words"] = [len(d) for d in docs]
-            rows = [(_merged(list(s), g[0]), list(i) + g[1], *((g[2], g[3], g[4]) if g[2] > n else (n, ni, na)))
+            rows = [(_merged(list(s), g[0]), list(dict.fromkeys([*i, *g[1]])), *((g[2], g[3], g[4]) if g[2] > n else (n, ni, na)))
                     for s, i, n, ni, na, g in zip(b["spans"], b["items"], b["longest"], b["longest_item"], b["longest_at"], got, strict=True)]
             for k, c in enumerate(("spans", "items", "longest", "longest_item", "longest_at")):
                 b[c] = [r[k] for r in rows]
@@ -227,9 +235,12 @@ def _pass(sent):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, without those that hold a window of an item."""
-    hit = matches(docs, benchmark).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(hit, F.coalesce(docs["doc_id"], F.lit(-1)) == F.coalesce(hit["doc_id"], F.lit(-1)), "left_anti")
+    """The documents, all columns, without those that hold a window of an item: each row is decided by its own text, whatever its id."""
+    name, key = "_text", lambda: F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    while name in docs.columns:
+        name += "_"
+    hit = _matched(docs, benchmark).where(F.size("spans") > 0).select(key().alias(name))
+    return with_small(docs.withColumn(name, key()), saved(hit, "contaminated"), name, "left_anti").drop(name)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
