@@ -35,7 +35,7 @@ def clean_text(c: Column) -> Column:
     """Plain blanks, at most one blank line, no page-number lines, trimmed."""
     t = F.translate(text_or_empty(c), " 　", "  ")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    t = F.regexp_replace(t, r"(?m)^\s*[-—]?\s*\d{1,4}\s*[-—]?\s*$", "")
+    t = F.regexp_replace(t, r"(?m)^\s*[-—]{0,2}\s*\d{1,4}\s*[-—]{0,2}\s*$", "")
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
@@ -45,7 +45,8 @@ def content_hash(c: Column) -> Column:
 
 def standard_code(c: Column) -> Column:
     """First standard code, upper case, plain dash; empty if none."""
-    return F.regexp_replace(F.translate(F.upper(F.regexp_extract(text_or_empty(c), STANDARD_CODE, 1)), "—", "-"), r"\s+", " ")
+    code = F.translate(F.upper(F.regexp_extract(text_or_empty(c), STANDARD_CODE, 1)), "—", "-")
+    return F.regexp_replace(F.regexp_replace(code, r"\s+", " "), r"\s*-\s*", "-")
 
 
 def standard_codes(c: Column) -> Column:
@@ -76,7 +77,7 @@ def summary(c: Column, limit: int = 200) -> Column:
         return F.struct(F.when(full, acc["buf"]).otherwise(F.concat(acc["buf"], s)).alias("buf"), full.alias("full"))
 
     buf = F.aggregate(F.split(t, r"(?<=[。！？!?\n])"), zero, step, lambda a: a["buf"])
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.trim(F.when(buf != "", buf).otherwise(F.substring(t, 1, limit))), F.lit("…")))
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.when(buf != "", buf).otherwise(F.substring(t, 1, limit)), r"^\s+|\s+$", ""), F.lit("…")))
 
 
 def with_section(path: Column, text: Column) -> Column:
@@ -87,7 +88,7 @@ def with_section(path: Column, text: Column) -> Column:
 
 def citation_marks(c: Column) -> Column:
     """Distinct numbers of marks like [2]."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(r"\[(\d{1,2})\]"), F.lit(1)), lambda x: x.cast("int")))
 
 
 def phrase_hit(query: Column, doc: Column) -> Column:
@@ -115,5 +116,18 @@ def token_key(c: Column, n: int = 6) -> Column:
     return F.when(F.size(t) > 0, F.array_join(t, " ")).otherwise(F.substring(F.sha2(F.lower(F.trim(text_or_empty(c))), 256), 1, 32))
 
 
+def report_key(c: Column) -> Column:
+    """First five of the sorted distinct tokens; the first 20 characters of a text that has none."""
+    t = F.slice(F.array_sort(F.array_distinct(tokenize(c))), 1, 5)
+    return F.when(F.size(t) > 0, F.array_join(t, " ")).otherwise(F.substring(text_or_empty(c), 1, 20))
+
+
+def top_keywords(c: Column, k: int) -> Column:
+    """The k most frequent tokens of two characters or more; longer ones and then earlier ones first among equals. For short texts."""
+    t = F.filter(tokenize(c), lambda x: F.length(x) >= 2)
+    each = F.transform(F.array_distinct(t), lambda w: F.struct((-F.size(F.filter(t, lambda x: x == w))).alias("n"), (-F.length(w)).alias("l"), F.array_position(t, w).alias("at"), w.alias("w")))
+    return F.transform(F.slice(F.array_sort(each), 1, k), lambda x: x["w"])
+
+
 def request_key(query: Column, context: Column) -> Column:
-    return F.sha2(F.concat(query, F.lit("|"), F.to_json(context)), 256)
+    return F.sha2(F.concat(text_or_empty(query), F.lit("|"), F.to_json(context)), 256)

@@ -49,7 +49,7 @@ def health_score(issues: DataFrame, docs: DataFrame) -> DataFrame:
 def gap_report(log: DataFrame, as_of: Column, days: int = 30, floor: float = 0.45, limit: int = 20) -> DataFrame:
     """The most frequent questions that found nothing or little, by token key."""
     recent = log.where((F.col("created_at") >= as_of - F.make_dt_interval(F.lit(days))) & (F.col("intent") != "chitchat") & ((F.col("hit_count") == 0) | (F.col("confidence") < floor)))
-    key = T.token_key(F.col("query"), 5)
+    key = T.report_key(F.col("query"))
     g = recent.groupBy(key.alias("query_key")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.bool_and(F.col("hit_count") == 0).alias("no_hits"))
     return g.orderBy(F.desc("n"), "avg_confidence", "query_key").limit(limit)
 

@@ -44,7 +44,7 @@ def alerts(reports: DataFrame, threshold: float = 80.0) -> DataFrame:
     """Alerts of reports (report_id, tenant_id, kb_id, created_at, score, high_count): low score, or new high-severity issues."""
     at = W.partitionBy("tenant_id", "kb_id").orderBy("created_at", "report_id")
     r = reports.withColumn("prev_high", F.coalesce(F.lag("high_count").over(at), F.lit(0)))
-    kinds = F.filter(F.array(F.when(F.col("score") < threshold, F.lit("low_score")), F.when(F.col("high_count") - F.col("prev_high") >= 1, F.lit("new_high_issues"))), lambda x: x.isNotNull())
+    kinds = F.filter(F.array(F.when(F.col("score") < threshold, F.lit("low_score")), F.when(F.col("high_count") - F.col("prev_high") >= 1, F.lit("new_high_severity"))), lambda x: x.isNotNull())
     return r.select("report_id", "tenant_id", "kb_id", F.explode(kinds).alias("alert_type"), "score", "high_count", "prev_high")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.functions.vectors import cosine, hash_vectors
-from corpuslens.operators import evaluate, governance, ingest, intents, quality, reports, search
+from corpuslens.operators import answers, evaluate, governance, ingest, intents, quality, reports, search
 from corpuslens.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,7 +175,7 @@ def kb_overview(spark, sf_dir):
     return V.document_v(spark, sf_dir).groupBy("kb_id").agg(F.count_if(~F.col("is_deleted")).alias("n_docs"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.countDistinct("domain").alias("n_domains"), *map(status, ("valid", "need_update", "deprecated")))
 
 
-@query(V.sql(f"SELECT query_key, n, avg_confidence, no_hits FROM (SELECT coalesce(nullif(list_aggregate(list_sort(list_distinct({_TOK('query')}))[1:5], 'string_agg', ' '), ''), substring(sha256(lower(trim(query))), 1, 32)) AS query_key, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, bool_and(hit_count = 0) AS no_hits FROM query_log_v WHERE created_at >= timestamp '2024-01-15' - to_days(30) AND intent <> 'chitchat' AND (hit_count = 0 OR confidence < 0.45) GROUP BY 1) ORDER BY n DESC, avg_confidence, query_key LIMIT 20", "query_log_v"))
+@query(V.sql(f"SELECT query_key, n, avg_confidence, no_hits FROM (SELECT coalesce(nullif(list_aggregate(list_sort(list_distinct({_TOK('query')}))[1:5], 'string_agg', ' '), ''), substring(query, 1, 20)) AS query_key, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, bool_and(hit_count = 0) AS no_hits FROM query_log_v WHERE created_at >= timestamp '2024-01-15' - to_days(30) AND intent <> 'chitchat' AND (hit_count = 0 OR confidence < 0.45) GROUP BY 1) ORDER BY n DESC, avg_confidence, query_key LIMIT 20", "query_log_v"))
 def knowledge_gaps(spark, sf_dir):
     return governance.gap_report(V.query_log_v(spark, sf_dir), F.lit("2024-01-15").cast("timestamp"))
 
@@ -257,7 +257,7 @@ def release_gate(spark, sf_dir):
 def reranked_candidates(spark, sf_dir):
     """Fused candidates reranked with cosine and lexical signals, boosted by status, behind the relevance floor."""
     d, q = V.document_v(spark, sf_dir), V.query_v(spark, sf_dir)
-    c = _hybrid(spark, sf_dir).join(q, "query_id").join(d.select("doc_id", F.col("text").alias("content"), "governance_status"), "doc_id")
+    c = _hybrid(spark, sf_dir).join(q, "query_id").join(d.select("doc_id", F.col("text").alias("content"), "governance_status"), "doc_id", "left").withColumn("content", T.text_or_empty(F.col("content")))
     pair = c.select("query_id", "doc_id")
     s = pair.join(hash_vectors(d, "doc_id"), "doc_id").join(hash_vectors(q, "query_id", "query").withColumnRenamed("value", "qv"), ["query_id", "bucket"])
     cos = s.groupBy("query_id", "doc_id").agg(F.sum(F.col("value") * F.col("qv")).alias("cosine"))
@@ -294,32 +294,97 @@ def sub_queries(spark, sf_dir):
     return intents.sub_queries(q.withColumn("query", F.replace("query", F.lit(","), F.lit("?"))))
 
 
-def _answers(spark, sf_dir):
-    """Contexts of the items, and the beginning of the first one as answer."""
-    d, q = V.document_v(spark, sf_dir), V.query_v(spark, sf_dir)
+def _contexts(spark, sf_dir):
+    d = V.document_v(spark, sf_dir)
     c = _hybrid(spark, sf_dir).where("rank <= 6").select("query_id", "doc_id", F.col("fusion_score").alias("final_score"), "rank")
-    c = c.join(d.select("doc_id", "governance_status", F.concat(F.substring("text", 1, 320), F.lit(" [1]")).alias("start")), "doc_id")
-    first = c.where("rank = 1").select("query_id", F.col("start").alias("answer"))
-    return c.drop("start"), q.join(first, "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    no = F.lit("")
+    return c.join(d.select("doc_id", F.col("text").alias("content"), "title", "governance_status", no.alias("standard_code"), F.col("domain").alias("section_path"), no.alias("clause_no"), F.lit(0).alias("page_no")), "doc_id", "left")
+
+
+_ENDS = "。；！？;!?."
+_STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_CONTEXT = {
+    "fused": _FUSED,
+    "c0": "SELECT query_id, doc_id, fusion_score AS final_score, f.rank, governance_status, '《' || title || '》 | 章节：' || domain || CASE governance_status WHEN 'deprecated' THEN ' | ⚠已废弃，仅供参考' WHEN 'need_update' THEN ' | ⚠待更新' ELSE '' END AS head, "
+    + _STRIP("text") + " AS body FROM fused f JOIN document_v USING (doc_id) WHERE f.rank <= 6",
+    "c1": "SELECT * FROM c0 WHERE body <> '' QUALIFY row_number() OVER (PARTITION BY query_id, substring(body, 1, 80), length(body) // 50 ORDER BY rank, doc_id) = 1",
+    "c2": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS p FROM c1",
+    "fold": """SELECT query_id, 0::bigint AS p, NULL::bigint AS doc_id, 0::bigint AS rank, 8000::bigint AS budget, '' AS block, false AS done FROM c2 WHERE p = 1
+      UNION ALL SELECT query_id, p, doc_id, rank, budget - length(block), block, budget - length(block) <= 200 FROM (SELECT query_id, p, doc_id, rank, budget, CASE WHEN length(b) > budget THEN substring(b, 1, budget) || '…' ELSE b END AS block
+        FROM (SELECT c2.query_id, c2.p, c2.doc_id, c2.rank, fold.budget, '[' || c2.p || '] ' || head || chr(10) || body AS b FROM fold JOIN c2 ON c2.query_id = fold.query_id AND c2.p = fold.p + 1 WHERE NOT fold.done) WHERE NOT (length(b) > budget AND budget < 300))""",
+    "blocks": "SELECT query_id, p::int AS index_no, doc_id, rank, block FROM fold WHERE p > 0",
+}
+_ANSWER = {
+    "e0": "SELECT query_id, index_no, " + _STRIP("regexp_replace(regexp_replace(block[position(chr(10) in block) + 1:], '【[^】]{0,120}】', ' ', 'g'), '\\s+', ' ', 'g')") + " AS body FROM blocks",
+    "e1": f"SELECT query_id, index_no, body, list_filter(list_transform(regexp_extract_all(body, '[^{_ENDS}]+[{_ENDS}]?'), lambda s: trim(s)), lambda s: length(s) > 10) AS s FROM e0 WHERE length(body) >= 10",
+    "e2": "SELECT query_id, index_no, len(s) > 0 AS whole, unnest(CASE WHEN len(s) > 0 THEN s ELSE [body[1:200]] END) AS s, unnest(range(1, greatest(len(s), 1) + 1)) AS pos FROM e1",
+    "e3": f"SELECT query_id, index_no, s, pos, CASE WHEN whole THEN round(len(list_intersect(list_distinct({_TOK('query')}), {_TOK('s')})) / greatest(len(list_distinct({_TOK('query')})), 1) + CASE WHEN regexp_matches(s, '{answers.MEASURE}') THEN 0.12::double ELSE 0.0::double END, 6) ELSE 0.0 END AS score FROM e2 JOIN query_v USING (query_id)",
+    "e4": "SELECT * FROM e3 QUALIFY row_number() OVER (PARTITION BY query_id, index_no ORDER BY score DESC, pos) = 1",
+    "e5": "SELECT * FROM e4 QUALIFY row_number() OVER (PARTITION BY query_id, substring(s, 1, 40) ORDER BY score DESC, index_no) = 1",
+    "e6": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_no) AS r FROM e5 QUALIFY r <= 4",
+    "e7": "SELECT query_id, string_agg('- ' || CASE WHEN length(s) > 320 THEN s[1:320] || '…' ELSE s END || ' [' || index_no || ']', chr(10) ORDER BY r) AS lines FROM e6 GROUP BY 1",
+    "ans": f"SELECT q.query_id, query, coalesce('{answers.ANSWER_HEAD}' || chr(10) || lines || chr(10) || '{answers.ANSWER_NOTE}', '{answers.NO_CONTEXT}') AS answer FROM query_v q LEFT JOIN e7 USING (query_id)",
+    "ctx": "SELECT b.query_id, b.doc_id, b.index_no AS rank, final_score, governance_status FROM blocks b JOIN c2 ON c2.query_id = b.query_id AND c2.p = b.index_no",
+}
+
+
+@query(V.sql("SELECT * FROM blocks", "document_v", "query_v", **_BM25, **_VEC, **_CONTEXT).replace("WITH", "WITH RECURSIVE", 1))
+def context_blocks(spark, sf_dir):
+    """Numbered context blocks of each benchmark item, without near repeats, within the budget."""
+    return answers.context_blocks(_contexts(spark, sf_dir))
+
+
+def _answers(spark, sf_dir):
+    """Contexts of the items as used, numbered as the answer marks them, and the extractive answers."""
+    c = _contexts(spark, sf_dir)
+    b = answers.context_blocks(c)
+    used = b.join(c.select("query_id", "doc_id", "final_score", "governance_status"), ["query_id", "doc_id"]).drop("rank", "block").withColumnRenamed("index_no", "rank")
+    return used, answers.extracted(V.query_v(spark, sf_dir), b, _ENDS)
 
 
-_CTX = "SELECT query_id, doc_id, fusion_score AS final_score, f.rank, governance_status, substring(text, 1, 320) || ' [1]' AS start FROM fused f JOIN document_v USING (doc_id) WHERE f.rank <= 6"
-_ANS = "SELECT q.query_id, query, coalesce(start, '') AS answer FROM query_v q LEFT JOIN (SELECT query_id, start FROM ctx WHERE rank = 1) c ON c.query_id = q.query_id"
-_SURE = f"""SELECT query_id, query, coalesce(round(least(1.0::double, (0.34 * least(1.0, 0.6 * top + 0.4 * mean) + 0.14 * least(1.0, n / 4.0) + 0.14 * least(1.0, docs / 3.0)
-  + 0.24 * least(1.0, (contains(answer, '[1]'))::int / greatest(1, least(3, n))) + 0.14 * len(list_intersect(list_distinct({_TOK('query')}), {_TOK('answer')})) / greatest(len(list_distinct({_TOK('query')})), 1))
-  * CASE WHEN old THEN 0.75 ELSE 1.0 END), 4), 0)::double AS confidence FROM ans LEFT JOIN (SELECT query_id, max(final_score) AS top, avg(final_score) AS mean, count(*) AS n, count(DISTINCT doc_id) AS docs, bool_or(governance_status = 'deprecated') AS old FROM ctx GROUP BY 1) USING (query_id)"""
+@query(V.sql("SELECT * FROM ans", "document_v", "query_v", **_BM25, **_VEC, **_CONTEXT, **_ANSWER).replace("WITH", "WITH RECURSIVE", 1))
+def extractive_answers(spark, sf_dir):
+    """The answer of each benchmark item, made of sentences of its contexts."""
+    return _answers(spark, sf_dir)[1]
 
 
-@query(V.sql("SELECT query_id, confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.45 THEN 'medium' ELSE 'low' END AS level, confidence < 0.45 AS need_review FROM sure", "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED, ctx=_CTX, ans=_ANS, sure=_SURE))
+_SURE = f"""SELECT query_id, coalesce(round(least(1.0::double, (0.34 * least(1.0, 0.6 * top + 0.4 * mean) + 0.14 * least(1.0, n / 4.0) + 0.14 * least(1.0, docs / 3.0)
+  + 0.24 * least(1.0, len(list_distinct(regexp_extract_all(answer, '\\[(\\d{{1,2}})\\]', 1))) / greatest(1, least(3, n))) + 0.14 * len(list_intersect(list_distinct({_TOK('query')}), {_TOK('answer')})) / greatest(len(list_distinct({_TOK('query')})), 1))
+  * CASE WHEN old THEN 0.75 ELSE 1.0 END * CASE WHEN contains(answer, '未提供') OR contains(answer, '知识库未') THEN 0.6 ELSE 1.0 END), 4), 0)::double AS confidence FROM ans LEFT JOIN (SELECT query_id, max(final_score) AS top, avg(final_score) AS mean, count(*) AS n, count(DISTINCT doc_id) AS docs, bool_or(governance_status = 'deprecated') AS old FROM ctx GROUP BY 1) USING (query_id)"""
+
+
+@query(V.sql("SELECT query_id, confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.45 THEN 'medium' ELSE 'low' END AS level, confidence < 0.45 AS need_review FROM sure", "document_v", "query_v", **_BM25, **_VEC, **_CONTEXT, **_ANSWER, sure=_SURE).replace("WITH", "WITH RECURSIVE", 1))
 def answer_confidence(spark, sf_dir):
+    """Confidence in the extractive answers from their contexts and marks."""
     return intents.confidence(*_answers(spark, sf_dir))
 
 
-@query(V.sql("SELECT query_id, doc_id, rank FROM ctx WHERE rank = 1", "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED, ctx=_CTX))
+@query(V.sql("SELECT ctx.query_id, doc_id, rank FROM ctx JOIN ans USING (query_id) WHERE contains(answer, '[' || rank || ']') OR NOT regexp_matches(answer, '\\[\\d{1,2}\\]')", "document_v", "query_v", **_BM25, **_VEC, **_CONTEXT, **_ANSWER).replace("WITH", "WITH RECURSIVE", 1))
 def answer_citations(spark, sf_dir):
+    """The contexts that the extractive answers mark."""
     return intents.citations(*_answers(spark, sf_dir)).select("query_id", "doc_id", "rank")
 
 
+@query(V.sql(f"SELECT query_id, doc_id, f.rank, fusion_score, title, CASE WHEN length(text) > 500 THEN text[1:500] || '…' ELSE text END AS content, list_sort(list_intersect(list_distinct({_TOK('query')}), {_TOK('text')})) AS matched_terms FROM fused f JOIN query_v USING (query_id) LEFT JOIN document_v USING (doc_id)", "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED))
+def search_results(spark, sf_dir):
+    """Fused candidates as a search page shows them."""
+    return answers.search_rows(_hybrid(spark, sf_dir), V.query_v(spark, sf_dir), V.document_v(spark, sf_dir))
+
+
+@query(V.sql("SELECT query_id, count(*) AS n, count(*) FILTER (vector_rank IS NOT NULL AND bm25_rank IS NOT NULL) AS n_both, count(*) FILTER (bm25_rank IS NULL) AS n_vector_only, count(*) FILTER (vector_rank IS NULL) AS n_bm25_only, max(fusion_score) AS best, max(fusion_score) < 0.3 AS weak FROM fused GROUP BY 1", "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED))
+def search_signals(spark, sf_dir):
+    """Which channels found the candidates of each item."""
+    return answers.explained(_hybrid(spark, sf_dir))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_filter([trim(text), CASE WHEN contains(text, 'the') THEN 'article determiner' ELSE '' END], lambda x: x <> ''), ' ') AS rewritten FROM conversations WHERE role = 'user'")
+def rewritten_queries(spark, sf_dir):
+    """User turns with the synonyms of a term that occurs in these texts."""
+    m = V.table(spark, sf_dir, "conversations").where("role = 'user'")
+    q = m.select("conv_id", "turn", F.col("text").alias("query"), *[F.lit(None).cast("string").alias(c) for c in ("project_type", "region", "last_user")])
+    return answers.rewritten(q, {"the": "article determiner"}).select("conv_id", "turn", "rewritten")
+
+
 @query(f"SELECT query_key, 'gap_fill' AS task_type, CASE WHEN n >= 3 THEN 'high' ELSE 'medium' END AS priority FROM ({ORACLES['knowledge_gaps']})")
 def gap_tasks(spark, sf_dir):
     """A task for each gap found."""
