@@ -38,3 +38,25 @@ def baseline_status(current: DataFrame, baseline: DataFrame, metrics: list[str],
     s = d.agg(F.min("delta").alias("lo"), F.max("delta").alias("hi"))
     status = F.when(F.col("lo") < -slack, "regressed").when(F.col("hi") > slack, "improved").otherwise("ok")
     return d.crossJoin(F.broadcast(s.select(status.alias("status"))))  # one row
+
+
+def run_rates(golden: DataFrame, per_query: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row over golden queries (query_id, negative): share of positives with a hit and with all hits among the first five, share
+    whose list the relevance floor rejected, and share of negatives rejected or left without candidates. `ranked` has
+    (query_id, rejected). Empty sides count 0."""
+    floor = ranked.groupBy("query_id").agg(F.bool_or("rejected").alias("rejected"))
+    q = golden.join(per_query.select("query_id", "recall_5"), "query_id", "left").join(floor, "query_id", "left")
+    pos, neg = ~F.col("negative"), F.col("negative")
+    share = lambda side, c: F.round(F.coalesce(F.avg(F.when(side, c.cast("double"))), F.lit(0.0)), 4)
+    found, gone = F.coalesce("recall_5", F.lit(0.0)), F.coalesce("rejected", F.lit(True))
+    return q.agg(
+        F.count_if(pos).alias("n_positive"), F.count_if(neg).alias("n_negative"), share(pos, found > 0).alias("hit_rate"), share(pos, found >= 1).alias("full_hit_rate"),
+        share(pos, F.coalesce("rejected", F.lit(False))).alias("below_floor_rate"), share(neg, gone).alias("correct_rejection_rate"),
+    )
+
+
+def corpus_golden(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, query, relevant) of an evaluation corpus (doc_id, queries): every chunk of a document is relevant to its queries."""
+    rel = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
+    q = documents.select("doc_id", F.posexplode("queries").alias("n", "query"))
+    return q.join(rel, "doc_id", "left").select(F.concat(F.col("doc_id").cast("string"), F.lit("-"), (F.col("n") + 1).cast("string")).alias("query_id"), "query", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant"))

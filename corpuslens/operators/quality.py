@@ -53,3 +53,43 @@ def tasks_from_issues(issues: DataFrame, open_tasks: DataFrame, types: dict[str,
     kind = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
     t = issues.where((F.col("severity") == "high") & ~T.blank(F.col("doc_id").cast("string"))).select(F.coalesce(kind[F.col("issue_type")], F.lit("review")).alias("task_type"), "doc_id").distinct()
     return t.join(open_tasks.select("task_type", "doc_id"), ["task_type", "doc_id"], "left_anti").withColumn("due_days", F.lit(14))
+
+
+def missing_codes(docs: DataFrame, domain: str = "standard") -> DataFrame:
+    """Documents of the standard domain without standard code, each once."""
+    return docs.where((F.col("domain") == domain) & T.blank(F.col("standard_code"))).select("doc_id", F.lit("missing_standard_code").alias("issue_type"), F.lit("medium").alias("severity")).distinct()
+
+
+def sparse_domains(chunks: DataFrame, domains: tuple[str, ...] = ("standard", "case", "enterprise"), least: int = 3) -> DataFrame:
+    """(domain, n_chunks, severity) of all `domains` with no more than `least` chunks, those without any as well."""
+    every = chunks.sparkSession.createDataFrame([(d,) for d in domains], "domain string")
+    n = every.join(chunks.groupBy("domain").agg(F.count("*").alias("n")), "domain", "left").select("domain", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+    return n.where(F.col("n_chunks") <= least).withColumn("severity", F.when(F.col("n_chunks") == 0, "high").otherwise("medium"))
+
+
+def intent_recall(per_query: DataFrame, intents: DataFrame, least: float = 0.7) -> DataFrame:
+    """(intent, n, recall, low): mean recall of each expected intent's queries (query_id, recall_5)."""
+    g = per_query.join(intents.select("query_id", "intent"), "query_id").groupBy("intent").agg(F.count("*").alias("n"), F.round(F.avg("recall_5"), 4).alias("recall"))
+    return g.withColumn("low", F.col("recall") < least)
+
+
+def isolated_queries(golden: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, issue_type, severity) of queries with relevant documents that found no candidate at all; they also feed the knowledge gaps."""
+    lost = golden.select("query_id").distinct().join(candidates.select("query_id").distinct(), "query_id", "left_anti")
+    return lost.select("query_id", F.lit("isolated_query").alias("issue_type"), F.lit("high").alias("severity"))
+
+
+def inspection(issues: DataFrame, n_chunks: int, keep: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(issue_type, severity, n) counts, and the issues a report keeps: the gravest first, then by type and place. The score is that of `score`."""
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    return issues.groupBy("issue_type", "severity").agg(F.count("*").alias("n")), issues.orderBy(rank, "issue_type", *[c for c in ("doc_id", "seq") if c in issues.columns]).limit(keep)
+
+
+def suggestions(counts: DataFrame) -> DataFrame:
+    """(issue_type, n, suggestion) rows of counted issues (issue_type, n)."""
+    words = {
+        "duplicate_chunk": "merge or remove near duplicates", "orphan_chunk": "review chunks unlike all others", "missing_standard_code": "add the standard codes", "missing_location": "split by headings again",
+        "oversized_chunk": "split by clauses", "tiny_chunk": "join with neighbours", "missing_vector": "embed again", "zero_vector": "embed again", "domain_coverage_gap": "add documents of the domain", "isolated_query": "add documents that answer it",
+    }
+    kind = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    return counts.groupBy("issue_type").agg(F.sum("n").alias("n")).withColumn("suggestion", F.coalesce(kind[F.col("issue_type")], F.lit("review")))

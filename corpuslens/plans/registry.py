@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.functions.vectors import cosine, hash_vectors
-from corpuslens.operators import answers, evaluate, governance, ingest, intents, quality, reports, search
+from corpuslens.operators import answers, evaluate, governance, ingest, intents, lists, quality, reports, search, versions
 from corpuslens.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -424,3 +424,87 @@ def answer_rate_trend(spark, sf_dir):
 def kb_reports(spark, sf_dir):
     """Health of each knowledge base."""
     return reports.kb_reports(V.document_v(spark, sf_dir), V.as_of())
+
+
+@query(V.sql("SELECT doc_id, 'missing_standard_code' AS issue_type, 'medium' AS severity FROM document_v WHERE domain = 'standard' AND trim(CASE WHEN owner = 'u1' THEN '' ELSE 'GB' || doc_id END) = ''", "document_v"))
+def missing_codes(spark, sf_dir):
+    """Documents of the standard domain without code; those of one owner play documents without."""
+    code = F.when(F.col("owner") == "u1", "").otherwise(F.concat(F.lit("GB"), F.col("doc_id").cast("string")))
+    return quality.missing_codes(V.document_v(spark, sf_dir).withColumn("standard_code", code))
+
+
+@query(V.sql("SELECT d.domain, count(v.doc_id) AS n_chunks, CASE WHEN count(v.doc_id) = 0 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT unnest(['standard', 'case', 'enterprise', 'project']) AS domain) d LEFT JOIN document_v v USING (domain) GROUP BY 1", "document_v"))
+def domain_coverage(spark, sf_dir):
+    """How many documents each domain has, one without any included; the threshold is so high that all are listed."""
+    return quality.sparse_domains(V.document_v(spark, sf_dir), ("standard", "case", "enterprise", "project"), 1 << 40)
+
+
+@query(V.sql("SELECT item_id AS query_id, count(doc_id) AS n_relevant, count(doc_id) = 0 AS negative FROM benchmark LEFT JOIN gold ON gold.query_id = item_id GROUP BY 1", gold=_GOLD))
+def golden_summary(spark, sf_dir):
+    """Relevant documents of each benchmark item; items without are negatives."""
+    g = _golden(spark, sf_dir).groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
+    return lists.golden_summary(V.query_v(spark, sf_dir).join(g, "query_id", "left")).withColumn("n_relevant", F.col("n_relevant").cast("long"))
+
+
+_RANKED = "SELECT query_id, max(fusion_score) < 0.45 OR count(*) FILTER (fusion_score >= 0.45 * 0.75) < 2 AS rejected FROM (SELECT * FROM fused WHERE rank <= 6) GROUP BY 1"
+_RATES = """SELECT count(*) FILTER (NOT negative) AS n_positive, count(*) FILTER (negative) AS n_negative, round(coalesce(avg((coalesce(recall_5, 0) > 0)::int) FILTER (NOT negative), 0), 4) AS hit_rate,
+  round(coalesce(avg((coalesce(recall_5, 0) >= 1)::int) FILTER (NOT negative), 0), 4) AS full_hit_rate, round(coalesce(avg(coalesce(rejected, false)::int) FILTER (NOT negative), 0), 4) AS below_floor_rate,
+  round(coalesce(avg(coalesce(rejected, true)::int) FILTER (negative), 0), 4) AS correct_rejection_rate FROM (SELECT query_id, query_id NOT IN (SELECT query_id FROM gold) AS negative FROM query_v) LEFT JOIN m USING (query_id) LEFT JOIN floor USING (query_id)"""
+
+
+@query(V.sql(_RATES, "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED, gold=_GOLD, m=_METRICS, floor=_RANKED))
+def evaluation_rates(spark, sf_dir):
+    """Hit, floor and rejection rates of the fused lists over all benchmark items."""
+    found, gold = _hybrid(spark, sf_dir), _golden(spark, sf_dir)
+    g = V.query_v(spark, sf_dir).join(gold.select("query_id", F.lit(True).alias("has")).distinct(), "query_id", "left").select("query_id", F.col("has").isNull().alias("negative"))
+    ranked = search.relevance_floor(found.where("rank <= 6").withColumnRenamed("fusion_score", "final_score"))
+    return evaluate.run_rates(g, evaluate.ranking_metrics(found.select("query_id", "doc_id", "rank"), gold), ranked)
+
+
+@query(V.sql("SELECT gold.query_id, 'isolated_query' AS issue_type, 'high' AS severity FROM (SELECT DISTINCT query_id FROM gold) gold WHERE query_id NOT IN (SELECT query_id FROM fused WHERE fusion_score >= 0.9)", "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED, gold=_GOLD))
+def isolated_queries(spark, sf_dir):
+    """Items with relevant documents but without any strong candidate."""
+    return quality.isolated_queries(_golden(spark, sf_dir), _hybrid(spark, sf_dir).where("fusion_score >= 0.9"))
+
+
+@query(V.sql("SELECT issue_type, severity, doc_id FROM h ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, issue_type, doc_id LIMIT 200", "document_v", live=_LIVE, h=_HEALTH))
+def inspection_issues(spark, sf_dir):
+    """The 200 gravest issues, as a report keeps them."""
+    return quality.inspection(health_issues(spark, sf_dir), 1)[1]
+
+
+@query(V.sql("SELECT issue_type, n, round(n / sum(n) OVER (), 4)::double AS share FROM (SELECT issue_type, count(*) AS n FROM h GROUP BY 1)", "document_v", live=_LIVE, h=_HEALTH))
+def issue_share(spark, sf_dir):
+    """Share of each kind of issue over the reports of all knowledge bases."""
+    i = health_issues(spark, sf_dir).join(V.document_v(spark, sf_dir).select("doc_id", "kb_id"), "doc_id").groupBy("kb_id", "issue_type").agg(F.count("*").alias("n"))
+    return lists.issue_share(i.groupBy("kb_id").agg(F.map_from_entries(F.collect_list(F.struct("issue_type", "n"))).alias("issue_counts")))
+
+
+@query(V.sql("SELECT kb_id, 2 AS version_no, doc_id FROM document_v WHERE NOT is_deleted", "document_v"))
+def version_members(spark, sf_dir):
+    """Members of a second checkpoint of each knowledge base."""
+    d = V.document_v(spark, sf_dir)
+    return versions.checkpoint(d, d.select("kb_id", F.lit(1).alias("version_no")).distinct())[1]
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def conversation_messages(spark, sf_dir):
+    """Messages of all conversations in order."""
+    return lists.listed(V.table(spark, sf_dir, "conversations"), "turn").orderBy("conv_id", "turn").select("conv_id", "turn", "role", "text")
+
+
+_MISS = """SELECT query_id, n_intent, n_broad, CASE WHEN n_intent = 0 AND n_broad = 0 OR n_intent > 0 AND top_rerank < 0.45 * 0.6 THEN 'missing_doc' WHEN n_intent = 0 OR top_broad > top_fusion * 1.3 AND n_broad > n_intent THEN 'intent_misroute'
+  WHEN most_of_one >= 3 AND top_fusion < 0.6 AND top_rerank >= 0.45 * 0.5 THEN 'chunking_bad' ELSE 'retrieval_ok' END AS verdict FROM (
+  SELECT query_id, count(*) FILTER (domain = 'standard') AS n_intent, count(fused.doc_id) AS n_broad, coalesce(max(fusion_score) FILTER (domain = 'standard'), 0) AS top_fusion, coalesce(max(fusion_score), 0) AS top_broad, coalesce(max(fusion_score) FILTER (domain = 'standard'), 0) AS top_rerank, 1 AS most_of_one
+  FROM query_v LEFT JOIN fused USING (query_id) LEFT JOIN document_v ON document_v.doc_id = fused.doc_id GROUP BY 1)"""
+
+
+@query(V.sql(_MISS, "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED))
+def miss_attribution(spark, sf_dir):
+    """Why items miss when only one domain is searched, against all domains."""
+    c = _hybrid(spark, sf_dir).join(V.document_v(spark, sf_dir).select("doc_id", "domain"), "doc_id", "left")
+    own = F.col("domain") == "standard"
+    m = c.groupBy("query_id").agg(F.count_if(own).alias("n_intent"), F.count("*").alias("n_broad"), F.max(F.when(own, F.col("fusion_score"))).alias("top_fusion"), F.max("fusion_score").alias("top_broad"))
+    m = V.query_v(spark, sf_dir).join(m, "query_id", "left").select("query_id", F.coalesce("n_intent", F.lit(0)).alias("n_intent"), F.coalesce("n_broad", F.lit(0)).alias("n_broad"), "top_fusion", "top_broad", F.col("top_fusion").alias("top_rerank"))
+    m = m.withColumns({"mean_bm25": F.lit(0.0), "mean_vector": F.lit(0.0), "intent_confidence": F.lit(1.0), "most_of_one": F.lit(1)})
+    return answers.attributed(m).select("query_id", "n_intent", "n_broad", "verdict")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.functions import text as T
+
 SUFFIXES = ("txt", "md", "markdown", "csv")
 LARGEST = 100 << 20
 
@@ -58,3 +61,77 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, stamp: Column)
 def write_partitions(df: DataFrame, path: str, by: str = "kb_id") -> None:
     """Replace only the partitions that `df` has rows of."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def add_golden(golden: DataFrame, items: DataFrame) -> DataFrame:
+    """Golden set after `items` (id, query, ...): ids replace, items without id get the next free ones, g01 and on, by query."""
+    top = F.coalesce(F.max(F.regexp_extract("id", r"^g(\d+)$", 1).try_cast("int")), F.lit(0))
+    last = golden.agg(top.alias("last"))
+    n = F.row_number().over(W.orderBy("query"))  # the few items a person adds
+    fresh = items.where(T.blank(F.col("id"))).crossJoin(F.broadcast(last)).withColumn("id", F.concat(F.lit("g"), F.lpad((F.col("last") + n).cast("string"), 2, "0"))).drop("last")
+    return replace_by_key(golden, items.where(~T.blank(F.col("id"))).unionByName(fresh), ["id"])
+
+
+def baseline_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics (metric, value) of a baseline file with an `aggregated` object; no file gives no rows."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        b = spark.read.option("multiLine", "true").json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition()):
+            raise
+        return spark.createDataFrame([], "metric string, value double")
+    return b.select(F.explode(F.from_json(F.to_json("aggregated"), "map<string,string>")).alias("metric", "v")).select("metric", F.col("v").try_cast("double").alias("value")).where("value IS NOT NULL")
+
+
+def upsert(stored: DataFrame, rows: DataFrame, key: str = "chunk_id", vector: str | None = "vector") -> DataFrame:
+    """Stored rows with `rows` in place of those with their keys, the last of each key; vectors are scaled to length 1."""
+    new = rows.dropDuplicates([key])
+    if vector:
+        v = F.col(vector).cast("array<double>")
+        size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        new = new.withColumn(vector, F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v))
+    return replace_by_key(stored, new, [key])
+
+
+def drop_kb(rows: DataFrame, kb_ids: list[str]) -> DataFrame:
+    return rows.where(~F.coalesce(F.col("kb_id").isin(*kb_ids), F.lit(False)))
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """Rows of an index by knowledge base."""
+    return rows.groupBy("kb_id").agg(F.count("*").alias("n"))
+
+
+def repartitioned(flat: DataFrame, path: str, tenant: str = "default") -> tuple[int, int]:
+    """Write a flat index by knowledge base, rows without tenant given one; counts before and after, which must agree."""
+    flat.withColumn("tenant_id", F.when(T.blank(F.col("tenant_id")), tenant).otherwise(F.col("tenant_id"))).write.mode("errorifexists").partitionBy("kb_id").parquet(path)
+    before, after = flat.count(), flat.sparkSession.read.parquet(path).count()
+    if before != after:
+        raise ValueError(f"{before} rows before, {after} after")
+    return before, after
+
+
+def copy_tables(tables: dict[str, DataFrame], path: str, skip: tuple[str, ...] = ()) -> dict[str, str]:
+    """Copy tables that are not skipped to folders of `path` which hold no rows yet; what was done with each."""
+    out = {}
+    for name, df in tables.items():
+        if name in skip:
+            out[name] = "excluded"
+            continue
+        try:
+            held = not df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}").isEmpty()
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            held = False
+        if not held:
+            df.write.mode("append").parquet(f"{path}/{name}")
+        out[name] = "not empty" if held else "copied"
+    return out
+
+
+def append_rows(rows: DataFrame, path: str, by: str = "tenant_id") -> None:
+    """Append reports, alerts, runs or log rows, by tenant."""
+    rows.write.mode("append").partitionBy(by).parquet(path)
