@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import tokenize
@@ -22,8 +23,8 @@ def hash_vectors(texts: DataFrame, key: str, text: str = "text", dim: int = 1024
     sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
     weight = 1.0 + 0.15 * F.least(F.length("g"), F.lit(8))
     v = f.groupBy(key, bucket.alias("bucket")).agg(F.sum(sign * weight).alias("v"))
-    norm = v.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return v.join(norm, key).where("norm > 0").select(key, "bucket", (F.col("v") / F.col("norm")).alias("value"))
+    v = v.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy(key))))  # at most `dim` rows of each key
+    return v.where("norm > 0").select(key, "bucket", (F.col("v") / F.col("norm")).alias("value"))
 
 
 def dot(a: Column, b: Column) -> Column:

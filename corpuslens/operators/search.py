@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,6 +64,53 @@ def hash_vector_search(docs: DataFrame, queries: DataFrame, k: int = 20, key: st
     return top(s, "query_id", "score", key, k)
 
 
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", block: int = 4096, rows: int = 2048) -> DataFrame:
+    """(query_id, key, score, rank): the k nearest vectors, by cosine, of each query (query_id, and the same columns), itself excepted.
+
+    Queries are taken in blocks of `block`; each is sent to all tasks, which keep the k best of each query and hand on no
+    more, so nothing but those is shuffled. Keys are longs. A vector of length 0 is like none; null vectors are left out. Ties
+    go to the smaller key.
+    """
+    spark, out = vectors.sparkSession, None
+    given = vectors.where(F.col(column).isNotNull()).select(key, column)
+    held, parts = queries.where(F.col(column).isNotNull()).select("query_id", column), []
+    for r in held.toLocalIterator():  # one block of the stated query set at a time
+        parts.append(r)
+        if len(parts) == block:
+            out, parts = _nearest(given, parts, k, key, column, rows, spark, out), []
+    if parts or out is None:
+        out = _nearest(given, parts, k, key, column, rows, spark, out)
+    return top(out, "query_id", "score", key, k).select("query_id", key, "score", "rank")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size > 0, size, 1.0)
+
+
+def _nearest(vectors: DataFrame, block: list, k: int, key: str, column: str, rows: int, spark, before: DataFrame | None) -> DataFrame:
+    ids = np.array([r["query_id"] for r in block], dtype=np.int64)
+    sent = spark.sparkContext.broadcast((ids, _unit(np.array([r[column] for r in block], dtype=np.float64)) if len(block) else None))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = sent.value
+        best = pd.DataFrame({"query_id": ids[:0], key: ids[:0], "score": np.zeros(0)})
+        for b in batches if q is not None else ():
+            for at in range(0, len(b), rows):
+                x = b.iloc[at : at + rows]
+                own = x[key].to_numpy(dtype=np.int64)
+                s = np.round(q @ _unit(np.stack(x[column].to_list()).astype(np.float64)).T, 6)
+                s[ids[:, None] == own[None, :]] = -2.0
+                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -1.5)
+                i, j = np.nonzero((s >= least[:, None]) & (s > -1.5))
+                best = pd.concat([best, pd.DataFrame({"query_id": ids[i], key: own[j], "score": s[i, j]})], ignore_index=True)
+                best = best.sort_values(["query_id", "score", key], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+        yield best
+
+    found = vectors.mapInPandas(run, f"query_id long, `{key}` long, score double")
+    return found if before is None else before.unionByName(found)
+
+
 def fuse(vector: DataFrame, bm25: DataFrame, key: str = "doc_id", wv: float | Column = 0.6, wb: float | Column = 0.4, rrf_k: int = 60, threshold: float | Column = 0.15, k: int | Column = 20, prior: Column | None = None) -> DataFrame:
     """Reciprocal-rank and weighted score fusion of two ranked lists, with a bonus where both have a row."""
     wv, wb = (F.lit(x) if isinstance(x, float) else x for x in (wv, wb))

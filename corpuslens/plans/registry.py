@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.functions.vectors import cosine, hash_vectors
+from corpuslens.functions.vectors import hash_vectors
 from corpuslens.operators import answers, evaluate, governance, ingest, intents, lists, quality, reports, search, versions
 from corpuslens.plans import views as V
 
@@ -238,9 +238,7 @@ def conversation_history(spark, sf_dir):
 def dense_vector_search(spark, sf_dir):
     """The ten nearest vectors of the query set: every id divisible by 50, against all rows."""
     e = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return search.top(s, "query_id", "score", "vec_id", 10).select("query_id", "vec_id", "score", "rank")
+    return search.dense_search(e, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"))
 
 
 @query(V.sql("""SELECT kb_id, n_docs, n_failed, list_filter([CASE WHEN (n_docs - n_failed) / n_docs < 0.99 THEN 'vectors_incomplete' END, CASE WHEN score < 80 THEN 'score_low' END, CASE WHEN n_failed > 0 THEN 'vectors_missing_or_zero' END, CASE WHEN n_domains < 3 THEN 'domain_empty' END], lambda x: x IS NOT NULL) AS reasons,

@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators import answers, evaluate, lists, quality, versions
+from corpuslens.operators import answers, evaluate, lists, quality, search, versions
 from corpuslens.sources import tables
 
 
@@ -112,3 +112,22 @@ def test_sinks(spark, tmp_path):
     tables.append_rows(flat.fillna("t"), f"{tmp_path}/log")
     tables.append_rows(flat.fillna("t"), f"{tmp_path}/log")
     assert spark.read.parquet(f"{tmp_path}/log").count() == 4
+
+
+def test_dense_search(spark):
+    """Blocks of queries and parts of batches give what all pairs give; a zero vector has cosine 0 with all."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(60, 8)), 3)
+    x[7] = 0
+    v = frame(spark, [(i, r.tolist()) for i, r in enumerate(x)] + [(99, None)], "vec_id long, embedding array<double>")
+    u = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) > 0, np.linalg.norm(x, axis=1, keepdims=True), 1)
+    want = []
+    for q in range(0, 60, 5):
+        best = sorted((-round(float(u[q] @ u[i]), 6) + 0.0, i) for i in range(60) if i != q)[:3]
+        want += [(q, i, r + 1) for r, (_, i) in enumerate(best)]
+    queries = v.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    for block, rows in ((4096, 2048), (5, 7)):
+        assert got(search.dense_search(v.repartition(3), queries, 3, block=block, rows=rows), "query_id", "vec_id", "rank") == sorted(want, key=str)
+    assert search.dense_search(v, queries.where("false")).count() == 0
