@@ -73,7 +73,7 @@ def test_scores(spark):
     docs = spark.createDataFrame([(i, False) for i in range(4)], "doc_id int, is_deleted boolean")
     assert governance.health_score(spark.createDataFrame([("high",), ("high",)], "severity string"), docs).first()["score"] == 64.0
     r = spark.createDataFrame([(1, "t", "k", 1, 95.0, 0), (2, "t", "k", 2, 79.9, 1)], "report_id int, tenant_id string, kb_id string, created_at int, score double, high_count int")
-    assert sorted(x["alert_type"] for x in quality.alerts(r).collect()) == ["low_score", "new_high_issues"]
+    assert sorted(x["alert_type"] for x in quality.alerts(r).collect()) == ["low_score", "new_high_severity"]
 
 
 def test_gaps(spark):
