@@ -33,6 +33,17 @@ def rewritten(queries: DataFrame, synonyms: dict[str, str] | None = None, pronou
     return queries.withColumn("rewritten", F.array_join(F.filter(F.array(q, more, context, back), lambda x: x != ""), " "))
 
 
+def in_context(requests: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Requests (conv_id, project_name, project_type, discipline, region, kb_ids) with what they leave open taken from their
+    conversation; the discipline `general` is open as well. Conversations are distinct; a request without one stays as it is."""
+    c = conversations.select("conv_id", *[F.col(x).alias(f"_{x}") for x in ("project_name", "project_type", "discipline", "region", "kb_ids")])
+    r = requests.join(c, "conv_id", "left")
+    mine = {x: F.coalesce(F.nullif(F.col(x), F.lit("")), F.col(f"_{x}"), F.lit("")) for x in ("project_name", "project_type", "region")}
+    mine["discipline"] = F.coalesce(F.nullif(F.nullif(F.col("discipline"), F.lit("general")), F.lit("")), F.nullif(F.col("_discipline"), F.lit("")), F.lit("general"))
+    mine["kb_ids"] = F.when(F.coalesce(F.size("kb_ids"), F.lit(0)) > 0, F.col("kb_ids")).otherwise(F.coalesce("_kb_ids", F.array().cast("array<string>")))
+    return r.withColumns(mine).select(*requests.columns)
+
+
 def with_sub_queries(found: DataFrame, extra: DataFrame, k: int = 20, weight: float = 0.9) -> DataFrame:
     """Candidates (query_id, doc_id, fusion_score) and those only sub-queries (with `n`) found, the first's score lowered, ranked anew."""
     late = extra.join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").groupBy("query_id", "doc_id").agg(F.min_by("fusion_score", "n").alias("fusion_score"))

@@ -74,6 +74,40 @@ def operation_metrics(log: DataFrame, by: list[Column] | None = None) -> DataFra
     )
 
 
+def dashboard(gaps: DataFrame, tasks: DataFrame, log: DataFrame, since: Column) -> DataFrame:
+    """(measure, name, value) rows: gaps by status and intent, tasks by status and those pending, questions and the answer
+    rate since then. The gaps asked most are those of `lists.gaps_listed`, documents by domain those of the overview."""
+    rows = [gaps.groupBy(F.col(c).alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit(f"gaps_by_{c}").alias("measure"), "name", "value") for c in ("status", "intent")]
+    rows.append(tasks.groupBy(F.col("status").alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit("tasks_by_status").alias("measure"), "name", "value"))
+    one = lambda df, *kv: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.lit("").alias("name"), v.cast("double").alias("value")) for k, v in kv])).alias("r")).select("r.*")
+    rows.append(one(gaps.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "open").alias("open")), ("gap_total", F.col("n")), ("open_gaps", F.col("open"))))
+    rows.append(one(tasks.agg(F.count("*").alias("n"), F.count_if(F.col("status").isin("open", "processing")).alias("p")), ("task_total", F.col("n")), ("pending_tasks", F.col("p"))))
+    weak = ~F.coalesce("answered", F.lit(False)) | (F.coalesce("hit_count", F.lit(0)) == 0)
+    asked = log.where(F.col("created_at") >= since).agg(F.count("*").alias("n"), F.count_if(weak).alias("weak"))
+    rows.append(one(asked, ("total_queries", F.col("n")), ("answer_rate", F.round(F.coalesce(F.try_divide(F.col("n") - F.col("weak"), F.col("n")), F.lit(0.0)), 3))))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def operation_report(docs: DataFrame, chunks: DataFrame, log: DataFrame, tasks: DataFrame, feedback: DataFrame, start: Column) -> DataFrame:
+    """One row since `start`: new documents and chunks, questions, answer rate, confidence, latency, pending tasks, negative
+    feedback and the suggestions that follow. Hot topics and gaps are those of `hot_topics` and `gap_report`."""
+    new = lambda df: df.where(F.col("created_at") >= start)
+    weak = ~F.coalesce("answered", F.lit(False)) | (F.coalesce("hit_count", F.lit(0)) == 0)
+    asked = new(log).agg(F.count("*").alias("total_queries"), F.count_if(weak).alias("unanswered"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("avg_confidence"), F.coalesce(F.floor(F.avg("latency_ms")), F.lit(0)).alias("avg_latency_ms"))
+    asked = asked.withColumn("answer_rate", F.round(F.coalesce(F.try_divide(F.col("total_queries") - F.col("unanswered"), F.col("total_queries")), F.lit(0.0)), 3))
+    out = asked.crossJoin(new(docs).agg(F.count("*").alias("new_docs"))).crossJoin(new(chunks).agg(F.count("*").alias("new_chunks")))  # one row each
+    out = out.crossJoin(tasks.agg(F.count_if(F.col("status").isin("open", "processing")).alias("pending_tasks"))).crossJoin(new(feedback).agg(F.count_if(F.col("rating") < 0).alias("negative_feedback")))
+    some = F.col("total_queries") > 0
+    advice = F.filter(F.array(
+        F.when(some & (F.col("answer_rate") < 0.8), "fill the knowledge gaps"), F.when(some & (F.col("avg_confidence") < 0.5), "check chunks, summaries and vectors"),
+        F.when(F.col("pending_tasks") > 10, "assign the pending tasks"), F.when(F.col("negative_feedback") > 0, "review the negative feedback"), F.when(F.col("new_docs") == 0, "add documents"),
+    ), lambda x: x.isNotNull())
+    return out.withColumn("suggestions", F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit("keep going"))))
+
+
 def hot_topics(log: DataFrame, k: int = 10) -> DataFrame:
     t = log.select(F.explode(T.tokenize(F.col("query"))).alias("token")).where(F.length("token") >= 2)
     return t.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(k)

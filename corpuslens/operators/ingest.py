@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
+from corpuslens.functions.vectors import hash_vectors
+from corpuslens.operators.search import postings
 
 SENTENCE_ENDS = "。；！？!?;"
 
@@ -74,25 +76,97 @@ def pack_sentences(text: Column, size: int, overlap: int, ends: str = SENTENCE_E
     return F.when(F.length(text) <= size, F.array(text)).otherwise(packs)
 
 
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """Blocks of extracted pages (doc_id, page_no, text), with their page: paragraphs of two characters or more, numbered
+    headings and appendix headings. Null and empty pages have none."""
+    paras = pages.select("doc_id", "page_no", F.posexplode(F.split(T.clean_text(F.col("text")), r"\n\s*\n")).alias("k", "raw"))
+    paras = paras.select("doc_id", "page_no", "k", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("text")).where(F.length("text") >= 2)
+    first = F.element_at(F.split("text", "\n"), 1)
+    num, title = (F.regexp_extract(first, r"^\s*(\d{1,2}(?:\.\d{1,3}){0,3})\s+([^\n]{2,60})$", i) for i in (1, 2))
+    numbered, appendix = (num != "") & (F.length("text") < 80), F.col("text").rlike(r"^\s*附录\s*[A-Z]\s*[^\n]{0,60}$")
+    pos = F.row_number().over(W.partitionBy("doc_id").orderBy("page_no", "k")) - 1
+    return paras.select(
+        "doc_id", pos.alias("pos"), "page_no", "text", F.when(numbered | appendix, "heading").otherwise("paragraph").alias("block_type"),
+        F.when(numbered, F.size(F.split(num, r"\."))).when(appendix, 1).alias("heading_level"),
+        F.when(numbered, F.trim(title)).when(appendix, F.col("text")).alias("heading_title"), F.when(numbered, num).otherwise("").alias("clause_no"),
+    )
+
+
 def chunks(docs: DataFrame, size: int = 600, overlap: int = 100, least: int = 40, ends: str = SENTENCE_ENDS) -> DataFrame:
-    """(doc_id, seq, content, section_path, clause_no, is_mandatory, char_count) of whole documents."""
-    b = section_paths(blocks(docs))
-    at = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    b = b.withColumn("sec", F.sum(F.when(F.col("block_type") == "heading", 1).otherwise(0)).over(at))
-    part = F.sort_array(F.collect_list(F.struct("pos", "text", "clause_no")))
-    sec = b.groupBy("doc_id", "sec", "section_path").agg(part.alias("parts"))  # the blocks of one section of one document
+    """(doc_id, seq, content, section_path, clause_no, page_no, is_mandatory, char_count) of whole documents."""
+    return chunks_of(blocks(docs), size, overlap, least, ends)
+
+
+def chunks_of(b: DataFrame, size: int = 600, overlap: int = 100, least: int = 40, ends: str = SENTENCE_ENDS) -> DataFrame:
+    """Chunks of blocks, as `blocks` or `page_blocks` gives them or with tables (block_type `table`): a table is one chunk,
+    whatever its size. The page is that of a chunk's first block with one."""
+    if "page_no" not in b.columns:
+        b = b.withColumn("page_no", F.lit(None).cast("int"))
+    at = W.partitionBy("doc_id").orderBy("pos")
+    is_table = F.col("block_type") == "table"
+    b = section_paths(b).withColumn("is_table", is_table).withColumn("opens", (F.col("block_type") == "heading") | is_table | F.coalesce(F.lag("is_table").over(at), F.lit(False)))
+    b = b.withColumn("sec", F.sum(F.col("opens").cast("int")).over(at.rowsBetween(W.unboundedPreceding, 0)))
+    by = ["doc_id", "sec", "section_path", "is_table"]
+    sec = b.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "text", "clause_no", "page_no"))).alias("parts"))  # the blocks of one section of one document
     sec = sec.withColumn("groups", _flush_groups(F.transform("parts", lambda p: F.length(p["text"])), size))
-    flat = sec.select("doc_id", "sec", "section_path", F.explode(F.arrays_zip("parts", "groups")).alias("p"))
-    merged = flat.groupBy("doc_id", "sec", "section_path", F.col("p.groups").alias("g")).agg(F.sort_array(F.collect_list("p.parts")).alias("parts"))
+    flat = sec.select(*by, F.explode(F.arrays_zip("parts", "groups")).alias("p"))
+    merged = flat.groupBy(*by, F.col("p.groups").alias("g")).agg(F.sort_array(F.collect_list("p.parts")).alias("parts"))
     text = T.clean_text(F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))
     clause = F.coalesce(F.get(F.filter(F.transform("parts", lambda p: F.when(p["clause_no"] != "", p["clause_no"]).otherwise(T.clause_no(p["text"]))), lambda c: c != ""), F.lit(0)), F.lit(""))
-    merged = merged.select("doc_id", "sec", "g", "section_path", clause.alias("clause"), text.alias("whole"), F.posexplode(pack_sentences(text, size, overlap, ends)).alias("k", "t"))
+    page = F.get(F.filter(F.transform("parts", lambda p: p["page_no"]), lambda n: n.isNotNull()), F.lit(0))
+    packs = F.when(F.col("is_table"), F.array(text)).otherwise(pack_sentences(text, size, overlap, ends))
+    merged = merged.select("doc_id", "sec", "g", "is_table", "section_path", clause.alias("clause"), page.alias("page_no"), text.alias("whole"), F.posexplode(packs).alias("k", "t"))
     t = F.regexp_replace("t", r"^\s+|\s+$", "")
-    own = F.when((F.length("whole") > size) & (T.clause_no(t) != ""), T.clause_no(t)).otherwise(F.col("clause"))
-    out = merged.select("doc_id", "sec", "g", "k", "section_path", own.alias("clause_no"), T.is_mandatory(t).alias("is_mandatory"), T.with_section(F.col("section_path"), t).alias("content"))
+    own = F.when(~F.col("is_table") & (F.length("whole") > size) & (T.clause_no(t) != ""), T.clause_no(t)).otherwise(F.col("clause"))
+    out = merged.select("doc_id", "sec", "g", "k", "section_path", own.alias("clause_no"), "page_no", T.is_mandatory(t).alias("is_mandatory"), T.with_section(F.col("section_path"), t).alias("content"))
     out = out.withColumn("char_count", F.length("content")).where((F.col("char_count") > 0) & ((F.col("char_count") >= least) | (F.col("clause_no") != "")))
     seq = F.row_number().over(W.partitionBy("doc_id").orderBy("sec", "g", "k")) - 1
-    return out.withColumn("seq", seq).select("doc_id", "seq", "content", "section_path", "clause_no", "is_mandatory", "char_count")
+    return out.withColumn("seq", seq).select("doc_id", "seq", "content", "section_path", "clause_no", "page_no", "is_mandatory", "char_count")
+
+
+def attributes(docs: DataFrame, k: int = 15) -> DataFrame:
+    """(doc_id, standard_code, summary, keywords): the given code or else the first of the opening 3,000 characters, whole
+    sentences up to 220 characters, and the keywords of the first 8,000. These lengths are what the attributes are about."""
+    given = F.col("standard_code") if "standard_code" in docs.columns else F.lit("")
+    head = docs.select("doc_id", F.substring(T.text_or_empty(F.col("text")), 1, 8000).alias("text"))
+    own = docs.select("doc_id", F.when(T.blank(given), T.standard_code(F.substring("text", 1, 3000))).otherwise(given).alias("standard_code"), T.summary(F.col("text"), 220).alias("summary"))
+    return own.join(keywords(head, k), "doc_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+
+
+def with_chunk_id(c: DataFrame) -> DataFrame:
+    """Adds chunk_id, `doc_id-seq`."""
+    return c.withColumn("chunk_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("seq").cast("string")))
+
+
+def index_rows(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors (chunk_id, bucket, value) and postings (kb_id, chunk_id, term, tf, dl) of chunks with chunk_id and kb_id."""
+    return hash_vectors(c, "chunk_id", "content"), postings(c, "chunk_id", "kb_id", "content")
+
+
+def ingested(batch: DataFrame, stored: DataFrame, size: int = 600, overlap: int = 100, least: int = 40, ends: str = SENTENCE_ENDS) -> dict[str, DataFrame]:
+    """`documents`, `chunks`, `vectors` and `postings` of the new documents of a batch (doc_id, kb_id, text, any more).
+
+    Documents already in `stored` (kb_id, file_hash), and repeats within the batch, are left out. A document without any
+    chunk has the status `failed` and an error, others `ready`. Write `chunks` before the rest is taken from it where its
+    making is dear. Null texts fail; doc_id is distinct.
+    """
+    new = new_documents(batch.withColumn("file_hash", T.content_hash(F.col("text"))), stored)
+    c = with_chunk_id(chunks(new, size, overlap, least, ends).join(new.select("doc_id", "kb_id"), "doc_id"))
+    n = c.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+    docs = new.drop("standard_code", "summary", "keywords", "status", "chunk_count", "error_msg").join(attributes(new), "doc_id").join(n, "doc_id", "left").fillna(0, ["chunk_count"])
+    none = F.col("chunk_count") == 0
+    docs = docs.withColumns({"status": F.when(none, "failed").otherwise("ready"), "error_msg": F.when(none, "no chunk holds enough text").otherwise("")})
+    vectors, posts = index_rows(c)
+    return {"documents": docs, "chunks": c, "vectors": vectors, "postings": posts}
+
+
+def reindexed(vectors: DataFrame, posts: DataFrame, c: DataFrame, doc_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors and postings after the stored chunks (chunk_id, doc_id, kb_id, content, is_deleted) of `doc_ids` were indexed
+    anew: rows of their chunks go, and those of chunks that are not deleted come back. Others are untouched."""
+    mine = c.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    v, p = index_rows(mine.where(~F.coalesce("is_deleted", F.lit(False))))
+    ids = mine.select("chunk_id").distinct()
+    return vectors.join(ids, "chunk_id", "left_anti").unionByName(v), posts.join(ids, "chunk_id", "left_anti").unionByName(p)
 
 
 def keywords(docs: DataFrame, k: int = 12, terms: DataFrame | None = None) -> DataFrame:

@@ -40,6 +40,13 @@ def score(issues: DataFrame, n_chunks: int) -> DataFrame:
     return issues.agg(F.round(F.greatest(F.lit(0.0), 100.0 - per), 1).alias("score"), F.count("*").alias("issue_count"))
 
 
+def kb_scores(issues: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(kb_id, score, issue_count, high_count) of each knowledge base of `sizes` (kb_id, n_chunks), by its issues."""
+    i = issues.groupBy("kb_id").agg(penalty().alias("p"), F.count("*").alias("n"), F.count_if(F.col("severity") == "high").alias("high"))
+    per = F.coalesce("p", F.lit(0.0)) / F.greatest("n_chunks", F.lit(1)) * 20
+    return sizes.join(i, "kb_id", "left").select("kb_id", F.round(F.greatest(F.lit(0.0), 100.0 - per), 1).alias("score"), F.coalesce("n", F.lit(0)).alias("issue_count"), F.coalesce("high", F.lit(0)).alias("high_count"))
+
+
 def alerts(reports: DataFrame, threshold: float = 80.0) -> DataFrame:
     """Alerts of reports (report_id, tenant_id, kb_id, created_at, score, high_count): low score, or new high-severity issues."""
     at = W.partitionBy("tenant_id", "kb_id").orderBy("created_at", "report_id")

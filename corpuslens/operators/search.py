@@ -111,18 +111,27 @@ def _nearest(vectors: DataFrame, block: list, k: int, key: str, column: str, row
     return found if before is None else before.unionByName(found)
 
 
-def fuse(vector: DataFrame, bm25: DataFrame, key: str = "doc_id", wv: float | Column = 0.6, wb: float | Column = 0.4, rrf_k: int = 60, threshold: float | Column = 0.15, k: int | Column = 20, prior: Column | None = None) -> DataFrame:
-    """Reciprocal-rank and weighted score fusion of two ranked lists, with a bonus where both have a row."""
+def fuse(vector: DataFrame, bm25: DataFrame, key: str = "doc_id", wv: float | Column = 0.6, wb: float | Column = 0.4, rrf_k: int = 60, threshold: float | Column = 0.15, k: int | Column = 20, prior: Column | DataFrame | None = None) -> DataFrame:
+    """Reciprocal-rank and weighted score fusion of two ranked lists, with a bonus where both have a row. `prior` multiplies
+    the score: a column, or a table (key, prior) of which candidates take their row, 1 without."""
     wv, wb = (F.lit(x) if isinstance(x, float) else x for x in (wv, wb))
     v = vector.select("query_id", key, F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
     b = bm25.select("query_id", key, F.col("score").alias("bm25_score"), F.col("rank").alias("bm25_rank"))
     c = v.join(b, ["query_id", key], "full_outer")
+    if isinstance(prior, DataFrame):
+        c, prior = c.join(prior, key, "left"), F.coalesce("prior", F.lit(1.0))
     rrf = F.coalesce(wv / (rrf_k + F.col("vector_rank")), F.lit(0.0)) + F.coalesce(wb / (rrf_k + F.col("bm25_rank")), F.lit(0.0))
     weighted = wv * F.coalesce("vector_score", F.lit(0.0)) + wb * F.coalesce("bm25_score", F.lit(0.0))
     both = F.when(F.col("vector_rank").isNotNull() & F.col("bm25_rank").isNotNull(), 1.12).otherwise(1.0)
     score = (0.5 * rrf * rrf_k + 0.5 * weighted) * both * (F.lit(1.0) if prior is None else prior)
     c = c.withColumn("fusion_score", F.round(score, 6)).where(F.col("fusion_score") >= threshold)
-    return top(c, "query_id", "fusion_score", key, k)
+    return top(c, "query_id", "fusion_score", key, k).drop("prior")
+
+
+def domain_prior(domain: Column, order: Column) -> Column:
+    """What `fuse` takes as prior: 1 + 0.06 for each domain of the query's order from the candidate's on; 1 for others."""
+    at = F.coalesce(F.array_position(order, domain), F.lit(0))
+    return F.when(at > 0, 1.0 + 0.06 * (F.size(order) - at + 1)).otherwise(1.0)
 
 
 def lexical_score(query: Column, doc: Column, mandatory: tuple[str, ...] = T.MANDATORY[:3]) -> Column:

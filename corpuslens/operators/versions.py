@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.operators.ingest import reindexed
+
 
 def checkpoint(docs: DataFrame, versions: DataFrame, kb_key: str = "kb_id") -> tuple[DataFrame, DataFrame]:
     """(kb_id, version_no, n_docs) of new versions of all knowledge bases with live documents, and their members (kb_id, version_no, doc_id).
@@ -27,6 +29,16 @@ def cascade(docs: DataFrame, chunks: DataFrame, doc_ids: DataFrame, deleted: boo
     return set_deleted(docs, doc_ids, deleted), set_deleted(chunks, doc_ids, deleted)
 
 
+def rolled_back(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, posts: DataFrame, version: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents, chunks, vectors and postings of the knowledge bases of a version (kb_id, doc_id): documents that are not
+    its members are deleted with their chunks and index rows, deleted members come back and are indexed anew."""
+    scope = docs.join(version.select("kb_id").distinct(), "kb_id", "left_semi").select("doc_id", "is_deleted")
+    live = scope.where(~F.coalesce("is_deleted", F.lit(False))).select("doc_id")
+    gone, back = live.join(version, "doc_id", "left_anti"), scope.where("is_deleted").join(version.select("doc_id"), "doc_id", "left_semi").select("doc_id")
+    docs, chunks = cascade(*cascade(docs, chunks, gone), back, deleted=False)
+    return docs, chunks, *reindexed(vectors, posts, chunks, gone.unionByName(back))
+
+
 def resolve_alerts(alerts: DataFrame, tasks: DataFrame, resolved: DataFrame, links: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     """Alerts of `resolved` (alert_id) set resolved, and their linked tasks (alert_id, task_id) that are open or in work set done."""
     hit = resolved.select("alert_id").distinct()

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.functions.vectors import hash_vectors
-from corpuslens.operators import answers, evaluate, governance, ingest, intents, lists, quality, reports, search, versions
+from corpuslens.functions.vectors import dense_vectors, hash_vectors
+from corpuslens.operators import answers, evaluate, governance, ingest, intents, lists, neighbours, quality, reports, search, versions
 from corpuslens.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -506,3 +506,105 @@ def miss_attribution(spark, sf_dir):
     m = V.query_v(spark, sf_dir).join(m, "query_id", "left").select("query_id", F.coalesce("n_intent", F.lit(0)).alias("n_intent"), F.coalesce("n_broad", F.lit(0)).alias("n_broad"), "top_fusion", "top_broad", F.col("top_fusion").alias("top_rerank"))
     m = m.withColumns({"mean_bm25": F.lit(0.0), "mean_vector": F.lit(0.0), "intent_confidence": F.lit(1.0), "most_of_one": F.lit(1)})
     return answers.attributed(m).select("query_id", "n_intent", "n_broad", "verdict")
+
+
+_NEAR = "SELECT doc_id, neighbour, cosine, 'duplicate_chunk' AS issue_type, 'high' AS severity FROM (SELECT a.id AS doc_id, b.id AS neighbour, round(sum(a.v * b.v), 6) AS cosine FROM dv a JOIN dv b ON a.bucket = b.bucket AND a.id <> b.id GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(sum(a.v * b.v), 6) DESC, b.id) = 1) WHERE cosine >= 0.92 AND neighbour > doc_id"
+
+
+@query(V.sql(_NEAR, "document_v", **{k: _VEC[k] for k in ("df0", "dg", "db", "dv")}))
+def near_duplicate_vectors(spark, sf_dir):
+    """Documents whose nearest document by hashed text vectors is nearly the same."""
+    d = dense_vectors(hash_vectors(V.table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    return neighbours.near_duplicate_issues(neighbours.nearest_similar(d, "doc_id", "vector"), "doc_id")
+
+
+@query("SELECT vec_id, cosine, 'orphan_chunk' AS issue_type, 'medium' AS severity FROM (SELECT a.vec_id, max(round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1) WHERE cosine < 0.35")
+def orphan_vectors(spark, sf_dir):
+    """Vectors that are like no other; these are random, so the threshold is higher than for texts."""
+    return neighbours.orphans(V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.35)
+
+
+_TRIM = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_CLEAN = lambda c: _TRIM(f"regexp_replace(regexp_replace(regexp_replace(translate({c}, chr(160) || chr(12288), '  '), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^\\s*[-—]{{0,2}}\\s*\\d{{1,4}}\\s*[-—]{{0,2}}\\s*$', '', 'g')")
+_PAGE = {
+    "p0": f"SELECT doc_id // 10 AS doc_id, (doc_id % 10 + 1)::int AS page_no, unnest(p) AS raw, unnest(range(len(p))) AS k FROM (SELECT doc_id, string_split_regex({_CLEAN('text')}, '\\n\\s*\\n') AS p FROM documents)",
+    "p1": f"SELECT doc_id, page_no, k, {_TRIM('raw')} AS text FROM p0",
+    "p2": "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, k) - 1 AS pos, CASE WHEN length(text) < 80 THEN regexp_extract(string_split(text, chr(10))[1], '^\\s*(\\d{1,2}(?:\\.\\d{1,3}){0,3})\\s+([^\\n]{2,60})$', 1) ELSE '' END AS clause_no FROM p1 WHERE length(text) >= 2",
+}
+
+
+@query(V.sql("SELECT doc_id, pos, page_no, text, CASE WHEN clause_no <> '' THEN 'heading' ELSE 'paragraph' END AS block_type, clause_no FROM p2", **_PAGE))
+def page_blocks(spark, sf_dir):
+    """Blocks of documents of ten pages; each text plays a page."""
+    i = F.col("doc_id")
+    pages = V.table(spark, sf_dir, "documents").select(F.floor(i / 10).alias("doc_id"), (i % 10 + 1).cast("int").alias("page_no"), "text")
+    return ingest.page_blocks(pages).select("doc_id", "pos", "page_no", "text", "block_type", "clause_no")
+
+
+@query()
+def ingested_documents(spark, sf_dir):
+    """Status, attributes and number of chunks of a batch after ingest from end to end."""
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kb_id"), "text")
+    old = V.document_v(spark, sf_dir).where("doc_id % 4 = 0").select("kb_id", "file_hash")
+    out = ingest.ingested(d.where("doc_id % 4 <> 0"), old, ends=ingest.SENTENCE_ENDS + ".")["documents"]
+    return out.select("doc_id", "kb_id", "file_hash", "standard_code", "summary", "keywords", "chunk_count", "status", "error_msg")
+
+
+_BOARD = """SELECT 'gaps_by_status' AS measure, status AS name, count(*)::double AS value FROM gap GROUP BY status UNION ALL SELECT 'gaps_by_intent', intent, count(*) FROM gap GROUP BY intent
+  UNION ALL SELECT 'tasks_by_status', status, count(*) FROM task GROUP BY status UNION ALL SELECT 'gap_total', '', count(*) FROM gap UNION ALL SELECT 'open_gaps', '', count(*) FILTER (status = 'open') FROM gap
+  UNION ALL SELECT 'task_total', '', count(*) FROM task UNION ALL SELECT 'pending_tasks', '', count(*) FILTER (status IN ('open', 'processing')) FROM task
+  UNION ALL SELECT 'total_queries', '', count(*) FROM late UNION ALL SELECT 'answer_rate', '', round(count(*) FILTER (answered AND hit_count > 0) / count(*), 3) FROM late"""
+_WORK = {
+    "gap": "SELECT conv_id, turn, intent, CASE WHEN hit_count = 0 THEN 'open' ELSE 'accepted' END AS status FROM query_log_v WHERE intent <> 'chitchat' AND (hit_count = 0 OR confidence < 0.45)",
+    "task": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'processing' ELSE 'done' END AS status FROM documents WHERE doc_id % 7 = 0",
+    "late": "SELECT * FROM query_log_v WHERE created_at >= timestamp '2024-01-01 03:00:00'",
+}
+
+
+def _work(spark, sf_dir):
+    log = V.query_log_v(spark, sf_dir)
+    gaps = log.where("intent <> 'chitchat' AND (hit_count = 0 OR confidence < 0.45)").select("conv_id", "turn", "intent", F.when(F.col("hit_count") == 0, "open").otherwise("accepted").alias("status"))
+    i = F.col("doc_id") % 3
+    return log, gaps, V.table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select("doc_id", F.when(i == 0, "open").when(i == 1, "processing").otherwise("done").alias("status"))
+
+
+@query(V.sql(_BOARD, "query_log_v", **_WORK))
+def governance_dashboard(spark, sf_dir):
+    """Gaps, tasks and answer rate; the log's weak rows play the gaps, documents without owner the tasks."""
+    log, gaps, tasks = _work(spark, sf_dir)
+    return governance.dashboard(gaps, tasks, log, F.lit("2024-01-01 03:00:00").cast("timestamp"))
+
+
+@query(V.sql("""SELECT *, list_filter([CASE WHEN answer_rate < 0.8 AND total_queries > 0 THEN 'fill the knowledge gaps' END, CASE WHEN avg_confidence < 0.5 AND total_queries > 0 THEN 'check chunks, summaries and vectors' END,
+    CASE WHEN pending_tasks > 10 THEN 'assign the pending tasks' END, CASE WHEN negative_feedback > 0 THEN 'review the negative feedback' END, CASE WHEN new_docs = 0 THEN 'add documents' END], lambda x: x IS NOT NULL) AS suggestions
+  FROM (SELECT count(*) AS total_queries, count(*) FILTER (NOT answered OR hit_count = 0) AS unanswered, round(avg(confidence), 3) AS avg_confidence, floor(avg(latency_ms))::bigint AS avg_latency_ms, round(count(*) FILTER (answered AND hit_count > 0) / count(*), 3) AS answer_rate,
+    (SELECT count(*) FROM document_v WHERE updated_at >= timestamp '2024-01-01 03:00:00') AS new_docs, (SELECT count(*) FROM document_v WHERE updated_at >= timestamp '2024-01-01 03:00:00' AND status <> 'failed') AS new_chunks,
+    (SELECT count(*) FILTER (status IN ('open', 'processing')) FROM task) AS pending_tasks, (SELECT count(*) FROM late WHERE turn % 5 = 0) AS negative_feedback FROM late)""", "document_v", "query_log_v", **_WORK))
+def operation_report(spark, sf_dir):
+    """The report since a day; documents that were read count as one chunk, each fifth turn is rated badly."""
+    log, _, tasks = _work(spark, sf_dir)
+    d = V.document_v(spark, sf_dir).withColumn("created_at", F.col("updated_at"))
+    feedback = log.select("created_at", F.when(F.col("turn") % 5 == 0, -1).otherwise(1).alias("rating"))
+    return governance.operation_report(d, d.where("status <> 'failed'"), log, tasks, feedback, F.lit("2024-01-01 03:00:00").cast("timestamp"))
+
+
+_FUSED_BY_DOMAIN = _FUSED.replace("THEN 1.12 ELSE 1.0 END, 6)", "THEN 1.12 ELSE 1.0 END * CASE domain WHEN 'case' THEN 1.12 WHEN 'standard' THEN 1.06 ELSE 1.0 END, 6)").replace("b USING (query_id, doc_id)", "b USING (query_id, doc_id) JOIN (SELECT doc_id, domain FROM document_v) USING (doc_id)")
+
+
+@query(V.sql("SELECT query_id, doc_id, vector_rank, bm25_rank, fusion_score, rank FROM fused", "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED_BY_DOMAIN))
+def hybrid_search_by_domain(spark, sf_dir):
+    """Fusion of both channels that prefers the domain of cases, then that of standards."""
+    d, q = V.document_v(spark, sf_dir), V.query_v(spark, sf_dir)
+    prior = d.select("doc_id", search.domain_prior(F.col("domain"), F.array(F.lit("case"), F.lit("standard"))).alias("prior"))
+    found = search.fuse(search.hash_vector_search(d, q, 20), search.bm25_search(d, q, 40), prior=prior)
+    return found.select("query_id", "doc_id", "vector_rank", "bm25_rank", "fusion_score", "rank")
+
+
+@query(V.sql("SELECT conv_id, turn, 'p' || conv_id % 3 AS project_name, CASE WHEN turn % 2 = 0 THEN 'tunnel' ELSE 'bridge' END AS project_type, CASE WHEN conv_id % 4 = 0 THEN 'general' ELSE 'civil' END AS discipline, CASE WHEN turn % 3 = 0 THEN 'north' ELSE '' END AS region, CASE WHEN turn % 5 = 0 THEN ['own'] ELSE ['kb' || conv_id % 2] END AS kb_ids FROM query_log_v", "query_log_v"))
+def inherited_context(spark, sf_dir):
+    """User turns with what they leave open taken from their conversation."""
+    i, t, no = F.col("conv_id"), F.col("turn"), F.lit("")
+    name = lambda p, n: F.concat(F.lit(p), (i % n).cast("string"))
+    turns = V.query_log_v(spark, sf_dir).select("conv_id", "turn", no.alias("project_name"), F.when(t % 2 == 0, "tunnel").otherwise(no).alias("project_type"), F.lit("general").alias("discipline"), F.when(t % 3 == 0, "north").otherwise(no).alias("region"), F.when(t % 5 == 0, F.array(F.lit("own"))).alias("kb_ids"))
+    own = turns.select("conv_id").distinct().select("conv_id", name("p", 3).alias("project_name"), F.lit("bridge").alias("project_type"), F.when(i % 4 == 0, no).otherwise("civil").alias("discipline"), F.lit(None).cast("string").alias("region"), F.array(name("kb", 2)).alias("kb_ids"))
+    return answers.in_context(turns, own)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.operators.governance import capture_gaps, operation_metrics
+from corpuslens.operators.quality import alerts, kb_scores, static_issues
 
 
 def windowed_metrics(log: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -34,3 +35,20 @@ def gap_capture(log: DataFrame, store: str, checkpoint: str):
         capture_gaps(before, batch).write.mode("overwrite").parquet(f"{store}/v{n}")
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def periodic_inspection(chunks: DataFrame, store: str, checkpoint: str, threshold: float = 80.0):
+    """Start a query that inspects each new snapshot of chunks (as `ingest.chunks` gives them, with kb_id): `store`/reports
+    gets a report of each knowledge base for each batch, by `batch`, and `store`/alerts those alerts that follow from it and
+    the report before. A retried batch writes the same folders again."""
+    spark = chunks.sparkSession
+
+    def inspect(batch: DataFrame, n: int) -> None:
+        sizes = batch.groupBy("kb_id").agg(F.count("*").alias("n_chunks"))
+        found = static_issues(batch).join(batch.select("doc_id", "seq", "kb_id").distinct(), ["doc_id", "seq"])
+        r = kb_scores(found, sizes).select(F.lit(n).cast("long").alias("report_id"), F.lit("default").alias("tenant_id"), "kb_id", F.lit(n).cast("long").alias("created_at"), "score", "issue_count", "high_count")
+        r.write.mode("overwrite").parquet(f"{store}/reports/batch={n}")
+        every = spark.read.parquet(f"{store}/reports").where(F.col("batch") <= n)
+        alerts(every, threshold).where(F.col("report_id") == n).write.mode("overwrite").parquet(f"{store}/alerts/batch={n}")
+
+    return chunks.writeStream.foreachBatch(inspect).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
