@@ -1,22 +1,24 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence kernel with Nyström landmarks.
 
-The kernel of two words is the cosine of their weighted three-character subsequences, each within a span of SPAN
-characters and worth DECAY to the power of the span it takes; inserted characters only lower the weight. A machine is
-fitted on words of labelled sentences (a sentence has its document's label): a word stands on both sides, with its share
-of the toxic and of the clean sentences. Nyström features relative to landmark words make the machine linear, and as a
-landmark is itself a vector of subsequences, the fitted machine is one weight for each subsequence. A document's score is
-that of its worst word, calibrated.
-
-Cases: null and empty texts score as texts without any word. Words longer than WIDTH characters are scored in overlapping
-windows. Runs of single characters are read as one word. Rows without a label teach nothing, several labels of one
-document count each. Columns other than those named are ignored.
+The kernel of two stretches of text is the scaled product of their weighted three-character subsequences, each within a span
+of SPAN characters and worth DECAY to the power of the span it takes; inserted characters, blanks among them, only lower the
+weight, and subsequences run across words. The machine is fitted on labelled sentences (a sentence has its document's
+label), then in rounds on the worst window of each labelled document, as most sentences of a toxic document are clean. A
+document's window is found by a machine fitted without that document's fold, so that none is chosen because it was learned;
+these machines' values also calibrate the last one, the mean of the rounds' machines of all folds. Nyström features relative to
+landmarks make a machine linear, and as a landmark is itself a vector of subsequences, the fitted machine is one weight for
+each subsequence. A document's score is that of its worst window of WINDOW characters, calibrated.
+
+Cases: null and empty texts, and those without any letter, digit or sign, score as a window without subsequences. Texts of any
+length are scored whole, in blocks that overlap. Blanks between single characters are taken out; combining marks and invisible
+characters too. Of equal windows the first counts. Rows without a label teach nothing, several labels of one document count
+each, and so do repeated rows. Without labels of both kinds all texts score alike. An empty table gives an empty result.
+Columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,156 +27,146 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.bpe import MEMO
-from corpuslens.llm.common import hash_unit, held_out, only, release, small_batches, table
+from corpuslens.llm.common import hash_unit, held_out, only, release, saved, small_batches, table
 
-SPAN, DECAY, WIDTH, STEP = 5, 0.6, 32, 24
-#: Bounds of the model fit: labelled documents, words of each side, landmarks.
-TRAIN_DOCS, WORDS, LANDMARKS = 20_000, 12_000, 256
-_CLASSES = 38
+SPAN, DECAY, WINDOW = 5, 0.6, 12
+#: Bounds of the model fit: labelled documents, sentences of each side, clean windows kept from earlier rounds, landmarks of each side.
+TRAIN_DOCS, SENTENCES, CLEAN_WINDOWS, TOXIC_MARKS, CLEAN_MARKS = 20_000, 6_000, 12_000, 192, 64
+#: Rounds on worst windows, and folds of the labelled documents.
+ROUNDS, FOLDS = 6, 4
+SENTENCE = r"[^.!?\n]{1,400}"
+_BLANK, _OTHER, CLASSES = 37, 38, 48
 _PATTERNS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN)]
-_SENTENCE = re.compile(r"[.!?\n]+")
-
-
-class _Fold(dict):
-    """Class of a character: 1 to 26 for letters without accents, 27 to 36 for digits, 37 for all else."""
-
-    def __missing__(self, c: str) -> int:
-        base = unicodedata.normalize("NFKD", c)[:1].lower()
-        got = ord(base) - 96 if "a" <= base <= "z" else ord(base) - 21 if "0" <= base <= "9" else 37
-        self[c] = got
-        return got
-
-
-_FOLD = _Fold()
-
-
-def words_of(text: str) -> list[str]:
-    """Lower-case words without outer punctuation; a run of three or more single characters is one word."""
-    out: list[str] = []
-    run: list[str] = []
-    for raw in text.lower().split():
-        w = raw.strip("\"'.,;:!?()[]{}<>*#%&$|-_~/\\")
-        if len(w) == 1:
-            run.append(w)
-            continue
-        if len(run) >= 3:
-            out.append("".join(run))
-        run = []
-        if w:
-            out.append(w)
-    if len(run) >= 3:
-        out.append("".join(run))
-    return out
-
-
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the subsequences of each word (0: none) and their weights, scaled to unit length of the whole vector."""
-    n, width = len(words), max(3, *map(len, words)) if words else 3
-    c = np.zeros((n, width + SPAN), dtype=np.int64)
-    for i, w in enumerate(words):
-        c[i, : len(w)] = [_FOLD[x] for x in w]
-    codes, weights = [], []
+_WORTH = [DECAY ** (b + 1) for _, b in _PATTERNS]
+_SCALE = float(np.sqrt(WINDOW * sum(x * x for x in _WORTH)))
+_SLICE, _BLOCK = 1 << 20, 1 << 16
+_UNKNOWN = 255
+_CLASS_OF = np.full(0x110000, _UNKNOWN, dtype=np.uint8)
+
+
+def class_of(c: str) -> int:
+    """1 to 26 for letters without accents, 27 to 36 for digits, ten classes for other letters, one for all else; 0: left out."""
+    if unicodedata.category(c) in ("Mn", "Me", "Cf"):
+        return 0
+    base = unicodedata.normalize("NFKD", c)[:1].lower()
+    if "a" <= base <= "z":
+        return ord(base) - 96
+    if "0" <= base <= "9":
+        return ord(base) - 21
+    return _OTHER + ord(base[:1]) % (CLASSES - _OTHER) if base.isalpha() else _BLANK
+
+
+def classes(text: str) -> np.ndarray:
+    """Classes of the text's characters; a run of blanks and signs is one blank, one between single characters is none; one at both ends."""
+    parts = []
+    for i in range(0, len(text), _SLICE):
+        points = np.frombuffer(text[i : i + _SLICE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        got = _CLASS_OF[points]
+        for p in np.unique(points[got == _UNKNOWN]).tolist():
+            _CLASS_OF[p] = class_of(chr(p))
+        parts.append(_CLASS_OF[points])
+    c = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint8)
+    c = c[c > 0]
+    blank = c == _BLANK
+    c = c[~(blank & np.concatenate([[True], blank[:-1]]))] if len(c) else c
+    c = c[:-1] if len(c) and c[-1] == _BLANK else c
+    edge = np.concatenate([[True], c == _BLANK, [True]])  # edge[i + 1] is of character i
+    alone = ~edge[1:-1] & edge[:-2] & edge[2:]
+    between = np.zeros(len(c), dtype=bool)
+    between[1:-1] = ~alone[1:-1] & edge[2:-2] & alone[:-2] & alone[2:] if len(c) > 2 else False
+    return np.pad(c[~between], 1, constant_values=_BLANK) if len(c) else c
+
+
+def _codes(c: np.ndarray) -> Iterator[np.ndarray]:
+    """For each pattern the codes of the subsequences that begin at each place (0: none)."""
+    n = len(c)
+    x = np.zeros(n + SPAN, dtype=np.int64)
+    x[:n] = c
     for a, b in _PATTERNS:
-        x, y, z = c[:, :width], c[:, a : a + width], c[:, b : b + width]
-        full = (x > 0) & (y > 0) & (z > 0)
-        codes.append(np.where(full, (x * _CLASSES + y) * _CLASSES + z, 0))
-        weights.append(np.where(full, DECAY ** (b + 1), 0.0))
-    codes, weights = np.concatenate(codes, axis=1), np.concatenate(weights, axis=1)
-    # Equal subsequences of one word add up; the squared length needs the sums.
-    order = np.argsort(codes, axis=1)
-    sc, sw = np.take_along_axis(codes, order, 1), np.take_along_axis(weights, order, 1)
-    total = np.cumsum(sw, axis=1)
-    last = np.concatenate([sc[:, 1:] != sc[:, :-1], np.ones((n, 1), bool)], axis=1)
-    ends = np.where(last, total, 0.0)
-    sums = np.where(last, ends - np.concatenate([np.zeros((n, 1)), np.maximum.accumulate(ends, axis=1)[:, :-1]], axis=1), 0.0)
-    norm = np.sqrt((sums**2).sum(axis=1, keepdims=True))
-    return codes, weights / np.where(norm > 0, norm, 1.0)
+        z = x[b : b + n]
+        yield np.where(z > 0, (x[:n] * CLASSES + x[a : a + n]) * CLASSES + z, 0)
+
+
+def subsequences(stretches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and weight of each subsequence; a row's weights are scaled as if no subsequence occurred twice."""
+    rows, codes, weights = [], [], []
+    for i, c in enumerate(stretches):
+        code = np.concatenate(list(_codes(c)))
+        w = np.where(code > 0, np.repeat(_WORTH, len(c)), 0.0)
+        rows.append(np.full(len(code), i))
+        codes.append(code)
+        weights.append(w / (np.sqrt((w * w).sum()) or 1.0))
+    return np.concatenate(rows), np.concatenate(codes), np.concatenate(weights)
 
 
 @dataclass
 class Model:
+    """Weight of each code (of code 0, no subsequence, it is 0), and what makes a margin a probability."""
+
     weight: np.ndarray
     bias: float
     slope: float
     shift: float
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """The machine's value of each word of at most WIDTH characters."""
-        if not words:
-            return np.zeros(0)
-        codes, w = subsequences(words)
-        return (self.weight[codes] * w).sum(axis=1) + self.bias
-
-
-class Scorer:
-    def __init__(self, model: Model):
-        self.m = model
-        self.known: dict[str, float] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        short = [w for w in words if len(w) <= WIDTH]
-        short.sort(key=len)
-        for i in range(0, len(short), 4096):
-            part = short[i : i + 4096]
-            self.known.update(zip(part, self.m.words(part).tolist(), strict=True))
-        for w in words:
-            if len(w) > WIDTH:
-                cut = [w[i : i + WIDTH] for i in range(0, max(1, len(w) - WIDTH + STEP), STEP)]
-                self.known[w] = max(max(self.m.words(cut[i : i + 4096]).tolist()) for i in range(0, len(cut), 4096))
-
-    def margins(self, texts: list[str]) -> list[float]:
-        split = [words_of(t) for t in texts]
-        every = {w for x in split for w in x}
-        fresh = every.difference(self.known)
-        if len(self.known) + len(fresh) > MEMO:
-            self.known, fresh = {}, every
-        self._learn(fresh)
-        return [max(map(self.known.__getitem__, x), default=self.m.bias) for x in split]
-
-
-def _machine(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
-    """Subsequence weights and bias: squared-hinge machine on Nyström features, each word weighted on both sides."""
-    share_t, share_c = toxic / max(toxic.sum(), 1), clean / max(clean.sum(), 1)
-    odds = (toxic - toxic.sum() * share_c) / np.sqrt(toxic + 1.0)
-    by_odds, by_use = np.argsort(-odds, kind="stable"), np.argsort(-(toxic + clean), kind="stable")
-    marks = list(dict.fromkeys([*by_odds[: LANDMARKS // 2], *by_use[: LANDMARKS // 2]]))
-    codes, w = subsequences([words[i] for i in marks])
-    table_ = np.zeros((len(marks), _CLASSES**3), dtype=np.float32)
-    for r in range(len(marks)):
-        np.add.at(table_[r], codes[r], w[r])
-    table_[:, 0] = 0
-    kmm = (table_ @ table_.T).astype(np.float64)
-    val, vec = np.linalg.eigh(kmm)
+    def worst(self, c: np.ndarray) -> tuple[float, int]:
+        """The machine's value of the worst window of the classes `c`, and where that window begins."""
+        best, place = -np.inf, 0
+        for at in range(0, max(1, len(c) - WINDOW + 1), _BLOCK):
+            part = c[at : at + _BLOCK + WINDOW + SPAN]
+            each = np.zeros(len(part))
+            for worth, code in zip(_WORTH, _codes(part), strict=True):
+                each += worth * self.weight[code]
+            total = np.concatenate([[0.0], np.cumsum(each[: _BLOCK + WINDOW - 1])])
+            sums = total[WINDOW:] - total[:-WINDOW] if len(total) > WINDOW else total[-1:]
+            j = int(sums.argmax())
+            if sums[j] > best:
+                best, place = float(sums[j]), at + j
+        return best / _SCALE + self.bias, place
+
+    def value(self, text: str | None) -> float:
+        return self.worst(classes(text or ""))[0]
+
+
+def _machine(stretches: list[np.ndarray], toxic: np.ndarray, turn: int) -> tuple[np.ndarray, float]:
+    """Subsequence weights and bias: squared-hinge machine on Nyström features, both sides of equal weight; landmarks are dealt by `turn`."""
+    if toxic.all() or not toxic.any():
+        return np.zeros(CLASSES**3), 1.0 if toxic.any() else -1.0
+    deal = np.random.default_rng(turn)
+    marks = [i for side, n in ((toxic, TOXIC_MARKS), (~toxic, CLEAN_MARKS)) for i in deal.permutation(np.flatnonzero(side))[:n]]
+    row, code, w = subsequences([stretches[i] for i in marks])
+    used, at = np.unique(code[code > 0], return_inverse=True)
+    if not len(used):
+        return np.zeros(CLASSES**3), -1.0
+    marked = np.zeros((len(marks), len(used)))
+    np.add.at(marked, (row[code > 0], at), w[code > 0])
+    val, vec = np.linalg.eigh(marked @ marked.T)
     root = vec / np.sqrt(np.maximum(val, 1e-3)) @ vec.T
-    cols = np.ascontiguousarray(table_.T)
-    del table_
-    z = np.ones((len(words), len(marks) + 1))
-    for i in range(0, len(words), 500):
-        c, x = subsequences(words[i : i + 500])
-        used, back = np.unique(c, return_inverse=True)
-        dense = np.zeros((len(c), len(used)), dtype=np.float32)
-        np.add.at(dense, (np.arange(len(c))[:, None], back.reshape(c.shape)), x.astype(np.float32))
-        z[i : i + 500, :-1] = (dense @ cols[used]) @ root
-    cost_t, cost_c = share_t * len(words), share_c * len(words)
-    v = np.zeros(z.shape[1])
-    ridge = np.eye(z.shape[1]) * 0.5
+    z = np.ones((len(stretches), len(marks) + 1))
+    for i in range(0, len(stretches), 500):
+        row, code, w = subsequences(stretches[i : i + 500])
+        at = np.minimum(np.searchsorted(used, code), len(used) - 1)
+        known = used[at] == code
+        here = np.zeros((len(stretches[i : i + 500]), len(used)))
+        np.add.at(here, (row[known], at[known]), w[known])
+        z[i : i + 500, :-1] = here @ marked.T @ root
+    y = np.where(toxic, 1.0, -1.0)
+    cost = len(y) / 2 / np.where(toxic, toxic.sum(), (~toxic).sum())
+    v, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1]) * 0.5
     ridge[-1, -1] = 1e-3
-    for _ in range(25):  # Newton steps; each word stands on both sides
-        f = z @ v
-        on_t, on_c = (f < 1) * cost_t, (f > -1) * cost_c
-        new = np.linalg.solve((z * (on_t + on_c)[:, None]).T @ z + ridge, z.T @ (on_t - on_c))
+    for _ in range(25):  # Newton steps
+        on = (y * (z @ v) < 1) * cost
+        new = np.linalg.solve((z * on[:, None]).T @ z + ridge, z.T @ (on * y))
         done = np.abs(new - v).max() < 1e-6
         v = new
         if done:
             break
-    return (cols @ (root @ v[:-1]).astype(np.float32)).astype(np.float64), float(v[-1])
+    weight = np.zeros(CLASSES**3)
+    weight[used] = marked.T @ (root @ v[:-1])
+    return weight, float(v[-1])
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve through the margins of labelled documents."""
-    if len(set(y.tolist())) < 2:
-        return 4.0, -2.0
     z, b = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
@@ -187,53 +179,75 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(b[0], 1e-3)), float(b[1])
 
 
+def _mean(machines: list[tuple[np.ndarray, float]]) -> Model:
+    return Model(np.mean([w for w, _ in machines], axis=0), float(np.mean([b for _, b in machines])), 1.0, 0.0)
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of a bounded sample of the labelled documents outside the held-out part."""
+    """text, toxic and fold of a bounded sample of the labelled documents outside the held-out part."""
     known = only(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.where(hash_unit("doc_id") < min(1.0, TRAIN_DOCS / max(known.count(), 1)))
-    return only(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("text", "toxic")  # about TRAIN_DOCS rows
+    known = known.select("doc_id", (F.col("toxic") > 0).alias("toxic"), F.floor(hash_unit("doc_id", "fold") * FOLDS).cast("int").alias("fold"))
+    return only(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("text", "toxic", "fold")  # about TRAIN_DOCS rows
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    small_batches(docs.sparkSession)
-    train = labelled(docs, labels)
+def _worst_windows(train: DataFrame, models: list[Model]) -> pd.DataFrame:
+    """toxic, fold, margin and worst window of each document of the sample, by its fold's model; a few bytes each."""
+    sent = train.sparkSession.sparkContext.broadcast(models)
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
         for b in batches:
-            seen: Counter = Counter()
-            for text, y in zip(b["text"], b["toxic"], strict=True):
-                for s in _SENTENCE.split(text):
-                    seen.update((w[:WIDTH], int(y)) for w in set(words_of(s)))
-            yield pd.DataFrame([(w, n if y else 0, 0 if y else n) for (w, y), n in seen.items()], columns=["word", "toxic", "clean"])
-
-    found = train.mapInPandas(counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
-    sides = [found.where(f"{s} > 0").orderBy(F.desc(s), hash_unit("word"), "word").limit(WORDS) for s in ("toxic", "clean")]
-    rows = {r["word"]: r for side in sides for r in side.collect()}
-    found.unpersist()
-    if not rows:
-        return Model(np.zeros(_CLASSES**3), -1.0, 4.0, -2.0)
-    words = sorted(rows)
-    weight, bias = _machine(words, np.array([rows[w]["toxic"] for w in words], float), np.array([rows[w]["clean"] for w in words], float))
-    model = Model(weight, bias, 1.0, 0.0)
-    pairs = margins(train, model, "toxic").toPandas()  # two numbers for each document of the sample
-    model.slope, model.shift = _calibrated(pairs["margin"].to_numpy(float), (pairs["toxic"] > 0).to_numpy(float))
+            folded = [classes(t) for t in b["text"]]
+            found = [sent.value[k].worst(c) for c, k in zip(folded, b["fold"].tolist(), strict=True)]
+            cut = [c[at : at + WINDOW].tobytes() for c, (_, at) in zip(folded, found, strict=True)]
+            yield pd.DataFrame({"toxic": b["toxic"], "fold": b["fold"], "margin": [m for m, _ in found], "cut": cut})
+
+    got = train.mapInPandas(run, "toxic boolean, fold int, margin double, cut binary").toPandas()
+    got = got.astype({"toxic": bool}).sort_values(["cut", "margin", "toxic", "fold"], ignore_index=True)
+    return got.sample(frac=1, random_state=0, ignore_index=True)  # the same order in every run, whatever the tasks' was
+
+
+def _machines(stretches: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray, turn: int) -> list[tuple[np.ndarray, float]]:
+    """A machine without each fold, and one of all."""
+    uses = [np.flatnonzero(fold != k) for k in range(FOLDS + 1)]
+    return [_machine([stretches[i] for i in use], toxic[use], turn) for use in uses]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    small_batches(docs.sparkSession)
+    train = saved(labelled(docs, labels), "toxicity-sample")  # the rounds read the sample, not the documents
+    every = train.select("fold", "toxic", F.explode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("s")).distinct()
+    first = [r for y in (True, False) for r in every.where(F.col("toxic") == y).orderBy(hash_unit("s"), "s", "fold").limit(SENTENCES).collect()]
+    toxic, fold = np.array([r["toxic"] for r in first], dtype=bool), np.array([r["fold"] for r in first])
+    if toxic.all() or not toxic.any():
+        return Model(np.zeros(CLASSES**3), 1.0 if toxic.any() else -1.0, 4.0, -2.0)
+    now = _machines([classes(r["s"]) for r in first], toxic, fold, 0)
+    rounds: list[list[tuple[np.ndarray, float]]] = []
+    clean = None
+    for turn in range(1, ROUNDS + 1):
+        got = _worst_windows(train, [_mean(m) for m in zip(*rounds, strict=True)] if rounds else [_mean([m]) for m in now])
+        clean = pd.concat([clean, got[~got["toxic"]]]).tail(CLEAN_WINDOWS)
+        use = pd.concat([got[got["toxic"]], clean])
+        rounds.append(_machines([np.frombuffer(x, dtype=np.uint8) for x in use["cut"]], use["toxic"].to_numpy(bool), use["fold"].to_numpy(), turn))
+    *others, model = [_mean(m) for m in zip(*rounds, strict=True)]
+    got = _worst_windows(train, others)
+    model.slope, model.shift = _calibrated(got["margin"].to_numpy(float), got["toxic"].to_numpy(float))
     return model
 
 
 def margins(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """Columns `keep` and the machine's value of each document's worst word."""
+    """Columns `keep` and the machine's value of each document's worst window."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
-    given = only(docs, *keep, "text").withColumn("text", F.coalesce("text", F.lit("")))
+    given = only(docs, *keep, "text")
     schema = ", ".join(f"`{c}` {t}" for c, t in given.select(*keep).dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
-        scorer = Scorer(sent.value)
         for b in batches:
-            yield b[list(keep)].assign(margin=scorer.margins(b["text"].tolist()))
+            yield b[list(keep)].assign(margin=[sent.value.value(t) for t in b["text"]])
 
     return given.mapInPandas(run, f"{schema}, margin double")
 
@@ -253,9 +267,8 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
-        scorer = Scorer(sent.value)
         for b in batches:
-            bad = [m >= least for m in scorer.margins([t or "" for t in b["text"]])]
+            bad = [sent.value.value(t) >= least for t in b["text"]]
             yield b[~pd.Series(bad, index=b.index, dtype=bool)]
 
     return docs.mapInPandas(run, docs.schema)

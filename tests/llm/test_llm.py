@@ -1,6 +1,7 @@
 """The operators against brute force, the libraries, or held-out labels, and on odd inputs."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -63,28 +64,54 @@ def test_toxicity_held_out(spark, large):
 
 
 def test_toxicity_kernel_by_definition():
-    word = "idiot"
-    codes, w = toxicity.subsequences([word, "the"])
-    brute = Counter()
-    for a in range(5):
-        for b in range(a + 1, 5):
-            for c in range(b + 1, 5):
-                if c - a < toxicity.SPAN:
-                    brute[word[a] + word[b] + word[c]] += toxicity.DECAY ** (c - a + 1)
-    assert abs(sum(v * v for v in brute.values()) / sum(v * v for v in brute.values()) - 1) < 1e-9
-    code = lambda t: (toxicity._FOLD[t[0]] * 38 + toxicity._FOLD[t[1]]) * 38 + toxicity._FOLD[t[2]]
-    got = Counter()
-    for c, x in zip(codes[0], w[0], strict=True):
-        got[int(c)] += x
-    norm = sum(v * v for v in brute.values()) ** 0.5
-    assert all(abs(got[code(t)] - v / norm) < 1e-9 for t, v in brute.items())
+    stretches = ["idiot", "the", "ababab", "id*iot x", "", "ab"]
+    row, code, w = toxicity.subsequences([toxicity.classes(t) for t in stretches])
+    for i, t in enumerate(stretches):
+        brute, squares = Counter(), 0.0
+        c = toxicity.classes(t).tolist()
+        for x in range(len(c)):
+            for y in range(x + 1, len(c)):
+                for z in range(y + 1, min(len(c), x + toxicity.SPAN)):
+                    brute[(c[x] * toxicity.CLASSES + c[y]) * toxicity.CLASSES + c[z]] += toxicity.DECAY ** (z - x + 1)
+                    squares += toxicity.DECAY ** (2 * (z - x + 1))
+        got = Counter()
+        for k, v in zip(code[row == i], w[row == i], strict=True):
+            if k:
+                got[int(k)] += v
+        assert set(got) == set(brute) and all(abs(got[k] - v / squares**0.5) < 1e-9 for k, v in brute.items())
+
+
+def test_toxicity_worst_window_by_definition():
+    deal = random.Random(5)
+    weight = np.random.default_rng(3).normal(size=toxicity.CLASSES**3)
+    weight[0] = 0.0  # no subsequence
+    model = toxicity.Model(weight, 0.25, 1.0, 0.0)
+    texts = ["", "a", "ab", "abc", "x y z", *["".join(deal.choice("abcdef .") for _ in range(n)) for n in (11, 12, 13, 40, 300)], "ab cd ef " * 15000]
+    for t in texts:
+        c = toxicity.classes(t).tolist()
+        each = []
+        for x in range(len(c)):
+            near = range(x + 1, min(len(c), x + toxicity.SPAN))
+            each.append(sum(toxicity.DECAY ** (z - x + 1) * weight[(c[x] * toxicity.CLASSES + c[y]) * toxicity.CLASSES + c[z]] for z in near for y in range(x + 1, z)))
+        sums = [sum(each[i : i + toxicity.WINDOW]) for i in range(max(1, len(c) - toxicity.WINDOW + 1))]
+        assert abs(model.value(t) - max(sums) / toxicity._SCALE - 0.25) < 1e-6
+    assert model.value(None) == model.value("") == model.value(" \u200b\n") == 0.25
+
+
+def test_toxicity_classes():
+    same = [toxicity.classes(t).tolist() for t in ("you idiot", "You, IDIOT!", "you i d i o t", "you i.d.i.o.t", "yo\u0308u id\u200biot", "you\u3000ïdíöt")]
+    assert all(x == same[0] for x in same)
+    assert toxicity.classes("слово").tolist() != toxicity.classes("дело").tolist()
+    long = "ab c1 " * 400_000
+    assert len(toxicity.classes(long)) == len(long) + 1
 
 
 def test_toxicity_gaps(spark, medium):
     d, lab = spark.read.parquet(f"{medium}/documents.parquet"), spark.read.parquet(f"{medium}/labels.parquet")
     model = toxicity.fit(d, lab)
-    value = dict(zip(["idiot", "id*iot", "i-diot", "thand", "ernthe"], model.words(["idiot", "id*iot", "i-diot", "thand", "ernthe"]), strict=True))
-    assert min(value["idiot"], value["id*iot"], value["i-diot"]) > max(value["thand"], value["ernthe"])
+    bad, good = [model.value(t) for t in ("idiot", "id*iot", "i-diot", "id iot", "i d i o t")], [model.value(t) for t in ("thand", "ernthe", "th and")]
+    assert min(bad) > max(good)
+    assert [toxicity.fit(d, lab).value(t) for t in ("idiot", "thand")] == [model.value(t) for t in ("idiot", "thand")]
 
 
 # --- decontamination
@@ -509,10 +536,15 @@ def test_patience_alignment():
 
 def test_toxicity_odd(spark, odd, empty):
     lab = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 13)], "doc_id long, toxic int, quality int")
-    for d, x in ((odd, lab), (odd, lab.where("false")), (empty, lab)):
+    one_side = lab.withColumn("toxic", F.lit(1))
+    for d, x in ((odd, lab), (odd, lab.where("false")), (empty, lab), (odd, one_side), (odd, lab.withColumn("toxic", F.lit(None).cast("int")))):
         m = toxicity.fit(d, x)
-        assert toxicity.score(odd, m).count() == len(ODD) and toxicity.score(empty, m).count() == 0
-    assert toxicity.words_of("you i d i o t!") == ["you", "idiot"] or "idiot" in toxicity.words_of("you i d i o t !")
+        got = toxicity.score(odd, m).collect()
+        assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got) and toxicity.score(empty, m).count() == 0
+        by_id = {i: {r["score"] for r in got if r["doc_id"] == i} for i, _ in ODD}
+        assert by_id[1] == by_id[2] == by_id[3] and len(by_id[11]) == 1 and by_id[5] == by_id[6]
+        stays = toxicity.kept(odd, m)
+        assert stays.columns == odd.columns and stays.count() == sum(r["predicted"] == 0 for r in got)
 
 
 def test_pipeline(spark, small, docs):
