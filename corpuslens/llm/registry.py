@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import decontaminate, jaccard_join, language_id, license_scan, pii, piece_codec, quality_rules, token_binary, token_counts, toxicity
+from corpuslens.llm import decontaminate, fill_in_middle, jaccard_join, language_id, license_scan, order_minhash, pii, piece_codec, quality_rules, token_binary, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_sentencepiece": piece_codec.op8_sentencepiece,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_document_fingerprints": order_minhash.op13_document_fingerprints,
 }
-ORACLES = {"op10_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op10_quality_rules": quality_rules.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE}
