@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -55,3 +57,40 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), 0.0).otherwise(dot(a, b) / (norm(a) * norm(b)))
+
+
+#: Features whose place and weight a worker remembers at most.
+MEMO = 500_000
+
+
+def hashed(texts: DataFrame, key: str, text: str = "text", dim: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, vector): the vectors of `hash_vectors` with all places, times 20 and not scaled to length 1, so that
+    every entry is an integer and sums are exact. Nothing is shuffled; a text without tokens has zeros only."""
+    import pyarrow as pa
+
+    given = texts.select(key, *keep, tokenize(F.col(text)).alias("_tokens"))
+    kept = [given.schema[c] for c in (key, *keep)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
+
+        def place(g: str) -> tuple[int, int]:
+            h = md5(g.encode()).digest()
+            found = int.from_bytes(h[:4]) % dim, (20 + 3 * min(len(g), 8)) * (1 - 2 * (h[4] % 2))
+            if len(known) >= MEMO:
+                known.clear()
+            known[g] = found
+            return found
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                dense = np.zeros((b.num_rows, dim), dtype=np.float32)
+                for row, t in zip(dense, b.column("_tokens").to_pylist(), strict=True):
+                    if t:
+                        at, by = zip(*[known.get(g) or place(g) for g in (*t, *map("_".join, pairwise(t)))], strict=True)
+                        row += np.bincount(at, weights=by, minlength=dim)
+                ends = pa.array(np.arange(0, dense.size + 1, dim, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))], names=[*[f.name for f in kept], "vector"])
+
+    return given.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", vector array<float>")

@@ -136,17 +136,17 @@ def explained(found: DataFrame, threshold: float = 0.15) -> DataFrame:
     )
 
 
-def attributed(found: DataFrame, floor: float = 0.45) -> DataFrame:
+def attributed(found: DataFrame, floor: float = 0.45, scattered: float = 0.6) -> DataFrame:
     """Why a query missed: `reasons` (confidence, code), surest first, and `verdict`, from rows (query_id, n_intent, n_broad: candidates within
     the intent's domains and anywhere; top_fusion, top_broad, top_rerank, mean_bm25, mean_vector; intent_confidence; most_of_one: the
-    most candidates of one document). What is null counts as 0."""
+    most candidates of one document). What is null counts as 0. Pieces of one document count as scattered below a best fusion of `scattered`."""
     names = ("n_intent", "n_broad", "top_fusion", "top_broad", "top_rerank", "mean_bm25", "mean_vector", "intent_confidence", "most_of_one")
     n_intent, n_broad, fusion, broad, rerank, bm25, vector, sure, most = (F.coalesce(F.col(c), F.lit(0)) for c in names)
     reason = lambda code, conf: F.struct(F.lit(conf).alias("confidence"), F.lit(code).alias("code"))
     missing = F.when((n_intent == 0) & (n_broad == 0), reason("missing_doc", 0.95)).when((n_intent > 0) & (rerank < floor * 0.6), reason("missing_doc", 0.7))
     misroute = F.when((n_intent == 0) & (n_broad > 0), reason("intent_misroute", 0.85)).when((n_intent > 0) & (broad > fusion * 1.3) & (n_broad > n_intent), reason("intent_misroute", 0.6)).when(sure < 0.5, reason("intent_misroute", 0.4))
     drift = F.when((n_intent > 0) & (bm25 > 0) & (vector > 0) & (bm25 > vector * 1.6) & (rerank >= floor * 0.5), reason("rewrite_drift", 0.5))
-    split = F.when((most >= 3) & (fusion < 0.6) & (rerank >= floor * 0.5), reason("chunking_bad", 0.45))
+    split = F.when((most >= 3) & (fusion < scattered) & (rerank >= floor * 0.5), reason("chunking_bad", 0.45))
     reasons = F.sort_array(F.filter(F.array(missing, misroute, drift, split), lambda x: x.isNotNull()), asc=False)
     has = lambda code: F.exists("reasons", lambda x: x["code"] == code)
     verdict = F.when(F.size("reasons") == 0, "retrieval_ok")

@@ -144,6 +144,9 @@ def lexical_score(query: Column, doc: Column, mandatory: tuple[str, ...] = T.MAN
 def rerank(candidates: DataFrame, keep: int = 6, decay: bool = False) -> DataFrame:
     """Adds rerank_score and final_score to candidates (query_id, query, doc_id, content, rank, fusion_score, cosine, is_mandatory, governance_status); keeps the best."""
     lexical = lexical_score(F.col("query"), F.col("content"))
+    if decay:  # here the word counts as mandatory at the head of a text, too
+        head = F.substring("content", 1, 80).contains("应") & ~F.col("content").rlike("|".join(T.MANDATORY[:3]))
+        lexical = lexical + F.when(head, 0.1).otherwise(0.0)
     score = lexical / (1 + 0.05 * (F.col("rank") - 1)) if decay else 0.65 * F.greatest(F.col("cosine"), F.lit(0.0)) + 0.35 * lexical
     boost = F.when(F.col("is_mandatory"), 1.10).otherwise(1.0) * F.when(F.col("governance_status") == "deprecated", 0.55).when(F.col("governance_status") == "need_update", 0.85).otherwise(1.0)
     c = candidates.withColumn("rerank_score", F.round(F.least(score, F.lit(1.0)), 6)).drop("rank")

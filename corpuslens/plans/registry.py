@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as T
 from corpuslens.functions.vectors import dense_vectors, hash_vectors
 from corpuslens.operators import answers, evaluate, governance, ingest, intents, lists, neighbours, quality, reports, search, versions
+from corpuslens.plans import stored
 from corpuslens.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +50,7 @@ _BM25 = {
 @query(V.sql("SELECT query_id, doc_id, kb_id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score, rank FROM bm WHERE rank <= 5", "document_v", "query_v", **_BM25))
 def bm25_top_documents(spark, sf_dir):
     """The five best documents of each benchmark item by BM25."""
-    return search.bm25_search(V.document_v(spark, sf_dir), V.query_v(spark, sf_dir), 5)
+    return stored.bm25(spark, sf_dir, V.query_v(spark, sf_dir), 5)
 
 
 _VEC = {
@@ -66,7 +67,7 @@ _VEC = {
 @query(V.sql("SELECT query_id, doc_id, score, rank FROM vr WHERE rank <= 10", "document_v", "query_v", **_VEC))
 def hash_vector_search(spark, sf_dir):
     """The ten nearest documents of each benchmark item by hashed text vectors."""
-    return search.hash_vector_search(V.document_v(spark, sf_dir), V.query_v(spark, sf_dir), 10)
+    return stored.cosine(spark, sf_dir, V.query_v(spark, sf_dir), 10)
 
 
 _FUSED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, doc_id) AS rank FROM (
@@ -78,8 +79,8 @@ _FUSED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id OR
 
 
 def _hybrid(spark, sf_dir):
-    d, q = V.document_v(spark, sf_dir), V.query_v(spark, sf_dir)
-    return search.fuse(search.hash_vector_search(d, q, 20), search.bm25_search(d, q, 40))
+    q = V.query_v(spark, sf_dir)
+    return search.fuse(stored.cosine(spark, sf_dir, q, 20), stored.bm25(spark, sf_dir, q, 40))
 
 
 @query(V.sql("SELECT query_id, doc_id, vector_rank, bm25_rank, fusion_score, rank FROM fused", "document_v", "query_v", **_BM25, **_VEC, fused=_FUSED))
@@ -89,12 +90,8 @@ def hybrid_search(spark, sf_dir):
 
 
 def _golden(spark, sf_dir):
-    """Documents that hold a benchmark text: the items are a small, stated query set, compared in one block."""
-    q, d = V.query_v(spark, sf_dir), V.table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"\w{6,}"), F.lit(0))
-    key = q.select("query_id", "query", F.get(F.array_sort(F.transform(words(F.col("query")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"].alias("w"))
-    held = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(key.select("w").distinct(), "w", "left_semi")
-    return held.join(key, "w").join(d, "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    """Documents that hold a benchmark text, a small, stated set."""
+    return evaluate.containing(V.table(spark, sf_dir, "documents"), V.query_v(spark, sf_dir))
 
 
 _GOLD = "SELECT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
@@ -113,9 +110,9 @@ def retrieval_metrics(spark, sf_dir):
     return evaluate.ranking_metrics(_hybrid(spark, sf_dir).select("query_id", "doc_id", "rank"), _golden(spark, sf_dir))
 
 
-@query(V.sql(f"SELECT doc_id, len({_TOK('text')}) AS n_tokens, sha256(text) AS content_hash, CASE WHEN length(text) > 80 THEN substring(text, 1, 80) || '…' ELSE text END AS short, list_aggregate(list_sort(list_distinct({_TOK('text')}))[1:6], 'string_agg', ' ') AS gap_key FROM documents WHERE len({_TOK('text')}) > 0"))
+@query(V.sql(f"SELECT doc_id, len({_TOK('text')}) AS n_tokens, sha256(text) AS content_hash, CASE WHEN length(text) > 80 THEN substring(text, 1, 80) || '…' ELSE text END AS short, coalesce(nullif(list_aggregate(list_sort(list_distinct({_TOK('text')}))[1:6], 'string_agg', ' '), ''), substring(sha256(lower(trim(text))), 1, 32)) AS gap_key FROM documents"))
 def text_scalars(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents").withColumn("t", T.tokenize(F.col("text"))).where(F.size("t") > 0)
+    d = V.table(spark, sf_dir, "documents").withColumn("t", T.tokenize(F.col("text")))
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), T.content_hash(F.col("text")).alias("content_hash"), T.truncate_to(F.col("text"), 80).alias("short"), T.token_key(F.col("text")).alias("gap_key"))
 
 
@@ -251,30 +248,25 @@ def release_gate(spark, sf_dir):
     return governance.release_gate(d).select("kb_id", "n_docs", "n_failed", "reasons", "passed")
 
 
-@query()
-def reranked_candidates(spark, sf_dir):
-    """Fused candidates reranked with cosine and lexical signals, boosted by status, behind the relevance floor."""
-    d, q = V.document_v(spark, sf_dir), V.query_v(spark, sf_dir)
-    c = _hybrid(spark, sf_dir).join(q, "query_id").join(d.select("doc_id", F.col("text").alias("content"), "governance_status"), "doc_id", "left").withColumn("content", T.text_or_empty(F.col("content")))
-    pair = c.select("query_id", "doc_id")
-    s = pair.join(hash_vectors(d, "doc_id"), "doc_id").join(hash_vectors(q, "query_id", "query").withColumnRenamed("value", "qv"), ["query_id", "bucket"])
-    cos = s.groupBy("query_id", "doc_id").agg(F.sum(F.col("value") * F.col("qv")).alias("cosine"))
-    c = c.join(cos, ["query_id", "doc_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0))).withColumn("is_mandatory", T.is_mandatory(F.col("content")))
-    return search.relevance_floor(search.rerank(c)).select("query_id", "doc_id", "rerank_score", "final_score", "rank", "rejected")
-
-
 def _has(c: str, words: list[str]) -> str:
     return " + ".join(f"contains({c}, '{w}')::int" for w in words)
 
 
-_INTENTS = {
-    "i0": "SELECT conv_id, turn, text, lower(text) AS q FROM conversations WHERE role = 'user'",
-    "i1": "SELECT *, " + ", ".join(f"CASE WHEN {_has('q', w)} > 0 THEN ({_has('q', w)}) * {intents.HIT}::double + {b}::double END AS {n}" for n, w, b in intents.RULES) + " FROM i0",
-    "i2": f"SELECT * REPLACE (CASE WHEN length(trim(text)) > {intents.CHITCHAT_LENGTH} AND chitchat > coalesce(greatest(spec_lookup, quality_diagnosis, scheme_generation, case_retrieval), 0) THEN NULL ELSE chitchat END AS chitchat) FROM i1",
-    "i3": f"SELECT * REPLACE (CASE WHEN {_has('q', intents.CASE_WORDS)} > 0 AND case_retrieval <= coalesce(greatest(spec_lookup, quality_diagnosis, scheme_generation, chitchat), 0) THEN greatest(spec_lookup, quality_diagnosis, scheme_generation, chitchat) + 0.1::double ELSE case_retrieval END AS case_retrieval) FROM i2",
-    "i4": "SELECT *, greatest(spec_lookup, quality_diagnosis, scheme_generation, case_retrieval, chitchat) AS best FROM i3",
-    "i5": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {n} = best THEN '{n}'" for n, _, _ in intents.RULES) + " ELSE 'unknown' END AS intent, CASE WHEN best IS NULL THEN 0.3::double ELSE round(least(0.95::double, 0.45::double + best), 3) END AS intent_confidence FROM i4",
-}
+def intent_sql(source: str, keys: str, rules=intents.RULES) -> dict[str, str]:
+    """Intent and its confidence of the rows (keys, text) of `source`, as `i5`."""
+    names = [n for n, _, _ in rules if n != "chitchat"]
+    most, others = f"coalesce(greatest({', '.join(names)}), 0)", ", ".join(n for n, _, _ in rules if n != "case_retrieval")
+    return {
+        "i0": f"SELECT {keys}, text, lower(text) AS q FROM ({source})",
+        "i1": "SELECT *, " + ", ".join(f"CASE WHEN {_has('q', w)} > 0 THEN ({_has('q', w)}) * {intents.HIT}::double + {b}::double END AS {n}" for n, w, b in rules) + " FROM i0",
+        "i2": f"SELECT * REPLACE (CASE WHEN length(trim(text)) > {intents.CHITCHAT_LENGTH} AND chitchat > {most} THEN NULL ELSE chitchat END AS chitchat) FROM i1",
+        "i3": f"SELECT * REPLACE (CASE WHEN {_has('q', intents.CASE_WORDS)} > 0 AND case_retrieval <= coalesce(greatest({others}), 0) THEN greatest({others}) + 0.1::double ELSE case_retrieval END AS case_retrieval) FROM i2",
+        "i4": f"SELECT *, greatest({', '.join(n for n, _, _ in rules)}) AS best FROM i3",
+        "i5": f"SELECT {keys}, CASE " + " ".join(f"WHEN {n} = best THEN '{n}'" for n, _, _ in rules) + " ELSE 'unknown' END AS intent, CASE WHEN best IS NULL THEN 0.3::double ELSE round(least(0.95::double, 0.45::double + best), 3) END AS intent_confidence FROM i4",
+    }
+
+
+_INTENTS = intent_sql("SELECT conv_id, turn, text FROM conversations WHERE role = 'user'", "conv_id, turn")
 _PLANS = ", ".join(f"('{k}', {list(d)!r}::varchar[], '{s}', {n}, {t}::double, {v}::double, {b}::double)" for k, (d, s, n, t, v, b) in intents.PLANS.items())
 
 
@@ -596,7 +588,7 @@ def hybrid_search_by_domain(spark, sf_dir):
     """Fusion of both channels that prefers the domain of cases, then that of standards."""
     d, q = V.document_v(spark, sf_dir), V.query_v(spark, sf_dir)
     prior = d.select("doc_id", search.domain_prior(F.col("domain"), F.array(F.lit("case"), F.lit("standard"))).alias("prior"))
-    found = search.fuse(search.hash_vector_search(d, q, 20), search.bm25_search(d, q, 40), prior=prior)
+    found = search.fuse(stored.cosine(spark, sf_dir, q, 20), stored.bm25(spark, sf_dir, q, 40), prior=prior)
     return found.select("query_id", "doc_id", "vector_rank", "bm25_rank", "fusion_score", "rank")
 
 
@@ -608,3 +600,6 @@ def inherited_context(spark, sf_dir):
     turns = V.query_log_v(spark, sf_dir).select("conv_id", "turn", no.alias("project_name"), F.when(t % 2 == 0, "tunnel").otherwise(no).alias("project_type"), F.lit("general").alias("discipline"), F.when(t % 3 == 0, "north").otherwise(no).alias("region"), F.when(t % 5 == 0, F.array(F.lit("own"))).alias("kb_ids"))
     own = turns.select("conv_id").distinct().select("conv_id", name("p", 3).alias("project_name"), F.lit("bridge").alias("project_type"), F.when(i % 4 == 0, no).otherwise("civil").alias("discipline"), F.lit(None).cast("string").alias("region"), F.array(name("kb", 2)).alias("kb_ids"))
     return answers.in_context(turns, own)
+
+
+from corpuslens.plans import retrieval  # noqa: E402, F401  registers its queries
