@@ -4,7 +4,7 @@ A known word counts by its log frequency in each language. An unseen one falls b
 order of which the model knows any first, and counts with less weight. The model learns from a bounded sample, dealt evenly
 among the languages as far as they have documents, and keeps every word and n-gram of it.
 
-Cases: a null text or one without letters is `und` with score 0. Equal scores go to the language first in order. Rows with
+Cases: a null text or one without letters is `und` with score 0. Equal scores go to the language first in order. A null doc_id has a null `held_out`. Rows with
 null text, lang or doc_id teach nothing. Columns other than those named are ignored.
 """
 
@@ -29,6 +29,14 @@ TRAIN_DOCS, ORDER = 20_000, 4
 BACKOFF = 0.4
 
 
+def _words(text: str) -> list[str]:
+    """Runs of letters, as `\\p{L}+` finds them: fractions and numerals, which are no digits either, do not count."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
+
+
 @dataclass
 class Model:
     """Words and n-grams, and their log frequencies, a row for each key and a column for each language."""
@@ -116,7 +124,7 @@ class Scorer:
             at += 1
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
-        split = [_WORD.findall(t.lower()) for t in texts]
+        split = list(map(_words, texts))
         if len(self.at) > len(self.m.words) + MEMO:
             self._fresh()
         self.add(list(dict.fromkeys(w for words in split for w in words if w not in self.at)))

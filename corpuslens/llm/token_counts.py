@@ -6,7 +6,11 @@ a map from the state it is entered in to the state it is left in and a count; be
 resets the state, that map needs only the part before the first reset, so maps compose, and long texts are counted chunk
 by chunk and joined by a scan over the maps.
 
-Cases: null and empty texts have no tokens. Repeated rows count each. Columns other than `doc_id` and `text` are ignored.
+A worker keeps a bounded number of states; beyond it, compiling starts anew in mid text, and what goes on is the state's key, so
+no count depends on it.
+
+Cases: null and empty texts have no tokens; an empty table gives no rows. Very long texts go chunk by chunk, one without blanks in
+one pass. Repeated rows count each. Columns other than `doc_id` and `text` are ignored.
 """
 
 from __future__ import annotations
@@ -24,21 +28,31 @@ from corpuslens.llm.common import only, small_batches, table
 
 _RESET = re.compile(f"(?<=[^{MARK}]){MARK}")
 CHUNK = 1 << 16
+START = (("", None, 0),)
 
 
 class Transducer:
     """Counts tokens of one word, mark included, by its transitions."""
 
-    def __init__(self, model: Pieces):
-        self.model = model
+    def __init__(self, model: Pieces, limit: int = MEMO):
+        self.model, self.limit = model, limit
         self._fresh()
 
     def _fresh(self) -> None:
         # A state: ((open text, piece before it, tokens there less tokens here), ...), longest open text first.
-        self.keys: list[tuple] = [(("", None, 0),)]
-        self.number = {self.keys[0]: 0}
+        self.keys: list[tuple] = [START]
+        self.number = {START: 0}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
 
+    def at(self, key: tuple) -> int:
+        """The number that a state has now; numbers are anew where too many states were compiled."""
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.keys)
+            self.keys.append(key)
+            self.moves.append({})
+        return to
+
     def step(self, state: int, c: str) -> tuple[int, int]:
         """Next state and tokens added; compiled on first use."""
         got = self.moves[state].get(c)
@@ -55,24 +69,24 @@ class Transducer:
         if added is None:
             raise AssertionError("a prefix without a last piece")
         opened = [(text + c, before, less - added) for text, before, less in self.keys[state] if text + c in m.prefixes]
-        key = (*opened, ("", last, 0))
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.keys)
-            self.keys.append(key)
-            self.moves.append({})
+        to = self.at((*opened, ("", last, 0)))
         self.moves[state][c] = (to, added)
         return to, added
 
-    def run(self, state: int, text: str) -> tuple[int, int]:
-        n, moves = 0, self.moves
+    def run(self, key: tuple, text: str) -> tuple[tuple, int]:
+        """The state that `text` leads to from another, and the tokens it adds; states are named by their keys."""
+        state, n, moves = self.at(key), 0, self.moves
         for c in text:
             got = moves[state].get(c)
             if got is None:
                 got = self._compile(state, c)
+                if len(self.keys) > self.limit:  # also inside a word; the keys go on, the numbers do not
+                    now = self.keys[got[0]]
+                    self._fresh()
+                    got, moves = (self.at(now), got[1]), self.moves
             state = got[0]
             n += got[1]
-        return state, n
+        return self.keys[state], n
 
 
 @dataclass(frozen=True)
@@ -82,22 +96,20 @@ class ChunkMap:
     head: str
     reset: bool
     n: int
-    left: int
+    left: tuple
 
 
 class Counter(dict):
     """Counts of words met so far; a new word goes through the transducer."""
 
-    def __init__(self, model: Pieces):
+    def __init__(self, model: Pieces, limit: int = MEMO):
         super().__init__()
-        self.machine = Transducer(model)
+        self.machine = Transducer(model, limit)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        if len(self.machine.keys) >= MEMO:
-            self.machine._fresh()
-        n = self.machine.run(0, word)[1]
+        n = self.machine.run(START, word)[1]
         if len(word) <= 64:
             self[word] = n
         return n
@@ -106,10 +118,10 @@ class Counter(dict):
         """`before`: the character in front of the chunk, which says if its first mark resets."""
         at = [m.start() for m in _RESET.finditer(before + chunk)]
         if not at:
-            return ChunkMap(chunk, False, 0, 0)
+            return ChunkMap(chunk, False, 0, START)
         first, end = at[0] - len(before), at[-1] - len(before)
         whole = sum(map(self.__getitem__, self.machine.model.units.findall(chunk, first, end)))
-        left, n = self.machine.run(0, chunk[end:])
+        left, n = self.machine.run(START, chunk[end:])
         return ChunkMap(chunk[:first], True, whole + n, left)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
@@ -125,7 +137,7 @@ class Counter(dict):
         maps = [self.chunk_map(text[i : i + chunk], text[i - 1 : i] if i else "") for i in range(0, len(text), chunk)]
         while len(maps) > 1:  # a scan in pairs
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return self.machine.run(0, maps[0].head)[1] + maps[0].n
+        return self.machine.run(START, maps[0].head)[1] + maps[0].n
 
 
 _COUNTERS: dict[str, Counter] = {}

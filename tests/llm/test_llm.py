@@ -338,6 +338,31 @@ def test_jaccard_rivals_are_all_pairs():
 # --- tokens
 
 
+@pytest.mark.parametrize("limit", [50, 500, 300_000])
+def test_token_counts_with_few_states(limit):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp, draw = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(limit)
+    c = token_counts.Counter(pieces(path), limit)
+    letters = "abcdeéfghij中文klmno"
+    for _ in range(3):
+        words = " ".join("".join(draw.choice(letters) for _ in range(draw.randrange(1, 12))) for _ in range(400))
+        for text in (words, "".join(draw.choice(letters) for _ in range(3000)), words + " " + "x" * 500):
+            for chunk in (37, 1000, 1 << 16):
+                c.clear()
+                assert c.total(text, chunk) == len(sp.encode(text))
+                assert len(c.machine.keys) <= limit + 1
+
+
+def test_language_id_letters():
+    text = "½ Ⅷ① abcⅧdef ²x Straße naïve été 中文 _a1b_"
+    assert language_id._words(text) == ["abc", "def", "x", "straße", "naïve", "été", "中文", "a", "b"]
+    assert language_id._words("½ Ⅷ ① 123 _") == []
+    model = language_id.Model(["de", "en"], ["abc"], np.array([[-1.0, -2.0]], np.float32), ["a"], np.array([[-3.0, -2.0]], np.float32))
+    assert [x[0] for x in language_id.Scorer(model).score(["½", "Ⅷ ①", "", "abc", "aaa"])] == ["und", "und", "und", "de", "en"]
+
+
 def test_token_counts(spark, docs, odd, empty, small):
     import sentencepiece
 
