@@ -7,7 +7,6 @@ from hashlib import md5
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,20 +32,6 @@ def hash_vectors(texts: DataFrame, key: str, text: str = "text", dim: int = 1024
     return v.where("norm > 0").select(key, "bucket", (F.col("v") / F.col("norm")).alias("value"))
 
 
-def dense_vectors(sparse: DataFrame, key: str, dim: int = 1024) -> DataFrame:
-    """(key, vector) of rows (key, bucket, value): all `dim` places, rounded so that equal texts give equal arrays."""
-    each = sparse.groupBy(key).agg(F.collect_list(F.struct(F.col("bucket").cast("int").alias("b"), F.round("value", 9).alias("v"))).alias("at"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = np.zeros((len(b), dim))
-            for row, at in zip(out, b["at"], strict=True):
-                row[[x["b"] for x in at]] = [x["v"] for x in at]
-            yield pd.DataFrame({key: b[key], "vector": list(out)})
-
-    return each.mapInPandas(run, f"`{key}` {each.schema[key].dataType.simpleString()}, vector array<double>")
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.operators.quality import penalty
+from corpuslens.sources.sliced import small
 
 BUCKETS_MS = (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
 
@@ -54,14 +55,18 @@ def gap_report(log: DataFrame, as_of: Column, days: int = 30, floor: float = 0.4
     return g.orderBy(F.desc("n"), "avg_confidence", "query_key").limit(limit)
 
 
-def capture_gaps(gaps: DataFrame, asked: DataFrame) -> DataFrame:
-    """Gaps (query_key, n, last_asked_at, status) after more questions (query, created_at); decided ones stay as they are."""
-    new = asked.groupBy(T.token_key(F.col("query")).alias("query_key")).agg(F.count("*").alias("more"), F.max("created_at").alias("at"))
+def capture_gaps(gaps: DataFrame, asked: DataFrame, latest: tuple[str, ...] = ()) -> DataFrame:
+    """Gaps (query_key, n, last_asked_at, status) after more questions (query, created_at); decided ones stay as they are. Of the
+    columns `latest`, such as query, intent and domains, an open gap takes those of its latest question, which both tables have."""
+    last = F.max(F.struct("created_at", *latest)).alias("last")
+    new = asked.groupBy(T.token_key(F.col("query")).alias("query_key")).agg(F.count("*").alias("more"), F.max("created_at").alias("at"), last)
     g = gaps.join(new, "query_key", "full_outer")
     is_open = F.coalesce(F.col("status"), F.lit("open")) == "open"
+    newer = is_open & F.col("at").isNotNull() & (F.col("last_asked_at").isNull() | (F.col("at") >= F.col("last_asked_at")))
     return g.select(
         "query_key", F.when(is_open, F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).otherwise(F.col("n")).alias("n"),
         F.when(is_open, F.greatest("last_asked_at", "at")).otherwise(F.col("last_asked_at")).alias("last_asked_at"), F.coalesce("status", F.lit("open")).alias("status"),
+        *[F.when(newer, F.col(f"last.{c}")).otherwise(F.col(c)).alias(c) for c in latest],
     )
 
 
@@ -153,14 +158,9 @@ def version_diff(version: DataFrame, current: DataFrame, key: str = "doc_id") ->
     return version.join(current, key, "left_anti").select(key, F.lit("removed").alias("change")).unionByName(current.join(version, key, "left_anti").select(key, F.lit("added").alias("change")))
 
 
-def roll_back(docs: DataFrame, version: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents with is_deleted as in the version."""
-    return docs.drop("is_deleted").join(version.select(key, F.lit(False).alias("is_deleted")).distinct(), key, "left").fillna(True, ["is_deleted"])
-
-
 def accessible(principals: DataFrame, kbs: DataFrame) -> DataFrame:
     """(user_id, kb_id) pairs: administrators see all, others public ones, their tenant's, and private ones that name their role."""
-    u, k = principals.alias("u"), F.broadcast(kbs).alias("k")
+    u, k = principals.alias("u"), small(kbs).alias("k")
     role = F.array_contains("k.allowed_roles", F.col("u.role"))
     may = (F.col("u.role") == "admin") | (F.col("k.visibility") == "public") | ((F.col("k.visibility") == "tenant") & (F.col("u.tenant_id") == F.col("k.tenant_id"))) | ((F.col("k.visibility") == "private") & role)
     return u.join(k, may).select("u.user_id", "k.kb_id")

@@ -1,7 +1,10 @@
-"""Documents to blocks to chunks, by expressions and one fold for each section."""
+"""Documents to blocks to chunks, by expressions and one pass over the lengths of each section."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,31 +52,52 @@ def section_paths(b: DataFrame, levels: int = 6) -> DataFrame:
 
 
 def _flush_groups(sizes: Column, size: int) -> Column:
-    """Group number of each block: a group ends once it holds `size` characters."""
-    zero = F.struct(F.lit(0).alias("g"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    """Group number of each block: a group ends once it holds `size` characters. One pass over the lengths of a section."""
 
-    def step(a: Column, x: Column) -> Column:
-        full = a["n"] + x >= size
-        return F.struct(F.when(full, a["g"] + 1).otherwise(a["g"]).alias("g"), F.when(full, 0).otherwise(a["n"] + x).alias("n"), F.concat(a["out"], F.array(a["g"])).alias("out"))
+    @F.pandas_udf("array<int>")
+    def groups(sizes: pd.Series) -> pd.Series:
+        out = []
+        for row in sizes:
+            g, held, mine = 0, 0, []
+            for n in row if row is not None else ():
+                mine.append(g)
+                held += n
+                if held >= size:
+                    g, held = g + 1, 0
+            out.append(mine)
+        return pd.Series(out)
 
-    return F.aggregate(sizes, zero, step, lambda a: a["out"])
+    return groups(sizes)
 
 
 def pack_sentences(text: Column, size: int, overlap: int, ends: str = SENTENCE_ENDS) -> Column:
-    """Sentences packed to `size` characters; each pack but the first begins with the end of the one before."""
-    sents = F.filter(F.split(text, f"(?<=[{ends}])"), lambda s: ~T.blank(s))
-    zero = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        full = (F.length(a["buf"]) + F.length(s) > size) & (a["buf"] != "")
-        tail = F.right(a["buf"], F.lit(overlap)) if overlap else F.lit("")
-        return F.struct(
-            F.when(full, F.concat(tail, s)).otherwise(F.concat(a["buf"], s)).alias("buf"),
-            F.when(full, F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"]).alias("out"),
-        )
-
-    packs = F.aggregate(sents, zero, step, lambda a: F.when(T.blank(a["buf"]), a["out"]).otherwise(F.concat(a["out"], F.array(a["buf"]))))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(packs)
+    """Sentences packed to `size` characters; each pack but the first begins with the end of the one before.
+
+    Borders follow from the sentences' lengths alone: a pack is a stretch of the sentences put together, since what it repeats
+    stands right before it. So a text of any length is cut in one pass, each character taken at most twice by a pack's border.
+    """
+    sentence = f"[^{re.escape(ends)}]*[{re.escape(ends)}]|[^{re.escape(ends)}]+"
+
+    @F.pandas_udf("array<string>")
+    def packs(text: pd.Series) -> pd.Series:
+        find, out = re.compile(sentence).findall, []
+        for t in text:
+            if t is None or len(t) <= size:
+                out.append(None if t is None else [t])
+                continue
+            parts = [s for s in find(t) if s.strip(" ")]
+            whole, at, start, mine = "".join(parts), 0, 0, []
+            for s in parts:
+                if at - start + len(s) > size and at > start:
+                    mine.append(whole[start:at])
+                    start = max(at - overlap, start)
+                at += len(s)
+            if whole[start:].strip(" "):
+                mine.append(whole[start:])
+            out.append(mine)
+        return pd.Series(out)
+
+    return packs(text)
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:

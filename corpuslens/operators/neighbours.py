@@ -2,76 +2,137 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.vectors import cosine
+from corpuslens.operators import vector_index
 from corpuslens.operators.search import _unit, dense_search
+from corpuslens.sources.sliced import shared_folder, written
 
-#: Rows that are compared in one place at most, twice.
-BLOCK = 2048
+#: Rows that are compared in one place at most, twice; rows in a bucket as a rule; partners of a row in one place that are looked at one by one.
+BLOCK, BUCKET, CROWD = 2048, 64, 64
+#: Share of pairs at the least cosine that may be missed.
+MISSED = 0.01
+SEED = 11
 
 
-def nearest_similar(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", least: float = 0.92, bits: int = 12, tables: int = 24) -> DataFrame:
+def sketch_size(n: int, least: float) -> tuple[int, int, int]:
+    """(bits of a chunk, chunks, differing bits allowed) so that, of pairs at a cosine of `least`, no more than MISSED share no chunk, and
+    as good as none of the others differ in more bits. Chunks grow with the logarithm of the rows, and their number with it."""
+    off = math.acos(least) / math.pi  # how often a plane parts two such vectors
+    bits = min(32, max(8, math.ceil(math.log2(max(n, 2) / BUCKET))))
+    tables = max(1, math.ceil(math.log(MISSED) / math.log(1 - (1 - off) ** bits))) if off else 1
+    whole = bits * tables
+    return bits, tables, math.ceil(whole * off + 5 * math.sqrt(whole * off * (1 - off)))
+
+
+def _sketches(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(id, h: digest of the vector, sketch: a bit for each plane, keys: the chunks' values)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            if planes is None:
+                planes = np.random.default_rng(SEED).standard_normal((x.shape[1], tables * bits)).astype(np.float32)
+            side = x @ planes > 0
+            name = (side.reshape(len(x), tables, bits).astype(np.int64) << np.arange(bits)).sum(axis=2) * tables + np.arange(tables)
+            packed = np.packbits(side, axis=1)
+            ends = pa.array(np.arange(0, name.size + 1, tables, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array([blake2b(r.tobytes(), digest_size=16).digest() for r in x], pa.binary()), pa.array([r.tobytes() for r in packed], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(name.ravel()))], names=["id", "h", "sketch", "keys"]
+            )
+
+    return vectors.mapInArrow(run, "id long, h binary, sketch binary, keys array<bigint>")
+
+
+def _allowed(placed: DataFrame, most: int) -> DataFrame:
+    """(a, b) pairs in one place whose sketches differ in `most` bits at most; (a, null) where a row has more than CROWD of them there."""
+
+    def pairs(ids: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        s = np.frombuffer(b"".join(x + bytes(-len(x) % 8) for x in sketches), dtype=np.uint64).reshape(len(ids), -1)
+        a, b, crowded = [], [], []
+        for lo in range(0, len(ids), 256):
+            far = np.bitwise_count(s[lo : lo + 256, None, :] ^ s[None, :, :]).sum(axis=2, dtype=np.int32)
+            near = far <= most
+            near[np.arange(len(near)), lo + np.arange(len(near))] = False
+            many = near.sum(axis=1) > CROWD
+            crowded.append(ids[lo : lo + 256][many])
+            i, j = np.nonzero(near & ~many[:, None])
+            a.append(ids[lo + i])
+            b.append(ids[j])
+        return np.concatenate([*a, *crowded]), np.concatenate([*b, *[np.full(len(c), NONE) for c in crowded]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sketches = None, [], []
+
+        def done() -> pa.RecordBatch:
+            a, b = pairs(np.array(ids, dtype=np.int64), sketches)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=b == NONE)], names=["a", "b"])
+
+        for batch in batches:
+            for place, i, s in zip(*(batch.column(c).to_pylist() for c in ("at", "id", "sketch")), strict=True):
+                if place != at and len(ids) > 1:
+                    yield done()
+                if place != at:
+                    at, ids, sketches = place, [], []
+                ids.append(i)
+                sketches.append(s)
+        if len(ids) > 1:
+            yield done()
+
+    return placed.select("at", "id", "sketch").mapInArrow(run, "a long, b long")
+
+
+#: Stands for no partner; no key.
+NONE = -(1 << 63)
+
+
+def nearest_similar(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", least: float = 0.92) -> DataFrame:
     """(key, neighbour, cosine): the nearest other vector of each, where its cosine is `least` or more; ties go to the smaller key.
 
-    Candidates share `bits` signs of random planes in one of `tables` tables: at a cosine of 0.92 a pair is found with
-    probability above 0.99, at higher ones yet more surely. Equal vectors are compared once. A bucket of more than BLOCK
-    vectors is dealt in groups and each pair of groups goes to one place; only the best of each vector leaves a place. Keys
-    are distinct longs and vectors of one length; null vectors and those of length 0 are like nothing.
+    Vectors become sketches, a bit for the side of each random plane. Candidates share a whole chunk of the sketch and differ in
+    few bits overall (`sketch_size` says how few, and how surely a pair is found); vectors are fetched for those pairs alone, so
+    what travels for all rows are sketches. A bucket of more than BLOCK rows is dealt in groups, and each pair of groups goes to
+    one place. Rows in a crowd of near copies are searched in an inverted file with exact bounds instead of pair by pair, so no
+    group costs the square of its size in pairs. Equal vectors are compared once. Keys are distinct longs and vectors of one
+    length; null vectors and those of length 0 are like nothing.
     """
-    norm = F.aggregate(F.transform(column, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    v = vectors.where(F.col(column).isNotNull() & (norm > 0)).select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("vector"))
-    same = v.withColumn("h", F.sha2(F.to_json(F.struct("vector")), 256)).select("id", "h", "vector")
+    spark = vectors.sparkSession
+    norm = F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    v = written(vectors.where(F.col(column).isNotNull() & (norm > 0)).select(F.col(key).alias("id"), F.col(column).cast("array<float>").alias("vector")), "vectors")
+    bits, tables, most = sketch_size(v.count(), least)
+    same = written(_sketches(v, bits, tables), "sketches")
     first = same.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     copies = same.select("id", "h").join(first.where("n > 1"), "h").where("id <> first")
     second = copies.groupBy("first").agg(F.min("id").alias("id"))
     equal = copies.select("id", F.col("first").alias("neighbour")).unionByName(second.select(F.col("first").alias("id"), F.col("id").alias("neighbour"))).withColumn("cosine", F.lit(1.0))
-    one = v.join(first.select(F.col("first").alias("id")), "id", "left_semi")
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = None
-        for b in batches:
-            if not len(b):
-                continue
-            x = np.stack(b["vector"].to_list())
-            if planes is None:
-                planes = np.random.default_rng(11).standard_normal((x.shape[1], tables * bits))
-            side = (x @ planes > 0).reshape(len(b), tables, bits)
-            name = (side << np.arange(bits)).sum(axis=2) * tables + np.arange(tables)
-            yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), tables), "key": name.ravel().astype(np.int64)})
-
-    signed = one.mapInPandas(sign, "id long, key long")
-    groups = signed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumn("groups", F.ceil(F.col("m") / BLOCK))
-    dealt = signed.join(groups, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-    lo, hi = F.least("part", "other"), F.greatest("part", "other")
-    placed = dealt.select("id", "part", F.xxhash64("key", lo, hi).alias("at")).join(one, "id").repartition("at").sortWithinPartitions("at", "id")
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, u = rows["id"].to_numpy(dtype=np.int64), _unit(np.stack(rows["vector"].to_list()))
-        s = np.round(u @ u.T, 6)
-        np.fill_diagonal(s, -2.0)
-        j = s.argmax(axis=1)  # the first of equals; rows are sorted by id
-        top = s[np.arange(len(ids)), j]
-        hit = top >= least
-        return pd.DataFrame({"id": ids[hit], "neighbour": ids[j[hit]], "cosine": top[hit]})
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            held = b if held is None else pd.concat([held, b], ignore_index=True)
-            whole = held["at"] != held["at"].iloc[-1]  # the last place may go on in the next batch
-            for _, rows in held[whole].groupby("at", sort=False):
-                yield best(rows)
-            held = held[~whole]
-        if held is not None and len(held):
-            for _, rows in held.groupby("at", sort=False):
-                yield best(rows)
-
-    found = placed.select("at", "id", "vector").mapInPandas(compare, "id long, neighbour long, cosine double").unionByName(equal)
+    one = same.join(first.select(F.col("first").alias("id")), "id", "left_semi")
+    named = one.select("id", "sketch", F.explode("keys").alias("key"))
+    groups = named.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumn("groups", F.ceil(F.col("m") / BLOCK))
+    dealt = named.join(groups, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    placed = dealt.select("id", "sketch", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("at")).repartition("at").sortWithinPartitions("at", "id")
+    pairs = written(_allowed(placed, most).distinct(), "pairs")
+    crowded = pairs.where("b IS NULL").select(F.col("a").alias("id")).distinct()
+    few = pairs.where("b IS NOT NULL").join(crowded.withColumnRenamed("id", "a"), "a", "left_anti")
+    side = lambda i: v.select(F.col("id").alias(i), F.col("vector").alias(f"v{i}"))
+    met = few.join(side("a"), "a").join(side("b"), "b").select(F.col("a").alias("id"), F.col("b").alias("neighbour"), F.round(cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
+    found = met.where(F.col("cosine") >= least).unionByName(equal)
+    if not crowded.isEmpty():
+        index = vector_index.build(v.join(one.select("id"), "id", "left_semi").withColumn("kb_id", F.lit("")), shared_folder(spark, "crowds"), "id", "vector")
+        asked = v.join(crowded, "id", "left_semi").withColumnRenamed("id", "query_id")
+        best = vector_index.search(index, asked, 1, "neighbour", others=True, least=least)
+        found = found.unionByName(best.select(F.col("query_id").alias("id"), "neighbour", F.col("score").alias("cosine")))
     top = F.max(F.struct("cosine", (-F.col("neighbour")).alias("n"))).alias("b")
     return found.groupBy("id").agg(top).select(F.col("id").alias(key), (-F.col("b.n")).alias("neighbour"), F.col("b.cosine").alias("cosine"))
 

@@ -2,27 +2,76 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions import text as T
 from corpuslens.operators.governance import health_issues
 from corpuslens.operators.quality import penalty
+from corpuslens.sources.sliced import written
+
+
+@dataclass(frozen=True)
+class Pages:
+    """Rows in a total order, dealt by ranges of it and stored once: a page sorts the one or two ranges in which it lies."""
+
+    rows: DataFrame
+    order: list[Column]
+    sizes: list[tuple[int, int]]  # range, rows
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n in self.sizes)
+
+    def page(self, page: int = 1, size: int = 20) -> DataFrame:
+        """Rows of a page with total and pages; one past the end has no rows."""
+        if page < 1 or size < 1:
+            raise ValueError("page and size start at 1")
+        start, before, held, skip = (page - 1) * size, 0, [], 0
+        for part, n in self.sizes:
+            if before < start + size and before + n > start:
+                skip = skip if held else start - before
+                held.append(part)
+            before += n
+        found = self.rows.where(F.col("_range").isin(held) if held else F.lit(False)).drop("_range").orderBy(*self.order).offset(max(skip, 0)).limit(size)
+        return found.withColumns({"total": F.lit(self.total).cast("long"), "pages": F.lit(-(-self.total // size)).cast("long")})
+
+
+def paged(rows: DataFrame, order: list[Column], ranges: int | None = None) -> Pages:
+    """Deal rows by ranges of a total order and store them, for any number of pages."""
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "pages")
+    return Pages(dealt, order, sorted(map(tuple, dealt.groupBy("_range").count().collect())))  # a row for each range
 
 
 def page_of(rows: DataFrame, order: list[Column], page: int = 1, size: int = 20) -> DataFrame:
     """One page of rows with total and pages, by a total order; a page past the end has no rows."""
-    if page < 1 or size < 1:
-        raise ValueError("page and size start at 1")
-    total = rows.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
-    return rows.orderBy(*order).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(total))  # one row
+    return paged(rows, order).page(page, size)
+
+
+def page_after(rows: DataFrame, keys: list[tuple[str, bool]], last: tuple | None = None, size: int = 20) -> DataFrame:
+    """The `size` rows that follow the row with the values `last` of the sort keys (name, descending), which are a total order without
+    nulls; from the start where that is None. Each task keeps its best `size` rows only, on however late a page."""
+    if last is not None:
+        later, same = F.lit(False), F.lit(True)
+        for (name, falling), v in zip(keys, last, strict=True):
+            later = later | (same & ((F.col(name) < F.lit(v)) if falling else (F.col(name) > F.lit(v))))
+            same = same & (F.col(name) == F.lit(v))
+        rows = rows.where(later)
+    return rows.orderBy(*[F.desc(n) if falling else F.asc(n) for n, falling in keys]).limit(size)
 
 
 def search_documents(docs: DataFrame, keyword: str = "", **equal: str) -> DataFrame:
-    """Documents that are not deleted, with these values, whose title has the keyword in any case."""
+    """Documents that are not deleted, with these values, whose title or standard code, where there is one, has the keyword in any
+    case. A null title or code holds none."""
     out = docs.where(~F.col("is_deleted"))
     for name, value in equal.items():
         out = out.where(F.col(name) == value)
-    return out.where(F.contains(F.lower("title"), F.lit(keyword.lower()))) if keyword else out
+    over = [c for c in ("title", "standard_code") if c in docs.columns]
+    has = lambda c: F.contains(F.lower(T.text_or_empty(F.col(c))), F.lit(keyword.lower()))
+    return out.where(F.exists(F.array(*map(has, over)), lambda x: x)) if keyword else out
 
 
 def log_rows(answers: DataFrame, floor: float = 0.45) -> DataFrame:

@@ -178,13 +178,13 @@ def change(table: Sliced, rows: DataFrame | None = None, remove: DataFrame | Non
     return table
 
 
-def search(table: Sliced, queries: DataFrame, k: int | str = 10, key: str = "vec_id", column: str = "vector", probes: int | None = None, scope: DataFrame | None = None, filters: DataFrame | None = None, label: str = "domain", others: bool = False, first: int = 2) -> DataFrame:
+def search(table: Sliced, queries: DataFrame, k: int | str = 10, key: str = "vec_id", column: str = "vector", probes: int | None = None, scope: DataFrame | None = None, filters: DataFrame | None = None, label: str = "domain", others: bool = False, first: int = 2, least: float | None = None) -> DataFrame:
     """(query_id, key, kb_id, score, rank): the k nearest vectors, by cosine rounded to 6 places, of each query (query_id, a vector);
     ties go to the smaller key. `k` may name a column of the queries, `others` leaves out the vector whose key is the query's id.
 
     With `probes`, the vectors of so many cells are looked at; without, all that can be among the k best. `scope` (query_id,
     kb_id) names what a query may see: without a row it finds nothing. `filters` (query_id, label) names what labels a query
-    that has a row there may find.
+    that has a row there may find. Below a cosine of `least` nothing is found, nor looked for.
     """
     spark = table.spark
     cells = sorted(map(tuple, table.beside("centres", CENTRES).collect()))  # a row for each cell
@@ -250,10 +250,10 @@ def search(table: Sliced, queries: DataFrame, k: int | str = 10, key: str = "vec
         asked = some.groupBy("kb_id", "slice", "cell", "block", "g").agg(F.collect_list("query_id").alias("asked"))  # of one group of queries
         met = blocks.join(asked, ["kb_id", "slice", "cell", "block"]).join(packs, "g")
         found = met.select("kb_id", "keys", "labels", "norms", "matrix", "asked", "q_query_id", "q_k", "q_labels", "q_v").mapInArrow(best, f"query_id {kind}, k int, kb_id string, key long, score double")
-        return top(found, "query_id", "score", "key", F.col("k"))
+        return top(found if least is None else found.where(F.col("score") >= least), "query_id", "score", "key", F.col("k"))
 
     if probes is None:
         kth = scored(pairs.where(F.col("place") < first)).where("rank = k").select("query_id", F.col("score").alias("kth"))
         bound = F.cos(F.greatest(F.col("angle") - F.col("spread"), F.lit(0.0)))
-        pairs = pairs.join(written(kth, "kth-cosines"), "query_id", "left").where((F.col("place") < first) | F.col("kth").isNull() | (bound >= F.col("kth") - 0.000002))
+        pairs = pairs.join(written(kth, "kth-cosines"), "query_id", "left").where((F.col("place") < first) | (bound >= F.coalesce(F.greatest(F.col("kth"), F.lit(least).cast("double")), F.lit(-1.0)) - 0.000002))
     return scored(pairs).select("query_id", F.col("key").alias(key), "kb_id", "score", "rank")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.functions.vectors import dense_vectors, hash_vectors
+from corpuslens.functions.vectors import hashed
 from corpuslens.operators import answers, evaluate, governance, ingest, intents, lists, neighbours, quality, reports, search, versions
 from corpuslens.plans import stored
 from corpuslens.plans import views as V
@@ -506,7 +506,7 @@ _NEAR = "SELECT doc_id, neighbour, cosine, 'duplicate_chunk' AS issue_type, 'hig
 @query(V.sql(_NEAR, "document_v", **{k: _VEC[k] for k in ("df0", "dg", "db", "dv")}))
 def near_duplicate_vectors(spark, sf_dir):
     """Documents whose nearest document by hashed text vectors is nearly the same."""
-    d = dense_vectors(hash_vectors(V.table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    d = hashed(V.table(spark, sf_dir, "documents"), "doc_id")
     return neighbours.near_duplicate_issues(neighbours.nearest_similar(d, "doc_id", "vector"), "doc_id")
 
 
