@@ -129,7 +129,7 @@ def nearest_similar(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     met = few.join(side("a"), "a").join(side("b"), "b").select(F.col("a").alias("id"), F.col("b").alias("neighbour"), F.round(cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
     found = met.where(F.col("cosine") >= least).unionByName(equal)
     if not crowded.isEmpty():
-        index = vector_index.build(v.join(one.select("id"), "id", "left_semi").withColumn("kb_id", F.lit("")), shared_folder(spark, "crowds"), "id", "vector")
+        index = vector_index.build(v.join(one.select("id"), "id", "left_semi").withColumn("kb_id", F.lit("all")), shared_folder(spark, "crowds"), "id", "vector")
         asked = v.join(crowded, "id", "left_semi").withColumnRenamed("id", "query_id")
         best = vector_index.search(index, asked, 1, "neighbour", others=True, least=least)
         found = found.unionByName(best.select(F.col("query_id").alias("id"), "neighbour", F.col("score").alias("cosine")))

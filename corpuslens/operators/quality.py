@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,7 +10,8 @@ from corpuslens.functions import text as T
 from corpuslens.functions.vectors import norm
 
 SEVERITY = {"high": 6.0, "medium": 3.0, "low": 1.0}
-HIGH_TYPES = ("duplicate_chunk", "missing_vector", "zero_vector")
+# The types of issues whose rise is alerted.
+HIGH_TYPES = ("low_recall_intent", "zero_vector", "isolated_query")
 
 
 def penalty(severity: str = "severity"):
@@ -29,9 +30,10 @@ def static_issues(chunks: DataFrame, largest: int = 1200, least: int = 40) -> Da
 
 def vector_issues(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Chunks whose vector is missing or has length 0."""
-    missing = chunks.join(vectors.select(key), key, "left_anti").select(key, F.lit("missing_vector").alias("issue_type"))
-    zero = vectors.where(norm(F.col("vector")) == 0).select(key, F.lit("zero_vector").alias("issue_type"))
-    return missing.unionByName(zero).withColumn("severity", F.lit("high"))
+    issue = lambda df, kind, severity: df.select(key, F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"))
+    missing = chunks.join(vectors.where(F.col("vector").isNotNull()).select(key), key, "left_anti")
+    zero = chunks.select(key).join(vectors.where(norm(F.col("vector")) == 0).select(key), key, "left_semi")
+    return issue(missing, "missing_vector", "medium").unionByName(issue(zero, "zero_vector", "high"))
 
 
 def score(issues: DataFrame, n_chunks: int) -> DataFrame:
@@ -41,25 +43,28 @@ def score(issues: DataFrame, n_chunks: int) -> DataFrame:
 
 
 def kb_scores(issues: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(kb_id, score, issue_count, high_count) of each knowledge base of `sizes` (kb_id, n_chunks), by its issues."""
-    i = issues.groupBy("kb_id").agg(penalty().alias("p"), F.count("*").alias("n"), F.count_if(F.col("severity") == "high").alias("high"))
+    """(kb_id, score, issue_count, high_count) of each knowledge base of `sizes` (kb_id, n_chunks), by its issues; `high_count` is of
+    HIGH_TYPES."""
+    i = issues.groupBy("kb_id").agg(penalty().alias("p"), F.count("*").alias("n"), F.count_if(F.col("issue_type").isin(*HIGH_TYPES)).alias("high"))
     per = F.coalesce("p", F.lit(0.0)) / F.greatest("n_chunks", F.lit(1)) * 20
     return sizes.join(i, "kb_id", "left").select("kb_id", F.round(F.greatest(F.lit(0.0), 100.0 - per), 1).alias("score"), F.coalesce("n", F.lit(0)).alias("issue_count"), F.coalesce("high", F.lit(0)).alias("high_count"))
 
 
-def alerts(reports: DataFrame, threshold: float = 80.0) -> DataFrame:
-    """Alerts of reports (report_id, tenant_id, kb_id, created_at, score, high_count): low score, or new high-severity issues."""
+def alerts(reports: DataFrame, threshold: float = 80.0, rise: int = 1) -> DataFrame:
+    """Alerts of reports (report_id, tenant_id, kb_id, created_at, score, high_count: issues of HIGH_TYPES): a score under the threshold,
+    or `rise` more such issues than in the report before."""
     at = W.partitionBy("tenant_id", "kb_id").orderBy("created_at", "report_id")
     r = reports.withColumn("prev_high", F.coalesce(F.lag("high_count").over(at), F.lit(0)))
-    kinds = F.filter(F.array(F.when(F.col("score") < threshold, F.lit("low_score")), F.when(F.col("high_count") - F.col("prev_high") >= 1, F.lit("new_high_severity"))), lambda x: x.isNotNull())
+    kinds = F.filter(F.array(F.when(F.col("score") < threshold, F.lit("low_score")), F.when(F.col("high_count") - F.col("prev_high") >= rise, F.lit("new_high_severity"))), lambda x: x.isNotNull())
     return r.select("report_id", "tenant_id", "kb_id", F.explode(kinds).alias("alert_type"), "score", "high_count", "prev_high")
 
 
-def tasks_from_issues(issues: DataFrame, open_tasks: DataFrame, types: dict[str, str]) -> DataFrame:
-    """One task for each (task_type, doc_id) of high issues that name a document, without those open already."""
+def tasks_from_issues(issues: DataFrame, open_tasks: DataFrame, types: dict[str, str], as_of: Column | None = None, days: int = 14) -> DataFrame:
+    """One task for each (task_type, doc_id) of high issues that name a document, without those open already; due `days` after `as_of`,
+    where that is given."""
     kind = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
     t = issues.where((F.col("severity") == "high") & ~T.blank(F.col("doc_id").cast("string"))).select(F.coalesce(kind[F.col("issue_type")], F.lit("review")).alias("task_type"), "doc_id").distinct()
-    return t.join(open_tasks.select("task_type", "doc_id"), ["task_type", "doc_id"], "left_anti").withColumn("due_days", F.lit(14))
+    return t.join(open_tasks.select("task_type", "doc_id"), ["task_type", "doc_id"], "left_anti").withColumn("due_days", F.lit(days)).withColumn("due_date", F.lit(None).cast("timestamp") if as_of is None else as_of + F.make_dt_interval(F.lit(days)))
 
 
 def missing_codes(docs: DataFrame, domain: str = "standard") -> DataFrame:

@@ -125,7 +125,7 @@ def _unpacked(blocks: DataFrame) -> DataFrame:
 
 
 def _given(vectors: DataFrame, key: str, column: str, label: str | None) -> DataFrame:
-    v = _valid(vectors.where("kb_id IS NOT NULL"), column)
+    v = _valid(vectors.where("kb_id <> ''"), column)
     return v.select("kb_id", F.col(key).cast("long").alias("key"), (F.col(label) if label else F.lit(None)).cast("string").alias("label"), F.col(column).alias("vector"))
 
 
@@ -138,7 +138,7 @@ def _stored(table: Sliced, rows: DataFrame, centres: np.ndarray) -> DataFrame:
 
 def build(vectors: DataFrame, path: str, key: str = "vec_id", column: str = "embedding", label: str | None = None, cells: int | None = None, slice_docs: int = SLICE_DOCS) -> Sliced:
     """Store `vectors` (kb_id, key, a vector, a label to filter by) under `path`, a new folder. Vectors are of one length and kept
-    as floats; rows without knowledge base, or whose vector is null, not finite or of length 0, are left out. Keys are longs."""
+    as floats; rows without knowledge base, null or empty, or whose vector is null, not finite or of length 0, are left out. Keys are longs."""
     table, spark = Sliced(vectors.sparkSession, path), vectors.sparkSession
     v = written(_given(vectors, key, column, label), "given-vectors")  # made once: vectors of texts are dear
     centres = _centres(v, "vector", cells)
@@ -161,10 +161,10 @@ def change(table: Sliced, rows: DataFrame | None = None, remove: DataFrame | Non
     given = rows if rows is not None else none
     rank = F.struct(*([F.col(order)] if order else []), F.col(column).cast("array<float>").alias("v"), *([F.col(label)] if label else []))
     last = given.groupBy("kb_id", key).agg(F.max(rank).alias("r")).select("kb_id", key, F.col("r.v").alias(column), *([F.col(f"r.{label}").alias(label)] if label else []))
-    named = table.dealt(last.where("kb_id IS NOT NULL").withColumn("key", F.col(key).cast("long")), held, "key", slice_docs)
+    named = table.dealt(last.where("kb_id <> ''").withColumn("key", F.col(key).cast("long")), held, "key", slice_docs)
     gone = named.select("kb_id", "slice", "key")
     if remove is not None:
-        r = remove.where("kb_id IS NOT NULL").select("kb_id", F.col(key).cast("long").alias("key")).join(small(held.select("kb_id", "n_slices").distinct()), "kb_id")
+        r = remove.where("kb_id <> ''").select("kb_id", F.col(key).cast("long").alias("key")).join(small(held.select("kb_id", "n_slices").distinct()), "kb_id")
         gone = gone.unionByName(r.withColumn("slice", F.pmod(F.xxhash64("key"), F.col("n_slices")).cast("int")).select("kb_id", "slice", "key")).distinct()
     touched = gone.select("kb_id", "slice").distinct()
     stay = _unpacked(table.rows("vectors", BLOCKS, held.join(touched, ["kb_id", "slice"], "left_semi"))).join(gone, ["kb_id", "slice", "key"], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,10 +26,14 @@ def admission(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIX
 
 
 def csv_tables(spark: SparkSession, path: str, rows: int = 40) -> DataFrame:
-    """(path, block, text): Markdown tables of up to `rows` data rows, each with the header; blank rows are dropped, quoted line breaks are not known."""
-    lines = text_documents(spark, path).select("path", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line")).where(F.trim(F.translate("line", ",", "")) != "")
-    row = F.concat(F.lit("| "), F.array_join(F.transform(F.split("line", ","), lambda c: F.trim(c)), " | "), F.lit(" |"))
-    cells = lines.withColumn("row", row).withColumn("n", F.size(F.split("line", ",")))
+    """(path, block, text): Markdown tables of up to `rows` data rows, each with the header, which is the first line that is not blank;
+    blank lines are dropped. Cells may be quoted, with quotes doubled inside; quoted line breaks are not known."""
+    filled = F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(F.translate(x, ',"', "")) != "")
+    lines = text_documents(spark, path).select("path", F.posexplode(filled).alias("pos", "line"))
+    each = F.regexp_extract_all(F.concat("line", F.lit(",")), F.lit(r'\s*("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
+    cell = lambda c: F.trim(F.when(c.rlike(r'^".*"$'), F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    cells = lines.withColumn("cells", F.transform(each, cell))
+    cells = cells.withColumn("row", F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))).withColumn("n", F.size("cells"))
     head = cells.where("pos = 0").select("path", F.col("row").alias("head"), F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("n"))).alias("rule"))
     body = cells.where("pos > 0").withColumn("block", F.floor((F.col("pos") - 1) / rows))
     body = body.groupBy("path", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "row"))), lambda x: x["row"]).alias("rows"))
@@ -74,8 +79,6 @@ def add_golden(golden: DataFrame, items: DataFrame) -> DataFrame:
 
 def baseline_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Metrics (metric, value) of a baseline file with an `aggregated` object; no file gives no rows."""
-    from pyspark.errors import AnalysisException
-
     try:
         b = spark.read.option("multiLine", "true").json(path)
     except AnalysisException as e:
@@ -85,14 +88,16 @@ def baseline_metrics(spark: SparkSession, path: str) -> DataFrame:
     return b.select(F.explode(F.from_json(F.to_json("aggregated"), "map<string,string>")).alias("metric", "v")).select("metric", F.col("v").try_cast("double").alias("value")).where("value IS NOT NULL")
 
 
-def upsert(stored: DataFrame, rows: DataFrame, key: str = "chunk_id", vector: str | None = "vector") -> DataFrame:
-    """Stored rows with `rows` in place of those with their keys, the last of each key; vectors are scaled to length 1."""
-    new = rows.dropDuplicates([key])
+def upsert(stored: DataFrame, rows: DataFrame, key: str = "chunk_id", vector: str | None = "vector", order: str | None = None) -> DataFrame:
+    """Stored rows with `rows` in place of those with their keys; vectors are scaled to length 1. Of rows with one key the one with the
+    largest `order` stays, and of those the one whose JSON is the largest, so that a rerun keeps the same."""
+    rank = F.struct(*([F.col(order)] if order else []), F.to_json(F.struct(*rows.columns)))
+    new = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), rank).alias("_r")).select(*[F.col(key) if c == key else F.col(f"_r.`{c}`").alias(c) for c in rows.columns])
     if vector:
         v = F.col(vector).cast("array<double>")
         size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
         new = new.withColumn(vector, F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v))
-    return replace_by_key(stored, new, [key])
+    return replace_by_key(stored, new.select(*stored.columns), [key])
 
 
 def drop_kb(rows: DataFrame, kb_ids: list[str]) -> DataFrame:
@@ -122,8 +127,8 @@ def copy_tables(tables: dict[str, DataFrame], path: str, skip: tuple[str, ...] =
             continue
         try:
             held = not df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}").isEmpty()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e.getCondition()):
                 raise
             held = False
         if not held:
@@ -132,6 +137,9 @@ def copy_tables(tables: dict[str, DataFrame], path: str, skip: tuple[str, ...] =
     return out
 
 
-def append_rows(rows: DataFrame, path: str, by: str = "tenant_id") -> None:
-    """Append reports, alerts, runs or log rows, by tenant."""
-    rows.write.mode("append").partitionBy(by).parquet(path)
+def append_rows(rows: DataFrame, path: str, by: str = "tenant_id", run: str | None = None) -> None:
+    """Add reports, alerts, runs or log rows, by tenant. Rows of a `run` replace those that an attempt before wrote for it."""
+    if run is None:
+        rows.write.mode("append").partitionBy(by).parquet(path)
+    else:
+        rows.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", by).parquet(path)
