@@ -79,9 +79,10 @@ def operation_metrics(log: DataFrame, by: list[Column] | None = None) -> DataFra
     )
 
 
-def dashboard(gaps: DataFrame, tasks: DataFrame, log: DataFrame, since: Column) -> DataFrame:
+def dashboard(gaps: DataFrame, tasks: DataFrame, log: DataFrame, since: Column, docs: DataFrame | None = None, top: int = 10) -> DataFrame:
     """(measure, name, value) rows: gaps by status and intent, tasks by status and those pending, questions and the answer
-    rate since then. The gaps asked most are those of `lists.gaps_listed`, documents by domain those of the overview."""
+    rate since then. With `docs` also live documents by domain, and the `top` open gaps (query_key, n, last_asked_at) by how often
+    and how lately they were asked."""
     rows = [gaps.groupBy(F.col(c).alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit(f"gaps_by_{c}").alias("measure"), "name", "value") for c in ("status", "intent")]
     rows.append(tasks.groupBy(F.col("status").alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit("tasks_by_status").alias("measure"), "name", "value"))
     one = lambda df, *kv: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.lit("").alias("name"), v.cast("double").alias("value")) for k, v in kv])).alias("r")).select("r.*")
@@ -90,12 +91,24 @@ def dashboard(gaps: DataFrame, tasks: DataFrame, log: DataFrame, since: Column)
     weak = ~F.coalesce("answered", F.lit(False)) | (F.coalesce("hit_count", F.lit(0)) == 0)
     asked = log.where(F.col("created_at") >= since).agg(F.count("*").alias("n"), F.count_if(weak).alias("weak"))
     rows.append(one(asked, ("total_queries", F.col("n")), ("answer_rate", F.round(F.coalesce(F.try_divide(F.col("n") - F.col("weak"), F.col("n")), F.lit(0.0)), 3))))
+    if docs is not None:
+        live = docs.where(~F.coalesce("is_deleted", F.lit(False))).groupBy(F.col("domain").alias("name")).agg(F.count("*").cast("double").alias("value"))
+        most = gaps.where("status = 'open'").orderBy(F.desc("n"), F.desc("last_asked_at"), "query_key").limit(top)
+        rows += [live.select(F.lit("docs_by_domain").alias("measure"), "name", "value"), most.select(F.lit("top_gaps").alias("measure"), F.col("query_key").alias("name"), F.col("n").cast("double").alias("value"))]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
 
 
+def operation_topics(log: DataFrame, start: Column, as_of: Column, topics: int = 10, gaps: int = 10) -> DataFrame:
+    """One row beside `operation_report`: `hot_topics` of the questions since `start` and the `gaps` of `gap_report`, each as
+    `text:count`, the most frequent first."""
+    told = lambda df, name, key: df.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(key).alias("t")))), lambda x: F.concat(x["t"], F.lit(":"), (-x["m"]).cast("string"))).alias(name))  # noqa: E731  a few rows
+    hot = hot_topics(log.where(F.col("created_at") >= start), topics)
+    return told(hot, "hot_topics", "token").crossJoin(told(gap_report(log, as_of, limit=gaps), "gaps", "query_key"))  # one row each
+
+
 def operation_report(docs: DataFrame, chunks: DataFrame, log: DataFrame, tasks: DataFrame, feedback: DataFrame, start: Column) -> DataFrame:
     """One row since `start`: new documents and chunks, questions, answer rate, confidence, latency, pending tasks, negative
     feedback and the suggestions that follow. Hot topics and gaps are those of `hot_topics` and `gap_report`."""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.operators import evaluate, governance, inspection, intents, quality, sketches
+from corpuslens.functions import text as T
+from corpuslens.operators import evaluate, governance, ingest, inspection, intents, quality, sketches
 from corpuslens.plans import retrieval
 from corpuslens.plans import views as V
-from corpuslens.plans.registry import _GOLD, _TOK, _golden, intent_sql, query
+from corpuslens.plans.registry import _CLEAN, _GOLD, _TOK, _TRIM, ORACLES, _golden, intent_sql, query
 
 #: Documents play chunks; every 17th has no vector, every 29th one of length 0.
 _VECTORS = "SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN 0.0 ELSE 1.0 END AS size FROM document_v WHERE doc_id % 17 <> 0"
@@ -168,8 +169,83 @@ def latency_quantiles_by_day(spark, sf_dir):
     return q.select("day", "event_type", "level", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
+_SINCE = "timestamp '2024-01-01 03:00:00'"
+
+
+@query(V.sql(f"""SELECT 'gaps_by_status' AS measure, 'open' AS name, count(*)::double AS value FROM caught UNION ALL SELECT 'gaps_by_intent', intent, count(*) FROM caught GROUP BY intent UNION ALL SELECT 'tasks_by_status', 'open', count(*) FROM caught WHERE intent = 'unknown'
+  UNION ALL SELECT 'gap_total', '', count(*) FROM caught UNION ALL SELECT 'open_gaps', '', count(*) FROM caught UNION ALL SELECT 'task_total', '', count(*) FROM caught WHERE intent = 'unknown' UNION ALL SELECT 'pending_tasks', '', count(*) FROM caught WHERE intent = 'unknown'
+  UNION ALL SELECT 'total_queries', '', count(*) FROM query_log_v WHERE created_at >= {_SINCE} UNION ALL SELECT 'answer_rate', '', round(count(*) FILTER (answered AND hit_count > 0) / count(*), 3) FROM query_log_v WHERE created_at >= {_SINCE}
+  UNION ALL SELECT 'docs_by_domain', domain, count(*) FROM document_v WHERE NOT is_deleted GROUP BY domain UNION ALL SELECT 'top_gaps', query_key, n FROM (SELECT * FROM caught ORDER BY n DESC, last_asked_at DESC, query_key LIMIT 10)""", "document_v", "query_log_v", **_CAUGHT))
+def governance_board(spark, sf_dir):
+    """The dashboard over captured gaps, with documents by domain and the gaps asked most."""
+    g = _caught(spark, sf_dir)
+    tasks = g.where("intent = 'unknown'").select(F.lit("open").alias("status"))
+    return governance.dashboard(g, tasks, V.query_log_v(spark, sf_dir), F.lit("2024-01-01 03:00:00").cast("timestamp"), V.document_v(spark, sf_dir))
+
+
+@query(V.sql(f"""SELECT (SELECT list(token || ':' || n ORDER BY n DESC, token) FROM (SELECT token, count(*) AS n FROM (SELECT unnest({_TOK('query')}) AS token FROM query_log_v WHERE created_at >= {_SINCE}) WHERE length(token) >= 2 GROUP BY 1 ORDER BY n DESC, token LIMIT 10)) AS hot_topics,
+  (SELECT list(query_key || ':' || n ORDER BY n DESC, query_key) FROM (SELECT query_key, n FROM ({ORACLES['knowledge_gaps']}) ORDER BY n DESC, avg_confidence, query_key LIMIT 10)) AS gaps""", "query_log_v"))
+def operation_topics(spark, sf_dir):
+    """Hot topics and gaps as the operation report lists them."""
+    log = V.query_log_v(spark, sf_dir)
+    return governance.operation_topics(log, F.lit("2024-01-01 03:00:00").cast("timestamp"), F.lit("2024-01-15").cast("timestamp"))
+
+
 @query("SELECT event_type, count(value) AS n, " + ", ".join(f"round(quantile_cont(value::double, {q}), 6) AS p{round(q * 100)}" for q in (0.5, 0.95, 0.99)) + " FROM events GROUP BY 1")
 def exact_latency_quantiles(spark, sf_dir):
     """Quantiles of each kind by interpolation between values, for those who need no sketch."""
     q = sketches.exact_quantiles(V.table(spark, sf_dir, "events"), "value", [F.col("event_type")])
     return q.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
+def chunk_sql(source: str, size: int = 600, overlap: int = 100, least: int = 40, ends: str = ingest.SENTENCE_ENDS + ".") -> dict[str, str]:
+    """Chunks of the rows (doc_id, text) of `source`, as `chunks`: blocks, sections, groups of blocks, packs of sentences. The two
+    greedy passes go from border to border over running lengths."""
+    clause = lambda c: f"regexp_extract(trim(substring({c}, 1, 60)), '{T.CLAUSE}', 1)"
+    levels = range(1, 7)
+    at = "OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+    open_ = lambda n: f"CASE WHEN p{n} > greatest(-1, {', '.join(f'coalesce(p{m}, -1)' for m in range(1, n)) or '-1'}) THEN t{n} END"
+    return {
+        "k_paras": f"SELECT doc_id, unnest(p) AS raw, unnest(range(len(p))) AS pos FROM (SELECT doc_id, string_split_regex({_CLEAN('text')}, '\\n\\s*\\n') AS p FROM ({source}))",
+        "k_first": f"SELECT doc_id, pos, text, string_split(text, chr(10))[1] AS line FROM (SELECT doc_id, pos, {_TRIM('raw')} AS text FROM k_paras) WHERE text <> ''",
+        "k_marks": "SELECT doc_id, pos, text, regexp_extract(line, '^(#{1,6})\\s+(.*)$', 1) AS mark, regexp_extract(line, '^(#{1,6})\\s+(.*)$', 2) AS title, regexp_extract(line, '^\\s*(\\d{1,2}(?:\\.\\d{1,3}){0,3})\\s+(\\S[^\\n]{0,60})$', 1) AS num, regexp_extract(line, '^\\s*(\\d{1,2}(?:\\.\\d{1,3}){0,3})\\s+(\\S[^\\n]{0,60})$', 2) AS num_title FROM k_first",
+        "k_blocks": "SELECT doc_id, pos, text, CASE WHEN mark <> '' AND length(text) < 200 THEN length(mark) WHEN num <> '' AND length(text) < 90 THEN len(string_split(num, '.')) END AS level, CASE WHEN mark <> '' AND length(text) < 200 THEN trim(title) ELSE trim(num_title) END AS title, CASE WHEN NOT (mark <> '' AND length(text) < 200) AND num <> '' AND length(text) < 90 THEN num ELSE '' END AS clause_no FROM k_marks",
+        "k_open": "SELECT *, " + ", ".join(f"max(CASE WHEN level = {n} THEN pos END) {at} AS p{n}, last_value(CASE WHEN level = {n} THEN substring(title, 1, 80) END IGNORE NULLS) {at} AS t{n}" for n in levels) + f", count(level) {at} AS sec FROM k_blocks",
+        "k_paths": f"SELECT doc_id, pos, text, clause_no, sec, concat_ws(' > ', {', '.join(map(open_, levels))}) AS path, sum(length(text)) OVER (PARTITION BY doc_id, sec ORDER BY pos) AS upto FROM k_open",
+        "k_secs": "SELECT doc_id, sec, path, list(upto ORDER BY pos) AS ends FROM k_paths GROUP BY 1, 2, 3",
+        "k_groups": f"SELECT doc_id, sec, path, ends, 0 AS g, 0::hugeint AS before, list_filter(ends, lambda x: x >= {size})[1] AS stop FROM k_secs UNION ALL SELECT doc_id, sec, path, ends, g + 1, stop, list_filter(ends, lambda x: x - stop >= {size})[1] FROM k_groups WHERE stop IS NOT NULL AND stop < ends[-1]",
+        "k_merged": f"SELECT g.doc_id, g.sec, g.path, g.g, {_CLEAN('string_agg(b.text, chr(10) ORDER BY b.pos)')} AS whole, coalesce(list_filter(list(CASE WHEN b.clause_no <> '' THEN b.clause_no ELSE {clause('b.text')} END ORDER BY b.pos), lambda x: x <> '')[1], '') AS clause FROM k_groups g JOIN k_paths b ON b.doc_id = g.doc_id AND b.sec = g.sec AND b.upto > g.before AND (g.stop IS NULL OR b.upto <= g.stop) GROUP BY ALL",
+        "k_parts": f"SELECT *, CASE WHEN length(whole) <= {size} THEN [whole] ELSE list_filter(regexp_extract_all(whole, '[^{ends}]*[{ends}]|[^{ends}]+'), lambda x: trim(x) <> '') END AS parts FROM k_merged WHERE whole <> ''",
+        "k_cuts": "SELECT *, array_to_string(parts, '') AS joined, list_transform(range(1, len(parts) + 1), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x)))) AS cuts FROM k_parts",
+        "k_packs": f"""SELECT doc_id, sec, g, 0 AS k, cuts, 0::hugeint AS start, coalesce(list_filter(cuts, lambda x: x <= {size})[-1], cuts[1])::hugeint AS stop FROM k_cuts
+          UNION ALL SELECT doc_id, sec, g, k + 1, cuts, greatest(stop - {overlap}, start), coalesce(list_filter(cuts, lambda x: x > stop AND x - greatest(stop - {overlap}, start) <= {size})[-1], list_filter(cuts, lambda x: x > stop)[1])::hugeint FROM k_packs WHERE stop < cuts[-1]""",
+        "k_texts": f"SELECT doc_id, sec, g, k, path, whole, clause, {_TRIM('substring(joined, (start + 1)::bigint, (stop - start)::bigint)')} AS t FROM k_packs JOIN k_cuts USING (doc_id, sec, g)",
+        "k_rows": f"SELECT doc_id, sec, g, k, path AS section_path, CASE WHEN length(whole) > {size} AND {clause('t')} <> '' THEN {clause('t')} ELSE clause END AS clause_no, regexp_matches(substring(t, 1, 150), '{'|'.join(T.MANDATORY)}') AS is_mandatory, CASE WHEN path = '' OR starts_with(t, string_split(path, ' > ')[-1]) THEN t ELSE '【' || path || '】' || chr(10) || t END AS content FROM k_texts",
+        "chunks": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, g, k) - 1 AS seq, content, section_path, clause_no, NULL::int AS page_no, is_mandatory, length(content) AS char_count FROM k_rows WHERE length(content) > 0 AND (length(content) >= {least} OR clause_no <> '')",
+    }
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+_SECTIONED = "SELECT doc_id, '# Part ' || doc_id % 3 || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || '2.' || doc_id % 9 || ' Clause of the part' || chr(10) || chr(10) || substring(text, 1, 2000) || chr(10) || chr(10) || '### Deep' || chr(10) || chr(10) || '3.1.2 must hold; ' || substring(text, 1, 900) AS text FROM documents"
+
+
+@query(recursive(V.sql("SELECT * FROM chunks", **chunk_sql("SELECT doc_id, text FROM documents"))))
+def document_chunks(spark, sf_dir):
+    """Section-aware chunks; sentences of these texts end with a dot."""
+    return ingest.chunks(V.table(spark, sf_dir, "documents"), ends=ingest.SENTENCE_ENDS + ".")
+
+
+@query(recursive(V.sql("SELECT * FROM chunks", **chunk_sql(_SECTIONED))))
+def sectioned_chunks(spark, sf_dir):
+    """Chunks of texts with headings of three kinds, in which each line is a paragraph."""
+    gap = F.lit("\n\n")
+    text = F.concat(F.lit("# Part "), (F.col("doc_id") % 3).cast("string"), gap, F.replace("text", F.lit("\n"), gap), gap, F.lit("2."), (F.col("doc_id") % 9).cast("string"), F.lit(" Clause of the part"), gap, F.substring("text", 1, 2000), gap, F.lit("### Deep"), gap, F.lit("3.1.2 must hold; "), F.substring("text", 1, 900))
+    return ingest.chunks(V.table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), ends=ingest.SENTENCE_ENDS + ".")
+
+
+@query(recursive(V.sql("SELECT doc_id, seq, unnest(list_filter([CASE WHEN char_count > 1200 THEN 'oversized_chunk' END, CASE WHEN char_count < 40 THEN 'tiny_chunk' END, CASE WHEN trim(section_path) = '' AND trim(clause_no) = '' THEN 'missing_location' END], lambda x: x IS NOT NULL)) AS issue_type, CASE issue_type WHEN 'oversized_chunk' THEN 'medium' ELSE 'low' END AS severity FROM chunks", **chunk_sql("SELECT doc_id, text FROM documents"))))
+def chunk_quality_issues(spark, sf_dir):
+    return quality.static_issues(document_chunks(spark, sf_dir))

@@ -116,17 +116,6 @@ def text_scalars(spark, sf_dir):
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), T.content_hash(F.col("text")).alias("content_hash"), T.truncate_to(F.col("text"), 80).alias("short"), T.token_key(F.col("text")).alias("gap_key"))
 
 
-@query()
-def document_chunks(spark, sf_dir):
-    """Section-aware chunks; sentences of these texts end with a dot."""
-    return ingest.chunks(V.table(spark, sf_dir, "documents"), ends=ingest.SENTENCE_ENDS + ".")
-
-
-@query()
-def chunk_quality_issues(spark, sf_dir):
-    return quality.static_issues(document_chunks(spark, sf_dir))
-
-
 _KW = f"SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {_TOK('text')} AS t FROM documents)"
 
 
