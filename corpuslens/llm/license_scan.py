@@ -2,13 +2,14 @@
 
 Words that occur once in both the text and the template are anchors; the longest increasing run of their places is kept,
 and the gaps between them are aligned the same way, after equal words at their ends; a gap without anchors is aligned by a
-longest common subsequence. The share of the template's words that are aligned is its coverage, that of a text the largest
-of any stretch of at most twice the template's words. Stretches overlap: one begins at each word that can be the first one
-aligned, and is tried if it holds enough of the template's words at all, an upper bound of its coverage. Where anchors that
-stand elsewhere leave an alignment short of that bound, the longest common subsequence of the whole stretch decides. Each
+longest common subsequence. The share of the template's words that are aligned is its coverage; place and coverage of a license
+are those of that alignment, over the best of the stretches tried. Stretches overlap: one begins at each word that can be the
+first one aligned, and is tried, in the lengths of ENDS times the template's, if it holds enough of the template's words at all,
+an upper bound of its coverage. A license spread over more words than the last of ENDS allows is not found. Each
 license that is known by a name must show it, with its version, in the aligned stretch.
 
-Cases: a version's final `.0` is no part of it. Null and empty texts have no license. Equal coverage goes to the template with more words, then by name; equal
+Cases: a version's final `.0` is no part of it. Null and empty texts have no license, an empty table gives no rows; very long texts are
+scanned whole. Equal coverage goes to the template with more words, then by name; equal
 stretches of a template to the first. Repeated rows are rows of their own; columns other than `doc_id` and `text` are ignored.
 """
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import only, small_batches, table
 
 COVERAGE = 0.8
+#: Lengths of the stretches that are aligned, times the template's words.
+ENDS = (1.0, 1.25, 1.5, 2.0)
 _WORD = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*")
 _ZERO = re.compile(r"(?<=[0-9])(?:\.0)+(?![^\W_]|\.[^\W_])")
 
@@ -46,6 +49,9 @@ TEMPLATES = {
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.',
+    "LGPL-3.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 #: Runs of words that tell a license from others of nearly the same text.
@@ -62,13 +68,23 @@ NAMED = {
     "MPL-2.0": ("mozilla public license", "2"),
     "Apache-2.0": ("apache license", "2"),
     "GPL-3.0": ("gnu general public license", "version 3"),
+    "LGPL-3.0": ("gnu lesser general public license", "version 3"),
+    "AGPL-3.0": ("gnu affero general public license", "version 3"),
+    "BSD-3-Clause": ("neither the name",),
 }
+#: Identifiers whose lines are templates, too: `SPDX-License-Identifier: <id>`.
+IDENTIFIERS = "MIT ISC Unlicense 0BSD Zlib BSD-2-Clause BSD-3-Clause Apache-2.0 MPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall((_ZERO.sub("", text) if ".0" in text else text).lower())
 
 
+for _id in IDENTIFIERS:
+    TEMPLATES[f"{_id}-identifier"] = f"SPDX-License-Identifier: {_id}"
+    NAMED[f"{_id}-identifier"] = (f"identifier {' '.join(words_of(_id))}",)
+
+
 def increasing(places: list[int]) -> list[int]:
     """Indexes of a longest increasing subsequence, by piles."""
     tops: list[int] = []
@@ -114,12 +130,6 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def tightest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence that ends as early in a as one can and then starts as late."""
-    a = a[: common(a, b)[-1][0] + 1]
-    return [(len(a) - 1 - i, len(b) - 1 - j) for i, j in reversed(common(a[::-1], b[::-1]))]
-
-
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Pairs of places (in a, in b) that a patience alignment matches."""
     out: list[tuple[int, int]] = []
@@ -155,20 +165,20 @@ class Scanner:
         self.every = set().union(*self.counts.values())
 
     def stretches(self, name: str, hits: list[tuple[int, str]], least: float) -> Iterator[tuple[int, int, float]]:
-        """(first word, end word, bound of the coverage) of each stretch that may cover the least share of the template."""
+        """(first word, end word, bound of the coverage) of each longest stretch that may cover the least share of the template."""
         t, counts = self.words[name], self.counts[name]
         first = set(t[: int(len(t) * (1 - least) + 1e-9) + 1])
         own = [(i, w) for i, w in hits if w in counts]
         have: Counter = Counter()
         n = end = 0
         for i, w in own:
-            while end < len(own) and own[end][0] < i + 2 * len(t):
+            while end < len(own) and own[end][0] < i + ENDS[-1] * len(t):
                 x = own[end][1]
                 have[x] += 1
                 n += have[x] <= counts[x]
                 end += 1
             if w in first and n >= least * len(t):
-                yield i, min(i + 2 * len(t), own[end - 1][0] + 1), n / len(t)
+                yield i, own[end - 1][0] + 1, n / len(t)
             n -= have[w] <= counts[w]
             have[w] -= 1
 
@@ -185,19 +195,18 @@ class Scanner:
             for lo, hi, bound in self.stretches(name, hits, least):
                 if best and bound <= best[1]:
                     continue
-                got = align(words[lo:hi], t)
-                if len(got) / len(t) < bound:
-                    got = max(got, common(words[lo:hi], t), key=len)
-                share = len(got) / len(t)
-                if share < least or (best and share <= best[1]):
-                    continue
-                got = tightest(words[lo:hi], t)
-                a, b = lo + got[0][0], lo + got[-1][0] + 1
-                shown = f" {' '.join(words[a:b])} "
-                if all(f" {p} " in shown for p in self.named[name]):
-                    best = (name, share, a, b)
-                    if share == 1:
+                for end in dict.fromkeys(min(hi, lo + int(e * len(t))) for e in ENDS):
+                    got = align(words[lo:end], t)
+                    share = len(got) / len(t)
+                    if share >= least and not (best and share <= best[1]):
+                        a, b = lo + got[0][0], lo + got[-1][0] + 1
+                        shown = f" {' '.join(words[a:b])} "
+                        if all(f" {p} " in shown for p in self.named[name]):
+                            best = (name, share, a, b)
+                    if best and bound <= best[1]:
                         break
+                if best and best[1] == 1:
+                    break
             if best:
                 out.append(best)
         return sorted(out, key=lambda x: (-x[1], -len(self.words[x[0]]), x[0]))

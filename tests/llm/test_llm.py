@@ -536,6 +536,53 @@ def test_licenses_all_notices_of_the_table(spark, medium):
         assert set(got[r["doc_id"]]["licenses"]) & set(says.values()) == {k for x, k in says.items() if x in (r["text"] or "")}
 
 
+def scanned_plainly(text, scanner, least):
+    """Every stretch that begins with a word of a template's first part, in all lengths, without bounds."""
+    words, out = license_scan.words_of(text), {}
+    for name, t in scanner.words.items():
+        first, best = set(t[: int(len(t) * (1 - least) + 1e-9) + 1]), None
+        for lo, w in enumerate(words):
+            if w not in first:
+                continue
+            inside = [i for i in range(lo, min(len(words), lo + 2 * len(t))) if words[i] in scanner.counts[name]]
+            for e in license_scan.ENDS:
+                got = license_scan.align(words[lo : min(lo + int(e * len(t)), inside[-1] + 1)], t)
+                shown = f" {' '.join(words[lo + got[0][0] : lo + got[-1][0] + 1])} " if got else ""
+                if len(got) >= least * len(t) and all(f" {p} " in shown for p in scanner.named[name]) and (best is None or len(got) > best):
+                    best = len(got)
+        if best:
+            out[name] = best / len(t)
+    return out
+
+
+def test_license_scan_brute_force(monkeypatch):
+    draw = random.Random(8)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.NAMED)
+    names, found, texts = list(license_scan.TEMPLATES), 0, []
+    for _ in range(40):
+        words = []
+        for _ in range(draw.randrange(1, 4)):
+            t = license_scan.TEMPLATES[draw.choice(names)].split()
+            for w in t:
+                what = draw.random()
+                words += [] if what < 0.04 else [w, w] if what < 0.07 else ["the", w] if what < 0.1 else [w]
+            words += [draw.choice(["the", "license", "filler", "of", "software"]) for _ in range(draw.randrange(12))]
+        texts.append(" ".join(words))
+        got = {n: share for n, share, _, _ in scanner.scan(texts[-1], 0.8)}
+        assert got == scanned_plainly(texts[-1], scanner, 0.8)
+        found += len(got)
+    assert found > 40
+    monkeypatch.setattr(license_scan, "align", lambda a, b: [])
+    assert not any(scanner.scan(t, 0.8) for t in texts)  # nothing but the alignment decides
+
+
+def test_licenses_of_more_kinds(spark):
+    t = license_scan.TEMPLATES
+    d = [("// SPDX-License-Identifier: GPL-2.0-or-later\nint main() {}", "GPL-2.0-or-later-identifier"), ("# SPDX-License-Identifier: MIT", "MIT-identifier"), (t["BSD-3-Clause"], "BSD-3-Clause"), (t["BSD-2-Clause"], "BSD-2-Clause"), (t["LGPL-3.0"], "LGPL-3.0"), (t["AGPL-3.0"], "AGPL-3.0"), (t["GPL-3.0"], "GPL-3.0"), ("SPDX-License-Identifier: Own-1.0", None)]
+    got = rows(license_scan.license_scan(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(d)], "doc_id long, text string")))
+    assert [got[i]["license"] for i in range(len(d))] == [x for _, x in d]
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(300):
