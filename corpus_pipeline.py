@@ -1,6 +1,7 @@
 """A corpus pipeline of five operators; each stage is written as Parquet and read as the next one's documents.
 
-A document without id, of any stage, is kept where no decision names it. Null texts pass all stages.
+A document without id, of any stage, is kept where no decision names it. A null text counts as the empty text: it passes all
+stages unless the toxicity machine rejects the empty text, as one fitted on toxic labels alone does.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from corpuslens.llm import decontaminate, jaccard_join, pii, piece_codec, toxicity
 from corpuslens.llm.common import saved, table
 
-#: SQL cannot express the kernel machine; the stages are tested against brute-force versions instead.
+#: SQL cannot express the kernel machine; the operators of the stages are tested against brute-force versions, libraries or
+#: held-out labels instead.
 ORACLE_SQL = None
 
 

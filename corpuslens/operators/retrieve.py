@@ -146,7 +146,7 @@ def miss_inputs(terms: Sliced, vectors: Sliced, queries: DataFrame, docs: DataFr
     best = texts.groupBy("query_id").agg(F.max(F.round(score, 6)).alias("top_rerank"))
     most = own.select("query_id", key).join(docs.select(key, F.col(parent).alias("_of")), key).groupBy("query_id", "_of").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.max("n").alias("most_of_one"))
     mine = F.col("tag") == "intent"
-    mean = lambda x: F.round(F.avg(F.when(mine, F.coalesce(x, F.lit(0.0)))), 6)
+    mean = lambda x: F.round(F.avg(F.when(mine, F.coalesce(x, F.lit(0.0)))), 9)
     m = c.groupBy("query_id").agg(
         F.count_if(mine).alias("n_intent"), F.count_if(~mine).alias("n_broad"), F.max(F.when(mine, F.col("fusion_score"))).alias("top_fusion"), F.max(F.when(~mine, F.col("fusion_score"))).alias("top_broad"),
         mean("bm25_score").alias("mean_bm25"), mean("vector_score").alias("mean_vector"),

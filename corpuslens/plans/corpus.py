@@ -53,8 +53,8 @@ def _issues(spark, sf_dir) -> DataFrame:
 
 
 def _report_sql(rows: str, scope: str, by: str) -> str:
-    words = ", ".join(f"CASE WHEN {' OR '.join(f'list_contains(kinds, {k!r})' for k in names)} THEN '{advice}' END" for names, advice in inspection.ADVICE)
-    return f"""SELECT '{scope}' AS scope, kb_id, n_chunks, issue_count, high_count, round(greatest(0.0, 100.0 - p::double / greatest(n_chunks, 1) * 20), 1) AS score, issue_counts, CASE WHEN len(advice) > 0 THEN advice ELSE ['keep inspecting'] END AS suggestions FROM (
+    words = ", ".join(f"CASE WHEN {' OR '.join(f'list_contains(coalesce(kinds, []), {k!r})' for k in names)} THEN '{advice}' END" for names, advice in inspection.ADVICE)
+    return f"""SELECT '{scope}' AS scope, kb_id, n_chunks, coalesce(issue_count, 0) AS issue_count, coalesce(high_count, 0) AS high_count, round(greatest(0.0, 100.0 - coalesce(p, 0)::double / greatest(n_chunks, 1) * 20), 1) AS score, coalesce(issue_counts, []) AS issue_counts, CASE WHEN len(advice) > 0 THEN advice ELSE ['keep inspecting'] END AS suggestions FROM (
       SELECT *, list_filter([{words}], lambda x: x IS NOT NULL) AS advice FROM (SELECT {by} AS kb_id, sum(n_chunks)::bigint AS n_chunks FROM (SELECT kb_id, count(*) AS n_chunks FROM document_v WHERE NOT is_deleted GROUP BY 1) GROUP BY 1) s
       LEFT JOIN (SELECT {by} AS kb_id, sum(n)::bigint AS issue_count, coalesce(sum(n) FILTER (issue_type IN {quality.HIGH_TYPES}), 0)::bigint AS high_count, sum(p) AS p, list_sort(list(issue_type || ':' || n)) AS issue_counts, list(issue_type) AS kinds
         FROM (SELECT {by} AS kb_id, issue_type, count(*) AS n, sum(CASE severity WHEN 'high' THEN 6 WHEN 'medium' THEN 3 ELSE 1 END) AS p FROM {rows} GROUP BY 1, 2) GROUP BY 1) i USING (kb_id))"""

@@ -185,7 +185,7 @@ _MISS_FLOOR, _SCATTERED = 0.35, 0.9
   narrow="SELECT query_id, doc_id, fusion_score, 0 AS rank FROM tagged WHERE tag = 'intent'", **ranked_sql("narrow", "c.query_id"),
   missed="""SELECT a.own AS query_id, intent_confidence, coalesce(n_intent, 0) AS n_intent, coalesce(n_broad, 0) AS n_broad, coalesce(top_fusion, 0) AS top_fusion, coalesce(top_broad, 0) AS top_broad, coalesce(mean_bm25, 0) AS mean_bm25, coalesce(mean_vector, 0) AS mean_vector, coalesce(top_rerank, 0) AS top_rerank, coalesce(most_of_one, 0) AS most_of_one
     FROM asked a LEFT JOIN (SELECT query_id, count(*) FILTER (tag = 'intent') AS n_intent, count(*) FILTER (tag = 'broad') AS n_broad, max(fusion_score) FILTER (tag = 'intent') AS top_fusion, max(fusion_score) FILTER (tag = 'broad') AS top_broad,
-      round(avg(coalesce(bm25_score, 0)) FILTER (tag = 'intent'), 6) AS mean_bm25, round(avg(coalesce(vector_score, 0)) FILTER (tag = 'intent'), 6) AS mean_vector FROM tagged GROUP BY 1) m ON m.query_id = a.own
+      round(avg(coalesce(bm25_score, 0)) FILTER (tag = 'intent'), 9) AS mean_bm25, round(avg(coalesce(vector_score, 0)) FILTER (tag = 'intent'), 9) AS mean_vector FROM tagged GROUP BY 1) m ON m.query_id = a.own
     LEFT JOIN (SELECT query_id, max(rerank_score) AS top_rerank FROM rr0 GROUP BY 1) r ON r.query_id = a.own LEFT JOIN (SELECT query_id, max(n) AS most_of_one FROM (SELECT query_id, doc_id // 100, count(*) AS n FROM narrow GROUP BY 1, 2) GROUP BY 1) o ON o.query_id = a.own"""))
 def attributed_misses(spark, sf_dir):
     """Why items miss, from the intent's domains against all: every input is computed, and each of the four rules has items."""
