@@ -59,7 +59,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 20, key: str = "do
 def hash_vector_search(docs: DataFrame, queries: DataFrame, k: int = 20, key: str = "doc_id") -> DataFrame:
     """(query_id, key, score, rank) by cosine of hashed text vectors: sparse dot products by a join on buckets."""
     d, q = hash_vectors(docs, key), hash_vectors(queries, "query_id", "query")
-    s = d.join(F.broadcast(q.withColumnRenamed("value", "qv")) if queries.count() <= 2000 else q.withColumnRenamed("value", "qv"), "bucket")
+    s = d.join(q.withColumnRenamed("value", "qv"), "bucket")
     s = s.groupBy("query_id", key).agg(F.round(F.sum(F.col("value") * F.col("qv")), 6).alias("score"))
     return top(s, "query_id", "score", key, k)
 

@@ -205,3 +205,36 @@ def test_crowds_and_groups_of_near_copies(spark, monkeypatch):
         bits, tables, most = neighbours.sketch_size(n, 0.92)
         off = np.arccos(0.92) / np.pi
         assert (1 - (1 - off) ** bits) ** tables <= 0.01 and most > bits * tables * off
+
+
+def test_scalars_and_small_operators(spark):
+    from corpuslens.functions import text as T
+    from corpuslens.functions import vectors
+    from corpuslens.operators import evaluate, lists, search
+
+    d = spark.createDataFrame([("a > b", "b begins"), ("a > b", "x"), ("", "x"), (None, "x")], "p string, t string")
+    assert [r[0] for r in d.select(T.with_section(F.col("p"), F.col("t"))).collect()] == ["b begins", "【a > b】\nx", "x", "x"]
+    v = spark.createDataFrame([([3.0, 4.0],), ([0.0],), (None,)], "v array<float>")
+    assert [r[0] for r in v.select(vectors.norm(F.col("v"))).collect()] == [5.0, 0.0, None]
+    q = spark.createDataFrame([("steel beam 3.2", "Steel beam of 3.2 m 必须"), ("steel beam", "nothing"), ("", "text")], "q string, d string")
+    got_ = [round(r[0], 4) for r in q.select(search.lexical_score(F.col("q"), F.col("d"))).collect()]
+    assert got_ == [round(0.55 + 0.2 * 4 / 6 + 0.25 + 0.1, 4), 0.0, 0.0]
+    p = spark.createDataFrame([(1, 2, 0.5, 1.0), (2, 1, 0.0, 0.0)], "query_id int, n_relevant int, mrr double, recall_5 double")
+    assert tuple(evaluate.mean_metrics(p).first()) == (2, 0.25, 0.5) and tuple(evaluate.mean_metrics(p.where("false")).first()) == (0, 0.0, 0.0)
+    assert [tuple(r) for r in lists.eval_rows(p).collect()] == [(1, 2, 0.5, 1.0, True), (2, 1, 0.0, 0.0, False)]
+    assert spark.range(1).select(lists.due(F.lit("2024-01-01").cast("timestamp"), 30)).first()[0] == datetime(2024, 1, 31)
+
+
+def test_open_tasks_are_not_made_again(spark):
+    issues = spark.createDataFrame([(1, "zero_vector", "high"), (1, "zero_vector", "high"), (2, "zero_vector", "high"), (3, "tiny_chunk", "low"), (None, "isolated_query", "high")], "doc_id long, issue_type string, severity string")
+    open_ = spark.createDataFrame([("embed", 2)], "task_type string, doc_id long")
+    assert got(quality.tasks_from_issues(issues, open_, {"zero_vector": "embed"}), "task_type", "doc_id", "due_days", "due_date") == [("embed", 1, 14, None)]
+    assert quality.tasks_from_issues(issues.where("false"), open_, {"x": "y"}).count() == 0
+
+
+def test_rerank_with_decay_counts_the_word_at_the_head(spark):
+    from corpuslens.operators import search
+
+    c = spark.createDataFrame([(1, "q q", 10, "应 do", 1, 0.5, 0.0, False, "valid"), (1, "q q", 11, "x" * 90 + "应", 2, 0.5, 0.0, False, "valid"), (1, "q q", 12, "应 必须", 3, 0.5, 0.0, False, "valid")], "query_id int, query string, doc_id int, content string, rank int, fusion_score double, cosine double, is_mandatory boolean, governance_status string")
+    r = {x["doc_id"]: x["rerank_score"] for x in search.rerank(c, decay=True).collect()}
+    assert r == {10: 0.1, 11: 0.0, 12: round(0.1 / 1.1, 6)}
