@@ -20,21 +20,24 @@ from corpuslens.sources.sliced import shared_folder, written
 #: Rows that are compared in one place at most, twice; rows in a bucket as a rule; partners of a row in one place that are looked at one by one.
 BLOCK, BUCKET, CROWD = 2048, 64, 64
 #: Share of pairs at the least cosine that may be missed.
-MISSED = 0.01
+MISSED = 0.001
+#: Bits of a sketch at least: with so many, pairs that share a chunk by chance or are alike by half only differ in too many of them.
+SKETCH = 512
 SEED = 11
 
 
-def sketch_size(n: int, least: float) -> tuple[int, int, int]:
-    """(bits of a chunk, chunks, differing bits allowed) so that, of pairs at a cosine of `least`, no more than MISSED share no chunk, and
-    as good as none of the others differ in more bits. Chunks grow with the logarithm of the rows, and their number with it."""
+def sketch_size(n: int, least: float) -> tuple[int, int, int, int]:
+    """(bits of a chunk, chunks, bits of a sketch, differing bits allowed) so that, of pairs at a cosine of `least`, no more than MISSED
+    share no chunk, and as good as none of the others differ in more bits. Chunks grow with the logarithm of the rows, and their
+    number with it."""
     off = math.acos(least) / math.pi  # how often a plane parts two such vectors
     bits = min(32, max(8, math.ceil(math.log2(max(n, 2) / BUCKET))))
     tables = max(1, math.ceil(math.log(MISSED) / math.log(1 - (1 - off) ** bits))) if off else 1
-    whole = bits * tables
-    return bits, tables, math.ceil(whole * off + 5 * math.sqrt(whole * off * (1 - off)))
+    whole = max(SKETCH, bits * tables)
+    return bits, tables, whole, math.ceil(whole * off + 5 * math.sqrt(whole * off * (1 - off)))
 
 
-def _sketches(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
+def _sketches(vectors: DataFrame, bits: int, tables: int, whole: int) -> DataFrame:
     """(id, h: digest of the vector, sketch: a bit for each plane, keys: the chunks' values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,9 +47,9 @@ def _sketches(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
                 continue
             x = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             if planes is None:
-                planes = np.random.default_rng(SEED).standard_normal((x.shape[1], tables * bits)).astype(np.float32)
+                planes = np.random.default_rng(SEED).standard_normal((x.shape[1], whole)).astype(np.float32)
             side = x @ planes > 0
-            name = (side.reshape(len(x), tables, bits).astype(np.int64) << np.arange(bits)).sum(axis=2) * tables + np.arange(tables)
+            name = (side[:, : tables * bits].reshape(len(x), tables, bits).astype(np.int64) << np.arange(bits)).sum(axis=2) * tables + np.arange(tables)
             packed = np.packbits(side, axis=1)
             ends = pa.array(np.arange(0, name.size + 1, tables, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -111,8 +114,8 @@ def nearest_similar(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     spark = vectors.sparkSession
     norm = F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     v = written(vectors.where(F.col(column).isNotNull() & (norm > 0)).select(F.col(key).alias("id"), F.col(column).cast("array<float>").alias("vector")), "vectors")
-    bits, tables, most = sketch_size(v.count(), least)
-    same = written(_sketches(v, bits, tables), "sketches")
+    bits, tables, whole, most = sketch_size(v.count(), least)
+    same = written(_sketches(v, bits, tables, whole), "sketches")
     first = same.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     copies = same.select("id", "h").join(first.where("n > 1"), "h").where("id <> first")
     second = copies.groupBy("first").agg(F.min("id").alias("id"))
