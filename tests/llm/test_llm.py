@@ -486,6 +486,61 @@ def test_pii_whole_secrets(spark):
     assert all(out[i]["text"] == t for i, t in plain)
 
 
+def planted_personal_data():
+    """Texts with one personal datum of each kind and texts with what looks like one, built by rule; (text, kind, start, end)."""
+    rnd = random.Random(9)
+    given, family = ["Anna", "Peter", "Maria", "Carlos", "Ingrid"], ["Walden", "Okafor", "Lindqvist", "Marsh", "Tanaka"]
+
+    def iban(country, digits):
+        rest = "".join(str(ord(c) - 55) if c.isalpha() else c for c in digits + country + "00")
+        return f"{country}{98 - int(rest) % 97:02d}{digits}"
+
+    number = lambda n: "".join(rnd.choice("123456789") for _ in range(n))
+    for i in range(60):
+        g, f = given[i % 5], family[i // 5 % 5]
+        say = [
+            ("we spoke and the name is ", f"{g} {f}", ", as agreed", "person"), ("payment goes to IBAN ", iban("DE", number(18)), " today", "iban"),
+            ("she was born on ", f"{rnd.randint(1, 28):02d}.{rnd.randint(1, 12):02d}.{rnd.randint(1930, 2009)}", " in the north", "birth_date"),
+            ("he lives at ", f"{rnd.randint(1, 999)} {rnd.choice(['Oak', 'Mill', 'Old Church'])} {rnd.choice(['Street', 'Lane', 'Road'])}", " since then", "street"),
+            ("his passport number is ", f"C{number(8)}", " they say", "passport"), ("phone: ", f"0{number(3)} {number(4)} {number(3)}", " after noon", "local_phone"),
+            ("ssn ", f"{rnd.randint(100, 600)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}", " on file", "id_number"),
+        ]
+        for front, x, back, kind in say:
+            yield front + x + back, kind, len(front), len(front) + len(x)
+        for text in (f"the meeting of {rnd.randint(1, 28)}.{rnd.randint(1, 12)}.2014 went on", "they went to Great Harbour by night", f"order DE{number(18)} shipped", f"see Chapter {i + 1} for more", f"part X{number(7)} fits"):
+            yield text, None, 0, 0
+
+
+def test_pii_added_kinds_on_planted_rows(spark):
+    """Recall and precision of each added kind, stored word lists, and the labelers' parts in them."""
+    given = list(planted_personal_data())
+    docs = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(given)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: {(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"]} for r in pii.find(docs).collect()}
+    base = {r["doc_id"]: bool(r["base"]) for r in pii.find(docs).collect()}
+    for kind in ("person", "iban", "birth_date", "street", "passport", "local_phone", "id_number"):
+        want = [(i, (k, a, b)) for i, (_, k, a, b) in enumerate(given) if k == kind and not base[i]]
+        assert len(want) > 40 and sum(w in got[i] for i, w in want) / len(want) >= 0.95, (kind, [(given[i][0], got[i]) for i, w in want if w not in got[i]][:3])
+    clean = [(t, got[i]) for i, (t, k, *_) in enumerate(given) if k is None and not base[i] and got[i]]
+    assert len(clean) <= 0.05 * 300, clean[:5]
+    words = spark.createDataFrame([("given_names", "Great"), ("given_names", None), (None, "x")], "list string, entry string")
+    lists = pii.gazetteers(words)
+    assert lists["given_names"] == ("great",) and lists["streets"] == pii.GAZETTEERS["streets"]
+    assert any("person" in {k for k, *_ in s} for s in ({(pii.KINDS[s["kind"]], 0) for s in r["spans"]} for r in pii.find(docs.where("text like '%Great Harbour%'"), lists).collect()))
+
+
+def test_pii_long_texts(spark):
+    """Many matches, in more than one block of the running sums and of the cuts, and characters outside the first plane."""
+    text = "".join(f"😀 é{i} mail u{i}@host{i % 7}.org and 10.0.{i % 256}.{i % 300} {'x' * (i % 90)}\n" for i in range(1500))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "😀 a@b.c")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find(docs).select("doc_id", "base", pii.named("base").alias("s")).collect()}
+    assert got[1]["s"] == brute_pii(text)[1] and not got[2]["base"]
+    want = text
+    for a, k, b in reversed(brute_pii(text)[0]):
+        want = want[:a] + f"[{pii.KINDS[k].upper()}]" + want[b:]
+    out = rows(pii.redacted(docs))
+    assert out[1]["text"] == want and out[2]["text"] is None and out[3]["text"] == "😀 [EMAIL]"
+
+
 def test_em_finds_the_reliable_labeler():
     post = pii.em([((1, 1, 1), 50), ((1, 1, -1), 20), ((-1, -1, -1), 60), ((-1, -1, 1), 25)])
     assert post[(1, 1, -1)] > 0.9 and post[(-1, -1, 1)] < 0.1
