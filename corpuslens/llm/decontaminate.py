@@ -2,8 +2,9 @@
 
 The words of a run of training documents form one shard. Its suffixes, cut at WINDOW words as no window is longer, are
 sorted; each suffix of a test item is found among them by binary search, and the range found is all its occurrences.
-Suffixes that hold a word no item has cannot match and are left out. Items are dealt into blocks of bounded size, and the
-documents pass through one block after another in the same pass, so nothing is shuffled.
+Suffixes that hold a word no item has cannot match and are left out. Items are dealt into blocks of bounded size, of which the
+driver holds one. With one block nothing is shuffled. Each further block reads the documents once more and writes the rows it
+hits alone, without texts; these are merged by the hash of the text at the end.
 
 Cases: null and empty texts have no words and are clean; items without words match nothing. Rows with one item_id
 are one item; one without id hits documents but is not among the items named. Repeated documents are rows of their own.
@@ -15,11 +16,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.bpe import MEMO
@@ -30,7 +32,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 WINDOW = 10
 #: Words of one block of items, and of one shard.
 BLOCK_WORDS, SHARD_WORDS = 2_000_000, 1_000_000
-_FOUND = "doc_id long, text string, n_words long, spans array<long>, items array<string>, longest long, longest_item string, longest_at long"
+_FOUND = "doc_id long, key binary, n_words long, spans array<long>, items array<string>, longest long, longest_item string, longest_at long"
+_MERGED = ("spans", "items", "longest", "longest_item", "longest_at")
 
 
 def words_of(text: str) -> list[str]:
@@ -180,27 +183,56 @@ def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[str]
     yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, `spans` (start, end, ... of hit words), `items`, and the longest verbatim match with its place."""
-    return _matched(docs, benchmark).drop("text")
-
-
-def _matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    small_batches(spark)
-    nothing = F.array().cast("array<long>"), F.array().cast("array<string>")
-    out = only(docs, "doc_id", "text").select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), nothing[0].alias("spans"), nothing[1].alias("items"),
-        F.lit(0).cast("long").alias("longest"), F.lit(None).cast("string").alias("longest_item"), F.lit(-1).cast("long").alias("longest_at"),
-    )
-    for k, items in enumerate(blocks_of(benchmark)):
-        if k:  # one block in motion at a time
-            out = saved(out, "decontamination")
-        out = out.mapInPandas(_pass(spark.sparkContext.broadcast(make_block(items))), _FOUND)
+def _key() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame) -> list[DataFrame]:
+    """Of the first block what it finds in each row, of each further one the rows it hits."""
+    small_batches(docs.sparkSession)
+    given = only(docs, "doc_id", "text").select("doc_id", _key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    out: list[DataFrame] = []
+    for items in blocks_of(benchmark):
+        if len(out) == 1:
+            out[0] = saved(out[0], "decontamination")
+        sent = docs.sparkSession.sparkContext.broadcast(make_block(items))
+        found = given.mapInPandas(_pass(sent, not out), _FOUND)
+        if out:
+            found = saved(found, "decontamination")
+            sent.destroy()
+        out.append(found)
     return out
 
 
-def _pass(sent):
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, `spans` (start, end, ... of hit words), `items`, and the longest verbatim match with its place."""
+    first, *more = _passes(docs, benchmark)
+    if not more:
+        return first.drop("key")
+    parts = [d.drop("doc_id", "n_words").withColumn("block", F.lit(k)).dropDuplicates(["key"]) for k, d in enumerate(more)]
+    hit = reduce(DataFrame.unionAll, parts).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", *_MERGED))).alias("more"))  # one of a block
+    hit = saved(hit, "decontamination").select("key", *[F.col(f"more.{c}").alias(f"more_{c}") for c in _MERGED])
+    return first.join(hit, "key", "left").drop("key").mapInPandas(_fold, _FOUND.replace(" key binary,", ""))
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with what the further blocks hit merged in; of equal longest matches, that of the earliest block stays."""
+    for b in batches:
+        rows = []
+        for spans, items, *best, more_spans, more_items, more_n, more_item, more_at in zip(*[b[c] for c in (*_MERGED, *(f"more_{m}" for m in _MERGED))], strict=True):
+            spans, items = list(spans), list(items)
+            for k in range(0 if more_spans is None else len(more_spans)):
+                spans, items = _merged(spans, list(more_spans[k])), [*items, *more_items[k]]
+                if more_n[k] > best[0]:
+                    best = [more_n[k], more_item[k], more_at[k]]
+            rows.append((spans, list(dict.fromkeys(items)), *best))
+        found = pd.DataFrame(rows, columns=list(_MERGED), index=b.index)
+        yield pd.concat([b[["doc_id", "n_words"]], found], axis=1)
+
+
+def _pass(sent, whole: bool):
+    """Finds a block's items in shards of documents; every row, or with `whole` false the rows that are hit."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
         block = sent.value
@@ -213,14 +245,12 @@ def _pass(sent):
             b = pd.concat(held, ignore_index=True)
             got = search(block, docs)
             b["n_words"] = [len(d) for d in docs]
-            rows = [(_merged(list(s), g[0]), list(dict.fromkeys([*i, *g[1]])), *((g[2], g[3], g[4]) if g[2] > n else (n, ni, na)))
-                    for s, i, n, ni, na, g in zip(b["spans"], b["items"], b["longest"], b["longest_item"], b["longest_at"], got, strict=True)]
-            for k, c in enumerate(("spans", "items", "longest", "longest_item", "longest_at")):
-                b[c] = [r[k] for r in rows]
-            return b
+            for k, c in enumerate(_MERGED):
+                b[c] = [g[k] for g in got]
+            return b if whole else b[[bool(g[0]) for g in got]]
 
         for b in batches:
-            held.append(b)
+            held.append(b[["doc_id", "key"]])
             for t in b["text"]:
                 w = WORD.findall(t)
                 docs.append(np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)))
@@ -236,11 +266,11 @@ def _pass(sent):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, without those that hold a window of an item: each row is decided by its own text, whatever its id."""
-    name, key = "_text", lambda: F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    name = "_text"
     while name in docs.columns:
         name += "_"
-    hit = _matched(docs, benchmark).where(F.size("spans") > 0).select(key().alias(name))
-    return with_small(docs.withColumn(name, key()), saved(hit, "contaminated"), name, "left_anti").drop(name)
+    hit = reduce(DataFrame.unionAll, [d.where(F.size("spans") > 0).select(F.col("key").alias(name)) for d in _passes(docs, benchmark)])
+    return with_small(docs.withColumn(name, _key()), saved(hit, "contaminated"), name, "left_anti").drop(name)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

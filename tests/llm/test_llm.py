@@ -165,6 +165,27 @@ def test_decontamination_odd(spark, odd, empty):
     assert (None, ("4",), True) in got and (7, (), True) in got and (7, ("4",), True) in got and (-1, (), False) in got
 
 
+def test_decontamination_blocks_write_no_texts(spark, medium, monkeypatch):
+    """Many blocks of items give the rows of one block, and no table written holds the texts."""
+    docs, bench = (spark.read.parquet(f"{medium}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long")))  # copies, without id
+    line = lambda d: sorted((str(r["doc_id"]), r["n_words"], list(r["spans"]), sorted(r["items"]), r["longest"]) for r in d.collect())
+    want, kept = line(decontaminate.matches(docs, bench)), sorted(str(r["doc_id"]) for r in decontaminate.clean(docs, bench).select("doc_id").collect())
+    again, written = bench.unionByName(bench.orderBy("item_id").limit(12)), []  # items that occur twice are one
+    monkeypatch.setattr(decontaminate, "blocks_of", lambda b, plain=decontaminate.blocks_of: dealt(plain(b), 26))
+
+    def dealt(blocks, parts):
+        items = [x for b in blocks for x in b]
+        for k in range(parts):
+            yield items[k::parts]
+
+    monkeypatch.setattr(decontaminate, "saved", lambda d, name, plain=decontaminate.saved: written.append(d.columns) or plain(d, name))
+    assert any(spans for _, _, spans, *_ in want)
+    assert line(decontaminate.matches(docs, again)) == want and len(written) == 27
+    assert sorted(str(r["doc_id"]) for r in decontaminate.clean(docs, again).select("doc_id").collect()) == kept
+    assert not any("text" in c for c in written)
+
+
 # --- language
 
 
