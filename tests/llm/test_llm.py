@@ -705,5 +705,58 @@ def test_pipeline(spark, small, docs):
     assert 0.5 * docs.count() < at.count() <= docs.count()
 
 
+def test_pipeline_stage_by_stage(spark, small, tmp_path):
+    """Each stage against brute force on its own input, over the small tables with planted copies, passages and personal data."""
+    import sentencepiece
+
+    docs, bench, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark", "labels"))
+    given = docs.where("doc_id is not null and text is not null").orderBy("doc_id").limit(12).collect()
+    item = max((r["text"] or "" for r in bench.collect()), key=len)
+    texts = {}
+    for k, r in enumerate(given):
+        words = r["text"].split()
+        near = [*words[: len(words) // 2], "inserted", *words[len(words) // 2 :]]
+        texts[900_000 + 4 * k], texts[900_001 + 4 * k] = r["text"], " ".join(near)
+        texts[900_002 + 4 * k] = f"before {k} {item} after {k}"
+        texts[900_003 + 4 * k] = f"lines of {k} write to u{k}@host.org or 10.0.0.{k} or +49 30 1234{k:04d} about {' '.join(reversed(words[:40]))}"
+    for k in range(60):
+        words = given[k % 12]["text"].split()[k : k + 20]
+        texts[910_000 + k] = " ".join([*words, "you worthless idiot", *words[::-1], str(k)])
+    more = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    toxic = more.where("doc_id >= 910000").select("doc_id", F.lit(1).cast(labels.schema["toxic"].dataType).alias("toxic"))
+    labels = labels.unionByName(toxic, allowMissingColumns=True)
+    extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema if f.name not in ("doc_id", "text")]
+    docs.unionByName(more.select("*", *extra)).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    sf_dir, ins, outs = str(tmp_path), {}, {}
+    at = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        ins[name] = at
+        at = outs[name] = corpus_pipeline.saved(stage(spark, at, sf_dir), name)
+    pairs = {name: {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()} for name, d in ins.items()}
+    names = [name for name, _ in corpus_pipeline.STAGES]
+
+    model = toxicity.fit(ins["toxicity"], labels)
+    clean = {i: t for i, t in pairs["toxicity"].items() if 1 / (1 + np.exp(-(model.value(t) * model.slope + model.shift))) < 0.5}
+    assert pairs[names[1]] == clean and len(clean) < len(pairs["toxicity"])
+    groups = brute_components(clean.items())
+    single = {i: t for i, t in clean.items() if groups[i][0] == 0 or groups[i][1] == i}
+    assert pairs[names[2]] == single and len(single) < len(clean)
+    hit = {r[0] for r in brute_decontamination(single.items(), bench.select("item_id", "text").collect()) if r[-1]}
+    assert pairs[names[3]] == {i: t for i, t in single.items() if i not in hit} and hit
+    spans = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in pii.find(ins["pii"]).collect()}
+    for i, t in pairs["pii"].items():
+        assert set(brute_pii(t)[0]) <= set(spans[i])
+        out, end = "", 0
+        for a, k, b in spans[i]:
+            out, end = (out + (t or "")[end:a] + f"[{pii.KINDS[k].upper()}]" if a >= end else out), max(end, b)
+        assert pairs[names[4]][i] == (None if t is None else out + t[end:])
+    assert any("[EMAIL]" in (t or "") and "[IP]" in t for t in pairs[names[4]].values())
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    last = rows(at)
+    assert {i: list(r["ids"]) for i, r in last.items()} == {i: sp.encode(t or "") for i, t in pairs[names[4]].items()} and all(r["round_trip"] for r in last.values())
+
+
 def test_registry():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES] == list(range(1, 11))
