@@ -171,9 +171,17 @@ def version_diff(version: DataFrame, current: DataFrame, key: str = "doc_id") ->
     return version.join(current, key, "left_anti").select(key, F.lit("removed").alias("change")).unionByName(current.join(version, key, "left_anti").select(key, F.lit("added").alias("change")))
 
 
+def granted(users: DataFrame, kbs: DataFrame) -> DataFrame:
+    """(user_id, kb_id) of users with `keys` and knowledge bases that grant one of them: all to `*`, public ones to `public`, those of
+    a tenant to `tenant:` and its name, private ones to `role:` and each role they name; a join on the key."""
+    roles = F.transform(F.array_distinct(F.coalesce("allowed_roles", F.array().cast("array<string>"))), lambda r: F.concat(F.lit("role:"), r))
+    own = F.when(F.col("visibility") == "public", F.array(F.lit("public"))).when(F.col("visibility") == "tenant", F.array(F.concat(F.lit("tenant:"), "tenant_id"))).when(F.col("visibility") == "private", roles)
+    grants = kbs.select("kb_id", F.explode(F.concat(F.array(F.lit("*")), F.coalesce(own, F.array().cast("array<string>")))).alias("key"))
+    return users.select("user_id", F.explode("keys").alias("key")).join(small(grants), "key").select("user_id", "kb_id")
+
+
 def accessible(principals: DataFrame, kbs: DataFrame) -> DataFrame:
-    """(user_id, kb_id) pairs: administrators see all, others public ones, their tenant's, and private ones that name their role."""
-    u, k = principals.alias("u"), small(kbs).alias("k")
-    role = F.array_contains("k.allowed_roles", F.col("u.role"))
-    may = (F.col("u.role") == "admin") | (F.col("k.visibility") == "public") | ((F.col("k.visibility") == "tenant") & (F.col("u.tenant_id") == F.col("k.tenant_id"))) | ((F.col("k.visibility") == "private") & role)
-    return u.join(k, may).select("u.user_id", "k.kb_id")
+    """(user_id, kb_id) pairs: administrators see all, others public ones, their tenant's, and private ones that name their role. Nulls
+    give no right, but for public ones."""
+    keys = F.array(F.lit("public"), F.concat(F.lit("tenant:"), "tenant_id"), F.concat(F.lit("role:"), "role"))
+    return granted(principals.select("user_id", F.when(F.col("role") == "admin", F.array(F.lit("*"))).otherwise(keys).alias("keys")), kbs)

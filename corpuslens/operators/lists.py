@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.sources.sliced import small
+from corpuslens.operators.governance import granted
 
 
 def listed(rows: DataFrame, key: str, keyword: str = "", over: tuple[str, ...] = (), newest: str | None = None, **equal) -> DataFrame:
@@ -61,9 +61,9 @@ def feedback_rows(feedback: DataFrame, messages: DataFrame, conversations: DataF
 
 def writable(principals: DataFrame, kbs: DataFrame) -> DataFrame:
     """(user_id, kb_id): administrators write all, editors public ones and their tenant's, and a private one the roles it names. Nulls give no right."""
-    editor = (F.col("u.role") == "editor") & ((F.col("k.visibility") == "public") | ((F.col("k.visibility") == "tenant") & (F.col("u.tenant_id") == F.col("k.tenant_id"))))
-    may = (F.col("u.role") == "admin") | F.coalesce(editor, F.lit(False)) | ((F.col("k.visibility") == "private") & F.array_contains("k.allowed_roles", F.col("u.role")))
-    return principals.alias("u").join(small(kbs).alias("k"), F.coalesce(may, F.lit(False))).select("u.user_id", "k.kb_id")
+    role = F.concat(F.lit("role:"), "role")
+    keys = F.when(F.col("role") == "admin", F.array(F.lit("*"))).when(F.col("role") == "editor", F.array(F.lit("public"), F.concat(F.lit("tenant:"), "tenant_id"), role)).otherwise(F.array(role))
+    return granted(principals.select("user_id", keys.alias("keys")), kbs)
 
 
 def visible(kbs: DataFrame, tenant_id: str | None) -> DataFrame:

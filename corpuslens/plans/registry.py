@@ -591,4 +591,4 @@ def inherited_context(spark, sf_dir):
     return answers.in_context(turns, own)
 
 
-from corpuslens.plans import corpus, retrieval  # noqa: E402, F401  register their queries
+from corpuslens.plans import access, corpus, retrieval  # noqa: E402, F401  register their queries
