@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions import text as T
 from corpuslens.operators import governance, lists, quality, versions
 from corpuslens.plans import views as V
-from corpuslens.plans.registry import query
+from corpuslens.plans.registry import _CLEAN, _TRIM, query
 
 #: Customers play users and suppliers knowledge bases.
 _ACCESS = {
@@ -176,3 +177,36 @@ def top_open_gaps(spark, sf_dir):
     status = F.when(F.sum("turn") % 3 == 0, "accepted").otherwise("open")
     gaps = V.query_log_v(spark, sf_dir).groupBy(key.alias("query_key")).agg(F.count("*").alias("n"), F.max("created_at").alias("last_asked_at"), status.alias("status"))
     return lists.gaps_listed(gaps, 20, status="open")
+
+
+#: Texts behind a line with a clause, a standard's code and words of duty, which the given texts lack.
+_CODE = "(?i)((?:GB/T|GBT|GB|JGJ)\\s*\\d{1,5}(?:\\.\\d+)?\\s*[-—]\\s*\\d{4})"
+_ATTRIBUTES = {
+    "d0": """SELECT doc_id, coalesce(text, '') AS body, concat(CASE WHEN doc_id % 3 <> 0 THEN concat('第', doc_id % 12 + 1, '.', doc_id % 9, '.2条 ') ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN concat('gb/T ', 50000 + doc_id % 900, ' — 2014 ') ELSE '' END,
+        CASE WHEN doc_id % 5 = 0 THEN concat('JGJ ', doc_id % 90 + 1, '-2008 ') ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN '严禁 ' ELSE '' END, coalesce(text, '')) AS text, concat('clause ', doc_id % 12 + 1, '.', doc_id % 7, '.2') AS q FROM documents""",
+    "d1": f"SELECT *, {_CLEAN('text')} AS t, regexp_extract_all(text, '{_CODE}', 1) AS codes FROM d0",
+    "d2": "SELECT doc_id, t, string_agg(s, '' ORDER BY k) FILTER (ends <= 200) AS buf FROM (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k) AS ends FROM (SELECT doc_id, t, unnest(p) AS s, unnest(range(len(p))) AS k FROM (SELECT doc_id, t, regexp_extract_all(t, '[^。！？!?\\n]*[。！？!?\\n]|[^。！？!?\\n]+$') AS p FROM d1))) GROUP BY doc_id, t",
+}
+
+
+@query(V.sql(f"""SELECT doc_id, coalesce(regexp_replace(regexp_replace(translate(upper(codes[1]), '—', '-'), '\\s+', ' ', 'g'), '\\s*-\\s*', '-', 'g'), '') AS code, list_transform(codes, lambda x: regexp_replace(x, '\\s+', '', 'g')) AS codes,
+    regexp_extract(trim(substring(text, 1, 60)), '^第?(\\d{{1,2}}(?:\\.\\d{{1,3}}){{1,3}})', 1) AS clause, regexp_matches(substring(text, 1, 150), '必须|严禁|不得|禁止') AS mandatory,
+    CASE WHEN length(t) <= 200 THEN t ELSE concat({_TRIM("CASE WHEN coalesce(buf, '') <> '' THEN buf ELSE substring(t, 1, 200) END")}, '…') END AS summary,
+    sha256(CASE WHEN doc_id % 6 = 0 OR starts_with(text, '第2.') THEN text ELSE concat('【a > 第2.】', chr(10), text) END) AS sectioned,
+    CASE WHEN contains(text, concat(doc_id % 12 + 1, '.', doc_id % 7, '.2')) THEN 0.25::double ELSE 0.0::double END AS number_bonus,
+    CASE WHEN len(list_filter(range(1, length(q) - 2), lambda i: contains(lower(text), substring(q, i::int, 4)))) > 0 THEN 4 / 6.0::double WHEN len(list_filter(range(1, length(q) - 1), lambda i: contains(lower(text), substring(q, i::int, 3)))) > 0 THEN 0.5::double
+        WHEN len(list_filter(range(1, length(q)), lambda i: contains(lower(text), substring(q, i::int, 2)))) > 0 THEN 2 / 6.0::double ELSE 0.0::double END AS phrase, sha256(concat(q, '|{{"doc":', doc_id, '}}')) AS request
+    FROM d1 JOIN d2 USING (doc_id, t)""", **_ATTRIBUTES))
+def text_attributes(spark, sf_dir):
+    """Codes, clause, duty, summary, section and query bonuses of texts behind a line of a standard."""
+    i, no = F.col("doc_id"), F.lit("")
+    body = T.text_or_empty(F.col("text"))
+    head = [F.when(i % 3 != 0, F.concat(F.lit("第"), i % 12 + 1, F.lit("."), i % 9, F.lit(".2条 "))).otherwise(no), F.when(i % 2 == 0, F.concat(F.lit("gb/T "), 50000 + i % 900, F.lit(" — 2014 "))).otherwise(no)]
+    head += [F.when(i % 5 == 0, F.concat(F.lit("JGJ "), i % 90 + 1, F.lit("-2008 "))).otherwise(no), F.when(i % 4 == 0, "严禁 ").otherwise(no)]
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.concat(*head, body).alias("text"), F.concat(F.lit("clause "), i % 12 + 1, F.lit("."), i % 7, F.lit(".2")).alias("q"))
+    text, q = F.col("text"), F.col("q")
+    path = F.when(i % 6 != 0, "a > 第2.")
+    return d.select(
+        "doc_id", T.standard_code(text).alias("code"), T.standard_codes(text).alias("codes"), T.clause_no(text).alias("clause"), T.is_mandatory(text).alias("mandatory"), T.summary(text).alias("summary"),
+        F.sha2(T.with_section(path, text), 256).alias("sectioned"), T.number_hit(q, text).alias("number_bonus"), T.phrase_hit(q, text).alias("phrase"), T.request_key(q, F.struct(i.alias("doc"))).alias("request"),
+    )
