@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators import governance, lists, quality, versions
+from corpuslens.operators import evaluate, governance, lists, quality, versions
 from corpuslens.plans import views as V
 from corpuslens.plans.registry import _CLEAN, _TRIM, query
 
@@ -210,3 +210,34 @@ def text_attributes(spark, sf_dir):
         "doc_id", T.standard_code(text).alias("code"), T.standard_codes(text).alias("codes"), T.clause_no(text).alias("clause"), T.is_mandatory(text).alias("mandatory"), T.summary(text).alias("summary"),
         F.sha2(T.with_section(path, text), 256).alias("sectioned"), T.number_hit(q, text).alias("number_bonus"), T.phrase_hit(q, text).alias("phrase"), T.request_key(q, F.struct(i.alias("doc"))).alias("request"),
     )
+
+
+@query(V.sql("SELECT i.doc_id, issue_type, severity, coalesce(title, '') AS doc_title FROM (SELECT CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, issue_type, severity FROM issues) i LEFT JOIN document_v d ON d.doc_id = i.doc_id", "document_v", issues=_TASKS["issues"]))
+def titled_issues(spark, sf_dir):
+    """Issues with the title of their document, some of which are gone or not named."""
+    d, i = V.document_v(spark, sf_dir), F.col("doc_id")
+    old = F.col("governance_status") == "deprecated"
+    issues = d.where(old | (F.col("summary") == "")).select(
+        F.when(i % 6 == 0, None).when(i % 13 == 0, -i - 1).otherwise(i).alias("doc_id"), F.when(old, "expired").otherwise("no_summary").alias("issue_type"), F.when(old | (i % 2 == 0), "high").otherwise("low").alias("severity"),
+    )
+    return lists.with_titles(issues, d)
+
+
+_MEANS = "SELECT avg(score) AS score, avg(high_count) AS high, count(*)::double AS n FROM reports WHERE kb_id % 2 = "
+
+
+@query(V.sql("""SELECT *, CASE WHEN min(delta) OVER () < -0.02 THEN 'regressed' WHEN max(delta) OVER () > 0.02 THEN 'improved' ELSE 'ok' END AS status
+    FROM (SELECT metric, a.value AS current, b.value AS baseline, round(a.value - b.value, 4) AS delta FROM (UNPIVOT cur ON score, high, n INTO NAME metric VALUE value) a JOIN (UNPIVOT bas ON score, high, n INTO NAME metric VALUE value) b USING (metric))""",
+    **_REPORTS, cur=_MEANS + "0", bas=_MEANS + "1"))
+def baseline_comparison(spark, sf_dir):
+    """Means of the reports of some knowledge bases beside those of the others, as a run beside its baseline."""
+    r = _reports(spark, sf_dir)
+    means = lambda k: r.where(F.col("kb_id") % 2 == k).agg(F.avg("score").alias("score"), F.avg("high_count").alias("high"), F.count("*").cast("double").alias("n"))
+    return evaluate.baseline_status(means(0), means(1), ["score", "high", "n"])
+
+
+@query(V.sql("SELECT *, recall < 0.7 AS low FROM (SELECT intent, count(*) AS n, round(avg(least(1.0, hit_count * confidence)), 4) AS recall FROM query_log_v GROUP BY intent)", "query_log_v"))
+def recall_by_intent(spark, sf_dir):
+    """Mean worth of each intent's answers, and whether it is low."""
+    log = V.query_log_v(spark, sf_dir).withColumn("query_id", F.concat_ws("-", "conv_id", "turn"))
+    return quality.intent_recall(log.select("query_id", F.least(F.lit(1.0), F.col("hit_count") * F.col("confidence")).alias("recall_5")), log)
