@@ -197,3 +197,28 @@ def test_retrieval_of_odd_requests(spark, docs, built):
     docs4 = docs.select("doc_id", "text", F.lit("valid").alias("governance_status"), F.lit("t").alias("title"))
     page = retrieve.searched(built, v, r.select("query_id", "query"), docs4, 2).collect()
     assert {x["query_id"] for x in page} == {1, 4, 5} and all(x["rank"] <= 2 for x in page)
+
+
+def test_token_lists_equal_the_column(spark):
+    from corpuslens.functions import text as T
+
+    odd = ["a-B c--d -e f- The THE", "x1.2.3y 4. .5 6.7", "混凝土C30强度的 a　b c\x1cd\x85e", "Kelvin İx ß ١٢", "l" * 100 + "-" + "M" * 70, "", None, "的 一 q 7"]
+    for text, want in spark.createDataFrame([(t,) for t in odd], "t string").select("t", T.tokenize(F.col("t"))).collect():
+        assert T.token_list(text) == want
+        assert T.token_counts(text) == {w: want.count(w) for w in want}
+
+
+def test_search_hands_on_best_scores_only(spark):
+    """What leaves the scoring is bounded by tasks, queries and k, however many documents hold the terms."""
+    given = [("a" if i % 3 else "b", i, f"w00 w{i % 7:02d} w{i % 11 + 10:02d}", "x") for i in range(6000)]
+    d = spark.createDataFrame(given, "kb_id string, doc_id long, text string, domain string")
+    q = spark.createDataFrame([(1, "w00 w03"), (2, "w12 w05 w00")], "query_id long, query string")
+    t = term_index.build(d, shared_folder(spark, "terms"), attributes=("domain",), range_docs=50)
+    written, made = term_index.written, []
+    term_index.written = lambda df, name: (made.append((name, out := written(df, name))), out)[1]
+    try:
+        got = term_index.search(t, q, 5)
+    finally:
+        term_index.written = written
+    scored = dict(made)["scored"]
+    assert scored.count() <= 5 * 2 * 8 and rows(got) == plain(d, q, 5) and got.count() == 10
