@@ -222,3 +222,11 @@ def test_search_hands_on_best_scores_only(spark):
         term_index.written = written
     scored = dict(made)["scored"]
     assert scored.count() <= 5 * 2 * 8 and rows(got) == plain(d, q, 5) and got.count() == 10
+
+
+def test_queries_sent_equal_queries_as_rows(stored, vectors, monkeypatch):
+    q = good(vectors).where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = vector_index.search(stored, q, 5, others=True, least=0.1)
+    sent = rows(got)
+    monkeypatch.setattr(vector_index, "SENT_QUERIES", 3)
+    assert sent == rows(vector_index.search(stored, q, 5, others=True, least=0.1)) and sent
