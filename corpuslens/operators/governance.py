@@ -171,17 +171,33 @@ def version_diff(version: DataFrame, current: DataFrame, key: str = "doc_id") ->
     return version.join(current, key, "left_anti").select(key, F.lit("removed").alias("change")).unionByName(current.join(version, key, "left_anti").select(key, F.lit("added").alias("change")))
 
 
-def granted(users: DataFrame, kbs: DataFrame) -> DataFrame:
-    """(user_id, kb_id) of users with `keys` and knowledge bases that grant one of them: all to `*`, public ones to `public`, those of
-    a tenant to `tenant:` and its name, private ones to `role:` and each role they name; a join on the key."""
+def grants(kbs: DataFrame) -> DataFrame:
+    """(kb_id, key): all knowledge bases grant `*`, public ones `public`, those of a tenant `tenant:` and its name, private ones `role:`
+    and each role they name."""
     roles = F.transform(F.array_distinct(F.coalesce("allowed_roles", F.array().cast("array<string>"))), lambda r: F.concat(F.lit("role:"), r))
     own = F.when(F.col("visibility") == "public", F.array(F.lit("public"))).when(F.col("visibility") == "tenant", F.array(F.concat(F.lit("tenant:"), "tenant_id"))).when(F.col("visibility") == "private", roles)
-    grants = kbs.select("kb_id", F.explode(F.concat(F.array(F.lit("*")), F.coalesce(own, F.array().cast("array<string>")))).alias("key"))
-    return users.select("user_id", F.explode("keys").alias("key")).join(small(grants), "key").select("user_id", "kb_id")
+    return kbs.select("kb_id", F.explode(F.concat(F.array(F.lit("*")), F.coalesce(own, F.array().cast("array<string>")))).alias("key"))
 
 
-def accessible(principals: DataFrame, kbs: DataFrame) -> DataFrame:
-    """(user_id, kb_id) pairs: administrators see all, others public ones, their tenant's, and private ones that name their role. Nulls
-    give no right, but for public ones."""
+def granted(users: DataFrame, kbs: DataFrame) -> DataFrame:
+    """(user_id, kb_id) of users with `keys` and knowledge bases that grant one of them; a join on the key."""
+    return users.select("user_id", F.explode("keys").alias("key")).join(small(grants(kbs)), "key").select("user_id", "kb_id")
+
+
+def granted_totals(users: DataFrame, kbs: DataFrame) -> DataFrame:
+    """(user_id, n, first, last): how many rows `granted` has for a user, and the smallest and largest knowledge base, from the totals of
+    each key, without the pairs."""
+    per = grants(kbs).groupBy("key").agg(F.count("*").alias("n"), F.min("kb_id").alias("first"), F.max("kb_id").alias("last"))
+    return users.select("user_id", F.explode("keys").alias("key")).join(small(per), "key").groupBy("user_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def readers(principals: DataFrame) -> DataFrame:
+    """(user_id, keys) to read with: administrators see all, others public ones, their tenant's, and private ones that name their role. No
+    two keys of a user are granted by the same knowledge base. Nulls give no right, but for public ones."""
     keys = F.array(F.lit("public"), F.concat(F.lit("tenant:"), "tenant_id"), F.concat(F.lit("role:"), "role"))
-    return granted(principals.select("user_id", F.when(F.col("role") == "admin", F.array(F.lit("*"))).otherwise(keys).alias("keys")), kbs)
+    return principals.select("user_id", F.when(F.col("role") == "admin", F.array(F.lit("*"))).otherwise(keys).alias("keys"))
+
+
+def accessible(principals: DataFrame, kbs: DataFrame) -> DataFrame:
+    """(user_id, kb_id) pairs of what `readers` may read."""
+    return granted(readers(principals), kbs)

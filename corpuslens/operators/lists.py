@@ -59,11 +59,17 @@ def feedback_rows(feedback: DataFrame, messages: DataFrame, conversations: DataF
     return feedback.join(known, "message_id"), feedback.join(known.select("message_id"), "message_id", "left_anti")
 
 
-def writable(principals: DataFrame, kbs: DataFrame) -> DataFrame:
-    """(user_id, kb_id): administrators write all, editors public ones and their tenant's, and a private one the roles it names. Nulls give no right."""
+def writers(principals: DataFrame) -> DataFrame:
+    """(user_id, keys) to write with: administrators write all, editors public ones and their tenant's, and a private one the roles it
+    names. Nulls give no right."""
     role = F.concat(F.lit("role:"), "role")
     keys = F.when(F.col("role") == "admin", F.array(F.lit("*"))).when(F.col("role") == "editor", F.array(F.lit("public"), F.concat(F.lit("tenant:"), "tenant_id"), role)).otherwise(F.array(role))
-    return granted(principals.select("user_id", keys.alias("keys")), kbs)
+    return principals.select("user_id", keys.alias("keys"))
+
+
+def writable(principals: DataFrame, kbs: DataFrame) -> DataFrame:
+    """(user_id, kb_id) pairs of what `writers` may write."""
+    return granted(writers(principals), kbs)
 
 
 def visible(kbs: DataFrame, tenant_id: str | None) -> DataFrame:

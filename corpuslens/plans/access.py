@@ -40,14 +40,14 @@ _TENANT = "(k.visibility = 'tenant' AND u.tenant_id = k.tenant_id)"
     ON coalesce(u.role = 'admin', false) OR coalesce(k.visibility = 'public' OR {_TENANT} OR {_ROLE}, false) GROUP BY user_id""", **_ACCESS))
 def readable_kbs(spark, sf_dir):
     """How many knowledge bases each user may read."""
-    return governance.accessible(_users(spark, sf_dir), _kbs(spark, sf_dir)).groupBy("user_id").agg(F.count("*").alias("n"), F.min("kb_id").alias("first"), F.max("kb_id").alias("last"))
+    return governance.granted_totals(governance.readers(_users(spark, sf_dir)), _kbs(spark, sf_dir))
 
 
 @query(V.sql(f"""SELECT user_id, count(*) AS n, min(kb_id) AS first, max(kb_id) AS last FROM users u JOIN kbs k
     ON coalesce(u.role = 'admin', false) OR coalesce(u.role = 'editor' AND (k.visibility = 'public' OR {_TENANT}), false) OR coalesce({_ROLE}, false) GROUP BY user_id""", **_ACCESS))
 def writable_kbs(spark, sf_dir):
     """How many knowledge bases each user may write."""
-    return lists.writable(_users(spark, sf_dir), _kbs(spark, sf_dir)).groupBy("user_id").agg(F.count("*").alias("n"), F.min("kb_id").alias("first"), F.max("kb_id").alias("last"))
+    return governance.granted_totals(lists.writers(_users(spark, sf_dir)), _kbs(spark, sf_dir))
 
 
 @query(V.sql("SELECT * FROM kbs WHERE visibility = 'public' OR tenant_id = 't1'", **_ACCESS))

@@ -131,3 +131,16 @@ def test_dense_search(spark):
     for block, rows in ((4096, 2048), (5, 7)):
         assert got(search.dense_search(v.repartition(3), queries, 3, block=block, rows=rows), "query_id", "vec_id", "rank") == sorted(want, key=str)
     assert search.dense_search(v, queries.where("false")).count() == 0
+
+
+def test_granted_totals_equal_the_pairs_and_make_none(spark):
+    from corpuslens.operators import governance, lists
+
+    users = spark.createDataFrame([(1, "admin", "t1"), (2, "editor", "t1"), (3, "viewer", None), (4, None, "t2"), (5, None, None), (6, "editor", "t2")], "user_id long, role string, tenant_id string")
+    kbs = spark.createDataFrame([(i, ["public", "tenant", "private", None][i % 4], ["t1", "t2", None][i % 3], [["viewer", "viewer"], ["editor", "viewer"], None, [None, "editor"]][i % 4 - i % 2]) for i in range(48)], "kb_id long, visibility string, tenant_id string, allowed_roles array<string>")
+    for keyed, pairs in ((governance.readers(users), governance.accessible(users, kbs)), (lists.writers(users), lists.writable(users, kbs))):
+        got = {tuple(r) for r in governance.granted_totals(keyed, kbs).collect()}
+        want: dict = {}
+        for u, k in pairs.collect():
+            want.setdefault(u, []).append(k)
+        assert got == {(u, len(k), min(k), max(k)) for u, k in want.items()}
