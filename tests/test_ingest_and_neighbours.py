@@ -84,3 +84,19 @@ def test_periodic_inspection(spark, tmp_path):
     reports = spark.read.parquet(f"{tmp_path}/out/reports")
     assert got(reports, "batch", "kb_id", "score", "issue_count") == [(0, "k", 46.7, 4), (1, "k", 100.0, 0)]
     assert got(spark.read.parquet(f"{tmp_path}/out/alerts"), "batch", "alert_type") == [(0, "low_score")]
+
+
+def test_vectors_by_digests_of_whole_batches():
+    """Places and signs of features of any length, in one pass, are those of MD5."""
+    from hashlib import md5
+
+    import numpy as np
+
+    from corpuslens.functions import vectors
+
+    words = ["a", "混凝土", "x" * 55, "y" * 56, "z" * 200, "", "w" * 54] + [f"w{i}" for i in range(20_000)]
+    raw = "".join(words).encode()
+    sizes = np.array([len(w.encode()) for w in words])
+    head, bit = vectors.md5_heads(raw, np.cumsum(sizes) - sizes, sizes)
+    want = [md5(w.encode()).digest() for w in words]
+    assert head.tolist() == [int.from_bytes(h[:4]) for h in want] and bit.tolist() == [h[4] % 2 for h in want]
