@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,8 +14,11 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as T
 from corpuslens.functions.vectors import hash_vectors
 from corpuslens.operators.search import postings
+from corpuslens.sources.sliced import written
 
 SENTENCE_ENDS = "。；！？!?;"
+#: White space of the patterns, rows of a batch of texts that Python gets, and texts whose words are counted at a time.
+WHITE, BATCH_ROWS, COUNTED_DOCS = " \t\n\x0b\f\r", 1000, 256
 
 
 def new_documents(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -27,9 +32,10 @@ def blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, text, block_type, heading_level, heading_title, clause_no) of paragraphs between blank lines."""
     paras = docs.select("doc_id", F.posexplode(F.split(T.clean_text(F.col("text")), r"\n\s*\n")).alias("pos", "raw"))
     paras = paras.select("doc_id", "pos", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
-    first = F.element_at(F.split("text", "\n"), 1)
-    mark, title = F.regexp_extract(first, r"^(#{1,6})\s+(.*)$", 1), F.regexp_extract(first, r"^(#{1,6})\s+(.*)$", 2)
-    num, num_title = (F.regexp_extract(first, r"^\s*(\d{1,2}(?:\.\d{1,3}){0,3})\s+(\S[^\n]{0,60})$", i) for i in (1, 2))
+    heads, numbers = r"^(#{1,6})\s+(.*)$", r"^\s*(\d{1,2}(?:\.\d{1,3}){0,3})\s+(\S[^\n]{0,60})$"
+    paras = paras.withColumn("first", F.substring_index("text", "\n", 1))
+    paras = paras.withColumns({name: F.regexp_extract("first", of, i) for name, of, i in (("mark", heads, 1), ("title", heads, 2), ("num", numbers, 1), ("num_title", numbers, 2))})
+    mark, title, num, num_title = map(F.col, ("mark", "title", "num", "num_title"))
     md, numbered = (mark != "") & (F.length("text") < 200), (num != "") & (F.length("text") < 90)
     return paras.select(
         "doc_id", "pos", "text", F.when(md | numbered, "heading").otherwise("paragraph").alias("block_type"),
@@ -70,8 +76,9 @@ def _flush_groups(sizes: Column, size: int) -> Column:
     return groups(sizes)
 
 
-def pack_sentences(text: Column, size: int, overlap: int, ends: str = SENTENCE_ENDS) -> Column:
-    """Sentences packed to `size` characters; each pack but the first begins with the end of the one before.
+def pack_sentences(text: Column, size: int, overlap: int, ends: str = SENTENCE_ENDS, trim: bool = False) -> Column:
+    """Sentences packed to `size` characters; each pack but the first begins with the end of the one before. `trim` takes white
+    space from the ends of the packs that are given.
 
     Borders follow from the sentences' lengths alone: a pack is a stretch of the sentences put together, since what it repeats
     stands right before it. So a text of any length is cut in one pass, each character taken at most twice by a pack's border.
@@ -95,7 +102,7 @@ def pack_sentences(text: Column, size: int, overlap: int, ends: str = SENTENCE_E
             if whole[start:].strip(" "):
                 mine.append(whole[start:])
             out.append(mine)
-        return pd.Series(out)
+        return pd.Series([[p.strip(WHITE) for p in mine] if trim and mine is not None else mine for mine in out])
 
     return packs(text)
 
@@ -124,6 +131,7 @@ def chunks(docs: DataFrame, size: int = 600, overlap: int = 100, least: int = 40
 def chunks_of(b: DataFrame, size: int = 600, overlap: int = 100, least: int = 40, ends: str = SENTENCE_ENDS) -> DataFrame:
     """Chunks of blocks, as `blocks` or `page_blocks` gives them or with tables (block_type `table`): a table is one chunk,
     whatever its size. The page is that of a chunk's first block with one."""
+    b.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))  # of whole texts, so that a worker's memory is bounded
     if "page_no" not in b.columns:
         b = b.withColumn("page_no", F.lit(None).cast("int"))
     at = W.partitionBy("doc_id").orderBy("pos")
@@ -138,11 +146,14 @@ def chunks_of(b: DataFrame, size: int = 600, overlap: int = 100, least: int = 40
     text = T.clean_text(F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))
     clause = F.coalesce(F.get(F.filter(F.transform("parts", lambda p: F.when(p["clause_no"] != "", p["clause_no"]).otherwise(T.clause_no(p["text"]))), lambda c: c != ""), F.lit(0)), F.lit(""))
     page = F.get(F.filter(F.transform("parts", lambda p: p["page_no"]), lambda n: n.isNotNull()), F.lit(0))
-    packs = F.when(F.col("is_table"), F.array(text)).otherwise(pack_sentences(text, size, overlap, ends))
-    merged = merged.select("doc_id", "sec", "g", "is_table", "section_path", clause.alias("clause"), page.alias("page_no"), text.alias("whole"), F.posexplode(packs).alias("k", "t"))
-    t = F.regexp_replace("t", r"^\s+|\s+$", "")
-    own = F.when(~F.col("is_table") & (F.length("whole") > size) & (T.clause_no(t) != ""), T.clause_no(t)).otherwise(F.col("clause"))
-    out = merged.select("doc_id", "sec", "g", "k", "section_path", own.alias("clause_no"), "page_no", T.is_mandatory(t).alias("is_mandatory"), T.with_section(F.col("section_path"), t).alias("content"))
+    # What is beside a generator is computed for each of its rows, so a group's text is cleaned and cut before its packs are told apart.
+    merged = merged.select("doc_id", "sec", "g", "is_table", "section_path", clause.alias("clause"), page.alias("page_no"), text.alias("whole"))
+    packs = F.when(F.col("is_table"), F.array("whole")).otherwise(pack_sentences(F.col("whole"), size, overlap, ends, trim=True))
+    merged = merged.select("doc_id", "sec", "g", "section_path", "clause", "page_no", (~F.col("is_table") & (F.length("whole") > size)).alias("cut"), packs.alias("packs"))
+    each = merged.select("doc_id", "sec", "g", "section_path", "clause", "page_no", "cut", F.posexplode("packs").alias("k", "t"))
+    t = F.col("t")
+    own = F.when(F.col("cut") & (T.clause_no(t) != ""), T.clause_no(t)).otherwise(F.col("clause"))
+    out = each.select("doc_id", "sec", "g", "k", "section_path", own.alias("clause_no"), "page_no", T.is_mandatory(t).alias("is_mandatory"), T.with_section(F.col("section_path"), t).alias("content"))
     out = out.withColumn("char_count", F.length("content")).where((F.col("char_count") > 0) & ((F.col("char_count") >= least) | (F.col("clause_no") != "")))
     seq = F.row_number().over(W.partitionBy("doc_id").orderBy("sec", "g", "k")) - 1
     return out.withColumn("seq", seq).select("doc_id", "seq", "content", "section_path", "clause_no", "page_no", "is_mandatory", "char_count")

@@ -100,3 +100,14 @@ def test_vectors_by_digests_of_whole_batches():
     head, bit = vectors.md5_heads(raw, np.cumsum(sizes) - sizes, sizes)
     want = [md5(w.encode()).digest() for w in words]
     assert head.tolist() == [int.from_bytes(h[:4]) for h in want] and bit.tolist() == [h[4] % 2 for h in want]
+
+
+def test_a_long_text_is_cleaned_once_and_not_for_each_chunk(spark):
+    """What is computed beside a generator is computed for each of its rows: the text must be a column before."""
+    from corpuslens.operators import ingest
+
+    docs = spark.createDataFrame([(1, "One sentence of some words. " * 200)], "doc_id long, text string")
+    plan = ingest.chunks(docs, ends=".")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate posexplode(packs")]
+    assert "array_join" not in above and "whole" not in above
+    assert ingest.chunks(docs, ends=".").count() > 10
