@@ -205,7 +205,35 @@ def reindexed(vectors: DataFrame, posts: DataFrame, c: DataFrame, doc_ids: DataF
 
 
 def keywords(docs: DataFrame, k: int = 12, terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id, keywords): domain terms first, then by count, length and first place."""
+    """(doc_id, keywords): domain terms first, then by count, length and first place. Without terms, a document is counted where it
+    is and only its keywords leave the task; rows that share an id are counted together, by shuffle, as are all where there are terms."""
+    if terms is not None:
+        return _shuffled_keywords(docs, k, terms)
+    given = docs.select("doc_id", "text")
+    twice = written(given.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "repeated-ids")
+    if twice.isEmpty():
+        return _own_keywords(given, k)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return _own_keywords(given.join(twice, same, "left_anti"), k).unionByName(_shuffled_keywords(given.join(twice, same, "left_semi"), k))
+
+
+def _own_keywords(docs: DataFrame, k: int) -> DataFrame:
+    """Keywords of documents with ids of their own."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (w.slice(lo, COUNTED_DOCS) for w in batches for lo in range(0, w.num_rows, COUNTED_DOCS)):
+            best = []
+            for text in b.column("text").to_pylist():
+                n = T.token_counts(text)  # in the order of first places, which sorting keeps
+                best.append(sorted((w for w in n if len(w) >= 2), key=lambda w, n=n: (-n[w], -len(w)))[:k] or None)
+            found = pa.array(best, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), found], names=["doc_id", "keywords"]).filter(found.is_valid())
+
+    return docs.mapInArrow(run, f"doc_id {kind}, keywords array<string>")
+
+
+def _shuffled_keywords(docs: DataFrame, k: int, terms: DataFrame | None = None) -> DataFrame:
     t = docs.select("doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "token")).where(F.length("token") >= 2)
     t = t.groupBy("doc_id", "token").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     t = t.withColumn("known", F.lit(False)) if terms is None else t.join(terms.select(F.lower("term").alias("token"), F.lit(True).alias("known")).distinct(), "token", "left").fillna(False, ["known"])

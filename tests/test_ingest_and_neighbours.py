@@ -111,3 +111,14 @@ def test_a_long_text_is_cleaned_once_and_not_for_each_chunk(spark):
     above = plan[: plan.index("Generate posexplode(packs")]
     assert "array_join" not in above and "whole" not in above
     assert ingest.chunks(docs, ends=".").count() > 10
+
+
+def test_keywords_leave_the_task_only_and_rows_of_one_id_count_together(spark):
+    from corpuslens.operators import ingest
+
+    rows = [(1, "beta alpha alpha the gamma"), (2, "x 1"), (3, None), (4, "one two"), (4, "two three"), (None, "nil nil own"), (None, "own own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["keywords"] for r in ingest.keywords(docs, 2).collect()}
+    assert got == {1: ["alpha", "gamma"], 4: ["two", "three"], None: ["own", "nil"]}
+    plan = ingest.keywords(docs.where("doc_id < 4"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
