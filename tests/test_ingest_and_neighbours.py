@@ -122,3 +122,13 @@ def test_keywords_leave_the_task_only_and_rows_of_one_id_count_together(spark):
     assert got == {1: ["alpha", "gamma"], 4: ["two", "three"], None: ["own", "nil"]}
     plan = ingest.keywords(docs.where("doc_id < 4"), 2)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_a_summary_takes_whole_sentences(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslens.functions import text as T
+
+    texts = ["short", "Ab! " * 10, "x" * 30, None, "Hi! " + "y" * 30, "12345! 7890! 2"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.summary(F.col("t"), 12)).collect()]
+    assert got == ["short", "Ab! Ab! Ab!…", "x" * 12 + "…", "", "Hi!…", "12345! 7890!…"]
