@@ -18,22 +18,24 @@ def penalty(severity: str = "severity"):
     return F.sum(F.when(F.col(severity) == "high", 6.0).when(F.col(severity) == "medium", 3.0).otherwise(1.0))
 
 
-def static_issues(chunks: DataFrame, largest: int = 1200, least: int = 40) -> DataFrame:
-    """(doc_id, seq, issue_type, severity) for oversized and tiny chunks and chunks without any location."""
+def static_issues(chunks: DataFrame, largest: int = 1200, least: int = 40, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, seq, columns to keep, issue_type, severity) for oversized and tiny chunks and chunks without any location."""
     kinds = F.filter(F.array(
         F.when(F.col("char_count") > largest, F.struct(F.lit("oversized_chunk").alias("issue_type"), F.lit("medium").alias("severity"))),
         F.when(F.col("char_count") < least, F.struct(F.lit("tiny_chunk").alias("issue_type"), F.lit("low").alias("severity"))),
         F.when(T.blank(F.col("section_path")) & T.blank(F.col("clause_no")), F.struct(F.lit("missing_location").alias("issue_type"), F.lit("low").alias("severity"))),
     ), lambda x: x.isNotNull())
-    return chunks.select("doc_id", "seq", F.explode(kinds).alias("i")).select("doc_id", "seq", "i.*")
+    return chunks.select("doc_id", "seq", *keep, F.explode(kinds).alias("i")).select("doc_id", "seq", *keep, "i.*")
 
 
-def vector_issues(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Chunks whose vector is missing or has length 0."""
-    issue = lambda df, kind, severity: df.select(key, F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"))
-    missing = chunks.join(vectors.where(F.col("vector").isNotNull()).select(key), key, "left_anti")
-    zero = chunks.select(key).join(vectors.where(norm(F.col("vector")) == 0).select(key), key, "left_semi")
-    return issue(missing, "missing_vector", "medium").unionByName(issue(zero, "zero_vector", "high"))
+def vector_issues(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, issue_type, severity) of chunks whose vector is missing or has length 0. What is wanted of a chunk beside its
+    key is kept, not joined to the issues: a join with a union of joins on the same key can fail once Spark has coalesced its parts."""
+    zero = F.bool_or(F.coalesce(norm(F.col("vector")) == 0, F.lit(False)))
+    held = vectors.where(F.col("vector").isNotNull()).groupBy(key).agg(zero.alias("_zero"))
+    issue = lambda kind, severity: F.struct(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"))
+    found = F.when(F.col("_zero").isNull(), issue("missing_vector", "medium")).when(F.col("_zero"), issue("zero_vector", "high"))
+    return chunks.select(key, *keep).join(held, key, "left").select(key, *keep, found.alias("i")).where("i IS NOT NULL").select(key, *keep, "i.*")
 
 
 def score(issues: DataFrame, n_chunks: int) -> DataFrame:

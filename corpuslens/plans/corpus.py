@@ -46,9 +46,9 @@ _CHUNK_ISSUES = {
 
 def _issues(spark, sf_dir) -> DataFrame:
     c = _chunks(spark, sf_dir)
-    bad = quality.vector_issues(c.select("doc_id"), _vectors(spark, sf_dir), "doc_id").join(c.select("doc_id", "kb_id"), "doc_id").select("kb_id", "issue_type", "severity")
+    bad = quality.vector_issues(c, _vectors(spark, sf_dir), "doc_id", ("kb_id",)).select("kb_id", "issue_type", "severity")
     sized = c.select("doc_id", "kb_id", F.lit(0).alias("seq"), F.length("text").alias("char_count"), F.lit("s").alias("section_path"), F.lit("").alias("clause_no"))
-    static = quality.static_issues(sized, 6000, 400).join(c.select("doc_id", "kb_id"), "doc_id").select("kb_id", "issue_type", "severity")
+    static = quality.static_issues(sized, 6000, 400, ("kb_id",)).select("kb_id", "issue_type", "severity")
     return bad.unionByName(static)
 
 

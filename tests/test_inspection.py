@@ -238,3 +238,27 @@ def test_rerank_with_decay_counts_the_word_at_the_head(spark):
     c = spark.createDataFrame([(1, "q q", 10, "应 do", 1, 0.5, 0.0, False, "valid"), (1, "q q", 11, "x" * 90 + "应", 2, 0.5, 0.0, False, "valid"), (1, "q q", 12, "应 必须", 3, 0.5, 0.0, False, "valid")], "query_id int, query string, doc_id int, content string, rank int, fusion_score double, cosine double, is_mandatory boolean, governance_status string")
     r = {x["doc_id"]: x["rerank_score"] for x in search.rerank(c, decay=True).collect()}
     assert r == {10: 0.1, 11: 0.0, 12: round(0.1 / 1.1, 6)}
+
+
+def test_reports_and_gates_with_coalesced_parts(spark, medium):
+    """Parts that Spark coalesces apart, as it does with larger tables, made a join with a union of joins fail."""
+    from corpuslens.plans.registry import QUERIES
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert [len(QUERIES[n](spark, medium).collect()) for n in ("inspection_reports", "release_gates")] == [21, 21]
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_issues_keep_columns_of_their_chunks(spark):
+    chunks = spark.createDataFrame([("c1", "k"), ("c2", "l"), ("c3", "l"), (None, "m")], "chunk_id string, kb_id string")
+    vectors = spark.createDataFrame([("c1", [0.0]), ("c2", [1.0, None]), ("c2", [2.0, 0.0])], "chunk_id string, vector array<double>")
+    issues = quality.vector_issues(chunks, vectors, keep=("kb_id",))
+    assert got(issues, "chunk_id", "kb_id", "issue_type") == [("c1", "k", "zero_vector"), ("c3", "l", "missing_vector"), (None, "m", "missing_vector")]
