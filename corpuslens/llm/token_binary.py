@@ -17,7 +17,7 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,8 +28,10 @@ from pyspark.sql import Window as W
 from corpuslens.llm.common import hash_unit, held, only, saved, small_batches, table
 
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Whitespace after another character always begins a new pre-token, so texts may be cut there.
-_CUT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~"
+#: Whitespace after another character always begins a new pre-token, as do signs after letters, so texts may be cut there: a word is
+#: then known with any sign behind it.
+_CUT = re.compile(f"[{_WS}]*+[{_LETTERS}]++(?=[{_SIGNS}])|[{_WS}]*+[^{_WS}]++|[{_WS}]++")
 #: Documents and bytes of each that the dictionary is trained on, and its size: bounds of the model fit.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 4096, 64 << 10
 DOCS_A_PART, BLOB_BYTES = 4096, 4 << 20
@@ -84,16 +86,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_CUT.findall(t) for t in texts]
-        fresh = set(chain.from_iterable(split)).difference(self.known)
+        every = list(chain.from_iterable(split))
+        got = list(map(self.known.get, every))
+        lost = [i for i, x in enumerate(got) if x is None]
+        fresh = list(dict.fromkeys(map(every.__getitem__, lost)))
         if len(self.known) + len(fresh) > MEMO:  # short pieces, the frequent ones, stay while they are few
             short = {k: v for k, v in self.known.items() if len(k) <= 8}
             self.known = short if len(short) < MEMO // 2 else {}
-            fresh = set(chain.from_iterable(split)).difference(self.known)
-        self._learn(list(fresh))
-        return [
-            self._encode([t])[0] if any(s in t for s in self.special) else b"".join(map(self.known.__getitem__, s_))
-            for t, s_ in zip(texts, split, strict=True)
-        ]
+        self._learn(fresh)
+        for i in lost:
+            got[i] = self.known[every[i]]
+        ends = accumulate(map(len, split), initial=0)
+        return [self._encode([t])[0] if any(s in t for s in self.special) else b"".join(got[a:b]) for t, (a, b) in zip(texts, pairwise(ends), strict=True)]
 
 
 def encoder(path: str) -> Encoder:

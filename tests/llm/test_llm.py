@@ -431,6 +431,20 @@ def test_unigram_viterbi_by_enumeration():
         assert abs(sum(list(Toy.score.values())[i] for i in np.frombuffer(got[w], np.int32)) - best) < 1e-9
 
 
+def test_encoder_knows_a_word_with_any_sign_behind_it():
+    import public_tokenizers
+
+    e = token_binary.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = ["<|endoftext|>", "'s", "'ll", "ab", "é", "ß", "²", "½", " ", "\n", ".", "###", "_", "'", "’", "×", "ɏ", "ɐ", "\u0308", "中", "1", "😀", "\u0345", "Zd"]
+    r = random.Random(7)
+    texts = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(3000)]
+    want = [x.ids for x in e.tk.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, dtype=np.uint32).tolist() for x in e.encode(texts)] == want
+    e.known = {}
+    e.encode([" wordy", " wordy. wordy, wordy; wordy### wordyé% wordy"])
+    assert set(e.known) == {" wordy", " wordyé", ".", ",", ";", "###", "%"}
+
+
 def test_token_binary(spark, small, docs, odd, empty):
     from tokenizers import Tokenizer
 
