@@ -230,3 +230,42 @@ def test_queries_sent_equal_queries_as_rows(stored, vectors, monkeypatch):
     sent = rows(got)
     monkeypatch.setattr(vector_index, "SENT_QUERIES", 3)
     assert sent == rows(vector_index.search(stored, q, 5, others=True, least=0.1)) and sent
+
+
+def test_texts_of_candidates_are_picked_where_they_are_read(spark):
+    """No text but those of candidates is shuffled: 2,000 long texts, of which 2 are wanted."""
+    from corpuslens.operators import retrieve
+    from corpuslens.sources.sliced import fetched
+
+    docs = spark.range(2000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 50) AS text", "'valid' AS governance_status")
+    rows = spark.createDataFrame([("a", 7), ("b", 9), ("b", 7), ("b", 5000)], "query_id string, doc_id long")
+    assert sorted(r["doc_id"] for r in fetched(docs, rows, "doc_id", "texts").collect()) == [7, 9]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = retrieve.with_texts(rows, spark.createDataFrame([("a", "word7"), ("b", "word9")], "query_id string, query string"), docs)
+        plan = texts._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["query_id"], r["doc_id"]): (r["content"][:5], round(r["cosine"], 6)) for r in texts.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Range" not in plan  # the documents themselves are not joined
+    assert set(got) == {("a", 7), ("b", 9), ("b", 7), ("b", 5000)} and got["b", 5000] == ("", 0.0) and got["a", 7][1] > 0.5
+
+
+def test_sketches_are_shuffled_once(spark, monkeypatch):
+    from corpuslens.operators import neighbours
+
+    plans, allowed = [], neighbours._allowed
+    monkeypatch.setattr(neighbours, "_allowed", lambda placed, most: plans.append(placed._jdf.queryExecution().optimizedPlan().toString()) or allowed(placed, most))
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 5)]) for i in range(60)], "vec_id long, embedding array<float>")
+    assert neighbours.nearest_similar(v).count() == 60
+    assert plans[0].count("Aggregate") <= 1 and "Join LeftOuter" in plans[0]  # large buckets alone are looked up
+
+
+def test_tokens_of_odd_texts_are_those_of_the_column(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslens.functions import text as T
+
+    odd = [None, "", " ", "The a-B c- GB50010-2010 1.2.3. ٣ İstanbul \u212a x\u00a0y 钢筋ABC的 的 A b\x00c ΑΣ"]
+    made = [r["t"] for r in spark.createDataFrame([(x,) for x in odd], "x string").select(T.tokenize(F.col("x")).alias("t")).collect()]
+    assert [T.token_list(x) for x in odd] == made
