@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.vectors import cosine
 from corpuslens.operators import vector_index
 from corpuslens.operators.search import _unit, dense_search
-from corpuslens.sources.sliced import shared_folder, written
+from corpuslens.sources.sliced import shared_folder, small, written
 
 #: Rows that are compared in one place at most, twice; rows in a bucket as a rule; partners of a row in one place that are looked at one by one.
 BLOCK, BUCKET, CROWD = 2048, 64, 64
@@ -122,8 +122,9 @@ def nearest_similar(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     equal = copies.select("id", F.col("first").alias("neighbour")).unionByName(second.select(F.col("first").alias("id"), F.col("id").alias("neighbour"))).withColumn("cosine", F.lit(1.0))
     one = same.join(first.select(F.col("first").alias("id")), "id", "left_semi")
     named = one.select("id", "sketch", F.explode("keys").alias("key"))
-    groups = named.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumn("groups", F.ceil(F.col("m") / BLOCK))
-    dealt = named.join(groups, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    # Only the buckets that are dealt in groups are looked up; there are no more of them than rows times chunks by BLOCK. All others stay one group.
+    groups = written(one.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).withColumn("groups", F.ceil(F.col("m") / BLOCK)), "large-buckets")
+    dealt = named.join(small(groups), "key", "left").withColumn("groups", F.coalesce("groups", F.lit(1).cast("long"))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     placed = dealt.select("id", "sketch", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("at")).repartition("at").sortWithinPartitions("at", "id")
     pairs = written(_allowed(placed, most).distinct(), "pairs")
     crowded = pairs.where("b IS NULL").select(F.col("a").alias("id")).distinct()
