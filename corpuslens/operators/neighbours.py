@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -13,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.vectors import cosine
-from corpuslens.operators import vector_index
 from corpuslens.operators.search import _unit, dense_search
-from corpuslens.sources.sliced import shared_folder, small, written
+from corpuslens.sources.sliced import small, written
 
-#: Rows that are compared in one place at most, twice; rows in a bucket as a rule; partners of a row in one place that are looked at one by one.
+#: Rows that are compared in one place at most, twice; rows in a bucket as a rule; partners of a row that are looked at one by one.
 BLOCK, BUCKET, CROWD = 2048, 64, 64
+#: Chunks of the sketches that are dealt at a time, and blocks of a crowd that a task holds, twice.
+ROUND, PART_BLOCKS = 8, 8
 #: Share of pairs at the least cosine that may be missed.
 MISSED = 0.001
 #: Bits of a sketch at least: with so many, pairs that share a chunk by chance or are alike by half only differ in too many of them.
@@ -60,41 +62,154 @@ def _sketches(vectors: DataFrame, bits: int, tables: int, whole: int) -> DataFra
 
 
 def _allowed(placed: DataFrame, most: int) -> DataFrame:
-    """(a, b) pairs in one place whose sketches differ in `most` bits at most; (a, null) where a row has more than CROWD of them there."""
+    """(a, b, false) pairs in one place whose sketches differ in `most` bits at most; for a row that has more than CROWD of them there,
+    (a, null, true) instead, and (b, null, false) for each of those."""
 
-    def pairs(ids: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        s = np.frombuffer(b"".join(x + bytes(-len(x) % 8) for x in sketches), dtype=np.uint64).reshape(len(ids), -1)
-        a, b, crowded = [], [], []
+    def pairs(ids: np.ndarray, sketches: list[bytes]) -> pa.RecordBatch:
+        raw = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(ids), -1)
+        side = np.unpackbits(raw, axis=1).astype(np.float32) * 2 - 1
+        a, b, crowded, beside = [], [], [], np.zeros(len(ids), dtype=bool)
         for lo in range(0, len(ids), 256):
-            far = np.bitwise_count(s[lo : lo + 256, None, :] ^ s[None, :, :]).sum(axis=2, dtype=np.int32)
-            near = far <= most
+            near = side[lo : lo + 256] @ side.T >= side.shape[1] - 2 * most  # as many bits are equal, less those that differ
             near[np.arange(len(near)), lo + np.arange(len(near))] = False
             many = near.sum(axis=1) > CROWD
             crowded.append(ids[lo : lo + 256][many])
+            beside |= near[many].any(axis=0)
             i, j = np.nonzero(near & ~many[:, None])
             a.append(ids[lo + i])
             b.append(ids[j])
-        return np.concatenate([*a, *crowded]), np.concatenate([*b, *[np.full(len(c), NONE) for c in crowded]])
+        n, marked = sum(map(len, a)), np.concatenate([*crowded, ids[beside]])
+        none = pa.nulls(len(marked), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([*a, marked])), pa.concat_arrays([pa.array(np.concatenate(b)), none]), pa.array(np.repeat([False, True, False], [n, len(marked) - beside.sum(), beside.sum()]))], names=["a", "b", "crowd"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, sketches = None, [], []
-
-        def done() -> pa.RecordBatch:
-            a, b = pairs(np.array(ids, dtype=np.int64), sketches)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=b == NONE)], names=["a", "b"])
-
         for batch in batches:
             for place, i, s in zip(*(batch.column(c).to_pylist() for c in ("at", "id", "sketch")), strict=True):
                 if place != at and len(ids) > 1:
-                    yield done()
+                    yield pairs(np.array(ids, dtype=np.int64), sketches)
                 if place != at:
                     at, ids, sketches = place, [], []
                 ids.append(i)
                 sketches.append(s)
         if len(ids) > 1:
-            yield done()
+            yield pairs(np.array(ids, dtype=np.int64), sketches)
+
+    return placed.select("at", "id", "sketch").mapInArrow(run, "a long, b long, crowd boolean")
+
+
+def _candidates(one: DataFrame, tables: int, most: int) -> DataFrame:
+    """What `_allowed` finds in the buckets of all chunks of the sketches (id, sketch, keys). ROUND chunks are dealt at a time, so that
+    no more than as many copies of the sketches are moved at once, however many chunks there are."""
+    found = []
+    for lo in range(0, tables, ROUND):
+        some = F.explode(F.slice("keys", lo + 1, ROUND)).alias("key")
+        # Only the buckets that are dealt in groups are looked up; there are no more of them than rows times chunks by BLOCK. All others stay one group.
+        groups = written(one.select(some).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).withColumn("groups", F.ceil(F.col("m") / BLOCK)), "large-buckets")
+        named = one.select("id", "sketch", some)
+        dealt = named.join(small(groups), "key", "left").withColumn("groups", F.coalesce("groups", F.lit(1).cast("long"))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+        placed = dealt.select("id", "sketch", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("at")).repartition("at").sortWithinPartitions("at", "id")
+        found.append(written(_allowed(placed, most).distinct(), "pairs"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _of_pairs(few: DataFrame, v: DataFrame, n: int) -> DataFrame:
+    """(id, neighbour, cosine) of pairs (a, b), both ways. Vectors travel for about `n` pairs at a time."""
+    pairs = written(few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "few")
+    slices = max(1, math.ceil(pairs.count() / max(n, 1)))
+    met = []
+    for k in range(slices):
+        some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(slices)) == k)
+        side = lambda i: v.join(small(some.select(F.col(i).alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias(i), F.col("vector").alias(f"v{i}"))  # noqa: B023, E731
+        met.append(written(some.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("cosine")), "cosines"))
+    both = reduce(DataFrame.unionByName, met)
+    return both.select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine").unionByName(both.select(F.col("b").alias("id"), F.col("a").alias("neighbour"), "cosine"))
+
+
+def _blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """(first, ids, matrix): the rows (id, vector) in blocks of up to BLOCK, each named by its first id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held = [], []
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids[:1], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())], names=["first", "ids", "matrix"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype("<f4")
+            for i, row in zip(b.column("id").to_pylist(), x, strict=True):
+                ids.append(i)
+                held.append(row.tobytes())
+                if len(ids) == BLOCK:
+                    yield block()
+                    ids, held = [], []
+        if ids:
+            yield block()
+
+    return rows.select("id", "vector").repartition(parts, "id").mapInArrow(run, "first long, ids array<bigint>, matrix binary")
+
+
+def _of_crowd(v: DataFrame, crowd: DataFrame, least: float) -> DataFrame:
+    """(id, neighbour, cosine): of each row of the crowd the nearest others in it, by matrix products of blocks, of which each two
+    meet once, in one task. A product in single precision says which pairs can be the nearest; their cosines are then exact. Blocks
+    are neither joined by key nor copied: a task reads two parts of them, and only the best of each of its rows leave it."""
+    n, cores = crowd.count(), v.sparkSession.sparkContext.defaultParallelism
+    parts = max(math.ceil(n / (PART_BLOCKS * BLOCK)), math.ceil(math.sqrt(2 * cores)))
+    blocks = written(_blocks(v.join(small(crowd), "id", "left_semi"), parts), "crowd-blocks").repartition(parts, "first")
+    side = lambda i: blocks.select(*[F.col(c).alias(f"{c}{i}") for c in ("first", "ids", "matrix")])
+    met = side(1).crossJoin(side(2)).where("first1 <= first2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[np.ndarray]] = {}  # ids, cosines and neighbours of the rows of a block
+        last = None
+
+        def read(b: pa.RecordBatch, r: int, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            first, ids = b.column(f"first{i}")[r].as_py(), b.column(f"ids{i}")[r].values.to_numpy()
+            x = np.frombuffer(b.column(f"matrix{i}")[r].as_buffer(), dtype="<f4").reshape(len(ids), -1)
+            size = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+            if first not in best:
+                best[first] = [ids.copy(), np.full(len(ids), -2.0), np.full(len(ids), NONE)]
+            return first, ids, x, size, (x / size[:, None]).astype(np.float32)
+
+        def take(first: int, s: np.ndarray, exact) -> None:
+            """Into the best of block `first`, whose rows are those of `s`."""
+            _, held, neighbour = best[first]
+            slack = s.shape[1] and (dim + 8) * 2.0**-23  # no two sums in single precision are further from the true ones
+            i, j = np.nonzero(s >= np.maximum(s.max(axis=1), np.maximum(held, least))[:, None] - slack)
+            c, other = exact(i, j)
+            order = np.lexsort((other, -c, i))
+            i, c, other = i[order], c[order], other[order]
+            top = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, dtype=bool)
+            i, c, other = i[top], c[top], other[top]
+            better = (c >= least) & ((c > held[i]) | (c == held[i]) & (other < neighbour[i]))
+            held[i[better]], neighbour[i[better]] = c[better], other[better]
+
+        for b in batches:
+            for r in range(b.num_rows):
+                if last is None or last[0] != b.column("first1")[r].as_py():
+                    last = read(b, r, 1)
+                one, two = last, read(b, r, 2)
+                dim = one[2].shape[1]
+                s = one[4] @ two[4].T
+                if one[0] == two[0]:
+                    np.fill_diagonal(s, -2.0)
+
+                def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                    sums = [np.einsum("ij,ij->i", one[2][i[lo : lo + 1024]].astype(np.float64), two[2][j[lo : lo + 1024]].astype(np.float64)) for lo in range(0, len(i), 1024)]  # noqa: B023
+                    return np.round(np.concatenate([*sums, np.zeros(0)]) / one[3][i] / two[3][j], 6)  # noqa: B023
+
+                take(one[0], s, lambda i, j: (exact(i, j), two[1][j]))  # noqa: B023
+                if one[0] != two[0]:
+                    take(two[0], s.T, lambda i, j: (exact(j, i), one[1][j]))  # noqa: B023
+        for ids, c, other in best.values():
+            some = c >= least
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(other[some]), pa.array(c[some])], names=["id", "neighbour", "cosine"])
 
-    return placed.select("at", "id", "sketch").mapInArrow(run, "a long, b long")
+    return written(met.mapInArrow(run, "id long, neighbour long, cosine double"), "crowd-cosines")
 
 
 #: Stands for no partner; no key.
@@ -107,38 +222,31 @@ def nearest_similar(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     Vectors become sketches, a bit for the side of each random plane. Candidates share a whole chunk of the sketch and differ in
     few bits overall (`sketch_size` says how few, and how surely a pair is found); vectors are fetched for those pairs alone, so
     what travels for all rows are sketches. A bucket of more than BLOCK rows is dealt in groups, and each pair of groups goes to
-    one place. Rows in a crowd of near copies are searched in an inverted file with exact bounds instead of pair by pair, so no
-    group costs the square of its size in pairs. Equal vectors are compared once. Keys are distinct longs and vectors of one
+    one place. Rows with more than CROWD candidates are compared with those in matrix products of blocks instead of pair by pair, so
+    that no table holds a crowd's pairs. Equal vectors are compared once. Keys are distinct longs and vectors of one
     length; null vectors and those of length 0 are like nothing.
     """
-    spark = vectors.sparkSession
     norm = F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     v = written(vectors.where(F.col(column).isNotNull() & (norm > 0)).select(F.col(key).alias("id"), F.col(column).cast("array<float>").alias("vector")), "vectors")
-    bits, tables, whole, most = sketch_size(v.count(), least)
+    n = v.count()
+    bits, tables, whole, most = sketch_size(n, least)
     same = written(_sketches(v, bits, tables, whole), "sketches")
     first = same.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     copies = same.select("id", "h").join(first.where("n > 1"), "h").where("id <> first")
     second = copies.groupBy("first").agg(F.min("id").alias("id"))
     equal = copies.select("id", F.col("first").alias("neighbour")).unionByName(second.select(F.col("first").alias("id"), F.col("id").alias("neighbour"))).withColumn("cosine", F.lit(1.0))
     one = same.join(first.select(F.col("first").alias("id")), "id", "left_semi")
-    named = one.select("id", "sketch", F.explode("keys").alias("key"))
-    # Only the buckets that are dealt in groups are looked up; there are no more of them than rows times chunks by BLOCK. All others stay one group.
-    groups = written(one.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).withColumn("groups", F.ceil(F.col("m") / BLOCK)), "large-buckets")
-    dealt = named.join(small(groups), "key", "left").withColumn("groups", F.coalesce("groups", F.lit(1).cast("long"))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-    placed = dealt.select("id", "sketch", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("at")).repartition("at").sortWithinPartitions("at", "id")
-    pairs = written(_allowed(placed, most).distinct(), "pairs")
-    crowded = pairs.where("b IS NULL").select(F.col("a").alias("id")).distinct()
-    few = pairs.where("b IS NOT NULL").join(crowded.withColumnRenamed("id", "a"), "a", "left_anti")
-    side = lambda i: v.select(F.col("id").alias(i), F.col("vector").alias(f"v{i}"))
-    met = few.join(side("a"), "a").join(side("b"), "b").select(F.col("a").alias("id"), F.col("b").alias("neighbour"), F.round(cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
-    found = met.where(F.col("cosine") >= least).unionByName(equal)
+    found = _candidates(one, tables, most)
+    pairs = written(found.where("b IS NOT NULL").select("a", "b").distinct(), "all-pairs")
+    many = pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("a")
+    crowded = written(found.where("crowd").select("a").unionByName(many).distinct(), "crowded")
+    near = _of_pairs(pairs.join(crowded, "a", "left_anti"), v, n)
     if not crowded.isEmpty():
-        index = vector_index.build(v.join(one.select("id"), "id", "left_semi").withColumn("kb_id", F.lit("all")), shared_folder(spark, "crowds"), "id", "vector")
-        asked = v.join(crowded, "id", "left_semi").withColumnRenamed("id", "query_id")
-        best = vector_index.search(index, asked, 1, "neighbour", others=True, least=least)
-        found = found.unionByName(best.select(F.col("query_id").alias("id"), "neighbour", F.col("score").alias("cosine")))
+        crowd = crowded.unionByName(found.where("b IS NULL").select("a")).unionByName(pairs.join(crowded, "a", "left_semi").select(F.col("b").alias("a")))
+        near = near.unionByName(_of_crowd(v, written(crowd.select(F.col("a").alias("id")).distinct(), "crowd"), least))
     top = F.max(F.struct("cosine", (-F.col("neighbour")).alias("n"))).alias("b")
-    return found.groupBy("id").agg(top).select(F.col("id").alias(key), (-F.col("b.n")).alias("neighbour"), F.col("b.cosine").alias("cosine"))
+    best = near.where(F.col("cosine") >= least).unionByName(equal).groupBy("id").agg(top)
+    return best.select(F.col("id").alias(key), (-F.col("b.n")).alias("neighbour"), F.col("b.cosine").alias("cosine"))
 
 
 def near_duplicate_issues(nearest: DataFrame, key: str = "vec_id") -> DataFrame:

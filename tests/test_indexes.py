@@ -269,3 +269,32 @@ def test_tokens_of_odd_texts_are_those_of_the_column(spark):
     odd = [None, "", " ", "The a-B c- GB50010-2010 1.2.3. ٣ İstanbul \u212a x\u00a0y 钢筋ABC的 的 A b\x00c ΑΣ"]
     made = [r["t"] for r in spark.createDataFrame([(x,) for x in odd], "x string").select(T.tokenize(F.col("x")).alias("t")).collect()]
     assert [T.token_list(x) for x in odd] == made
+
+
+def test_disk_of_a_crowd_grows_with_its_rows(spark, monkeypatch):
+    """A crowd of 300 near copies: no table holds pairs of them, and only so many copies of their sketches are moved at once."""
+    import numpy as np
+
+    from corpuslens.operators import neighbours, vector_index
+
+    rows, copies, allowed, written = {}, [], neighbours._allowed, neighbours.written
+
+    def counted(df, name):
+        out = written(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "CROWD", 8)
+    monkeypatch.setattr(vector_index, "SENT_QUERIES", 0)
+    monkeypatch.setattr(neighbours, "_allowed", lambda placed, most: copies.append(placed.count()) or allowed(placed, most))
+    for module in (neighbours, vector_index):
+        monkeypatch.setattr(module, "written", counted)
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal(32) + 0.1 * rng.standard_normal((300, 32))).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {tuple(r) for r in neighbours.nearest_similar(v).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    assert found == {(i, int(s[i].argmax()), float(s[i].max())) for i in range(300)}
+    assert max(rows.values()) <= 10 * 300 and max(copies) <= 8 * 300
