@@ -298,3 +298,12 @@ def test_disk_of_a_crowd_grows_with_its_rows(spark, monkeypatch):
     np.fill_diagonal(s, -2)
     assert found == {(i, int(s[i].argmax()), float(s[i].max())) for i in range(300)}
     assert max(rows.values()) <= 10 * 300 and max(copies) <= 8 * 300
+
+
+def test_misses_are_attributed_from_two_searches(spark, small):
+    """The narrow list is searched, not picked out of the broad one, and rules that need reranking and means of both channels fire."""
+    from corpuslens.plans.registry import QUERIES
+
+    rows = QUERIES["miss_attribution"](spark, small).collect()
+    assert {(r["n_intent"], r["n_broad"]) for r in rows} == {(10, 10)}
+    assert {"missing_doc", "rewrite_drift", "intent_misroute"} <= {r["verdict"] for r in rows}
