@@ -19,8 +19,8 @@ from corpuslens.sources.sliced import small, written
 
 #: Rows that are compared in one place at most, twice; rows in a bucket as a rule; partners of a row that are looked at one by one.
 BLOCK, BUCKET, CROWD = 2048, 64, 64
-#: Chunks of the sketches that are dealt at a time, and blocks of a crowd that a task holds, twice.
-ROUND, PART_BLOCKS = 8, 8
+#: Chunks of the sketches that are dealt at a time, rows of a block of a crowd, and such blocks that a task holds, twice.
+ROUND, MATRIX, PART_BLOCKS = 8, 1024, 8
 #: Share of pairs at the least cosine that may be missed.
 MISSED = 0.001
 #: Bits of a sketch at least: with so many, pairs that share a chunk by chance or are alike by half only differ in too many of them.
@@ -116,9 +116,9 @@ def _candidates(one: DataFrame, tables: int, most: int) -> DataFrame:
 
 
 def _of_pairs(few: DataFrame, v: DataFrame, n: int) -> DataFrame:
-    """(id, neighbour, cosine) of pairs (a, b), both ways. Vectors travel for about `n` pairs at a time."""
+    """(id, neighbour, cosine) of pairs (a, b), both ways. Vectors travel for about a quarter as many pairs at a time as there are vectors, `n`."""
     pairs = written(few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "few")
-    slices = max(1, math.ceil(pairs.count() / max(n, 1)))
+    slices = max(1, math.ceil(4 * pairs.count() / max(n, 1)))
     met = []
     for k in range(slices):
         some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(slices)) == k)
@@ -129,28 +129,31 @@ def _of_pairs(few: DataFrame, v: DataFrame, n: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, parts: int) -> DataFrame:
-    """(first, ids, matrix): the rows (id, vector) in blocks of up to BLOCK, each named by its first id."""
+    """(first, ids, short, matrix): the rows (id, vector) in blocks of up to MATRIX, each named by its first id. `short`: the matrix is one of
+    integers of two bytes, else of floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held = [], []
 
         def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids[:1], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())], names=["first", "ids", "matrix"])
+            x = np.stack(held)
+            short = bool((np.abs(x) < 1 << 15).all()) and bool((x == np.rint(x)).all())
+            return pa.RecordBatch.from_arrays([pa.array(ids[:1], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([short]), pa.array([x.astype("<i2" if short else "<f4").tobytes()], pa.binary())], names=["first", "ids", "short", "matrix"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype("<f4")
+            x = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             for i, row in zip(b.column("id").to_pylist(), x, strict=True):
                 ids.append(i)
-                held.append(row.tobytes())
-                if len(ids) == BLOCK:
+                held.append(row.copy())
+                if len(ids) == MATRIX:
                     yield block()
                     ids, held = [], []
         if ids:
             yield block()
 
-    return rows.select("id", "vector").repartition(parts, "id").mapInArrow(run, "first long, ids array<bigint>, matrix binary")
+    return rows.select("id", "vector").repartition(parts, "id").mapInArrow(run, "first long, ids array<bigint>, short boolean, matrix binary")
 
 
 def _of_crowd(v: DataFrame, crowd: DataFrame, least: float) -> DataFrame:
@@ -158,29 +161,30 @@ def _of_crowd(v: DataFrame, crowd: DataFrame, least: float) -> DataFrame:
     meet once, in one task. A product in single precision says which pairs can be the nearest; their cosines are then exact. Blocks
     are neither joined by key nor copied: a task reads two parts of them, and only the best of each of its rows leave it."""
     n, cores = crowd.count(), v.sparkSession.sparkContext.defaultParallelism
-    parts = max(math.ceil(n / (PART_BLOCKS * BLOCK)), math.ceil(math.sqrt(2 * cores)))
+    parts = max(math.ceil(n / (PART_BLOCKS * MATRIX)), math.ceil(math.sqrt(2 * cores)))
     blocks = written(_blocks(v.join(small(crowd), "id", "left_semi"), parts), "crowd-blocks").repartition(parts, "first")
-    side = lambda i: blocks.select(*[F.col(c).alias(f"{c}{i}") for c in ("first", "ids", "matrix")])
+    side = lambda i: blocks.select(*[F.col(c).alias(f"{c}{i}") for c in ("first", "ids", "short", "matrix")])
     met = side(1).crossJoin(side(2)).where("first1 <= first2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[np.ndarray]] = {}  # ids, cosines and neighbours of the rows of a block
-        last = None
+        last: list[tuple] = []  # the block before, with its vectors, their lengths and those of length 1
 
         def read(b: pa.RecordBatch, r: int, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             first, ids = b.column(f"first{i}")[r].as_py(), b.column(f"ids{i}")[r].values.to_numpy()
-            x = np.frombuffer(b.column(f"matrix{i}")[r].as_buffer(), dtype="<f4").reshape(len(ids), -1)
+            x = np.frombuffer(b.column(f"matrix{i}")[r].as_buffer(), dtype="<i2" if b.column(f"short{i}")[r].as_py() else "<f4").reshape(len(ids), -1).astype(np.float32)
             size = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
             if first not in best:
                 best[first] = [ids.copy(), np.full(len(ids), -2.0), np.full(len(ids), NONE)]
-            return first, ids, x, size, (x / size[:, None]).astype(np.float32)
+            return first, best[first][0], x, size, x / size.astype(np.float32)[:, None]
 
-        def take(first: int, s: np.ndarray, exact) -> None:
-            """Into the best of block `first`, whose rows are those of `s`."""
-            _, held, neighbour = best[first]
-            slack = s.shape[1] and (dim + 8) * 2.0**-23  # no two sums in single precision are further from the true ones
+        def take(one: tuple, two: tuple, s: np.ndarray) -> None:
+            """Into the best of block `one`, whose rows are those of `s`."""
+            _, held, neighbour = best[one[0]]
+            slack = (one[2].shape[1] + 8) * 2.0**-23  # no two sums in single precision are further from the true ones
             i, j = np.nonzero(s >= np.maximum(s.max(axis=1), np.maximum(held, least))[:, None] - slack)
-            c, other = exact(i, j)
+            sums = [np.einsum("ij,ij->i", one[2][i[lo : lo + 512]], two[2][j[lo : lo + 512]], dtype=np.float64) for lo in range(0, len(i), 512)]
+            c, other = np.round(np.concatenate([*sums, np.zeros(0)]) / one[3][i] / two[3][j], 6), two[1][j]
             order = np.lexsort((other, -c, i))
             i, c, other = i[order], c[order], other[order]
             top = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, dtype=bool)
@@ -188,28 +192,33 @@ def _of_crowd(v: DataFrame, crowd: DataFrame, least: float) -> DataFrame:
             better = (c >= least) & ((c > held[i]) | (c == held[i]) & (other < neighbour[i]))
             held[i[better]], neighbour[i[better]] = c[better], other[better]
 
-        for b in batches:
+        def meet(b: pa.RecordBatch) -> None:
             for r in range(b.num_rows):
-                if last is None or last[0] != b.column("first1")[r].as_py():
-                    last = read(b, r, 1)
-                one, two = last, read(b, r, 2)
-                dim = one[2].shape[1]
+                if not last or last[0][0] != b.column("first1")[r].as_py():
+                    last[:] = [read(b, r, 1)]
+                one = last[0]
+                two = one if b.column("first2")[r].as_py() == one[0] else read(b, r, 2)
                 s = one[4] @ two[4].T
-                if one[0] == two[0]:
+                if one is two:
                     np.fill_diagonal(s, -2.0)
+                take(one, two, s)
+                if one is not two:
+                    take(two, one, s.T)
 
-                def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                    sums = [np.einsum("ij,ij->i", one[2][i[lo : lo + 1024]].astype(np.float64), two[2][j[lo : lo + 1024]].astype(np.float64)) for lo in range(0, len(i), 1024)]  # noqa: B023
-                    return np.round(np.concatenate([*sums, np.zeros(0)]) / one[3][i] / two[3][j], 6)  # noqa: B023
-
-                take(one[0], s, lambda i, j: (exact(i, j), two[1][j]))  # noqa: B023
-                if one[0] != two[0]:
-                    take(two[0], s.T, lambda i, j: (exact(j, i), one[1][j]))  # noqa: B023
+        for b in batches:
+            meet(b)
+            del b  # before the next one is read
         for ids, c, other in best.values():
             some = c >= least
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(other[some]), pa.array(c[some])], names=["id", "neighbour", "cosine"])
 
-    return written(met.mapInArrow(run, "id long, neighbour long, cosine double"), "crowd-cosines")
+    conf, few = v.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(few)
+    conf.set(few, "4")  # two matrices are in each row
+    try:
+        return written(met.mapInArrow(run, "id long, neighbour long, cosine double"), "crowd-cosines")
+    finally:
+        conf.set(few, before)
 
 
 #: Stands for no partner; no key.
@@ -224,10 +233,10 @@ def nearest_similar(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     what travels for all rows are sketches. A bucket of more than BLOCK rows is dealt in groups, and each pair of groups goes to
     one place. Rows with more than CROWD candidates are compared with those in matrix products of blocks instead of pair by pair, so
     that no table holds a crowd's pairs. Equal vectors are compared once. Keys are distinct longs and vectors of one
-    length; null vectors and those of length 0 are like nothing.
+    length; null vectors, those of length 0 and those that are not finite are like nothing.
     """
     norm = F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    v = written(vectors.where(F.col(column).isNotNull() & (norm > 0)).select(F.col(key).alias("id"), F.col(column).cast("array<float>").alias("vector")), "vectors")
+    v = written(vectors.where(F.col(column).isNotNull() & (norm > 0) & (norm < float("inf"))).select(F.col(key).alias("id"), F.col(column).cast("array<float>").alias("vector")), "vectors")
     n = v.count()
     bits, tables, whole, most = sketch_size(n, least)
     same = written(_sketches(v, bits, tables, whole), "sketches")
